@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.sharding import shard
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = shard(docs, 40, keep_text=False, text_crc32=F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from lodestone.llm.pretokens import read_ranks
+    from lodestone.llm.token_counts import count_tokens, zipf_scores
+
+    scores = zipf_scores(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, scores, public_tokenizers.PATTERN, public_tokenizers.PATTERN).drop("text")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.decontaminate import report
 
@@ -20,10 +38,26 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from lodestone.llm.bpe import decode, encode
+    from lodestone.llm.pretokens import read_ranks
+
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode(encode(docs, ranks, public_tokenizers.PATTERN, public_tokenizers.PATTERN).drop("text"), ranks)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.line_dedup import drop_boilerplate
 
     return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped"))
 
 
-QUERIES = {f.__name__: f for f in (op3_benchmark_decontamination, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op5_byte_bpe, op9_line_dedup)}
