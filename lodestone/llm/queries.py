@@ -60,4 +60,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), counts=("n_lines", "n_dropped"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op5_byte_bpe, op9_line_dedup)}
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.minhash_join import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op5_byte_bpe, op9_line_dedup, op10_minhash_near_dedup)}
