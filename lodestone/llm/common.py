@@ -44,6 +44,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def may_contain(keys: DataFrame, key: str, slots: int = 1 << 20):
+    """A predicate on columns that holds for every value of ``key`` in ``keys``, and for few others.
+
+    It is a table of ``slots`` bytes, whatever the number of keys, so it can go to every task; a full one
+    only lets more rows through to the join that decides."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
+    marks = bytearray(slots)
+    for r in keys.select(slot(F.col(key)).alias("s")).distinct().collect():  # at most `slots` rows
+        marks[r.s] = 1
+    return lambda c: F.substring(F.lit(bytes(marks)), slot(c).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` doesn't have yet, compared as Spark does, ignoring case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -10,7 +10,8 @@ shingle, so a prefix of one shingle, the rarest in the corpus, is enough to join
 2. shingles are ordered by rarity, each window takes its rarest one as prefix, and the places
    of prefixes give candidate starts, bounded by position (start >= 0) and length
    (start + window <= words of the text);
-3. candidate windows are compared word by word with the text at that start.
+3. candidate windows are compared word by word with the text at that start; a filter of fixed size
+   keeps texts without candidates out of the join that brings both together.
 
 Texts are keyed by MD5 for grouping; step 3 reads the text itself, so a hash never decides.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM_GAP, ascii_lower, between, fresh, once, stored
+from lodestone.llm.common import ALNUM_GAP, ascii_lower, between, fresh, may_contain, once, stored
 
 
 def item_words(c: Column) -> Column:
@@ -77,7 +78,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_text: str =
     # a text has at most one window of each length at each start
     cands = stored(found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "len", "words"))).alias("cands")), "candidates")
 
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("t")).join(cands, "key")
+    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("t")).filter(may_contain(cands, "key")(F.col("key"))).join(cands, "key")
     texts = texts.select("key", once(item_words(F.col("t"))).alias("w"), "cands")
     right = F.filter("cands", lambda c: F.slice(F.col("w"), c["start"] + 1, c["len"]) == c["words"])
     texts = texts.select("key", right.alias("hit")).filter(F.size("hit") > 0)
