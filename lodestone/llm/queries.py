@@ -38,6 +38,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.license_scan import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from lodestone.llm.bpe import decode, encode
@@ -54,6 +60,20 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import judge
+
+    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import find_personal_data
+
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.line_dedup import drop_boilerplate
 
@@ -67,4 +87,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op5_byte_bpe, op9_line_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup)}
