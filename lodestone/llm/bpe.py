@@ -172,7 +172,7 @@ class TextEncoder:
         if len(self.known) > MEMORY:
             self.known = {}
         split = [self.splitter.find(t) if t else [] for t in texts]
-        new = list({p for ps in split for p in ps} - self.known.keys())
+        new = [p for p in {p for ps in split for p in ps} if p not in self.known]
         own = dict(zip(new, self.codec.encode_pieces([p.encode("utf-8") for p in new]), strict=True))
         known = self.known
         for p, ids in own.items():

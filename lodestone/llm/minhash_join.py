@@ -73,8 +73,9 @@ class _Hasher:
         known = self.known
         if len(known) > 500_000:
             known = self.known = {}
-        for x in set(w) - known.keys():
-            known[x] = xxhash.xxh3_64_intdigest(x)
+        for x in set(w):
+            if x not in known:
+                known[x] = xxhash.xxh3_64_intdigest(x)
         h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
         n = min(WORDS, len(w))
         s = np.full(len(w) - n + 1, n, np.uint64)
