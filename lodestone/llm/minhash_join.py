@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, SPACED_WORD, UPPER, stored
+from lodestone.llm.common import LOWER, SPACED_WORD, UPPER, fresh, may_contain, stored
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -224,3 +224,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ro
     out = signed.drop("sig").join(named, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(row_id), "n_shingles", "set_key", own.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id.
+
+    Rows that repeat an id and its text stay or go together; rows with a null id stay. Only texts whose id may be
+    among those that go take part in the join."""
+    found = near_duplicates(docs, threshold, text, row_id)
+    (gone,) = fresh(docs, "nd_id")
+    dropped = stored(found.filter(F.col(row_id) != F.col("component_id")).select(F.col(row_id).alias(gone)).distinct(), "dropped")
+    may = F.coalesce(may_contain(dropped, gone, 1 << 22)(F.col(row_id).cast("long")), F.lit(False))
+    suspects = docs.filter(may).join(dropped, F.col(row_id) == F.col(gone), "left_anti")
+    return docs.filter(~may).unionByName(suspects)
