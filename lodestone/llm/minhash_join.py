@@ -7,9 +7,11 @@
    the first ``coords - least_matches + 1`` of each side: the prefix. The order puts values that many
    classes share last, so passages common to many texts are not posted unless a text is made of them.
 3. Classes are posted under the values of their prefix. Two star rounds link the members of a posting list
-   to one of them; a last round pairs the members outside the list's largest component with the rest
-   of it. Pairs that are already in one component are skipped: lists of near copies cost
-   about their length, not its square, and no link between components is lost.
+   to one of them; a last round pairs, in lists of up to ``HEAVY`` members, those outside the list's largest component
+   with the rest of it. Pairs that are already in one component are skipped: lists of near copies cost
+   about their length, not its square, and no link between components is lost. Longer lists, if more than one
+   component is left in them, are cut into blocks of ``BLOCK`` classes; a task takes two blocks, merges
+   their sets into a table of common shingles and gives back a spanning forest of the links, not the pairs.
 4. Collisions of a pair are counted over the whole signatures; pairs with enough of them are confirmed
    on the full shingle sets of their texts. Confirmed links give connected components.
 
@@ -24,6 +26,7 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -37,6 +40,8 @@ from lodestone.llm.components import components
 WORDS = 5
 #: A coordinate value shared by more classes than this goes last in the order.
 HEAVY = 64
+#: Classes in each of the two blocks that a task compares.
+BLOCK = 1000
 #: Bits of the filter that picks the texts to confirm; a full one only means more reading.
 FILTER_BITS = 1 << 25
 _TABLE = str.maketrans(UPPER, LOWER)
@@ -125,6 +130,58 @@ def _postings(classes: DataFrame, coords: int, prefix: int) -> DataFrame:
     return first.select("cid", F.explode("first").alias("p")).select("cid", "p.value")
 
 
+def _forest(sets: list[np.ndarray], labels: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels, as many as join what they join and no more."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)  # exact: set sizes are below 2^24
+    for low in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        common += part @ part.T
+    _, label = np.unique(labels, return_inverse=True)
+    out = []
+    for i in range(len(sets)):
+        both = common[i, i + 1 :].astype(np.int64)
+        linked = i + 1 + np.flatnonzero(100 * both >= threshold * (sizes[i] + sizes[i + 1 :] - both))
+        for j in linked[label[linked] != label[i]].tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _block_links(posts: DataFrame, labels: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components within posting lists of more than ``HEAVY`` members.
+
+    Lists that share classes form one group, so that their pairs are looked at once."""
+    listed = posts.filter(F.col("size") > HEAVY)
+    chain = listed.join(listed.groupBy("value").agg(F.min("cid").alias("least")), "value").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    group = components(chain).select(F.col("node").alias("cid"), F.col("label").alias("group"))
+    own = group.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "group", F.coalesce("label", "cid").alias("label"))
+    size = own.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
+    own = own.join(size.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "group").join(bodies, "cid")
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    own = own.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cid", "label", "body")
+
+    def run(pdf):
+        hashed, unpack = _Hasher(), zstandard.ZstdDecompressor()
+        cids = pdf["cid"].to_numpy()
+        found = _forest([hashed(unpack.decompress(b).decode("utf-8")) for b in pdf["body"]], pdf["label"].to_numpy(), threshold)
+        return pd.DataFrame({"a": [cids[i] for i, _ in found], "b": [cids[j] for _, j in found]}, dtype="int64")
+
+    return own.groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, bodies: DataFrame, needed: int, threshold: Column | int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold, in percent."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -187,13 +244,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ro
     classes = signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("first"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     posts = _postings(classes, coords, coords - needed + 1)
-    posts = posts.join(posts.groupBy("value").count().filter(F.col("count") > 1).select("value"), "value")
+    posts = posts.join(posts.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "value")
     posts = stored(posts, "postings")
     wanted = posts.select("cid").distinct()
 
     links, labels, bodies, refused = None, None, None, None
     for step in ("star", "star again", "rest"):
-        placed = posts.withColumn("label", F.col("cid")) if labels is None else posts.join(labels, F.col("cid") == F.col("node"), "left").select("value", "cid", F.coalesce("label", "cid").alias("label"))
+        use = posts.filter(F.col("size") <= HEAVY) if step == "rest" else posts
+        placed = use.withColumn("label", F.col("cid")) if labels is None else use.join(labels, F.col("cid") == F.col("node"), "left").select("value", "cid", F.coalesce("label", "cid").alias("label"))
         if step == "rest":
             parts = placed.groupBy("value", "label").count()
             lists = parts.groupBy("value").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("count", "label")).alias("main")).filter(F.col("parts") > 1).select("value", "main")
@@ -218,6 +276,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ro
         refused = stored(bad if refused is None else refused.unionByName(bad), "refused")
         links = good if links is None else links.unionByName(good)
         labels = components(links)
+    links = links.unionByName(stored(_block_links(posts, labels, bodies, threshold), "links"))
+    labels = components(links)
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("set_key", "first", F.coalesce("label", "cid").alias("label"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(least, "label").select("set_key", "component_id")
