@@ -67,6 +67,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.katz import score
+
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.pii import find_personal_data
 
@@ -87,4 +93,4 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup)}
