@@ -17,6 +17,9 @@ extra columns pass through. A byte that the ranks lack, or an unknown id when de
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import chain, islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +27,8 @@ from pyspark.sql import types as T
 
 from lodestone.llm.pretokens import Splitter
 
-#: Pre-tokens whose ids a task remembers before it starts afresh, and the longest that is kept.
-MEMORY, LONGEST = 400_000, 64
+#: Pre-tokens, and bytes of them, whose ids a task remembers before it starts afresh.
+MEMORY, MEMORY_BYTES = 300_000, 32 << 20
 
 
 class RankQueue:
@@ -163,37 +166,41 @@ class Codec:
 
 
 class TextEncoder:
-    """Ids of texts, batch by batch."""
+    """Ids of texts, batch by batch. A text is held as numbers of pre-tokens, its strings only while it is split."""
 
     def __init__(self, codec: Codec, splitter: Splitter):
-        self.codec, self.splitter, self.known = codec, splitter, {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        if len(self.known) > MEMORY:
-            self.known = {}
-        split = [self.splitter.find(t) if t else [] for t in texts]
-        new = [p for p in {p for ps in split for p in ps} if p not in self.known]
-        own = dict(zip(new, self.codec.encode_pieces([p.encode("utf-8") for p in new]), strict=True))
-        known = self.known
-        for p, ids in own.items():
-            if len(p) <= LONGEST:
-                known[p] = ids
-        out = []
-        for ps in split:
-            ids: list[int] = []
-            for p in ps:
-                ids += known[p] if p in known else own[p]
-            out.append(ids)
-        return out
-
-
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
-    flat = np.fromiter((x for r in rows for x in r), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)).cast(pa.list_(kind))
-
-
-def _slices(batch: pa.RecordBatch, column: str, most: int = 32 << 20):
+        self.codec, self.splitter = codec, splitter
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.size, self.starts, self.lengths, self.flat = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and where each text ends in them."""
+        if len(self.number) > MEMORY or self.size > MEMORY_BYTES:
+            self.forget()
+        find, number = self.splitter.find, self.number
+        rows = [np.fromiter(map(number.__getitem__, find(t)), np.int64) if t else np.zeros(0, np.int64) for t in texts]
+        new = [p.encode("utf-8") for p in islice(number, len(self.starts), None)]
+        self.size += sum(map(len, new))
+        ids = self.codec.encode_pieces(new)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))))
+        parts, ends = [], [0]
+        for row in rows:
+            n = self.lengths[row]
+            total = int(n.sum())
+            at = np.repeat(self.starts[row] - np.cumsum(n) + n, n) + np.arange(total)
+            parts.append(self.flat[at])
+            ends.append(ends[-1] + total)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(ends, np.int32)
+
+
+def _slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
     """``batch`` in slices of about ``most`` bytes of ``column``, so that memory follows bytes, not rows."""
     sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column).cast(pa.large_binary())], np.int64) if batch.num_rows else np.zeros(0, np.int64)
     groups = np.cumsum(sizes) // most
@@ -213,9 +220,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | N
         for whole in batches:
             encoder = encoder or TextEncoder(Codec(shared.value), Splitter(pattern, public))
             for batch in _slices(whole, text):
-                rows = encoder.encode(batch.column(text).to_pylist())
+                flat, ends = encoder.encode(batch.column(text).to_pylist())
                 kept = [c for c in batch.schema.names if c != ids]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(rows, pa.int32())], [*kept, ids])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*kept, ids])
 
     return df.mapInArrow(run, schema)
 
@@ -229,9 +236,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
         tokens = None
         for batch in batches:
             tokens = tokens or {i: b for b, i in shared.value.items()}
-            column = batch.column(ids)
-            flat, ends = column.flatten().to_pylist(), np.concatenate(([0], np.cumsum(np.nan_to_num(np.array(pa.compute.list_value_length(column).to_pylist(), float))))).astype(int).tolist()
-            texts = [b"".join(map(tokens.__getitem__, flat[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
+            texts = [b"".join(map(tokens.__getitem__, row.values.to_pylist())) if row.is_valid else b"" for row in batch.column(ids)]
             kept = [c for c in batch.schema.names if c != out]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], [*kept, out])
 

@@ -1,0 +1,419 @@
+"""The training-data operators against brute force, and on rows with nulls, ties, repeats, long texts and clashing names."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lodestone.llm import bpe, decontaminate, katz, license_scan, line_dedup, minhash_join, pii, pretokens, quality, sharding, token_counts
+from lodestone.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, shard string, WORDS int, label int"
+RANKS = pretokens.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def _texts(seed=7, n=60):
+    r = random.Random(seed)
+    vocabulary = ["the", "of", "and", "Zu", "éa", "le"] + ["".join(r.choice("abcdeéou") for _ in range(r.randrange(2, 8))) for _ in range(150)]
+    line = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
+    out = []
+    for i in range(n):
+        if i and r.random() < 0.3:
+            w = out[r.randrange(i)].split(" ")
+            if w and r.random() < 0.6:
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            out.append(" ".join(w))
+        else:
+            out.append("\n".join([line(r.randrange(1, 40)) for _ in range(r.randrange(1, 5))] + (["One footer line."] if r.random() < 0.4 else [])))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [None, "", " ", "a", "x " * 3000 + "mail a.b@c.de", "under the MIT license", *_texts()]
+    rows = [(i, t, ["en", "de", None][i % 3], ["s1", None, "s2"][i % 3], 1, "k", "s", 1, 2) for i, t in enumerate(texts)]
+    rows += [rows[10], rows[10], (None, texts[12], "en", "s1", 1, None, None, None, None)]  # repeated rows, a null id
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# -- 1
+
+
+def test_shards_have_equal_bytes_and_gapless_slots(docs, empty):
+    got = rows_of(sharding.shard(docs.withColumnRenamed("shard", "shard_before"), 4, tolerance=0.01))
+    size = lambda t: len((t or "").encode()) + 16
+    assert len(got) == docs.count() and all(g["size"] == size(g["text"]) for g in got)
+    by = defaultdict(list)
+    for g in got:
+        by[g["shard"]].append(g)
+    total, largest = sum(g["size"] for g in got), max(g["size"] for g in got)
+    assert set(by) <= set(range(4)) and all(sorted(x["slot"] for x in v) == list(range(len(v))) for v in by.values())
+    assert all(abs(sum(x["size"] for x in v) - total / 4) <= largest + 0.02 * total for v in by.values())
+    assert rows_of(sharding.shard(empty.drop("shard"), 4)) == []
+
+
+def test_a_group_of_equal_texts_is_cut_between_shards(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text"))
+    got = sharding.shard(df, 7, part_bytes=1000).groupBy("shard").agg(F.sum("size").alias("b"), F.max("slot").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(got) == 7 and max(r.b for r in got) - min(r.b for r in got) <= 3 * 25 and all(r.m == r.n - 1 for r in got)
+
+
+# -- 2 and 5
+
+
+def test_latin_splitter_equals_the_pattern():
+    r, letters = random.Random(1), "".join(map(chr, range(0x250))) + "  \n\n''stmdrevell" * 10
+    split, full = pretokens.Splitter(P.PATTERN, P.PATTERN), pretokens.Splitter(P.PATTERN)
+    for _ in range(5000):
+        t = "".join(r.choice(letters) for _ in range(r.randrange(1, 30)))
+        assert split.find(t) == full.find(t)
+
+
+def _best(word, scores):
+    best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(j - 1, -1, -1):
+            if (s := scores.get(word[i:j])) is not None and best[i][0] + s >= best[j][0]:
+                best[j] = (best[i][0] + s, best[i][1] + 1)
+    return best[-1]
+
+
+def test_trie_counts_equal_a_plain_search(docs, empty):
+    scores = token_counts.zipf_scores(RANKS)
+    split = pretokens.Splitter(P.PATTERN)
+    for g in rows_of(token_counts.count_tokens(docs, scores, P.PATTERN)):
+        want = [_best(w.encode(), scores) for w in split.find(g["text"] or "")]
+        assert (g["n_pretokens"], g["n_tokens"]) == (len(want), sum(n for _, n in want)) and math.isclose(g["score"], sum(s for s, _ in want), abs_tol=1e-6)
+    assert rows_of(token_counts.count_tokens(empty, scores, P.PATTERN)) == []
+
+
+def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    for g in rows_of(bpe.decode(bpe.encode(docs, RANKS, P.PATTERN, P.PATTERN), RANKS)):
+        assert g["ids"] == own.encode_ordinary(g["text"] or "") and bytes(g["bytes"]) == (g["text"] or "").encode()
+    assert rows_of(bpe.decode(bpe.encode(empty, RANKS, P.PATTERN), RANKS)) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aab ré\n1日x", min_size=1, max_size=60), min_size=1, max_size=8))
+def test_pieces_equal_single_piece_encoding(pieces):
+    codec = _codec()
+    own = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=RANKS, special_tokens={})
+    assert codec.encode_pieces([p.encode() for p in pieces]) == [own.encode_ordinary(p) for p in pieces]
+
+
+def _codec(made=[]):  # noqa: B006
+    if not made:
+        made.append(bpe.Codec(RANKS))
+    return made[0]
+
+
+def test_a_very_long_pretoken():
+    own = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=RANKS, special_tokens={})
+    text = "".join(random.Random(3).choice("abcé") for _ in range(20000))
+    assert _codec().encode_pieces([text.encode()])[0] == own.encode_ordinary(text)
+
+
+# -- 3
+
+
+def _contamination(text, items, window=10):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    low = lambda t: find((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    w, hit, ids = low(text), set(), set()
+    for i, t in items:
+        x = low(t)
+        for a in range(max(1, len(x) - window + 1)) if x and i is not None else ():
+            win = x[a : a + window]
+            for s in range(len(w) - len(win) + 1):
+                if w[s : s + len(win)] == win:
+                    hit.update(range(s, s + len(win)))
+                    ids.add(str(i))
+    return len(w), len(hit), sorted(ids)
+
+
+def test_decontamination_equals_brute_force(spark, docs, empty):
+    texts = _texts()
+    items = [(1, " ".join(texts[0].split()[:25])), (2, "under the mit license"), (3, None), (4, ""), (None, texts[1]), (10, " ".join(texts[0].split()[3:16])), (10, " ".join(texts[0].split()[3:16])), (5, "a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontaminate.report(docs.drop("WORDS"), bench))
+    assert len(got) == docs.count()
+    text_of = {r.doc_id: r.text for r in docs.collect()}
+    for g in got:
+        assert (g["n_words"], g["n_hit"], g["items"]) == _contamination(text_of[g["doc_id"]], items)
+    clean = rows_of(decontaminate.drop_contaminated(docs, bench))
+    assert len(clean) == sum(g["n_hit"] == 0 for g in got)
+    assert decontaminate.report(docs, bench.limit(0)).filter("n_hit > 0").count() == 0 and rows_of(decontaminate.report(empty, bench)) == []
+
+
+# -- 4
+
+
+def test_license_base_places_and_labels(docs, empty):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    for g in rows_of(license_scan.scan_licenses(docs)):
+        w = find((g["text"] or "").lower())
+        places = sorted((i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert (g["n_words"], g["n_base"]) == (len(w), len(places)) and g["first_word"] == (places[0][0] if places else None)
+        assert set(filter(None, g["base_labels"].split(","))) <= set(g["labels"].split(",")) and 0 <= g["score"] <= 1
+    assert rows_of(license_scan.scan_licenses(empty)) == []
+
+
+def test_license_rules_suppress_what_lies_inside():
+    s = license_scan.Scanner()
+    assert len(s.rules) >= 200
+    labels = lambda t: sorted({x[2] for x in s.scan(t)[2]})
+    assert labels("Licensed under the GNU Lesser General Public License, version 2.1") == ["lgpl-2.1"]
+    assert labels("SPDX-License-Identifier: GPL-3.0") == ["gpl-3"] and labels("a committed general") == []
+    n, base, found = s.scan("MIT: under the MIT license under the mit license")
+    assert (n, base) == (9, [(1, "mit"), (5, "mit")]) and s.scan(None) == (0, [], [])
+
+
+# -- 6
+
+
+def test_quality_base_numbers(docs, empty):
+    find = re.compile(r"[^\x20\x09-\x0D]+").findall
+    for g in rows_of(quality.judge(docs)):
+        t = next(r.text for r in docs.collect() if r.doc_id == g["doc_id"]) or ""
+        w = find(t)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        often = {x for x, n in Counter(windows).items() if n > 1}
+        repeated = {j for i, x in enumerate(windows) if x in often for j in range(i, i + 5)}
+        lines = [x for x in t.split("\n") if find(x)]
+        assert (g["n_words"], g["word_chars"], g["n_dup_lines"], g["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(repeated))
+        assert g["n_symbols"] == sum(c in "#*$%&|<>" for c in t) and g["base_failed"] == (len(w) < 10 or 100 * len(repeated) > 20 * len(w)) and not (g["base_failed"] and g["kept"])
+    assert rows_of(quality.judge(empty)) == [] and rows_of(quality.keep_good(empty)) == []
+
+
+def test_kneser_ney_sums_to_one_and_equals_the_definition():
+    text = "the cat sat on the mat. the cat ran"
+    counts = Counter(quality.grams(text).tolist())
+    model = quality.KneserNey([(1, c, n) for c, n in counts.items()])
+    import numpy as np
+
+    for context in {c >> 5 for c in counts} | {12345 % 2**15}:
+        assert math.isclose(model.probability(1, np.arange(32) + (context << 5)).sum(), 1, abs_tol=1e-9)
+    grams = {4: dict(counts)}
+    for n in (3, 2, 1):
+        low = Counter(c & (2 ** (5 * n) - 1) for c in grams[n + 1])
+        grams[n] = dict(low)
+
+    def discounts(table):
+        r = [sum(x == i for x in table.values()) for i in range(1, 5)]
+        y = r[0] / (r[0] + 2 * r[1]) if r[0] and r[1] else 0.5
+        d = [i - (i + 1) * y * r[i] / r[i - 1] if r[i - 1] and r[i] else y for i in (1, 2, 3)]
+        return [min(max(x, 0.0), i - 1e-3) for i, x in enumerate(d, 1)]
+
+    def p(code, n):
+        if n == 0:
+            return 1 / 32
+        code &= 2 ** (5 * n) - 1
+        own = {c: x for c, x in grams[n].items() if c >> 5 == code >> 5}
+        if not own:
+            return p(code, n - 1)
+        d, total = discounts(grams[n]), sum(own.values())
+        cut = lambda x: d[min(x, 3) - 1]
+        return ((own[code] - cut(own[code])) / total if code in own else 0) + sum(map(cut, own.values())) / total * p(code, n - 1)
+
+    codes = list(counts) + [777, 5]
+    assert all(math.isclose(a, p(c, 4), rel_tol=1e-9) for a, c in zip(model.probability(1, np.array(codes)), codes, strict=True))
+
+
+def test_quality_filter_keeps_prose_and_rejects_noise(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 8))) for _ in range(300)]
+    good = [(i, " ".join(r.choice(vocabulary) for _ in range(120)), "en") for i in range(150)]
+    noise = [(1000 + i, " ".join("".join(r.choice("qxzjk7$%") for _ in range(5)) for _ in range(120)), "en") for i in range(3)]
+    kept = {x.doc_id for x in quality.keep_good(spark.createDataFrame(good + noise, "doc_id long, text string, lang string")).collect()}
+    assert len(kept & {g[0] for g in good}) >= 147 and not kept & {n[0] for n in noise}
+
+
+# -- 7
+
+
+def test_katz_equals_the_definition(docs, empty):
+    tokens = {}
+    got = rows_of(katz.score(docs))
+    rows = docs.collect()
+    read = lambda t: katz._find((t or "").translate(katz._TABLE)) + [katz.END]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    counts, pairs = Counter(), Counter()
+    for r in rows:
+        if not held(r.doc_id):
+            counts.update(read(r.text))
+            pairs.update(zip([katz.START, *read(r.text)], read(r.text), strict=False))
+        tokens[r.doc_id] = read(r.text)
+    total, v = sum(counts.values()), len(counts)
+    assert len(got) == len(rows)
+    for g in got[:25]:
+        w = tokens[g["doc_id"]]
+        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (held(g["doc_id"]), len(w), sum(counts[x] > 0 for x in w), total)
+        assert math.isclose(g["base_score"], sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (v + 1))) for x in w), rel_tol=1e-9)
+        if len(w) < 300:
+            assert math.isclose(g["score"], sum(math.log10(katz.probability(a, b, counts, pairs)) for a, b in zip([None, *w], w, strict=False)), rel_tol=1e-9)
+    for previous in (None, "the", "one", "not there"):
+        assert math.isclose(sum(katz.probability(previous, x, counts, pairs) for x in [*counts, "unknown word"]), 1, rel_tol=1e-9)
+    assert rows_of(katz.score(empty)) == []
+
+
+# -- 8
+
+
+def _base(t):
+    luhn = lambda m: 14 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and pii.luhn(d)
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if luhn(m.group())]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(alphabet="aZ09..@@+-() %é_1234567", max_size=45))
+def test_base_spans_equal_the_patterns(text):
+    assert pii.base_spans(text) == _base(text)
+
+
+def test_crf_finds_spans_in_held_out_sentences():
+    crf, r, right, total, wrong = pii.train(), random.Random(99), 0, 0, 0
+    for _ in range(300):
+        text, gold = pii._sentence(r)
+        got = {(isl[i][0], isl[j - 1][1], k) for isl in pii.islands(text) for i, j, k in crf.viterbi(text, isl)}
+        right, total, wrong = right + len(got & set(gold)), total + len(gold), wrong + len(got - set(gold))
+    assert right >= 0.95 * total and wrong <= 0.05 * total
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    import numpy as np
+
+    r = random.Random(4)
+    text, gold = next((t, g) for t, g in (pii._sentence(r) for _ in range(200)) if len(g) == 1 and len(pii.islands(t)) == 1)
+    island = pii.islands(text)[0]
+    at, end = {a: i for i, (a, _) in enumerate(island)}, {b: i + 1 for i, (_, b) in enumerate(island)}
+    spans = [(at[a], end[b], k) for a, b, k in gold]
+    crf = pii.SemiCRF(np.random.default_rng(1).normal(size=(len(pii.KINDS), len(pii.FEATURES))) * 0.3)
+    cand = pii._candidates(text, island)
+    value, grad = crf.gradient(cand, len(island), spans)
+    crf.weights[gold[0][2], 0] += 1e-6
+    assert math.isclose((crf.gradient(cand, len(island), spans)[0] - value) / 1e-6, grad[gold[0][2], 0], abs_tol=1e-4)
+
+
+def test_personal_data_rows(docs, empty):
+    got = {g["doc_id"]: g for g in rows_of(pii.find_personal_data(docs))}
+    assert got[4]["n_email"] == 1 and got[4]["base_spans"] == "email:6005:6013" and got[0]["spans"] == "" and got[0]["n_ip"] == 0
+    assert rows_of(pii.find_personal_data(empty)) == []
+
+
+# -- 9
+
+
+def test_line_dedup_drops_a_hosts_boilerplate(spark, docs, empty):
+    rows = [(i, f"own {i}\nfooter\n\nfooter", "h", 0) for i in range(10)] + [(20, "footer", "other", 0), (21, None, "h", 0), (22, "", None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bp_lines int")
+    got = {g["doc_id"]: g for g in rows_of(line_dedup.drop_boilerplate(df, max_ratio=0.5, counts=("before", "dropped")))}
+    assert got[3]["text"] == "own 3\n" and (got[3]["before"], got[3]["dropped"]) == (4, 2) and got[3]["bp_lines"] == 0
+    assert got[20]["text"] == "footer" and got[21]["text"] is None and got[22]["text"] == ""
+    assert line_dedup.drop_boilerplate(docs).count() == docs.count() and rows_of(line_dedup.drop_boilerplate(empty)) == []
+
+
+# -- 10
+
+
+def _components(sets, threshold):
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and sets[j] and 100 * both >= threshold * (len(a) + len(sets[j]) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("heavy", "block"), [(64, 1000), (2, 3)])
+def test_near_duplicates_equal_brute_force(docs, empty, monkeypatch, heavy, block):
+    monkeypatch.setattr(minhash_join, "HEAVY", heavy)
+    monkeypatch.setattr(minhash_join, "BLOCK", block)
+    rows = docs.collect()
+    sets = [minhash_join.shingle_set(r.text) for r in rows]
+    root = _components(sets, 85)
+    least = defaultdict(lambda: None)
+    for r, k in zip(rows, root, strict=True):
+        if r.doc_id is not None:
+            least[k] = r.doc_id if least[k] is None else min(least[k], r.doc_id)
+    want = Counter((r.doc_id, len(s), least[k] if s else r.doc_id) for r, s, k in zip(rows, sets, root, strict=True))
+    got = Counter((g["doc_id"], g["n_shingles"], g["component_id"]) for g in rows_of(minhash_join.near_duplicates(docs)))
+    assert got == want
+    if heavy == 64:
+        assert rows_of(minhash_join.near_duplicates(empty)) == []
+        kept = minhash_join.drop_near_duplicates(docs, 85)
+        assert {r.doc_id for r in kept.collect()} == {r.doc_id for r, s, k in zip(rows, sets, root, strict=True) if not s or r.doc_id is None or r.doc_id == least[k]}
+
+
+def test_forest_joins_what_links_join():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 60, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[r.random(40) < 0.97], r.integers(0, 1 << 60, int(k)).astype(np.uint64)))) for k in r.integers(0, 12, 40)]
+    links = minhash_join._forest(sets, np.arange(40), 85)
+    root = _components([set(s.tolist()) for s in sets], 85)
+    parent = list(range(40))
+    for a, b in links:
+        x, y = parent[a], parent[b]
+        assert x != y
+        parent = [x if p == y else p for p in parent]
+    assert len({*parent}) == len({*root}) and all((parent[i] == parent[j]) == (root[i] == root[j]) for i in range(40) for j in range(40))
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.range(300).select(((F.col("id") * 7) % 301).alias("a"), (((F.col("id") + 1) * 7) % 301).alias("b"))
+    assert {r.label for r in components(edges).collect()} == {0}
+
+
+# -- the pipeline
+
+
+def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(400)]
+    prose = lambda: "\n".join(" ".join(r.choice(vocabulary) for _ in range(25)) for _ in range(5))
+    item = " ".join(r.choice(vocabulary) for _ in range(15))
+    texts = [prose() for _ in range(60)]
+    texts += [texts[0], texts[1] + " again", texts[2] + "\n" + item, "too short", "word " * 200]
+    texts = [t + "\nshared footer of this site" if i < 30 else t for i, t in enumerate(texts)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {g["doc_id"]: g for g in rows_of(corpus_pipeline.run(spark, str(tmp_path)))}
+    assert {63, 64}.isdisjoint(got) and 62 not in got and not {0, 60} <= set(got) and not {1, 61} <= set(got)
+    assert len(got) >= 57 and all(g["round_trip"] for g in got.values())
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert got[5]["ids"] == own.encode_ordinary(texts[5].replace("\nshared footer of this site", ""))
+    assert hashlib.sha256(own.decode_bytes(got[5]["ids"])).hexdigest()
