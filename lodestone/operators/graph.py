@@ -21,7 +21,7 @@ def merge_entities(entities: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("mentions"),
         F.sort_array(F.collect_set("document_id")).alias("documents"),
         F.slice(F.sort_array(F.collect_set("chunk_id")), 1, 50).alias("chunk_ids"),
-        F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"),
+        F.min_by("description", F.struct(-F.length("description"), F.col("seq"))).alias("description"),
     )
 
 

@@ -51,15 +51,16 @@ class Corpus:
 
 
 def build(chunks: DataFrame, with_graph: bool = True) -> Corpus:
-    posts = R.postings(chunks)
-    lengths = R.doc_lengths(chunks)
-    idf = R.term_idf(posts, lengths.count())
-    vectors = I.hash_embed(chunks.select("chunk_id", "content")).select("chunk_id", "vector")
+    # every strategy reads these several times; partitions that are lost are computed again
+    posts = R.postings(chunks).persist()
+    lengths = R.doc_lengths(chunks).persist()
+    idf = R.term_idf(posts, lengths.count()).persist()
+    vectors = I.hash_embed(chunks.select("chunk_id", "content")).select("chunk_id", "vector").persist()
     nodes = edges = None
     if with_graph:
         found = I.rule_entities(chunks)
-        nodes = G.merge_entities(found.withColumn("seq", F.struct("chunk_id", "pos")))
-        edges = I.co_occurrence(found)
+        nodes = G.merge_entities(found.withColumn("seq", F.struct("chunk_id", "pos"))).persist()
+        edges = I.co_occurrence(found).persist()
     return Corpus(chunks, posts, idf, lengths, vectors, nodes, edges)
 
 
@@ -111,8 +112,8 @@ def graph(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> Data
     """Chunks on paths around a query's entities and chunks that mention them, fused with a dense list at .5."""
     seeds = R.truncate(G.search_entities(queries, corpus.nodes, 8), 8)
     around = G.neighborhood(seeds.select("key").distinct(), corpus.edges, config.graph_depth, config.pool)
-    on_path = seeds.join(around.withColumnRenamed("seed", "key").drop("rank", "score").withColumn("s", around["score"]), "key").select("query_id", F.explode("chunks").alias("chunk_id"), "s")
-    mention = seeds.join(corpus.nodes.select("key", F.slice("chunk_ids", 1, 6).alias("c")), "key").select("query_id", F.explode("c").alias("chunk_id"), F.lit(0.55).alias("s"))
+    on_path = seeds.drop("score", "rank").join(around.select(F.col("seed").alias("key"), "chunks", F.col("score").alias("s")), "key").select("query_id", F.explode("chunks").alias("chunk_id"), "s")
+    mention = seeds.drop("score", "rank").join(corpus.nodes.select("key", F.slice("chunk_ids", 1, 6).alias("c")), "key").select("query_id", F.explode("c").alias("chunk_id"), F.lit(0.55).alias("s"))
     best = on_path.unionByName(mention).groupBy("query_id", "chunk_id").agg(F.max("s").alias("score"))
     from pyspark.sql import Window
 
@@ -128,21 +129,23 @@ REPAIRS = {"empty": (2.0, 0, 0.0), "off_topic": (1.0, 0, 0.0), "too_general": (1
 
 
 def corrective(queries: DataFrame, corpus: Corpus, config: Config = Config(), base: str = "hybrid") -> DataFrame:
-    """Grade the base result; poor queries run again with rewrites and a wider pool, original .7 and rewrites 1.0, for one unrolled round a diagnosis."""
-    first = REGISTRY[base](queries, corpus, config)
+    """Grade the base result; poor queries run again in one pass, with rewrites and the widest pool of the repairs, original .7
+    and rewrites 1.0; each keeps as many results as its diagnosis allows."""
+    first = REGISTRY[base](queries, corpus, config).persist()
     graded = V.grade(queries, first.join(corpus.chunks.select("chunk_id", "content"), "chunk_id"), config.floor)
-    poor = graded.filter(F.col("diagnosis") != "good")
-    out = first.join(poor, "query_id", "left_anti")
-    rewrites = A.heuristic_rewrites(queries)
-    for diagnosis, (factor, more, least) in REPAIRS.items():
-        own = queries.join(poor.filter(F.col("diagnosis") == diagnosis), "query_id", "left_semi")
-        wider = Config(**{**config.__dict__, "pool": int(config.pool * factor), "top_k": config.top_k + more, "min_score": config.min_score if least is None else least})
-        lists = _list(REGISTRY[base](own, corpus, wider), "original", 0)
-        for n in range(3):
-            again = own.select("query_id").join(rewrites.filter(F.col("n") == n), "query_id").select("query_id", F.col("rewrite").alias("query"))
-            lists = lists.unionByName(_list(R.bm25(again, corpus.posts, corpus.idf, corpus.lengths, wider.pool), f"rewrite {n}", n + 1))
-        out = out.unionByName(R.truncate(R.rrf(lists, {"original": 0.7}).select("query_id", "chunk_id", "score", "rank", "sources"), wider.top_k).select(*out.columns))
-    return out
+    poor = graded.filter(F.col("diagnosis") != "good").persist()
+    own = queries.join(poor, "query_id", "left_semi")
+    wide = Config(**{**config.__dict__, "pool": int(config.pool * max(r[0] for r in REPAIRS.values())), "top_k": config.top_k + max(r[1] for r in REPAIRS.values()), "min_score": 0.0})
+    again = A.heuristic_rewrites(own).select(F.struct("query_id", "n").alias("query_id"), F.col("rewrite").alias("query"))
+    found = R.bm25(again, corpus.posts, corpus.idf, corpus.lengths, wide.pool)
+    rewritten = found.select("query_id.query_id", F.concat(F.lit("rewrite "), F.col("query_id.n").cast("string")).alias("strategy"), (F.col("query_id.n") + 1).alias("list_no"), "rank", "chunk_id", "score")
+    fused = R.rrf(_list(REGISTRY[base](own, corpus, wide), "original", 0).unionByName(rewritten), {"original": 0.7})
+    most = F.lit(config.top_k)
+    for diagnosis, (_, more, _) in REPAIRS.items():
+        most = F.when(F.col("diagnosis") == diagnosis, config.top_k + more).otherwise(most)
+    repaired = fused.join(poor.select("query_id", "diagnosis"), "query_id").filter(F.col("rank") <= most)
+    names = ["query_id", "chunk_id", "score", "rank", "sources"]
+    return first.join(poor, "query_id", "left_anti").select(*names).unionByName(repaired.select(*names))
 
 
 def adaptive(queries: DataFrame, corpus: Corpus, config: Config = Config(), document_count: int = 10) -> DataFrame:
