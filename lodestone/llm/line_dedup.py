@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh
+from lodestone.llm.common import fresh, stored
 
 
 def _lines(c: Column) -> Column:
@@ -41,7 +41,8 @@ def boilerplate(df: DataFrame, text: str = "text", host: str = "source", max_rat
 def drop_boilerplate(df: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 3, counts: tuple[str, str] | None = None) -> DataFrame:
     """``df`` with boilerplate lines gone from ``text``; ``counts`` names columns for lines before and lines dropped."""
     h, bad, kept = fresh(df, "bp_host", "bp_lines", "bp_kept")
-    known = boilerplate(df, text, host, max_ratio, min_pages).select(F.col("host").alias(h), F.col("lines").alias(bad))
+    # written, so that its size is known before the join: where it is small the pages aren't shuffled
+    known = stored(boilerplate(df, text, host, max_ratio, min_pages).select(F.col("host").alias(h), F.col("lines").alias(bad)), "boilerplate")
     joined = df.join(known, df[host].eqNullSafe(known[h]), "left").drop(h)
     stays = F.filter(_lines(F.col(text)), lambda x: ~(_solid(x) & F.array_contains(F.col(bad), F.xxhash64(x))))
     joined = joined.withColumn(kept, F.when(F.col(bad).isNull(), _lines(F.col(text))).otherwise(stays))
