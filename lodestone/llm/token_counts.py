@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from lodestone.llm.pretokens import Splitter
 
 #: Trie nodes of a task before it starts afresh.
-MOST_NODES = 2_000_000
+MOST_NODES = 1_000_000
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
