@@ -44,7 +44,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def may_contain(keys: DataFrame, key: str, slots: int = 1 << 20):
+def may_contain(keys: DataFrame, key: str, slots: int = 1 << 18):
     """A predicate on columns that holds for every value of ``key`` in ``keys``, and for few others.
 
     It is a table of ``slots`` bytes, whatever the number of keys, so it can go to every task; a full one

@@ -294,6 +294,6 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text
     found = near_duplicates(docs, threshold, text, row_id)
     (gone,) = fresh(docs, "nd_id")
     dropped = stored(found.filter(F.col(row_id) != F.col("component_id")).select(F.col(row_id).alias(gone)).distinct(), "dropped")
-    may = F.coalesce(may_contain(dropped, gone, 1 << 22)(F.col(row_id).cast("long")), F.lit(False))
+    may = F.coalesce(may_contain(dropped, gone)(F.col(row_id).cast("long")), F.lit(False))
     suspects = docs.filter(may).join(dropped, F.col(row_id) == F.col(gone), "left_anti")
     return docs.filter(~may).unionByName(suspects)
