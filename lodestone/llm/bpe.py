@@ -22,13 +22,16 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodestone.llm.pretokens import Splitter
 
 #: Pre-tokens, and bytes of them, whose ids a task remembers before it starts afresh.
-MEMORY, MEMORY_BYTES = 300_000, 32 << 20
+MEMORY, MEMORY_BYTES = 150_000, 16 << 20
+#: About so many bytes of text are encoded at a time, so that memory follows bytes, not rows.
+SLICE_BYTES = 4 << 20
 
 
 class RankQueue:
@@ -200,9 +203,9 @@ class TextEncoder:
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(ends, np.int32)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
-    """``batch`` in slices of about ``most`` bytes of ``column``, so that memory follows bytes, not rows."""
-    sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in batch.column(column).cast(pa.large_binary())], np.int64) if batch.num_rows else np.zeros(0, np.int64)
+def _slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
+    """``batch`` in slices of about ``most`` bytes of ``column``."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     groups = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -210,6 +213,12 @@ def _slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
             yield batch.slice(a, b - a)
 
 
+def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``batch`` with ``columns`` at its end, in place of those of the same name."""
+    kept = [c for c in batch.schema.names if c not in columns]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns.values()], [*kept, *columns])
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the column ``ids`` (array of int): each match of ``pattern`` in ``text`` encoded by ``ranks``."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't depend on the data
@@ -221,8 +230,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | N
             encoder = encoder or TextEncoder(Codec(shared.value), Splitter(pattern, public))
             for batch in _slices(whole, text):
                 flat, ends = encoder.encode(batch.column(text).to_pylist())
-                kept = [c for c in batch.schema.names if c != ids]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*kept, ids])
+                yield _with(batch, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
     return df.mapInArrow(run, schema)
 
@@ -237,7 +245,25 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
         for batch in batches:
             tokens = tokens or {i: b for b, i in shared.value.items()}
             texts = [b"".join(map(tokens.__getitem__, row.values.to_pylist())) if row.is_valid else b"" for row in batch.column(ids)]
-            kept = [c for c in batch.schema.names if c != out]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.binary())], [*kept, out])
+            yield _with(batch, {out: pa.array(texts, pa.binary())})
+
+    return df.mapInArrow(run, schema)
+
+
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | None = None, text: str = "text", ids: str = "ids", out: str = "bytes", keep_text: bool = True) -> DataFrame:
+    """``decode(encode(df))`` in one Python worker a task instead of two; ``out`` is read from the ids alone."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    passed = [f for f in df.schema.fields if f.name not in (ids, out) and (keep_text or f.name != text)]
+    names = [f.name for f in passed]
+    schema = T.StructType([*passed, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(out, T.BinaryType(), False)])
+
+    def run(batches):
+        encoder = None
+        for whole in batches:
+            encoder = encoder or TextEncoder(Codec(shared.value), Splitter(pattern, public))
+            for batch in _slices(whole, text):
+                flat, ends = encoder.encode(batch.column(text).to_pylist())
+                back = [encoder.codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
+                yield _with(batch.select(names), {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), out: pa.array(back, pa.binary())})
 
     return df.mapInArrow(run, schema)

@@ -46,12 +46,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    from lodestone.llm.bpe import decode, encode
+    from lodestone.llm.bpe import round_trip
     from lodestone.llm.pretokens import read_ranks
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, ranks, public_tokenizers.PATTERN, public_tokenizers.PATTERN).drop("text"), ranks)
+    coded = round_trip(docs, ranks, public_tokenizers.PATTERN, public_tokenizers.PATTERN, keep_text=False)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

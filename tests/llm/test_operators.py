@@ -110,6 +110,12 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
     for g in rows_of(bpe.decode(bpe.encode(docs, RANKS, P.PATTERN, P.PATTERN), RANKS)):
         assert g["ids"] == own.encode_ordinary(g["text"] or "") and bytes(g["bytes"]) == (g["text"] or "").encode()
     assert rows_of(bpe.decode(bpe.encode(empty, RANKS, P.PATTERN), RANKS)) == []
+    both = bpe.round_trip(docs, RANKS, P.PATTERN, P.PATTERN)
+    apart = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN, P.PATTERN), RANKS)
+    assert both.columns == apart.columns and sorted(map(repr, rows_of(both))) == sorted(map(repr, rows_of(apart)))
+    bare = bpe.round_trip(docs, RANKS, P.PATTERN, P.PATTERN, keep_text=False)
+    assert sorted(map(repr, rows_of(bare))) == sorted(map(repr, rows_of(apart.drop("text"))))
+    assert rows_of(bpe.round_trip(empty, RANKS, P.PATTERN)) == []
 
 
 @settings(max_examples=60, deadline=None)
