@@ -4,8 +4,7 @@ A text becomes its lower-case words joined by single spaces, so every rule is a
 expression over words and a match is an interval of words. One Aho-Corasick pass over
 the joined words finds the keywords that occur; only rules that have their keyword run. Rules are ordered by
 priority. A detection that lies inside the interval of a kept detection of higher priority is suppressed
-(a shorter name inside a longer one); detections of the same label that overlap merge. The base phrases
-are rules of the first priority that nothing suppresses.
+(a shorter name inside a longer one). The base phrases are rules of the first priority that nothing suppresses.
 
 The rules are the product of license names and the contexts in which a name is a license statement, so
 their number follows from two short lists.
@@ -17,6 +16,7 @@ equal rows get equal results; other columns pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
@@ -94,6 +94,8 @@ LICENSES = [
     ("public-domain", "domain", r"public domain"),
     ("proprietary", "reserved", r"all rights reserved"),
 ]
+#: Keywords that may go on within their word, such as gplv3.
+OPEN = {"agpl", "apache", "gpl", "lgpl", "mpl"}
 # Contexts, strongest first, with the score of a match; {} stands for the name.
 CONTEXTS = [
     (r"spdx license identifier {}", 1.0),
@@ -112,10 +114,11 @@ class Rule:
     match: re.Pattern
     score: float
     base: bool = False
+    words: int = 0
 
 
 def rules() -> list[Rule]:
-    out = [Rule(0, label, phrase.split()[-1], re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))"), 1.0, True) for phrase, label in BASE.items()]
+    out = [Rule(0, label, phrase.split()[-1], re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))"), 1.0, True, len(phrase.split())) for phrase, label in BASE.items()]
     for context, score in CONTEXTS:
         for label, keyword, name in LICENSES:
             out.append(Rule(len(out), label, keyword, re.compile(rf"(?<![^ ])(?:{context.format(f'(?:{name})')})(?![^ ])"), score))
@@ -127,7 +130,7 @@ class Scanner:
         self.rules = rules()
         self.machine = ahocorasick.Automaton()
         for word in {r.keyword for r in self.rules}:
-            self.machine.add_word(f" {word} ", word)
+            self.machine.add_word(f" {word}" if word in OPEN else f" {word} ", word)
         self.machine.make_automaton()
         self.table = str.maketrans(UPPER, LOWER)
         self.find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
@@ -140,18 +143,24 @@ class Scanner:
         if not present:
             return len(words), [], []
         base, kept = [], []
+        spaces = [m.start() for m in re.finditer(" ", line)]
+        reach: dict[int, int] = {}  # the furthest end of a kept detection, by its start
+        longest = 0
         for rule in self.rules:
             if rule.keyword not in present:
                 continue
             for m in rule.match.finditer(line):
-                start = line.count(" ", 0, m.start())
+                start = bisect_left(spaces, m.start())
                 if rule.base:
                     base.append((start, rule.label))
-                    kept.append((start, start + len(next(p for p, x in BASE.items() if x == rule.label).split()), rule.label, rule.score))
-                    continue
-                end = start + m.group().strip(" ").count(" ") + 1
-                if not any(a <= start and end <= b for a, b, *_ in kept):
-                    kept.append((start, end, rule.label, rule.score))
+                    end = start + rule.words
+                else:
+                    end = start + m.group().strip(" ").count(" ") + 1
+                    if any(reach.get(a, 0) >= end for a in range(start - longest, start + 1)):
+                        continue
+                kept.append((start, end, rule.label, rule.score))
+                reach[start] = max(end, reach.get(start, 0))
+                longest = max(longest, end - start)
         return len(words), sorted(base), sorted(kept)
 
 

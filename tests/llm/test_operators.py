@@ -185,6 +185,9 @@ def test_license_base_places_and_labels(docs, empty):
 
 def test_license_rules_suppress_what_lies_inside():
     s = license_scan.Scanner()
+    assert {x[2] for x in s.scan("code under GPLv3, lgplv2.1 and Apachev2")[2]} == {"gpl-3", "lgpl-2.1", "apache-2"}
+    assert s.scan("a gplx mplayer")[2] == []
+    assert len(s.scan("licensed under the mit license " * 20_000)[2]) == 40_000
     assert len(s.rules) >= 200
     labels = lambda t: sorted({x[2] for x in s.scan(t)[2]})
     assert labels("Licensed under the GNU Lesser General Public License, version 2.1") == ["lgpl-2.1"]
