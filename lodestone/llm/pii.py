@@ -21,6 +21,8 @@ import functools
 import math
 import random
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -243,11 +245,12 @@ def all_spans(text: str | None, crf: SemiCRF) -> tuple[list[tuple[int, int, int]
     if not text or not _MARK.search(text):
         return [], []
     base = base_spans(text)
-    more = []
+    more, starts, furthest = [], [x for x, _, _ in base], list(accumulate((y for *_, y in base), max))
     for island in islands(text):
         for i, j, k in crf.viterbi(text, island):
             a, b = island[i][0], island[j - 1][1]
-            if not any(x < b and a < y for x, _, y in base):
+            before = bisect_left(starts, b)
+            if not before or furthest[before - 1] <= a:
                 more.append((a, k, b))
     return base, sorted(base + more)
 
