@@ -580,11 +580,14 @@ def hash_embedding(spark, d):
 # -- graph
 
 
-def graph_of(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Customers' nations bought from suppliers' nations: a graph with types, weights and evidence."""
+def graph_of(t: Tables, as_sql: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Customers' nations bought from suppliers' nations: a graph with types, weights and evidence.
+
+    ``as_sql`` keeps the rows that ``_GRAPH`` keeps, about one in 97; without it all lineitems count."""
     li, o, c, s, n = t.lineitem, t.orders, t.customer, t.supplier, t.nation
     buys = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey)
-    raw = buys.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"), "l_returnflag", "l_orderkey", "l_linenumber", "l_discount").filter(F.col("l_orderkey") % 97 == F.col("b"))
+    raw = buys.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"), "l_returnflag", "l_orderkey", "l_linenumber", "l_discount")
+    raw = raw.filter(F.col("l_orderkey") % 97 == F.col("b")) if as_sql else raw
     name = n.select("n_nationkey", "n_name")
     rel = raw.join(name.withColumnsRenamed({"n_nationkey": "a", "n_name": "source"}), "a").join(name.withColumnsRenamed({"n_nationkey": "b", "n_name": "target"}), "b")
     rel = rel.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "source", "target", F.concat(F.lit("FLAG_"), "l_returnflag").alias("relation_type"), (0.5 + F.col("l_discount")).alias("confidence"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("doc"), (F.col("l_orderkey") % 5).cast("string")).alias("document_id"))
@@ -604,7 +607,7 @@ st AS (SELECT a, b, m.type AS type, m.confidence AS confidence, m.chunk_id AS ch
 
 @query(f"WITH {_GRAPH} SELECT src, dst, type, round(confidence, 9) AS confidence, weight, chunk_id, document_id FROM e")
 def graph_merge(spark, d):
-    return graph_of(Tables(spark, d))[1].select("src", "dst", "type", F.round("confidence", 9).alias("confidence"), "weight", "chunk_id", "document_id")
+    return graph_of(Tables(spark, d), as_sql=True)[1].select("src", "dst", "type", F.round("confidence", 9).alias("confidence"), "weight", "chunk_id", "document_id")
 
 
 @query("SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS key, n_name AS name, CASE WHEN n_regionkey = 0 THEN 'CONCEPT' ELSE 'NATION' END AS type, CAST(1 AS BIGINT) AS mentions, 'doc' || n_regionkey AS documents FROM nation")
@@ -634,7 +637,7 @@ u AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, path) AS n F
 SELECT seed, array_to_string(path, '>') AS path, array_to_string(types, ',') AS types, hops, score FROM u WHERE n <= 60""")
 def graph_neighborhood(spark, d):
     t = Tables(spark, d)
-    nodes, edges = graph_of(t)
+    nodes, edges = graph_of(t, as_sql=True)
     n = G.neighborhood(_seeds(t, nodes), edges)
     return n.select("seed", F.array_join("path", ">").alias("path"), F.array_join("types", ",").alias("types"), "hops", "score")
 
@@ -643,7 +646,7 @@ def graph_neighborhood(spark, d):
 f AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS n FROM w WHERE path[len(path)] = dst) SELECT src, dst, array_to_string(path, '>') AS path, hops, CAST(CASE hops WHEN 1 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM f""")
 def graph_paths(spark, d):
     t = Tables(spark, d)
-    _, edges = graph_of(t)
+    _, edges = graph_of(t, as_sql=True)
     key = t.nation.select("n_nationkey", X.entity_key("n_name").alias("key"))
     pairs = key.filter(F.col("n_nationkey").isin(1, 5)).select(F.col("key").alias("src")).join(key.filter(F.col("n_nationkey").isin(9, 17)).select(F.col("key").alias("dst")), F.lit(True))
     return G.paths_between(pairs, edges, 2, 1000).select("src", "dst", F.array_join("path", ">").alias("path"), "hops", "score")
@@ -654,38 +657,38 @@ def graph_shortest(spark, d):
     t = Tables(spark, d)
     _, edges = graph_of(t)
     key = t.nation.select("n_nationkey", X.entity_key("n_name").alias("key"))
-    pairs = key.filter(F.col("n_nationkey") == 1).select(F.col("key").alias("src")).join(key.filter(F.col("n_nationkey") == 9).select(F.col("key").alias("dst")), F.lit(True))
+    pairs = key.select(F.col("key").alias("src")).join(key.select(F.col("key").alias("dst")), F.col("src") != F.col("dst"))
     return G.shortest(pairs, edges, 3).select("src", "dst", F.array_join("path", ">").alias("path"), "hops")
 
 
 @query(f"WITH {_GRAPH}, dg AS (SELECT key, count(*) AS degree FROM (SELECT src AS key FROM e UNION ALL SELECT dst FROM e) GROUP BY key), top AS (SELECT nk.key FROM nk LEFT JOIN dg USING (key) ORDER BY coalesce(degree, 0) DESC, nk.key LIMIT 8) SELECT src, dst, type FROM e WHERE src IN (SELECT key FROM top) AND dst IN (SELECT key FROM top)")
 def graph_export(spark, d):
-    return G.export(*graph_of(Tables(spark, d)), limit=8)[1].select("src", "dst", "type")
+    return G.export(*graph_of(Tables(spark, d), as_sql=True), limit=8)[1].select("src", "dst", "type")
 
 
 @query(f"""WITH {_GRAPH}, dg AS (SELECT nk.key, count(k.key) AS degree FROM nk LEFT JOIN (SELECT src AS key FROM e UNION ALL SELECT dst FROM e) k USING (key) GROUP BY nk.key)
 SELECT 'total' AS kind, 'nodes' AS name, count(*) AS n FROM nk UNION ALL SELECT 'total', 'edges', count(*) FROM e UNION ALL SELECT 'node_type', CASE WHEN n_regionkey = 0 THEN 'CONCEPT' ELSE 'NATION' END, count(*) FROM nk GROUP BY 2 UNION ALL SELECT 'edge_type', type, count(*) FROM e GROUP BY type UNION ALL SELECT * FROM (SELECT 'top_degree', key, degree FROM dg ORDER BY degree DESC, key LIMIT 10)""")
 def graph_stats(spark, d):
-    return G.stats(*graph_of(Tables(spark, d)))
+    return G.stats(*graph_of(Tables(spark, d), as_sql=True))
 
 
 @query(f"WITH {_GRAPH}, l AS (SELECT * FROM e WHERE document_id <> 'doc1'), k AS (SELECT key FROM nk WHERE n_regionkey <> 1) SELECT src, dst, type FROM l WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)")
 def graph_delete(spark, d):
-    return G.delete_document(*graph_of(Tables(spark, d)), "doc1")[1].select("src", "dst", "type")
+    return G.delete_document(*graph_of(Tables(spark, d), as_sql=True), "doc1")[1].select("src", "dst", "type")
 
 
 @query()
 def graph_subgraph(spark, d):
     t = Tables(spark, d)
     nodes, edges = graph_of(t)
-    return G.subgraph(G.neighborhood(_seeds(t, nodes), edges))
+    return G.subgraph(G.neighborhood(nodes.select("key"), edges))
 
 
 @query()
 def graph_paths_described(spark, d):
     t = Tables(spark, d)
     nodes, edges = graph_of(t)
-    p = G.describe(G.neighborhood(_seeds(t, nodes), edges, 2, 20))
+    p = G.describe(G.neighborhood(nodes.select("key"), edges, 2, 20))
     return p.select("seed", "text", F.array_join("path_chunks", ",").alias("chunks"))
 
 

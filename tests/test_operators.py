@@ -174,3 +174,17 @@ def test_streaming_windows_match_batch(spark, tmp_path):
     got = {(r.start, r.n) for r in spark.table("windows").collect()}
     assert got and got <= batch
     assert landing(spark, str(tmp_path)).isStreaming
+
+
+def test_graph_queries_without_sql_cover_the_whole_table(spark):
+    from lodestone.plans import registry
+
+    d = "/root/testdata/sf0.001"
+    t = registry.Tables(spark, d)
+    buys = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    _, edges = registry.graph_of(t)
+    assert edges.agg(F.sum("weight")).first()[0] == buys.filter("c_nationkey <> s_nationkey").count() > 1000
+    keys = {r.key for r in registry.graph_entities(spark, d).collect()}
+    assert {(r.src, r.dst) for r in registry.graph_shortest(spark, d).select("src", "dst").distinct().collect()} == {(a, b) for a in keys for b in keys if a != b}
+    assert {r.seed for r in registry.graph_paths_described(spark, d).select("seed").distinct().collect()} == keys
+    assert {r.src for r in registry.graph_subgraph(spark, d).collect()} == keys
