@@ -1,18 +1,17 @@
 """Language-model scoring by Katz backoff.
 
 Tokens are words and one end token a text; a text's first token follows a start mark. Word counts are
-Good-Turing discounted, the mass set free goes to the unknown word. Between words that make up at least
-``PAIR_SHARE`` of the tokens (at most 1 / PAIR_SHARE of them) word pairs are counted too and discounted in
-the same way; every other pair, seen or not, backs off:
+Good-Turing discounted, the mass set free goes to the unknown word. All word pairs of the training texts are
+counted too and discounted in the same way; pairs that were never seen back off:
 
-    p(w | v) = d(c(v w)) c(v w) / c(v)  if the pair was counted, else alpha(v) p(w)
+    p(w | v) = d(c(v w)) c(v w) / c(v)  if the pair was seen, else alpha(v) p(w)
 
 with alpha(v) such that p(. | v) sums to one over all words and the unknown one; alpha is 1 for contexts
-without pairs. Counts cover all training texts and both tables grow with the corpus.
+without pairs. Counts cover all training texts; the tables of words, contexts and pairs grow with the corpus.
 
 Tables are partitioned by key and met by joins. Keys that make up at least ``HOT_SHARE`` of the tokens
 (at most a million, so their size is bounded) are sent to the tasks instead, so no key of a join is hot.
-A text's score is a sum over its tokens: of log p(w), of log alpha(v), and for counted pairs of the
+A text's score is a sum over its tokens: of log p(w), of log alpha(v), and for seen pairs of the
 difference to that, so each text adds up what the tasks know and one exchange adds the rest.
 
 Defined results: null is an empty text, which has only its end; a null id is trained on; without training
@@ -33,8 +32,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import LOWER, SPACED_WORD, UPPER, stored
 
-#: Least share of the tokens of a word that takes part in pairs, and of a key that is sent to the tasks.
-PAIR_SHARE, HOT_SHARE = 2e-5, 1e-6
+#: Least share of the tokens of a key that is sent to the tasks.
+HOT_SHARE = 1e-6
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
 #: Pairs and words that a task adds up before it passes them on.
@@ -49,6 +48,25 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return v ^ (w << np.uint64(1) | w >> np.uint64(63))
+
+
+def _pair_column(v, w):
+    """The same key as a column."""
+    return v.bitwiseXOR(F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(w, 63)))
+
+
+def _pair_numbers(t: np.ndarray) -> np.ndarray:
+    """Each token's number with that of the token before it plus one, 0 for the start, in the upper half."""
+    return np.concatenate(([0], t[:-1] + 1)) << 32 | t
+
+
+def _ends(pairs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of both words of pair numbers; the last of ``hashes`` is the start's."""
+    return hashes[(pairs >> 32) - 1], hashes[pairs & 0xFFFFFFFF]
+
+
 class Words:
     """Tokens of texts as numbers into a list of distinct words with their hashes; remembered words are dropped beyond a bound."""
 
@@ -142,15 +160,11 @@ class Unigrams:
 
 
 class Frequent:
-    """Sorted hash arrays of the frequent words: count, number among pair words (or -1)."""
+    """Sorted hash arrays of the frequent words and their counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.counts = keys[order], counts[order]
-        self.pair = np.full(len(order), -1, np.int64)
-        chosen = np.flatnonzero(self.counts >= max(2, PAIR_SHARE * total))
-        self.pair[chosen] = np.arange(1, len(chosen) + 1)  # 0 is the start mark
-        self.size = len(chosen) + 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -158,52 +172,39 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, at, -1)
 
-    def pairs(self, words: Words) -> np.ndarray:
-        at = self.find(words.keys())
-        return np.where(at >= 0, self.pair[np.maximum(at, 0)], -1) if len(self.pair) else np.full(len(at), -1, np.int64)
-
 
-def pair_counts(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """(key, c): training occurrences of pairs of pair words, key = first * size + second."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """(v, w, c): training occurrences of each pair of words, by their hashes."""
 
     def run(batches):
-        f, words, parts, total = shared.value, Words(), [], 0
+        words, parts, total = Words(), [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            return _rows(keys.view(np.uint64), n)
+            pairs, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            v, w = _ends(pairs, np.append(words.keys(), np.uint64(_hash(START))))
+            order = np.lexsort((w, v))  # sorted keys shrink in the exchange
+            return pa.RecordBatch.from_arrays([pa.array(v[order].view(np.int64)), pa.array(w[order].view(np.int64)), pa.array(n[order].astype(np.int64))], ["v", "w", "n"])
 
-        numbers = np.zeros(0, np.int64)
         for text, held_out in _pieces(batches):
             if held_out:
                 continue
-            if len(words.hashes) > words.most:
-                words.clear()
-                numbers = np.zeros(0, np.int64)
-            t = words.read(text)
-            if len(words.hashes) > len(numbers):
-                fresh = Words()
-                fresh.hashes = words.hashes[len(numbers) :]
-                numbers = np.concatenate((numbers, f.pairs(fresh)))
-            second = numbers[t]
-            first = np.concatenate(([0], second[:-1]))
-            ok = (first >= 0) & (second >= 0)
-            parts.append((first * f.size + second)[ok])
+            parts.append(_pair_numbers(words.read(text)))
             total += len(parts[-1])
-            if total > FLUSH:
+            if total > FLUSH or len(words.hashes) > words.most:
                 yield flush()
                 parts, total = [], 0
+                if len(words.hashes) > words.most:
+                    words.clear()
         yield flush()
 
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+    return docs.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c"))
 
 
 class Model:
-    """What tasks need: frequent words, log alpha by pair word, gains of hot pairs, and the unigram function."""
+    """What tasks need: frequent words with their log alpha, that of the start, gains of hot pairs, and the unigram function."""
 
-    def __init__(self, frequent: Frequent, unigrams: Unigrams, alpha: np.ndarray, hot_keys: np.ndarray, hot_gains: np.ndarray):
-        self.frequent, self.unigrams, self.alpha = frequent, unigrams, alpha
+    def __init__(self, frequent: Frequent, unigrams: Unigrams, alpha: np.ndarray, start: float, hot_keys: np.ndarray, hot_gains: np.ndarray):
+        self.frequent, self.unigrams, self.alpha, self.start = frequent, unigrams, alpha, start
         order = np.argsort(hot_keys)
         self.hot_keys, self.hot_gains = hot_keys[order], hot_gains[order]
 
@@ -213,39 +214,45 @@ def _collect(df: DataFrame, *columns: str) -> list[np.ndarray]:
     return [table.column(c).to_numpy() for c in columns]
 
 
+def _meet(rows: DataFrame, table: DataFrame, key: str, hot) -> DataFrame:
+    """``rows`` joined with ``table``; its rows that are ``hot`` go to the tasks and are kept out of the exchange."""
+    few = F.broadcast(table.filter(hot))  # at most 1 / HOT_SHARE rows
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.filter(~hot), key))
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The shared model, the word table (key, c) and the pair table (key, gain) of all other keys.
+    """The shared model, the table (key, c, alpha) of words that it lacks and the table (key, gain) of pairs that it lacks.
 
     ``docs`` has text and held_out."""
     words = stored(word_counts(docs), "words")
     small = F.col("c") <= MOST_DISCOUNTED + 1
     total, distinct, beyond = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("c") > MOST_DISCOUNTED, F.col("c"))), F.lit(0))).first()
     unigrams = Unigrams(total, distinct, {r.c: r.n for r in words.filter(small).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}, beyond)
-    keys, counts = _collect(words.filter(F.col("c") >= max(1.0, HOT_SHARE * total)), "key", "c")  # at most 1 / HOT_SHARE rows
-    frequent = Frequent(keys.view(np.uint64), counts, total)
+    least = max(1.0, HOT_SHARE * total)
+    keys, counts = _collect(words.filter(F.col("c") >= least), "key", "c")  # at most 1 / HOT_SHARE rows
+    frequent = Frequent(keys.view(np.uint64), counts)
 
-    starts = int(counts[keys.view(np.uint64) == _hash(END)].sum())  # texts; the end is frequent or there are none
-    pairs = stored(pair_counts(docs, frequent), "pairs")
+    pairs = stored(pair_counts(docs), "pairs")
     d = good_turing({r.c: r.n for r in pairs.filter(small).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()})
-    owner = np.flatnonzero(frequent.pair >= 0)
-    table = docs.sparkSession.createDataFrame([(0, starts, 0.0), *((int(frequent.pair[i]), int(frequent.counts[i]), float(unigrams.probability(frequent.counts[i]))) for i in owner)], "id long, n long, p double")
-    own = pairs.withColumns({"v": F.expr(f"key div {frequent.size}"), "w": F.col("key") % F.lit(frequent.size)})
-    own = own.join(F.broadcast(table.select(F.col("id").alias("v"), F.col("n").alias("cv"))), "v").join(F.broadcast(table.select(F.col("id").alias("w"), F.col("p").alias("pw"))), "w")  # at most 1 / PAIR_SHARE rows
+    own = _meet(pairs, words.select(F.col("key").alias("w"), F.col("c").alias("cw"), unigrams.column(F.col("c")).alias("pw")), "w", F.col("cw") >= least).drop("cw")
     factor = F.element_at(F.array(*map(F.lit, d)), F.when(F.col("c") <= MOST_DISCOUNTED, F.col("c").cast("int") + 1).otherwise(1))
-    by_factor, by_half = F.col("c") * factor / F.col("cv"), (F.col("c") - 0.5) / F.col("cv")
-    sums = own.groupBy("v").agg(F.sum(by_factor).alias("turing"), F.sum(by_half).alias("half"), F.sum("pw").alias("seen"))
+    by_factor, by_half = F.col("c") * factor, F.col("c") - 0.5
+    sums = own.groupBy("v").agg(F.sum("c").alias("cv"), F.sum(by_factor).alias("turing"), F.sum(by_half).alias("half"), F.sum("pw").alias("seen"))
     # a context whose pairs were all too frequent for a discount keeps half a count of each back
-    plain = F.col("turing") < 1 - 1e-9
-    left = 1 - F.when(plain, F.col("turing")).otherwise(F.col("half"))
-    sums = stored(sums.select(F.col("v").alias("id"), plain.alias("plain"), (left / (1 - F.col("seen"))).alias("alpha")), "alpha")
-    ids, alphas = _collect(sums, "id", "alpha")  # at most 1 / PAIR_SHARE rows
-    alpha = np.zeros(frequent.size)
-    alpha[ids] = np.log10(alphas)
-    gain = F.log10(F.when(F.col("plain"), by_factor).otherwise(by_half)) - F.log10(F.col("alpha") * F.col("pw"))
-    gains = stored(own.join(F.broadcast(sums), F.col("v") == F.col("id")).select("key", "c", gain.alias("gain")), "gains")
-    hot = F.col("c") >= max(1.0, HOT_SHARE * total)
+    plain = F.col("turing") / F.col("cv") < 1 - 1e-9
+    left = 1 - F.when(plain, F.col("turing")).otherwise(F.col("half")) / F.col("cv")
+    sums = stored(sums.select("v", "cv", plain.alias("plain"), F.log10(left / (1 - F.col("seen"))).alias("alpha")), "alpha")
+    start = int(np.array([_hash(START)], np.uint64).view(np.int64)[0])
+    ids, alphas = _collect(sums.filter((F.col("cv") >= least) | (F.col("v") == start)), "v", "alpha")  # at most 1 / HOT_SHARE rows and one
+    alpha = np.zeros(len(frequent.keys))
+    at = frequent.find(ids.view(np.uint64))
+    alpha[at[at >= 0]] = alphas[at >= 0]
+    gain = F.log10(F.when(F.col("plain"), by_factor).otherwise(by_half) / F.col("cv")) - F.col("alpha") - F.log10("pw")
+    gains = stored(_meet(own, sums, "v", F.col("cv") >= least).select(_pair_column(F.col("v"), F.col("w")).alias("key"), "c", gain.alias("gain")), "gains")
+    hot = F.col("c") >= least
     hot_keys, hot_gains = _collect(gains.filter(hot), "key", "gain")  # at most 1 / HOT_SHARE rows
-    return Model(frequent, unigrams, alpha, hot_keys, hot_gains), words, gains.filter(~hot).select("key", "gain")
+    rare = words.filter(F.col("c") < least).join(sums.select(F.col("v").alias("key"), "alpha"), "key", "left")
+    return Model(frequent, unigrams, alpha, float(alphas[ids == start].sum()), hot_keys.view(np.uint64), hot_gains), rare, gains.filter(~hot).select("key", "gain")
 
 
 def _smoothed(c, total: int, distinct: int):
@@ -264,35 +271,34 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
         m = shared.value
         f, u = m.frequent, m.unigrams
         log_p, log_base = np.log10(u.probability(f.counts)), np.log10(_smoothed(f.counts, total, distinct))
-        reader, at, pair, row = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), (TaskContext.get().partitionId() << 33)
+        start = np.array([_hash(START)], np.uint64)
+        reader, at, hashes, row = Words(), np.zeros(0, np.int64), start, (TaskContext.get().partitionId() << 33)
         names = ["row", "kind", "key", "n", "base", "score", "id", "held_out"]
         for batch in batches:
             heads, rare = [], []
             for i, held_out, t in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if len(reader.hashes) > reader.most:
                     reader.clear()
-                    at, pair = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    at, hashes = np.zeros(0, np.int64), start
                 tokens = reader.read(t)
                 if len(reader.hashes) > len(at):
-                    found = f.find(np.array(reader.hashes[len(at) :], np.uint64))
-                    pair = np.concatenate((pair, np.where(found >= 0, f.pair[np.maximum(found, 0)], -1) if len(f.pair) else found))
-                    at = np.concatenate((at, found))
-                place, second = at[tokens], pair[tokens]
-                first = np.concatenate(([0], second[:-1]))
+                    new = np.array(reader.hashes[len(at) :], np.uint64)
+                    at, hashes = np.concatenate((at, f.find(new))), np.concatenate((hashes[:-1], new, start))
+                place = at[tokens]
                 hit = place[place >= 0]
-                value = log_p[hit].sum() + m.alpha[first[first >= 0]].sum()
+                value = log_p[hit].sum() + m.alpha[hit].sum() + m.start
                 keys, n = np.unique(tokens[place < 0], return_counts=True)
                 if len(keys):
-                    rare.append((row, 1, np.array([reader.hashes[k] for k in keys.tolist()], np.uint64).view(np.int64), n))
-                both = (first >= 0) & (second >= 0)
-                keys, n = np.unique((first * f.size + second)[both], return_counts=True)
+                    rare.append((row, 1, hashes[keys].view(np.int64), n))
+                pairs, n = np.unique(_pair_numbers(tokens), return_counts=True)
+                keys = _pair_key(*_ends(pairs, hashes))
                 if len(m.hot_keys) and len(keys):
                     spot = np.minimum(np.searchsorted(m.hot_keys, keys), len(m.hot_keys) - 1)
                     is_hot = m.hot_keys[spot] == keys
                     value += (m.hot_gains[spot] * n)[is_hot].sum()
                     keys, n = keys[~is_hot], n[~is_hot]
                 if len(keys):
-                    rare.append((row, 2, keys, n))
+                    rare.append((row, 2, keys.view(np.int64), n))
                 heads.append((row, 0, len(tokens), len(hit), log_base[hit].sum(), value, i, held_out))
                 row += 1
             h = list(zip(*heads, strict=True)) if heads else [()] * 8
@@ -311,7 +317,7 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
     c = F.coalesce("c", F.lit(0))
     smooth = (c + 0.5) / F.lit(total + 0.5 * (distinct + 1))
     lone = read.filter("kind = 1").select("row", "key", "n").join(words, "key", "left")
-    lone = lone.select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(smooth)).alias("base"), (F.col("n") * F.log10(model.unigrams.column(c))).alias("score"))
+    lone = lone.select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(smooth)).alias("base"), (F.col("n") * (F.log10(model.unigrams.column(c)) + F.coalesce("alpha", zero))).alias("score"))
     pairs = read.filter("kind = 2").select("row", "key", "n").join(gains, "key").select("row", F.lit(0).cast("long").alias("known"), zero.alias("base"), (F.col("n") * F.col("gain")).alias("score"))
     rest = lone.unionByName(pairs).groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("more_base"), F.sum("score").alias("more"))
     texts = read.filter("kind = 0").join(rest, "row", "left")
@@ -327,10 +333,8 @@ def probability(previous: str | None, word: str, counts: dict[str, int], pairs:
     of = lambda table: {r: sum(x == r for x in table.values()) for r in range(1, MOST_DISCOUNTED + 2)}
     u = Unigrams(total, len(counts), of(counts), sum(x for x in counts.values() if x > MOST_DISCOUNTED))
     p = lambda w: float(u.probability(counts.get(w, 0)))
-    inside = {w for w, c in counts.items() if c >= max(2, PAIR_SHARE * total)}
-    use = {k: c for k, c in pairs.items() if (k[0] == START or k[0] in inside) and k[1] in inside}
-    d = good_turing(of(use))
-    own = {w: c for (v, w), c in use.items() if v == (previous or START)}
+    d = good_turing(of(pairs))
+    own = {w: c for (v, w), c in pairs.items() if v == (previous or START)}
     if not own:
         return p(word)
     cv = counts[END] if previous is None else counts[previous]

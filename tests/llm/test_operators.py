@@ -284,6 +284,25 @@ def test_katz_equals_the_definition(docs, empty):
     assert rows_of(katz.score(empty)) == []
 
 
+@pytest.mark.parametrize("hot_share", [1e-6, 0.02])
+def test_katz_counts_every_pair(spark, docs, monkeypatch, hot_share):
+    once = spark.createDataFrame([(0, "Left right")], "doc_id long, text string")
+    assert not rows_of(katz.score(once))[0]["held_out"]
+    monkeypatch.setattr(katz, "HOT_SHARE", hot_share)
+    assert math.isclose(rows_of(katz.score(once))[0]["score"], 3 * math.log10(0.5), rel_tol=1e-9)  # each pair was seen once
+    counts, pairs = Counter(), Counter()
+    read = lambda t: katz._find((t or "").translate(katz._TABLE)) + [katz.END]
+    for r in docs.collect():
+        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 != 1:
+            counts.update(read(r.text))
+            pairs.update(zip([katz.START, *read(r.text)], read(r.text), strict=False))
+    texts = {r.doc_id: read(r.text) for r in docs.collect()}
+    for g in rows_of(katz.score(docs))[:40]:
+        w = texts[g["doc_id"]]
+        if len(w) < 300:
+            assert math.isclose(g["score"], sum(math.log10(katz.probability(a, b, counts, pairs)) for a, b in zip([None, *w], w, strict=False)), rel_tol=1e-9)
+
+
 # -- 8
 
 
