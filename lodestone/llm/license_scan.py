@@ -6,8 +6,9 @@ the joined words finds the keywords that occur; only rules that have their keywo
 priority. A detection that lies inside the interval of a kept detection of higher priority is suppressed
 (a shorter name inside a longer one). The base phrases are rules of the first priority that nothing suppresses.
 
-The rules are the product of license names and the contexts in which a name is a license statement, so
-their number follows from two short lists.
+There are three lists of signatures: names of licenses, short names that count only after words that declare a license
+(SPDX ids such as MIT or EPL-2.0), and sentences of license texts and notices. The rules for names are their product with
+the contexts in which a name is a license statement; contexts change a match's score and interval and find no further licenses.
 
 Defined results: null is an empty text: no words, no labels, score 0; texts are scanned whole;
 equal rows get equal results; other columns pass through.
@@ -104,6 +105,52 @@ CONTEXTS = [
     (r"licen[sc]e(?:s)? (?:is |type |name )?(?:the )?{}", 0.8),
     (r"{}", 0.6),
 ]
+# Label, keyword and a sentence of the license's text or notice over words.
+_FSF = r"as published by the free software foundation (?:either )?version"
+SENTENCES = [
+    ("agpl-3", "affero", rf"(?:gnu )?affero general public license {_FSF} 3"),
+    ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general public license {_FSF} 2 1"),
+    ("lgpl-3", "lesser", rf"(?:gnu )?lesser general public license {_FSF} 3"),
+    ("gpl-2", "general", rf"(?:gnu |(?<!lesser )(?<!affero ))general public license {_FSF} 2(?! 1)"),
+    ("gpl-3", "general", rf"(?:gnu |(?<!lesser )(?<!affero ))general public license {_FSF} 3"),
+    ("mit", "hereby", r"permission is hereby granted free of charge(?: to any person obtaining a copy)?(?! to any person or organization)"),
+    ("bsl-1", "hereby", r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("0bsd", "hereby", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-3-clause", "endorse", r"neither the names? of (?:[^ ]+ ){1,16}?may be used to endorse or promote products"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms"),
+    ("zlib", "implied", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("apache-2", "basis", r"software distributed under the license is distributed on an as is basis"),
+    ("mpl-2", "mozilla", r"subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to"),
+    ("cc0", "publicdomain", r"creativecommons org publicdomain zero"),
+    *((f"cc-{x.replace(' ', '-')}", "creativecommons", rf"creativecommons org licenses {x} [1-4] [05]") for x in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
+    ("unspecified", "warranty", r"without warranty of any kind"),
+]
+SENTENCE_SCORE = 0.9
+# Label and short name, longer ones first; they count only where DECLARATIONS end.
+_LATER = r"(?: only| or later)?"
+SHORT_NAMES = [
+    *((f"{x}-{n}", rf"{x} ?v?{n}(?: 0)?{_LATER}") for x in ("agpl", "gpl", "lgpl") for n in (3, 2) if (x, n) not in (("agpl", 2), ("lgpl", 2))),
+    ("lgpl-2.1", rf"lgpl ?v?2 1{_LATER}"), ("lgpl", rf"lgpl(?: ?v?2(?: 0)?)?{_LATER}"), ("gpl", "gpl"), ("apache-1.1", "apache 1 1"), ("apache-2", "apache ?v?2(?: 0)?"), ("apache", "apache"),
+    ("mit", "mit"), ("mit", "expat"), ("0bsd", "0bsd"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"), ("bsd-4-clause", "bsd 4 clause"), ("bsd", "bsd"),
+    ("isc", "isc"), ("zlib", "zlib"), ("mpl-1.1", "mpl 1 1"), ("mpl-2", "mpl ?v?2(?: 0)?"), ("mpl", "mpl"), ("epl-1", "epl ?v?1(?: 0)?"), ("epl-2", "epl ?v?2(?: 0)?"), ("epl", "epl"),
+    ("bsl-1", "bsl 1 0"), ("artistic-2", "artistic 2 0"), ("artistic", "artistic(?: 1 0)?"), ("cddl", "cddl(?: 1 [01])?"), ("cpl", "cpl 1 0"), ("eupl", "eupl(?: 1 [0-2])?"),
+    ("fdl", rf"gfdl(?: 1 [123])?{_LATER}"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("postgresql", "postgresql"), ("python", "psf 2 0|python 2 0"), ("php", "php 3 01?"), ("ruby", "ruby"), ("openssl", "openssl"),
+    ("ofl", "ofl(?: 1 [01])?"), ("odbl", "odbl(?: 1 0)?"), ("odc-by", "odc by(?: 1 0)?"), ("cc0", "cc0(?: 1 0)?"),
+    *((f"cc-{x.replace(' ', '-')}", rf"cc {x}(?: [1-4](?: [05])?)?") for x in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
+]
+# Words that declare a license, with the score of a short name after them, and the words that one of them holds.
+DECLARATIONS = [
+    (r"spdx license identifier", 1.0),
+    (r"(?:(?:dual|double|multi) )?(?:licen[sc]ed|released|distributed|available|published|offered|provided)(?: to you)? under(?: the)?(?: terms of)?(?: the)?(?: gnu)?", 0.95),
+    (r"org licenses", 0.95),
+    (r"licen[sc]e(?: is| type| name| id| expression)?(?: the)?(?: gnu)?", 0.8),
+]
+DECLARING = ["license", "licence", "licenses", "licensed", "licenced", "released", "distributed", "available", "published", "offered", "provided"]
+SIGNATURES = len(LICENSES) + len(SHORT_NAMES) + len(SENTENCES)
 
 
 @dataclass(frozen=True)
@@ -119,6 +166,8 @@ class Rule:
 
 def rules() -> list[Rule]:
     out = [Rule(0, label, phrase.split()[-1], re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))"), 1.0, True, len(phrase.split())) for phrase, label in BASE.items()]
+    for label, keyword, sentence in SENTENCES:
+        out.append(Rule(len(out), label, keyword, re.compile(rf"(?<![^ ])(?:{sentence})(?![^ ])"), 0.5 if label == "unspecified" else SENTENCE_SCORE))
     for context, score in CONTEXTS:
         for label, keyword, name in LICENSES:
             out.append(Rule(len(out), label, keyword, re.compile(rf"(?<![^ ])(?:{context.format(f'(?:{name})')})(?![^ ])"), score))
@@ -131,7 +180,12 @@ class Scanner:
         self.machine = ahocorasick.Automaton()
         for word in {r.keyword for r in self.rules}:
             self.machine.add_word(f" {word}" if word in OPEN else f" {word} ", word)
+        for word in DECLARING:
+            self.machine.add_word(f" {word} ", word)
         self.machine.make_automaton()
+        self.declared = [(re.compile(rf"(?<![^ ]){x} "), score) for x, score in DECLARATIONS]
+        self.short = re.compile("(?:" + "|".join(f"({x})" for _, x in SHORT_NAMES) + ")(?![^ ])")
+        self.joint = re.compile(r" (?:and |or |with )+(?:the )?(?:gnu )?")
         self.table = str.maketrans(UPPER, LOWER)
         self.find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
@@ -161,8 +215,27 @@ class Scanner:
                 kept.append((start, end, rule.label, rule.score))
                 reach[start] = max(end, reach.get(start, 0))
                 longest = max(longest, end - start)
+        if not present.isdisjoint(DECLARING):
+            for start, end, label, score in self.short_names(line, spaces):
+                if not any(reach.get(a, 0) >= end for a in range(start - longest, start + 1)):
+                    kept.append((start, end, label, score))
+                    reach[start] = max(end, reach.get(start, 0))
+                    longest = max(longest, end - start)
         return len(words), sorted(base), sorted(kept)
 
+    def short_names(self, line: str, spaces: list[int]):
+        """(start, end, label, score) of the short names after each declaration, and of those joined to them by and, or."""
+        for declared, score in self.declared:
+            for m in declared.finditer(line):
+                at = m.end()
+                while found := self.short.match(line, at):
+                    start = bisect_left(spaces, at)
+                    yield start, start + found.group().count(" ") + 1, SHORT_NAMES[found.lastindex - 1][0], score
+                    joint = self.joint.match(line, found.end())
+                    if not joint:
+                        break
+                    at = joint.end()
+
 
 def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels and score of ``text``.

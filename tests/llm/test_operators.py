@@ -196,6 +196,19 @@ def test_license_rules_suppress_what_lies_inside():
     assert (n, base) == (9, [(1, "mit"), (5, "mit")]) and s.scan(None) == (0, [], [])
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("SPDX-License-Identifier: MIT", {"mit"}), ("License: MIT", {"mit"}), ("Licensed under MIT.", {"mit"}), ("dual-licensed under MIT and Apache-2.0", {"mit", "apache-2"}),
+    ("SPDX-License-Identifier: ISC OR Zlib", {"isc", "zlib"}), ("License: EPL-2.0", {"epl-2"}), ("License: BSL-1.0", {"bsl-1"}), ("License: Artistic-2.0", {"artistic-2"}),
+    ("SPDX-License-Identifier: 0BSD", {"0bsd"}), ("Permission is hereby granted, free of charge, to any person obtaining a copy", {"mit"}),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy", {"bsl-1"}), ("Redistribution and use in source and binary forms, with or without", {"bsd"}),
+    ("Neither the name of the holder nor the names of its contributors may be used to endorse or promote products", {"bsd-3-clause"}), ("provided AS IS, without warranty of any kind", {"unspecified"}),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1", {"lgpl-2.1"}), ("https://creativecommons.org/licenses/by-nc/4.0/", {"cc-by-nc"}),
+    ("er kam mit Hund, mit driving license", set()), ("a license is required", set()), ("he studied under MIT staff", set()),
+])
+def test_license_short_names_and_texts(text, want):
+    assert {x[2] for x in license_scan.Scanner().scan(text)[2]} == want
+
+
 # -- 6
 
 
