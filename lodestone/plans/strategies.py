@@ -128,24 +128,40 @@ REGISTRY: dict[str, Callable] = {"naive": naive, "hybrid": hybrid, "hyde": hyde,
 REPAIRS = {"empty": (2.0, 0, 0.0), "off_topic": (1.0, 0, 0.0), "too_general": (1.75, 4, None), "partially_relevant": (1.5, 0, None)}
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and without its plan, which would grow with each round; in the checkpoint folder where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+#: Fixed value: most rounds of repair.
+ROUNDS = 2
+
+
 def corrective(queries: DataFrame, corpus: Corpus, config: Config = Config(), base: str = "hybrid") -> DataFrame:
-    """Grade the base result; poor queries run again in one pass, with rewrites and the widest pool of the repairs, original .7
-    and rewrites 1.0; each keeps as many results as its diagnosis allows."""
-    first = REGISTRY[base](queries, corpus, config).persist()
-    graded = V.grade(queries, first.join(corpus.chunks.select("chunk_id", "content"), "chunk_id"), config.floor)
-    poor = graded.filter(F.col("diagnosis") != "good").persist()
-    own = queries.join(poor, "query_id", "left_semi")
-    wide = Config(**{**config.__dict__, "pool": int(config.pool * max(r[0] for r in REPAIRS.values())), "top_k": config.top_k + max(r[1] for r in REPAIRS.values()), "min_score": 0.0})
-    again = A.heuristic_rewrites(own).select(F.struct("query_id", "n").alias("query_id"), F.col("rewrite").alias("query"))
-    found = R.bm25(again, corpus.posts, corpus.idf, corpus.lengths, wide.pool)
-    rewritten = found.select("query_id.query_id", F.concat(F.lit("rewrite "), F.col("query_id.n").cast("string")).alias("strategy"), (F.col("query_id.n") + 1).alias("list_no"), "rank", "chunk_id", "score")
-    fused = R.rrf(_list(REGISTRY[base](own, corpus, wide), "original", 0).unionByName(rewritten), {"original": 0.7})
-    most = F.lit(config.top_k)
-    for diagnosis, (_, more, _) in REPAIRS.items():
-        most = F.when(F.col("diagnosis") == diagnosis, config.top_k + more).otherwise(most)
-    repaired = fused.join(poor.select("query_id", "diagnosis"), "query_id").filter(F.col("rank") <= most)
+    """Grade the base result; rewrites of poor queries run through the base strategy as their diagnosis says and are fused with
+    the result so far, original .7 and rewrites 1.0, without near-duplicates; graded again for a second round; reranked at the end.
+
+    A poor query without rewrites keeps its result."""
     names = ["query_id", "chunk_id", "score", "rank", "sources"]
-    return first.join(poor, "query_id", "left_anti").select(*names).unionByName(repaired.select(*names))
+    content = corpus.chunks.select("chunk_id", "content")
+    now, open_, done = _cut(REGISTRY[base](queries, corpus, config).select(*names)), queries, None
+    for _ in range(ROUNDS):
+        poor = V.grade(open_, now.join(content, "chunk_id"), config.floor).filter(F.col("diagnosis") != "good").select("query_id", "diagnosis")
+        again = _cut(A.heuristic_rewrites(open_).join(poor, "query_id").withColumn("own_id", F.concat_ws(":", "n", "query_id")))
+        good = now.join(again, "query_id", "left_anti")
+        done = good if done is None else done.unionByName(good)
+        lists = _list(now.join(again, "query_id", "left_semi"), "original", 0)
+        open_ = open_.join(again, "query_id", "left_semi")
+        for diagnosis in sorted(r[0] for r in again.select("diagnosis").distinct().collect()):  # at most as many as REPAIRS
+            factor, more, least = REPAIRS[diagnosis]
+            repair = {"pool": int(config.pool * factor), "top_k": config.top_k + more, "min_score": config.min_score if least is None else least}
+            own = again.filter(F.col("diagnosis") == diagnosis)
+            found = REGISTRY[base](own.select(F.col("own_id").alias("query_id"), F.col("rewrite").alias("query")), corpus, Config(**{**config.__dict__, **repair, **({"modalities": []} if diagnosis == "empty" else {})}))
+            found = _cut(found).withColumnRenamed("query_id", "own_id").join(own.select("own_id", "query_id", "n"), "own_id")
+            lists = lists.unionByName(found.select("query_id", F.concat(F.lit("rewrite "), F.col("n").cast("string")).alias("strategy"), (F.col("n") + 1).alias("list_no"), "rank", "chunk_id", "score"))
+        now = _cut(R.truncate(_dedup(R.rrf(lists, {"original": 0.7}), corpus), config.top_k).select(*names))
+    full = done.unionByName(now).join(corpus.chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id").withColumn("n_sources", F.size("sources"))
+    return R.truncate(R.heuristic_rerank(full, config.modalities or None), config.top_k).select(*names)
 
 
 def adaptive(queries: DataFrame, corpus: Corpus, config: Config = Config(), document_count: int = 10) -> DataFrame:

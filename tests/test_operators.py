@@ -188,3 +188,25 @@ def test_graph_queries_without_sql_cover_the_whole_table(spark):
     assert {(r.src, r.dst) for r in registry.graph_shortest(spark, d).select("src", "dst").distinct().collect()} == {(a, b) for a in keys for b in keys if a != b}
     assert {r.seed for r in registry.graph_paths_described(spark, d).select("seed").distinct().collect()} == keys
     assert {r.src for r in registry.graph_subgraph(spark, d).collect()} == keys
+
+
+def test_corrective_repairs_twice_without_copies_and_reranks(spark, monkeypatch):
+    from lodestone.plans import strategies as S
+
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, "d1", 9, words, "text", 100), (2, "d1", 9, words, "text", 100), (3, "d2", 9, "other things entirely " * 20, "text", 100)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id string, ordinal int, content string, modality string, token_count int")
+    asked = []
+
+    def stub(queries, corpus, config):
+        asked.append((config.min_score, queries.count()))
+        found = [(1, 1), (2, 2), (3, 3)] if len(asked) > 1 else []
+        hits = spark.createDataFrame(found, "chunk_id long, rank int")
+        return queries.select("query_id").join(hits, F.lit(True)).withColumns({"score": F.lit(0.5), "sources": F.array(F.lit("stub"))})
+
+    monkeypatch.setitem(S.REGISTRY, "stub", stub)
+    queries = spark.createDataFrame([(7, "What is the reported NEU-DET accuracy value of everything?")], "query_id int, query string")
+    got = S.corrective(queries, S.Corpus(chunks, None, None, None, None), base="stub").collect()
+    assert len(asked) == 3 and asked[0] == (0.28, 1) and asked[1][0] == 0.0 and asked[1][1] > 1
+    assert {r.chunk_id for r in got} == {1, 3} and [r.rank for r in sorted(got, key=lambda r: -r.score)] == [1, 2]
+    assert max(r.score for r in got) < 1  # reranked: a fused list's best has 1
