@@ -2,127 +2,127 @@
 
 Tokens are words and one end token a text; a text's first token follows a start mark. Word counts are
 Good-Turing discounted, the mass set free goes to the unknown word. All word pairs of the training texts are
-counted too and discounted in the same way; pairs that were never seen back off:
+counted too, without any threshold, and discounted in the same way; a pair that was never seen backs off to its word:
 
     p(w | v) = d(c(v w)) c(v w) / c(v)  if the pair was seen, else alpha(v) p(w)
 
 with alpha(v) such that p(. | v) sums to one over all words and the unknown one; alpha is 1 for contexts
-without pairs. Counts cover all training texts; the tables of words, contexts and pairs grow with the corpus.
+without pairs. Counts cover all training texts; the tables of words and pairs grow with the corpus.
 
-Tables are partitioned by key and met by joins. Keys that make up at least ``HOT_SHARE`` of the tokens
-(at most a million, so their size is bounded) are sent to the tasks instead, so no key of a join is hot.
-A text's score is a sum over its tokens: of log p(w), of log alpha(v), and for seen pairs of the
-difference to that, so each text adds up what the tasks know and one exchange adds the rest.
+The pair table is partitioned by context into buckets of about ``BUCKET`` training tokens, one row of sorted
+arrays for each. Texts send their pairs to the buckets in the same way, so a bucket has all that its contexts need: it
+finds a pair or adds log alpha and takes the word's own probability; words that only the word table knows
+go on to a join with that table, one level down. Each bucket gives back one sum for each text.
+
+No key is hot: tasks count before they send, and a context with more than an eighth of a bucket's tokens is spread over all
+buckets by its second word; its alpha is summed up from there. Words that make up at least ``HOT_SHARE`` of the
+tokens (at most a million, so their size is bounded) are numbered and their counts sent to all tasks.
 
 Defined results: null is an empty text, which has only its end; a null id is trained on; without training
-texts every word is unknown with probability one half; equal rows are counted as often as they stand.
+texts every word is unknown with probability one half; equal rows are counted as often as they stand. Words are
+told apart by 63 bits of their hash: among 10^9 distinct words about one in twenty corpora would have two that count as one.
 """
 
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import LOWER, SPACED_WORD, UPPER, stored
+from lodestone.llm.common import stored
 
-#: Least share of the tokens of a key that is sent to the tasks.
+#: Least share of the tokens of a word whose count is sent to the tasks.
 HOT_SHARE = 1e-6
+#: Training tokens of a bucket, about.
+BUCKET = 1 << 20
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
-#: Pairs and words that a task adds up before it passes them on.
-FLUSH = 2_000_000
-_find = re.compile(SPACED_WORD).findall
-_TABLE = str.maketrans(UPPER, LOWER)
+#: Tokens that a task gathers, and words that it numbers, before it passes them on.
+FLUSH, MOST_WORDS = 2_000_000, 1_000_000
 #: Not words, as they hold a space.
-END, START = " end", " start"
-
-
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+END, START = b" end", b" start"
+_TOP = np.uint64(1 << 63)
 
 
-def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return v ^ (w << np.uint64(1) | w >> np.uint64(63))
+def _hash(word: bytes) -> int:
+    """63 bits under a set one: numbers of frequent words have it clear."""
+    return xxhash.xxh3_64_intdigest(word) | 1 << 63
 
 
-def _pair_column(v, w):
-    """The same key as a column."""
-    return v.bitwiseXOR(F.shiftleft(w, 1).bitwiseOR(F.shiftrightunsigned(w, 63)))
+def words_of(text: bytes | None) -> list[bytes]:
+    """Lower-cased words; for bytes, case and white space are those of ASCII."""
+    return text.lower().split() if text else []
 
 
-def _pair_numbers(t: np.ndarray) -> np.ndarray:
-    """Each token's number with that of the token before it plus one, 0 for the start, in the upper half."""
-    return np.concatenate(([0], t[:-1] + 1)) << 32 | t
+class Words(dict):
+    """Numbers of words in order of appearance, END first, with their hashes."""
 
+    def __init__(self):
+        super().__init__({END: 0})
+        self._hashes = np.array([_hash(END)], np.uint64)
 
-def _ends(pairs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of both words of pair numbers; the last of ``hashes`` is the start's."""
-    return hashes[(pairs >> 32) - 1], hashes[pairs & 0xFFFFFFFF]
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-
-class Words:
-    """Tokens of texts as numbers into a list of distinct words with their hashes; remembered words are dropped beyond a bound."""
-
-    def __init__(self, most: int = 500_000):
-        self.most = most
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {END: 0}
-        self.hashes: list[int] = [_hash(END)]
-
-    def read(self, text: str | None) -> np.ndarray:
-        w = _find(text.translate(_TABLE)) if text else []
-        number, hashes = self.number, self.hashes
-        for x in set(w):
-            if x not in number:
-                number[x] = len(hashes)
-                hashes.append(_hash(x))
+    def read(self, text: bytes | None) -> np.ndarray:
+        w = words_of(text)
         out = np.zeros(len(w) + 1, np.int64)
-        out[:-1] = np.fromiter(map(number.__getitem__, w), np.int64, len(w))
+        out[:-1] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
         return out
 
-    def keys(self) -> np.ndarray:
-        return np.array(self.hashes, np.uint64)
+    def hashes(self) -> np.ndarray:
+        if (have := len(self._hashes)) < len(self):
+            more = list(self)[have:]
+            self._hashes = np.concatenate((self._hashes, np.fromiter(map(_hash, more), np.uint64, len(more))))
+        return self._hashes
+
 
+def pack(a: np.ndarray) -> bytes:
+    """Compressed by planes of bytes: of small or sorted numbers most are zero."""
+    a = np.ascontiguousarray(a)
+    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
 
-def _rows(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(keys)  # sorted keys shrink in the exchange
-    return pa.RecordBatch.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(counts[order].astype(np.int64))], ["key", "n"])
 
+def unpack(b: bytes, kind) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
-def _pieces(batches):
-    for batch in batches:
-        yield from zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True)
+
+def _differences(a: np.ndarray) -> np.ndarray:
+    return np.diff(a, prepend=np.zeros(1, a.dtype))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, c): training tokens of each word, by its 64-bit hash."""
+    """(key, c): training tokens of each word, by its hash."""
 
     def run(batches):
-        words, parts, total = Words(1 << 40), [], 0
+        words, parts, total = Words(), [], 0
 
         def flush():
-            n = np.bincount(np.concatenate(parts), minlength=len(words.hashes)) if parts else np.zeros(len(words.hashes), np.int64)
-            seen = n > 0
-            return _rows(words.keys()[seen], n[seen])
-
-        for text, held_out in _pieces(batches):
-            if held_out:
-                continue
-            parts.append(words.read(text))
-            total += len(parts[-1])
-            if total > FLUSH:
-                yield flush()
-                parts, total = [], 0
-                words.clear()
+            n = np.bincount(np.concatenate(parts), minlength=len(words)) if parts else np.zeros(len(words), np.int64)
+            keys, n = words.hashes()[n > 0], n[n > 0]
+            order = np.argsort(keys)  # sorted keys shrink in the exchange
+            return pa.RecordBatch.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(n[order])], ["key", "n"])
+
+        for batch in batches:
+            for text, held_out in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
+                if held_out:
+                    continue
+                parts.append(words.read(text))
+                total += len(parts[-1])
+                if total > FLUSH or len(words) > MOST_WORDS:
+                    yield flush()
+                    parts, total = [], 0
+                    if len(words) > MOST_WORDS:
+                        words = Words()
         yield flush()
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
@@ -139,6 +139,10 @@ def good_turing(counts_of_counts: dict[int, int]) -> list[float]:
     return out
 
 
+def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array(d)[np.where(c <= MOST_DISCOUNTED, c, 0)] * c
+
+
 class Unigrams:
     """Discounted word probabilities as a function of the count."""
 
@@ -152,189 +156,322 @@ class Unigrams:
 
     def probability(self, c):
         c = np.asarray(c, np.int64)
-        return np.where(c > 0, np.array(self.d)[np.minimum(c, MOST_DISCOUNTED) * (c <= MOST_DISCOUNTED)] * c * self.scale, self.unknown)
+        return np.where(c > 0, _discounted(c, self.d) * self.scale, self.unknown)
 
     def column(self, c):
         d = F.element_at(F.array(*map(F.lit, self.d)), F.when(c <= MOST_DISCOUNTED, c.cast("int") + 1).otherwise(1))
         return F.when(c > 0, d * c * self.scale).otherwise(self.unknown)
 
+    def base(self, c):
+        return np.log10((np.asarray(c) + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
+
 
-class Frequent:
-    """Sorted hash arrays of the frequent words and their counts."""
+class Vocabulary:
+    """Frequent words, numbered by falling count, the unigram function and the layout of the buckets."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, unigrams: Unigrams, ends: int):
+        order = np.lexsort((keys, -counts))
+        self.counts, self.unigrams, self.ends = counts[order], unigrams, ends
+        self.keys = keys[order]
+        self._sorted = np.argsort(self.keys)
+        self.buckets = max(1, math.ceil(unigrams.total / BUCKET))
+        self.hot = int((self.counts > BUCKET / 8).sum())  # numbers below this are spread, and so is the start
+        self.start = np.uint64(_hash(START))
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of a frequent word, the hash of any other."""
         if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1)
+            return hashes
+        at = self._sorted[np.minimum(np.searchsorted(self.keys, hashes, sorter=self._sorted), len(self.keys) - 1)]
+        return np.where(self.keys[at] == hashes, at.astype(np.uint64), hashes)
 
+    def spread(self, codes: np.ndarray) -> np.ndarray:
+        return (codes < self.hot) | (codes == self.start)
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """(v, w, c): training occurrences of each pair of words, by their hashes."""
+    def bucket(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        x = np.where(self.spread(v), v ^ (w * np.uint64(0x9E3779B97F4A7C15)), v) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x >> np.uint64(31)) % np.uint64(self.buckets)).astype(np.int64)
 
-    def run(batches):
-        words, parts, total = Words(), [], 0
+    def count(self, codes: np.ndarray, otherwise) -> np.ndarray:
+        """Counts of frequent words, ``otherwise`` for all others."""
+        known = codes < len(self.counts)
+        if not len(self.counts):
+            return np.broadcast_to(otherwise, codes.shape)
+        return np.where(known, self.counts[np.where(known, codes, 0).astype(np.int64)], otherwise)
+
+
+class _Reader:
+    """Pairs of codes of the texts that a task has gathered."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.words = vocabulary, Words()
+        self.codes = np.zeros(0, np.uint64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.total = 0
+        if len(self.words) > MOST_WORDS:
+            self.words, self.codes = Words(), np.zeros(0, np.uint64)
+
+    def add(self, text: bytes | None) -> None:
+        self.parts.append(self.words.read(text))
+        self.total += len(self.parts[-1])
+
+    def full(self) -> bool:
+        return self.total > FLUSH or len(self.words) > MOST_WORDS
+
+    def pairs(self) -> np.ndarray:
+        """Each token's number with that of the token before it plus one, 0 for the start, in the upper half."""
+        return np.concatenate([np.concatenate(([0], t[:-1] + 1)) << 32 | t for t in self.parts]) if self.parts else np.zeros(0, np.int64)
+
+    def both(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = self.words.hashes()
+        if len(self.codes) < len(hashes):
+            self.codes = np.concatenate((self.codes, self.vocabulary.codes(hashes[len(self.codes) :])))
+        before = np.concatenate(([self.vocabulary.start], self.codes))
+        return before[pairs >> 32], self.codes[pairs & 0xFFFFFFFF]
+
+
+def _by_bucket(bucket: np.ndarray):
+    """Slices of sorted ``bucket`` with their value."""
+    cuts = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if b > a:
+            yield int(bucket[a]), slice(a, b)
+
+
+_HOT = [*(f"r{i}" for i in range(1, MOST_DISCOUNTED + 1)), "beyond", "half", "seen"]
+
+
+def pair_table(docs: DataFrame, shared) -> DataFrame:
+    """One row a bucket: its sorted pairs and their training counts, counts of counts, sums of spread contexts, and pairs whose word isn't frequent."""
+
+    def count(batches):
+        reader = _Reader(shared.value)
 
         def flush():
-            pairs, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            v, w = _ends(pairs, np.append(words.keys(), np.uint64(_hash(START))))
-            order = np.lexsort((w, v))  # sorted keys shrink in the exchange
-            return pa.RecordBatch.from_arrays([pa.array(v[order].view(np.int64)), pa.array(w[order].view(np.int64)), pa.array(n[order].astype(np.int64))], ["v", "w", "n"])
-
-        for text, held_out in _pieces(batches):
-            if held_out:
-                continue
-            parts.append(_pair_numbers(words.read(text)))
-            total += len(parts[-1])
-            if total > FLUSH or len(words.hashes) > words.most:
-                yield flush()
-                parts, total = [], 0
-                if len(words.hashes) > words.most:
-                    words.clear()
+            pairs, n = np.unique(reader.pairs(), return_counts=True)
+            v, w = reader.both(pairs)
+            bucket = reader.vocabulary.bucket(v, w)
+            order = np.lexsort((w, v, bucket))
+            v, w, n, bucket = v[order], w[order], n[order], bucket[order]
+            rows = [(k, pack(_differences(v[s])), pack(w[s]), pack(n[s].astype(np.uint32))) for k, s in _by_bucket(bucket)]
+            reader.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 3))], ["bucket", "v", "w", "n"])
+
+        for batch in batches:
+            for text, held_out in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
+                if not held_out:
+                    reader.add(text)
+                    if reader.full():
+                        yield flush()
         yield flush()
 
-    return docs.mapInArrow(run, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c"))
+    def merge(pdf):
+        words = shared.value
+        v = np.concatenate([np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in pdf["v"]])
+        w = np.concatenate([unpack(b, np.uint64) for b in pdf["w"]])
+        n = np.concatenate([unpack(b, np.uint32) for b in pdf["n"]]).astype(np.int64)
+        order = np.lexsort((w, v))
+        v, w, n = v[order], w[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+        v, w, c = v[first], w[first], np.add.reduceat(n, first)
+        few = np.minimum(c, MOST_DISCOUNTED + 2)
+        rare = (w & _TOP) > 0
+        hot = []
+        spread = words.spread(v)
+        seen = np.where(rare, 0.0, words.unigrams.probability(words.count(w, 1)))
+        for code in np.unique(v[spread]):
+            own = v == code
+            r = np.bincount(few[own], minlength=MOST_DISCOUNTED + 3)
+            hot.append((int(code.view(np.int64)), *map(float, r[1 : MOST_DISCOUNTED + 1]), float(c[own & (c > MOST_DISCOUNTED)].sum()), float((c[own] - 0.5).sum()), float(seen[own].sum())))
+        r = np.bincount(few, minlength=MOST_DISCOUNTED + 3)
+        row = {"bucket": [int(pdf["bucket"].iloc[0])], "v": [pack(_differences(v))], "w": [pack(w)], "c": [pack(c.astype(np.uint32 if c.max() < 1 << 32 else np.uint64))], "wide": [bool(c.max() >= 1 << 32)]}
+        row |= {f"n{i}": [int(r[i])] for i in range(1, MOST_DISCOUNTED + 2)}
+        row |= {"hot": [[dict(zip(["v", *_HOT], h, strict=True)) for h in hot]], "rare_v": [v[rare].view(np.int64)], "rare_w": [w[rare].view(np.int64)]}
+        return pd.DataFrame(row)
+
+    schema = f"bucket long, v binary, w binary, c binary, wide boolean, {', '.join(f'n{i} long' for i in range(1, MOST_DISCOUNTED + 2))}, hot array<struct<v: long, {', '.join(f'{x}: double' for x in _HOT)}>>, rare_v array<long>, rare_w array<long>"
+    return docs.mapInArrow(count, "bucket long, v binary, w binary, n binary").groupBy("bucket").applyInPandas(merge, schema)
 
 
 class Model:
-    """What tasks need: frequent words with their log alpha, that of the start, gains of hot pairs, and the unigram function."""
-
-    def __init__(self, frequent: Frequent, unigrams: Unigrams, alpha: np.ndarray, start: float, hot_keys: np.ndarray, hot_gains: np.ndarray):
-        self.frequent, self.unigrams, self.alpha, self.start = frequent, unigrams, alpha, start
-        order = np.argsort(hot_keys)
-        self.hot_keys, self.hot_gains = hot_keys[order], hot_gains[order]
-
-
-def _collect(df: DataFrame, *columns: str) -> list[np.ndarray]:
-    table = df.select(*columns).toArrow()
-    return [table.column(c).to_numpy() for c in columns]
-
-
-def _meet(rows: DataFrame, table: DataFrame, key: str, hot) -> DataFrame:
-    """``rows`` joined with ``table``; its rows that are ``hot`` go to the tasks and are kept out of the exchange."""
-    few = F.broadcast(table.filter(hot))  # at most 1 / HOT_SHARE rows
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.filter(~hot), key))
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The shared model, the table (key, c, alpha) of words that it lacks and the table (key, gain) of pairs that it lacks.
-
-    ``docs`` has text and held_out."""
-    words = stored(word_counts(docs), "words")
-    small = F.col("c") <= MOST_DISCOUNTED + 1
-    total, distinct, beyond = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("c") > MOST_DISCOUNTED, F.col("c"))), F.lit(0))).first()
-    unigrams = Unigrams(total, distinct, {r.c: r.n for r in words.filter(small).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}, beyond)
-    least = max(1.0, HOT_SHARE * total)
-    keys, counts = _collect(words.filter(F.col("c") >= least), "key", "c")  # at most 1 / HOT_SHARE rows
-    frequent = Frequent(keys.view(np.uint64), counts)
-
-    pairs = stored(pair_counts(docs), "pairs")
-    d = good_turing({r.c: r.n for r in pairs.filter(small).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()})
-    own = _meet(pairs, words.select(F.col("key").alias("w"), F.col("c").alias("cw"), unigrams.column(F.col("c")).alias("pw")), "w", F.col("cw") >= least).drop("cw")
-    factor = F.element_at(F.array(*map(F.lit, d)), F.when(F.col("c") <= MOST_DISCOUNTED, F.col("c").cast("int") + 1).otherwise(1))
-    by_factor, by_half = F.col("c") * factor, F.col("c") - 0.5
-    sums = own.groupBy("v").agg(F.sum("c").alias("cv"), F.sum(by_factor).alias("turing"), F.sum(by_half).alias("half"), F.sum("pw").alias("seen"))
-    # a context whose pairs were all too frequent for a discount keeps half a count of each back
-    plain = F.col("turing") / F.col("cv") < 1 - 1e-9
-    left = 1 - F.when(plain, F.col("turing")).otherwise(F.col("half")) / F.col("cv")
-    sums = stored(sums.select("v", "cv", plain.alias("plain"), F.log10(left / (1 - F.col("seen"))).alias("alpha")), "alpha")
-    start = int(np.array([_hash(START)], np.uint64).view(np.int64)[0])
-    ids, alphas = _collect(sums.filter((F.col("cv") >= least) | (F.col("v") == start)), "v", "alpha")  # at most 1 / HOT_SHARE rows and one
-    alpha = np.zeros(len(frequent.keys))
-    at = frequent.find(ids.view(np.uint64))
-    alpha[at[at >= 0]] = alphas[at >= 0]
-    gain = F.log10(F.when(F.col("plain"), by_factor).otherwise(by_half) / F.col("cv")) - F.col("alpha") - F.log10("pw")
-    gains = stored(_meet(own, sums, "v", F.col("cv") >= least).select(_pair_column(F.col("v"), F.col("w")).alias("key"), "c", gain.alias("gain")), "gains")
-    hot = F.col("c") >= least
-    hot_keys, hot_gains = _collect(gains.filter(hot), "key", "gain")  # at most 1 / HOT_SHARE rows
-    rare = words.filter(F.col("c") < least).join(sums.select(F.col("v").alias("key"), "alpha"), "key", "left")
-    return Model(frequent, unigrams, alpha, float(alphas[ids == start].sum()), hot_keys.view(np.uint64), hot_gains), rare, gains.filter(~hot).select("key", "gain")
-
-
-def _smoothed(c, total: int, distinct: int):
-    return (c + 0.5) / (total + 0.5 * (distinct + 1))
+    """The trained tables: ``words`` (key, c), ``pairs`` (one row a bucket), ``rest`` (bucket, v, seen: probability of the seen words
+    of each context that aren't frequent); and what tasks are sent: ``shared`` vocabulary, factors ``d``, and (cv, plain, log alpha) of spread contexts."""
+
+    def __init__(self, docs: DataFrame):
+        """``docs`` has text and held_out."""
+        spark = docs.sparkSession
+        self.words = stored(word_counts(docs), "words")
+        small, c = F.col("c") <= MOST_DISCOUNTED + 1, F.col("c")
+        total, distinct, beyond = self.words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(c > MOST_DISCOUNTED, c)), F.lit(0))).first()
+        unigrams = Unigrams(total, distinct, {r.c: r.n for r in self.words.filter(small).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}, beyond)
+        few = self.words.filter(c >= max(1.0, HOT_SHARE * total)).select("key", "c").toArrow()  # at most 1 / HOT_SHARE rows
+        ends = self.words.filter(F.col("key") == int(np.uint64(_hash(END)).view(np.int64))).select("c").first()
+        vocabulary = Vocabulary(few.column("key").to_numpy().view(np.uint64), few.column("c").to_numpy(), unigrams, ends.c if ends else 0)
+        self.vocabulary, self.shared = vocabulary, spark.sparkContext.broadcast(vocabulary)
+        self.pairs = stored(pair_table(docs, self.shared), "pairs")
+        sums = self.pairs.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(1, MOST_DISCOUNTED + 2))).first()
+        self.d = good_turing(dict(enumerate(sums, 1)))
+        rare = self.pairs.select("bucket", F.explode(F.arrays_zip("rare_v", "rare_w")).alias("p")).select("bucket", F.col("p.rare_v").alias("v"), F.col("p.rare_w").alias("key"))
+        rare = rare.join(self.words, "key").groupBy("bucket", "v").agg(F.sum(unigrams.column(c)).alias("seen"))
+        self.rest = stored(rare, "rest")
+        self.spread = self._spread()
+
+    def _spread(self) -> dict[int, tuple[float, bool, float]]:
+        """Of each context that is spread over the buckets; there are at most 1 / HOT_SHARE, and the start."""
+        parts = self.pairs.select(F.explode("hot").alias("h")).select("h.*").groupBy("v").agg(*(F.sum(x).alias(x) for x in _HOT))
+        rows = parts.join(self.rest.groupBy("v").agg(F.sum("seen").alias("rest")), "v", "left").collect()
+        out = {}
+        for r in rows:
+            turing = r.beyond + sum(self.d[i] * i * r[f"r{i}"] for i in range(1, MOST_DISCOUNTED + 1))
+            cv = r.beyond + sum(i * r[f"r{i}"] for i in range(1, MOST_DISCOUNTED + 1))
+            out[r.v] = _alpha(cv, turing, r.half, r.seen + (r.rest or 0.0))
+        return out
+
+
+def _alpha(cv, turing, half, seen):
+    """cv, whether Good-Turing applies, and log alpha. A context whose pairs were all too frequent for a discount keeps half a count of each back."""
+    plain = turing / cv < 1 - 1e-9
+    return cv, plain, np.log10((1 - np.where(plain, turing, half) / cv) / (1 - seen))
+
+
+def _evaluate(texts: pd.DataFrame, block: pd.DataFrame, words: Vocabulary, d: list[float], spread: dict) -> pd.DataFrame:
+    """Sums for each text of a bucket, and words to look up one level down."""
+    u = words.unigrams
+    v, w, row, ids = [], [], [], []
+    for b in texts.itertuples(index=False):
+        v.append(np.cumsum(unpack(b.v, np.uint64), dtype=np.uint64))
+        w.append(unpack(b.w, np.uint64))
+        own = unpack(b.rows, np.int64)
+        row.append(own[unpack(b.doc, np.uint32)])
+        ids.append(pd.DataFrame({"row": own, "id": np.where(unpack(b.no_id, np.bool_), None, unpack(b.ids, np.int64))}))
+    v, w, row, ids = np.concatenate(v), np.concatenate(w), np.concatenate(row), pd.concat(ids).drop_duplicates("row")
+    context, start, second, c = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rest = {}
+    if len(block):
+        b = block.iloc[0]
+        pv, second, c = np.cumsum(unpack(b["v"], np.uint64), dtype=np.uint64), unpack(b["w"], np.uint64), unpack(b["c"], np.uint64 if b["wide"] else np.uint32).astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], pv[1:] != pv[:-1])))
+        context, start = pv[at], np.append(at, len(pv))
+        rest = {} if b["rest"] is None else {np.uint64(x["v"] & 0xFFFFFFFFFFFFFFFF): x["seen"] for x in b["rest"]}
+    # the contexts of this bucket
+    size = np.diff(start)
+    if len(context):
+        seen = np.where((second & _TOP) > 0, 0.0, u.probability(words.count(second, 1)))
+        add = lambda x: np.add.reduceat(x, start[:-1])
+        more = np.fromiter((rest.get(x, 0.0) for x in context), np.float64, len(context))
+        cv, plain, alpha = _alpha(add(c).astype(float), add(_discounted(c, d)), add(c - 0.5), np.minimum(add(seen) + more, 1 - 1e-15))
+        for i in np.flatnonzero(words.spread(context)).tolist():
+            cv[i], plain[i], alpha[i] = spread[int(context[i].view(np.int64))]
+    else:
+        cv, plain, alpha = np.zeros(0), np.zeros(0, bool), np.zeros(0)
+    # each pair of the texts: its context, then its place among the pairs
+    at = np.minimum(np.searchsorted(context, v), max(len(context) - 1, 0))
+    there = context[at] == v if len(context) else np.zeros(len(v), bool)
+    seconds, number = np.unique(second, return_inverse=True)
+    key = np.repeat(np.arange(len(context)), size) * max(len(seconds), 1) + number
+    wi = np.minimum(np.searchsorted(seconds, w), max(len(seconds) - 1, 0))
+    both = there & (seconds[wi] == w) if len(seconds) else there
+    wanted = at * max(len(seconds), 1) + wi
+    place = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+    hit = both & (key[place] == wanted) if len(key) else both
+    back = np.zeros(len(v))  # log alpha of the contexts; 0 for those without pairs
+    back[there] = alpha[at[there]]
+    if (lost := words.spread(v) & ~there).any():  # spread contexts whose pairs lie in other buckets
+        back[lost] = [spread[x][2] if x in spread else 0.0 for x in v[lost].view(np.int64).tolist()]
+    n, ctx = c[place[hit]], at[hit]
+    value = np.empty(len(v))
+    value[hit] = np.log10(np.where(plain[ctx], _discounted(n, d), n - 0.5) / cv[ctx])
+    frequent = (w & _TOP) == 0
+    value[~hit] = back[~hit] + np.where(frequent[~hit], np.log10(u.probability(words.count(w[~hit], 0))), 0.0)
+    # what the words count for: a word in its own bucket as a context, the end as a second word
+    own = np.zeros(len(v), np.int64)
+    own[there] = cv[at[there]]
+    own = words.count(v, own)
+    word, end = v != words.start, w == words.codes(np.array([_hash(END)], np.uint64))[0]
+    base = np.where(word, u.base(own), 0.0) + np.where(end, u.base(words.ends), 0.0)
+    known = (word & (own > 0)).astype(np.int64) + (end & (words.ends > 0))
+    rows, inverse = np.unique(row, return_inverse=True)
+    add = lambda x: np.bincount(inverse, x, len(rows))
+    out = pd.DataFrame({"row": rows, "n": np.bincount(inverse, minlength=len(rows)), "known": add(known).astype(np.int64), "base": add(base), "score": add(value)}).merge(ids, on="row").assign(key=None)
+    pending = ~hit & ~frequent
+    if pending.any():
+        later = pd.DataFrame({"row": row[pending], "key": w[pending].view(np.int64)}).groupby(["row", "key"]).size().reset_index(name="n")
+        out = pd.concat([out, later.assign(known=0, base=0.0, score=0.0, id=None)])
+    return out.astype({"id": "Int64", "key": "Int64"})[["row", "id", "n", "known", "base", "score", "key"]]
 
 
 def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row_id, held_out, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``docs``."""
-    held = F.pmod(F.crc32(F.coalesce(F.col(row_id).cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
-    own = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), held.alias("held_out"))
-    model, words, gains = train(own.select("text", "held_out"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total, distinct = model.unigrams.total, model.unigrams.distinct
+    held = lambda c: F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 1
+    own = docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"), held(F.col(row_id)).alias("held_out"))
+    model = Model(own.select("text", "held_out"))
+    shared, d = model.shared, model.d
+    spread = docs.sparkSession.sparkContext.broadcast(model.spread)
+
+    def send(batches):
+        reader, rows, first = _Reader(shared.value), [], TaskContext.get().partitionId() << 33
+
+        def flush():
+            nonlocal rows, first
+            v, w = reader.both(reader.pairs())
+            doc = np.repeat(np.arange(len(rows)), [len(p) for p in reader.parts])
+            bucket = reader.vocabulary.bucket(v, w)
+            order = np.lexsort((doc, w, v, bucket))
+            v, w, doc, bucket = v[order], w[order], doc[order], bucket[order]
+            no_id, ids = np.array([i is None for i in rows], bool), np.array([i or 0 for i in rows], np.int64)
+            out = []
+            for k, s in _by_bucket(bucket):
+                present, local = np.unique(doc[s], return_inverse=True)
+                out.append((k, pack(_differences(v[s])), pack(w[s]), pack(local.astype(np.uint32)), pack(present + first), pack(ids[present]), pack(no_id[present])))
+            first += len(rows)
+            rows = []
+            reader.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 6))], ["bucket", "v", "w", "doc", "rows", "ids", "no_id"])
 
-    def run(batches):
-        m = shared.value
-        f, u = m.frequent, m.unigrams
-        log_p, log_base = np.log10(u.probability(f.counts)), np.log10(_smoothed(f.counts, total, distinct))
-        start = np.array([_hash(START)], np.uint64)
-        reader, at, hashes, row = Words(), np.zeros(0, np.int64), start, (TaskContext.get().partitionId() << 33)
-        names = ["row", "kind", "key", "n", "base", "score", "id", "held_out"]
         for batch in batches:
-            heads, rare = [], []
-            for i, held_out, t in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if len(reader.hashes) > reader.most:
-                    reader.clear()
-                    at, hashes = np.zeros(0, np.int64), start
-                tokens = reader.read(t)
-                if len(reader.hashes) > len(at):
-                    new = np.array(reader.hashes[len(at) :], np.uint64)
-                    at, hashes = np.concatenate((at, f.find(new))), np.concatenate((hashes[:-1], new, start))
-                place = at[tokens]
-                hit = place[place >= 0]
-                value = log_p[hit].sum() + m.alpha[hit].sum() + m.start
-                keys, n = np.unique(tokens[place < 0], return_counts=True)
-                if len(keys):
-                    rare.append((row, 1, hashes[keys].view(np.int64), n))
-                pairs, n = np.unique(_pair_numbers(tokens), return_counts=True)
-                keys = _pair_key(*_ends(pairs, hashes))
-                if len(m.hot_keys) and len(keys):
-                    spot = np.minimum(np.searchsorted(m.hot_keys, keys), len(m.hot_keys) - 1)
-                    is_hot = m.hot_keys[spot] == keys
-                    value += (m.hot_gains[spot] * n)[is_hot].sum()
-                    keys, n = keys[~is_hot], n[~is_hot]
-                if len(keys):
-                    rare.append((row, 2, keys.view(np.int64), n))
-                heads.append((row, 0, len(tokens), len(hit), log_base[hit].sum(), value, i, held_out))
-                row += 1
-            h = list(zip(*heads, strict=True)) if heads else [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(h[0], pa.int64()), pa.array(h[1], pa.int8()), pa.array(h[2], pa.int64()), pa.array(h[3], pa.int64()), pa.array(h[4], pa.float64()), pa.array(h[5], pa.float64()), pa.array(h[6], pa.int64()), pa.array(h[7], pa.bool_())], names)
-            if rare:
-                sizes = [len(r[2]) for r in rare]
-                count = sum(sizes)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat([r[0] for r in rare], sizes), pa.int64()), pa.array(np.repeat([r[1] for r in rare], sizes), pa.int8()), pa.array(np.concatenate([r[2] for r in rare])), pa.array(np.concatenate([r[3] for r in rare]).astype(np.int64)),
-                    pa.nulls(count, pa.float64()), pa.nulls(count, pa.float64()), pa.nulls(count, pa.int64()), pa.nulls(count, pa.bool_()),
-                ], names)
-
-    # for a text (kind 0) key is its tokens and n its known tokens so far
-    read = stored(own.mapInArrow(run, "row long, kind byte, key long, n long, base double, score double, id long, held_out boolean"), "read")
-    zero = F.lit(0.0)
-    c = F.coalesce("c", F.lit(0))
-    smooth = (c + 0.5) / F.lit(total + 0.5 * (distinct + 1))
-    lone = read.filter("kind = 1").select("row", "key", "n").join(words, "key", "left")
-    lone = lone.select("row", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * F.log10(smooth)).alias("base"), (F.col("n") * (F.log10(model.unigrams.column(c)) + F.coalesce("alpha", zero))).alias("score"))
-    pairs = read.filter("kind = 2").select("row", "key", "n").join(gains, "key").select("row", F.lit(0).cast("long").alias("known"), zero.alias("base"), (F.col("n") * F.col("gain")).alias("score"))
-    rest = lone.unionByName(pairs).groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("more_base"), F.sum("score").alias("more"))
-    texts = read.filter("kind = 0").join(rest, "row", "left")
-    return texts.select(
-        F.col("id").alias(row_id), "held_out", F.col("key").alias("n_tokens"), (F.col("n") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more", zero)).alias("score"),
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                rows.append(i)
+                reader.add(t)
+                if reader.full():
+                    yield flush()
+        if rows:
+            yield flush()
+
+    sent = own.select("id", "text").mapInArrow(send, "bucket long, v binary, w binary, doc binary, rows binary, ids binary, no_id binary")
+    rest = model.rest.groupBy("bucket").agg(F.collect_list(F.struct("v", "seen")).alias("rest"))  # at most the pairs of a bucket
+    blocks = model.pairs.select("bucket", "v", "w", "c", "wide").join(rest, "bucket", "left")
+
+    def evaluate(left, right):
+        if not len(left):
+            return pd.DataFrame({k: pd.Series(dtype=t) for k, t in {"row": "int64", "id": "Int64", "n": "int64", "known": "int64", "base": "float64", "score": "float64", "key": "Int64"}.items()})
+        return _evaluate(left, right, shared.value, d, spread.value)
+
+    parts = sent.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(evaluate, "row long, id long, n long, known long, base double, score double, key long")
+    parts = stored(parts, "parts")
+    lower = parts.filter("key is not null").select("row", "key", "n").join(model.words, "key", "left")
+    lower = lower.select("row", (F.col("n") * F.log10(model.vocabulary.unigrams.column(F.coalesce("c", F.lit(0))))).alias("score"))
+    zero = F.lit(0).cast("long")
+    sums = parts.filter("key is null").drop("key").unionByName(lower.select("row", F.lit(None).cast("long").alias("id"), zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), "score"))
+    sums = sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(x).alias(x) for x in ("n", "known", "base", "score")))
+    return sums.select(
+        F.col("id").alias(row_id), held(F.col("id")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
+        F.lit(model.vocabulary.unigrams.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
     )
 
 
-def probability(previous: str | None, word: str, counts: dict[str, int], pairs: dict[tuple[str, str], int]) -> float:
+def probability(previous: bytes | None, word: bytes, counts: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int]) -> float:
     """p(word | previous) by the definition, for tests: ``counts`` with END, ``pairs`` with START and END."""
     total = sum(counts.values())
     of = lambda table: {r: sum(x == r for x in table.values()) for r in range(1, MOST_DISCOUNTED + 2)}
     u = Unigrams(total, len(counts), of(counts), sum(x for x in counts.values() if x > MOST_DISCOUNTED))
     p = lambda w: float(u.probability(counts.get(w, 0)))
     d = good_turing(of(pairs))
-    own = {w: c for (v, w), c in pairs.items() if v == (previous or START)}
+    own = {w: c for (v, w), c in pairs.items() if v == (START if previous is None else previous)}
     if not own:
         return p(word)
     cv = counts[END] if previous is None else counts[previous]
