@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (tests) a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where it is unset and Spark is local (tests) a folder of our own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="lodestone-"))
     return f"file://{_fallback[0]}"
@@ -44,16 +46,28 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def may_contain(keys: DataFrame, key: str, slots: int = 1 << 18):
-    """A predicate on columns that holds for every value of ``key`` in ``keys``, and for few others.
+def flagged(df: DataFrame, keys: DataFrame, key: str, value: Column, flag: str) -> DataFrame:
+    """``df`` with the boolean ``flag``: true for every row whose ``value`` is among the ``key`` of ``keys``, and for few others.
 
-    It is a table of ``slots`` bytes, whatever the number of keys, so it can go to every task; a full one
-    only lets more rows through to the join that decides."""
+    The keys become a bitmap of 16 bits for each, at most 2^26, so a million rows of 64 bits at most are sent to the tasks; a
+    full one only lets more rows through to the join that decides. ``keys`` must be a written table, as it is counted."""
+    slots = 1 << max(12, min(26, (16 * keys.count()).bit_length()))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
-    marks = bytearray(slots)
-    for r in keys.select(slot(F.col(key)).alias("s")).distinct().collect():  # at most `slots` rows
-        marks[r.s] = 1
-    return lambda c: F.substring(F.lit(bytes(marks)), slot(c).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+    at, word, bits = fresh(df, "fl_at", "fl_word", "fl_bits")
+    set_ = keys.select(slot(F.col(key)).alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 as int))")).alias(bits))
+    joined = df.withColumn(at, slot(value)).join(F.broadcast(set_), F.shiftright(at, 6) == F.col(word), "left")
+    return joined.withColumn(flag, F.coalesce(F.getbit(bits, F.expr(f"cast({at} & 63 as int)")) == 1, F.lit(False))).drop(at, word, bits)
+
+
+def set_aside(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its columns that have one of ``names``, in any case, renamed by underscores at their end: new columns don't replace them."""
+    wanted = {n.lower() for n in names}
+    for c in [c for c in df.columns if c.lower() in wanted]:
+        taken, new = {x.lower() for x in df.columns} | wanted, c
+        while new.lower() in taken:
+            new += "_"
+        df = df.withColumnRenamed(c, new)
+    return df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -10,14 +10,14 @@ shingle, so a prefix of one shingle, the rarest in the corpus, is enough to join
 2. shingles are ordered by rarity, each window takes its rarest one as prefix, and the places
    of prefixes give candidate starts, bounded by position (start >= 0) and length
    (start + window <= words of the text);
-3. candidate windows are compared word by word with the text at that start; a filter of fixed size
+3. candidate windows are compared word by word with the text at that start; a bitmap of bounded size
    keeps texts without candidates out of the join that brings both together.
 
-Texts are keyed by MD5 for grouping; step 3 reads the text itself, so a hash never decides.
+Texts are told apart by the first 128 bits of their SHA-256; step 3 reads the text itself, so no hash of a window decides.
 
 Defined results: a null text has no words; items with a null id or without words are ignored;
 repeated item rows count once; repeated documents each get their row; an empty table on either
-side gives documents without hits.
+side gives documents without hits; a column named like a new one, in any case, is kept under its name with underscores.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ALNUM_GAP, ascii_lower, between, fresh, may_contain, once, stored
+from lodestone.llm.common import ALNUM_GAP, ascii_lower, between, flagged, fresh, once, set_aside, stored
 
 
 def item_words(c: Column) -> Column:
@@ -33,7 +33,7 @@ def item_words(c: Column) -> Column:
 
 
 def text_key(c: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(c, F.lit("")).cast("binary")))
+    return F.unhex(F.substring(F.sha2(F.coalesce(c, F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def _shingles(ws: Column, n: Column, k: int) -> Column:
@@ -78,7 +78,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_text: str =
     # a text has at most one window of each length at each start
     cands = stored(found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "len", "words"))).alias("cands")), "candidates")
 
-    texts = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("t")).filter(may_contain(cands, "key")(F.col("key"))).join(cands, "key")
+    texts = flagged(docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("t")), cands, "key", F.col("key"), "may").filter("may").drop("may").join(cands, "key")
     texts = texts.select("key", once(item_words(F.col("t"))).alias("w"), "cands")
     right = F.filter("cands", lambda c: F.slice(F.col("w"), c["start"] + 1, c["len"]) == c["words"])
     texts = texts.select("key", right.alias("hit")).filter(F.size("hit") > 0)
@@ -96,16 +96,19 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_text: str =
 
 
 def report(docs: DataFrame, bench: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (sorted ids); one row for each row of ``docs``."""
+    """``docs`` without its text, with n_words, n_hit, items (sorted ids); one row for each row of ``docs``."""
     found = hits(docs, bench, text, **how)
-    key, other = fresh(docs, "dc_key", "dc_other")
-    own = docs.withColumns({"n_words": F.size(item_words(F.col(text))).cast("long"), key: text_key(F.col(text))}).drop(text)
+    docs = set_aside(docs.withColumnRenamed(text, fresh(docs, "dc_text")[0]), "n_words", "n_hit", "items")
+    own_text, key, other = next(c for c in docs.columns if c.startswith("dc_text")), *fresh(docs, "dc_key", "dc_other")
+    own = docs.withColumns({"n_words": F.size(item_words(F.col(own_text))).cast("long"), key: text_key(F.col(own_text))}).drop(own_text)
     joined = own.join(found.withColumnRenamed("key", other), F.col(key) == F.col(other), "left").drop(key, other)
     return joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text: str = "text", **how) -> DataFrame:
-    """``docs`` without the documents in which a benchmark window occurs."""
-    key, other = fresh(docs, "dc_key", "dc_other")
-    found = hits(docs, bench, text, **how).select(F.col("key").alias(other))
-    return docs.withColumn(key, text_key(F.col(text))).join(found, F.col(key) == F.col(other), "left_anti").drop(key)
+    """``docs`` without the documents in which a benchmark window occurs; only texts that may be among them take part in the join."""
+    key, other, may = fresh(docs, "dc_key", "dc_other", "dc_may")
+    found = stored(hits(docs, bench, text, **how).select(F.col("key").alias(other)), "contaminated")
+    marked = flagged(docs.withColumn(key, text_key(F.col(text))), found, other, F.col(key), may)
+    suspects = marked.filter(may).join(found, F.col(key) == F.col(other), "left_anti")
+    return marked.filter(~F.col(may)).unionByName(suspects).drop(key, may)
