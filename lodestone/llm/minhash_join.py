@@ -10,10 +10,11 @@
    to one of them; a last round pairs, in lists of up to ``HEAVY`` members, those outside the list's largest component
    with the rest of it. Pairs that are already in one component are skipped: lists of near copies cost
    about their length, not its square, and no link between components is lost. Longer lists, if more than one
-   component is left in them, are cut into blocks of ``BLOCK`` classes; a task takes two blocks, merges
-   their sets into a table of common shingles and gives back a spanning forest of the links, not the pairs.
+   component is left in them, are cut into blocks of at most ``BLOCK`` classes and about ``BLOCK_SHINGLES`` shingles; a task takes two
+   blocks, merges their sets into a table of common shingles and gives back a spanning forest of the links, not the pairs.
 4. Collisions of a pair are counted over the whole signatures; pairs with enough of them are confirmed
-   on the full shingle sets of their texts. Confirmed links give connected components.
+   on the full shingle sets of their texts, as 64-bit hashes and within a shingle of the threshold as words. Confirmed
+   links give connected components.
 
 Defined results: a null text, or one without words, has no shingles and is linked with nothing; fewer
 words than a shingle make one shingle; null ids are never a component's id unless it has no other;
@@ -23,7 +24,6 @@ repeated rows are linked like copies; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pandas as pd
@@ -34,18 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, SPACED_WORD, UPPER, fresh, may_contain, stored
+from lodestone.llm.common import flagged, fresh, stored
 from lodestone.llm.components import components
 
 WORDS = 5
 #: A coordinate value shared by more classes than this goes last in the order.
 HEAVY = 64
-#: Classes in each of the two blocks that a task compares.
-BLOCK = 1000
+#: Classes, and shingles of them, in each of the two blocks that a task compares.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
 #: Bits of the filter that picks the texts to confirm; a full one only means more reading.
 FILTER_BITS = 1 << 25
-_TABLE = str.maketrans(UPPER, LOWER)
-_find = re.compile(SPACED_WORD).findall
 _draw = np.random.default_rng(20240101)
 _MULT = _draw.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCALE = _draw.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,32 +54,35 @@ def least_matches(threshold: float, coords: int) -> int:
     return max(1, math.floor(coords * threshold - 5 * math.sqrt(coords * threshold * (1 - threshold))))
 
 
-def text_words(text: str | None) -> list[str]:
-    return _find(text.translate(_TABLE)) if text else []
+def text_words(text: bytes | None) -> list[bytes]:
+    """Lower-cased words; for bytes, case and white space are those of ASCII."""
+    return text.lower().split() if text else []
 
 
-def shingle_set(text: str | None) -> set[tuple[str, ...]]:
+def shingle_set(text: bytes | None) -> set[tuple[bytes, ...]]:
     w = text_words(text)
     return {tuple(w)} if 0 < len(w) < WORDS else set(zip(*(w[i:] for i in range(WORDS)), strict=False))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class _Hasher:
     """64-bit hashes of a text's distinct shingles, ascending."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = _Hashes()
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: bytes | None) -> np.ndarray:
         w = text_words(text)
         if not w:
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > 500_000:
-            known = self.known = {}
-        for x in set(w):
-            if x not in known:
-                known[x] = xxhash.xxh3_64_intdigest(x)
-        h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+        if len(self.known) > 500_000:
+            self.known = _Hashes()
+        h = np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
         n = min(WORDS, len(w))
         s = np.full(len(w) - n + 1, n, np.uint64)
         for i in range(n):
@@ -89,7 +90,8 @@ class _Hasher:
             s ^= s >> np.uint64(31)
         s *= np.uint64(0x9E3779B97F4A7C15)
         s ^= s >> np.uint64(32)
-        return np.unique(s)
+        s.sort()
+        return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def _set_key(shingles: np.ndarray) -> bytes:
@@ -104,7 +106,7 @@ def signatures(df: DataFrame, coords: int, text: str = "text") -> DataFrame:
         hashed, scale, shift = _Hasher(), _SCALE[:coords, None], _SHIFT[:coords, None]
         for batch in batches:
             ns, keys, sigs = [], [], []
-            for t in batch.column(text).to_pylist():
+            for t in batch.column(text).cast(pa.binary()).to_pylist():
                 s = hashed(t)
                 ns.append(len(s))
                 keys.append(_set_key(s) if len(s) else None)
@@ -120,14 +122,14 @@ def signatures(df: DataFrame, coords: int, text: str = "text") -> DataFrame:
 
 
 def _postings(classes: DataFrame, coords: int, prefix: int) -> DataFrame:
-    """(value, cid): each class under the first ``prefix`` of its coordinate values, heavy values last."""
+    """(value, cid, n_shingles): each class under the first ``prefix`` of its coordinate values, heavy values last."""
     value = F.transform("sig", lambda v, i: F.shiftleft(i.cast("long"), 32) + v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     heavy = classes.select(F.explode(value).alias("value")).groupBy("value").count().filter(F.col("count") > HEAVY).select(F.col("value").alias("heavy"))
     heavy = stored(heavy, "heavy")
-    each = classes.repartition("cid").select("cid", F.explode(value).alias("value")).join(heavy, F.col("value") == F.col("heavy"), "left")
+    each = classes.repartition("cid").select("cid", "n_shingles", F.explode(value).alias("value")).join(heavy, F.col("value") == F.col("heavy"), "left")
     order = F.struct(F.col("heavy").isNotNull().alias("last"), F.col("value").alias("value"))
-    first = each.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(order)), 1, prefix).alias("first"))  # `coords` entries each
-    return first.select("cid", F.explode("first").alias("p")).select("cid", "p.value")
+    first = each.groupBy("cid", "n_shingles").agg(F.slice(F.sort_array(F.collect_list(order)), 1, prefix).alias("first"))  # `coords` entries each
+    return first.select("cid", "n_shingles", F.explode("first").alias("p")).select("cid", "n_shingles", "p.value")
 
 
 def _forest(sets: list[np.ndarray], labels: np.ndarray, threshold: int) -> list[tuple[int, int]]:
@@ -162,21 +164,28 @@ def _forest(sets: list[np.ndarray], labels: np.ndarray, threshold: int) -> list[
 def _block_links(posts: DataFrame, labels: DataFrame, bodies: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) between components within posting lists of more than ``HEAVY`` members.
 
-    Lists that share classes form one group, so that their pairs are looked at once."""
+    Lists that share classes form one group, so that their pairs are looked at once. Only classes outside a group's largest
+    component are compared, with each other and with that component's: what the star rounds have linked costs nothing more."""
     listed = posts.filter(F.col("size") > HEAVY)
     chain = listed.join(listed.groupBy("value").agg(F.min("cid").alias("least")), "value").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
     group = components(chain).select(F.col("node").alias("cid"), F.col("label").alias("group"))
     own = group.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "group", F.coalesce("label", "cid").alias("label"))
-    size = own.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter(F.col("lo") != F.col("hi"))
-    own = own.join(size.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "group").join(bodies, "cid")
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    own = own.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = stored(own.join(posts.select("cid", "n_shingles").distinct(), "cid"), "groups")
+    size = own.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    parts = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    whole = size.groupBy("group").agg(F.max_by(F.struct("label", "n", "s"), F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s")).filter(F.col("n") > F.col("m.n"))
+    whole = whole.select("group", F.col("m.label").alias("main"), parts(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("rest"), parts(F.col("m.n"), F.col("m.s")).alias("mains"))
+    own = own.join(whole, "group").join(bodies, "cid")
+    pick = F.pmod(F.xxhash64("cid"), F.when(F.col("label") == F.col("main"), F.col("mains")).otherwise(F.col("rest"))).cast("int")
+    # blocks of the rest are 0 to rest - 1, those of the largest component follow; one of each two is of the rest
+    own = own.withColumn("i", F.when(F.col("label") == F.col("main"), F.col("rest") + pick).otherwise(pick))
+    own = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.when(F.col("label") == F.col("main"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1))))
     own = own.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "cid", "label", "body")
 
     def run(pdf):
         hashed, unpack = _Hasher(), zstandard.ZstdDecompressor()
         cids = pdf["cid"].to_numpy()
-        found = _forest([hashed(unpack.decompress(b).decode("utf-8")) for b in pdf["body"]], pdf["label"].to_numpy(), threshold)
+        found = _forest([hashed(unpack.decompress(b)) for b in pdf["body"]], pdf["label"].to_numpy(), threshold)
         return pd.DataFrame({"a": [cids[i] for i, _ in found], "b": [cids[j] for _, j in found]}, dtype="int64")
 
     return own.groupBy("group", "i", "j").applyInPandas(run, "a long, b long")
@@ -187,16 +196,22 @@ def _linked(pairs: DataFrame, classes: DataFrame, bodies: DataFrame, needed: int
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches):
-        unpack, last, seen = zstandard.ZstdDecompressor(), None, None
+        unpack, hashed, last, seen = zstandard.ZstdDecompressor(), _Hasher(), None, None
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             out = []
             for i, (x, y) in enumerate(zip(a, b, strict=True)):
                 if x != last:
-                    last, seen = x, shingle_set(unpack.decompress(batch.column("body_a")[i].as_py()).decode("utf-8"))
-                other = shingle_set(unpack.decompress(batch.column("body_b")[i].as_py()).decode("utf-8"))
-                both = len(seen & other)
-                if 100 * both >= threshold * (len(seen) + len(other) - both):
+                    last, text = x, unpack.decompress(batch.column("body_a")[i].as_py())
+                    seen = hashed(text)
+                body = unpack.decompress(batch.column("body_b")[i].as_py())
+                other = hashed(body)
+                both = len(np.intersect1d(seen, other, assume_unique=True))
+                over = 100 * both - threshold * (len(seen) + len(other) - both)
+                if abs(over) <= 200:  # within a shingle of the threshold the words themselves decide
+                    p, q = shingle_set(text), shingle_set(body)
+                    over = 100 * len(p & q) - threshold * len(p | q)
+                if over >= 0:
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
 
@@ -227,8 +242,8 @@ def _bodies(docs: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataF
         for batch in batches:
             at = batch.column("slot").to_numpy(zero_copy_only=False)
             may = np.flatnonzero((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            ids, texts = batch.column("id"), batch.column("t")
-            rows = [(ids[i].as_py(), _set_key(s), pack.compress(t.encode("utf-8"))) for i in may.tolist() if (t := texts[i].as_py()) and len(s := hashed(t))]
+            ids, texts = batch.column("id"), batch.column("t").cast(pa.binary())
+            rows = [(ids[i].as_py(), _set_key(s), pack.compress(t)) for i in may.tolist() if (t := texts[i].as_py()) and len(s := hashed(t))]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["id", "set_key", "body"])
 
     own = F.col(row_id).cast("long")
@@ -241,7 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ro
     """(row_id, n_shingles, set_key, component_id): one row for each row of ``docs``; ``threshold`` in percent."""
     needed = least_matches(threshold / 100, coords)
     signed = stored(signatures(docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")), coords), "signatures")
-    classes = signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("first"), F.first("sig").alias("sig"))
+    classes = signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     posts = _postings(classes, coords, coords - needed + 1)
     posts = posts.join(posts.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1), "value")
@@ -292,8 +307,8 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text
     Rows that repeat an id and its text stay or go together; rows with a null id stay. Only texts whose id may be
     among those that go take part in the join."""
     found = near_duplicates(docs, threshold, text, row_id)
-    (gone,) = fresh(docs, "nd_id")
+    gone, may = fresh(docs, "nd_id", "nd_may")
     dropped = stored(found.filter(F.col(row_id) != F.col("component_id")).select(F.col(row_id).alias(gone)).distinct(), "dropped")
-    may = F.coalesce(may_contain(dropped, gone)(F.col(row_id).cast("long")), F.lit(False))
-    suspects = docs.filter(may).join(dropped, F.col(row_id) == F.col(gone), "left_anti")
-    return docs.filter(~may).unionByName(suspects)
+    marked = flagged(docs, dropped, gone, F.col(row_id).cast("long"), may)
+    suspects = marked.filter(may).join(dropped, F.col(row_id) == F.col(gone), "left_anti")
+    return marked.filter(~F.col(may)).unionByName(suspects).drop(may)
