@@ -3,16 +3,16 @@
 All distinct pre-tokens of an Arrow batch lie in one linked list of byte positions, with no link
 across pre-tokens. A bucket for each merge rank holds the positions of pairs that merge to that
 rank; a bitmap of three levels (64 bits a word) marks the buckets in use, so find-first-set gives
-the next rank. From the bucket of the least rank each pre-token takes its leftmost pair, which is
-the pair that sequential BPE merges next; the others stay queued. An entry whose pair has changed
-since is stale and is skipped. Every merge costs the same however long the pre-token is, and the
-arrays make one pop serve all pre-tokens of the batch.
+the next rank. From the bucket of the least rank each pre-token takes, from left to right, the pairs that
+sequential BPE merges before any pair of a lower rank: all of them, unless a merge gives such a pair, which is rare; then those
+behind it stay queued. An entry whose pair has changed since is stale and is skipped. A pop serves all pre-tokens of the
+batch and all places of a long one, so a pre-token costs about its length times the logarithm of it.
 
 A bounded memory of pre-token ids lives as long as a task; it only saves work. Tasks keep no
 state beyond it, so a lost executor costs a rerun of its partitions.
 
 Defined results: null is an empty text, which has no ids; texts of any length are encoded whole;
-extra columns pass through. A byte that the ranks lack, or an unknown id when decoding, raises.
+other columns pass through, and one named like a new column, in any case, is kept under its name with underscores. A byte that the ranks lack, or an unknown id when decoding, raises.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import set_aside
 from lodestone.llm.pretokens import Splitter
 
 #: Pre-tokens, and bytes of them, whose ids a task remembers before it starts afresh.
@@ -96,6 +97,28 @@ class Codec:
         at[at == len(self.pair_keys)] = 0
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
+    def _together(self, at: np.ndarray, rank: int, tok: np.ndarray, nxt: np.ndarray, prv: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of one rank that sequential BPE merges, from left to right, before any pair of a lower rank; and those that wait.
+
+        Of overlapping pairs every second one is merged. In each piece the first merge that gives a pair of a lower rank is the last for now."""
+        chained = nxt[at[:-1]] == at[1:]
+        begins = np.flatnonzero(np.concatenate(([True], ~chained)))
+        nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
+        at = at[nth % 2 == 0]
+        after, before = nxt[nxt[at]], prv[at]
+        merged = np.concatenate(([False], after[:-1] == at[1:]))  # the pair before is merged by then
+        right = np.full(len(at), -1, np.int64)
+        right[after >= 0] = self._rank(np.full(int((after >= 0).sum()), rank), tok[after[after >= 0]])
+        left = np.full(len(at), -1, np.int64)
+        left[before >= 0] = self._rank(np.where(merged, rank, tok[before])[before >= 0], np.full(int((before >= 0).sum()), rank))
+        lower = ((right >= 0) & (right < rank)) | ((left >= 0) & (left < rank))
+        if not lower.any():
+            return at, at[:0]
+        earlier = np.cumsum(lower) - lower
+        first = np.concatenate(([True], piece[at[1:]] != piece[at[:-1]]))
+        now = earlier == np.maximum.accumulate(np.where(first, earlier, 0))
+        return at[now], at[~now]
+
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece, as merging it alone by least rank, leftmost first, gives them."""
         out: list[list[int] | None] = [[i] if (i := self.ranks.get(p)) is not None else [] if not p else None for p in pieces]
@@ -138,10 +161,10 @@ class Codec:
                 continue
             if len(at) > 1:
                 at = np.unique(at)
-                first = np.concatenate(([True], piece[at[1:]] != piece[at[:-1]]))
-                if not first.all():
-                    queue.push(rank, at[~first])
-                    at = at[first]
+                if len(at) > 1 and (piece[at[1:]] == piece[at[:-1]]).any():
+                    at, later = self._together(at, rank, tok, nxt, prv, piece)
+                    if len(later):
+                        queue.push(rank, later)
             gone = nxt[at]
             after = nxt[gone]
             tok[at] = rank
@@ -221,6 +244,7 @@ def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the column ``ids`` (array of int): each match of ``pattern`` in ``text`` encoded by ``ranks``."""
+    df = set_aside(df, ids)
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't depend on the data
     schema = T.StructType([*(f for f in df.schema.fields if f.name != ids), T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
@@ -237,6 +261,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | N
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "bytes") -> DataFrame:
     """``df`` with the column ``out`` (binary): the bytes of ``ids``; null ids have none."""
+    df = set_aside(df, out)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     schema = T.StructType([*(f for f in df.schema.fields if f.name != out), T.StructField(out, T.BinaryType(), False)])
 
@@ -252,6 +277,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
 
 def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | None = None, text: str = "text", ids: str = "ids", out: str = "bytes", keep_text: bool = True) -> DataFrame:
     """``decode(encode(df))`` in one Python worker a task instead of two; ``out`` is read from the ids alone."""
+    df = set_aside(df, ids, out)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     passed = [f for f in df.schema.fields if f.name not in (ids, out) and (keep_text or f.name != text)]
     names = [f.name for f in passed]

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,6 +139,22 @@ def test_a_very_long_pretoken():
     assert _codec().encode_pieces([text.encode()])[0] == own.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("unit", ["ab", "a", "abcabdé", "the other ", "nginginaaa"])
+def test_long_repeats_take_seconds_and_equal_tiktoken(unit):
+    own = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=RANKS, special_tokens={})
+    text, began = unit * (400_000 // len(unit)), time.time()
+    got = _codec().encode_pieces([text.encode()])[0]
+    assert time.time() - began < 20 and got == own.encode_ordinary(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abthein g", min_size=1, max_size=8), min_size=1, max_size=4), st.integers(1, 40))
+def test_repeats_equal_tiktoken(parts, times):
+    own = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=RANKS, special_tokens={})
+    pieces = [p * times for p in parts]
+    assert _codec().encode_pieces([p.encode() for p in pieces]) == [own.encode_ordinary(p) for p in pieces]
+
+
 # -- 3
 
 
@@ -160,7 +177,8 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
     texts = _texts()
     items = [(1, " ".join(texts[0].split()[:25])), (2, "under the mit license"), (3, None), (4, ""), (None, texts[1]), (10, " ".join(texts[0].split()[3:16])), (10, " ".join(texts[0].split()[3:16])), (5, "a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = rows_of(decontaminate.report(docs.drop("WORDS"), bench))
+    got = rows_of(decontaminate.report(docs.withColumn("N_hit", F.lit("own")), bench))
+    assert all(g["N_hit_"] == "own" and g["key"] in ("k", None) for g in got)
     assert len(got) == docs.count()
     text_of = {r.doc_id: r.text for r in docs.collect()}
     for g in got:
@@ -401,7 +419,7 @@ def test_near_duplicates_equal_brute_force(docs, empty, monkeypatch, heavy, bloc
     monkeypatch.setattr(minhash_join, "HEAVY", heavy)
     monkeypatch.setattr(minhash_join, "BLOCK", block)
     rows = docs.collect()
-    sets = [minhash_join.shingle_set(r.text) for r in rows]
+    sets = [minhash_join.shingle_set((r.text or "").encode()) for r in rows]
     root = _components(sets, 85)
     least = defaultdict(lambda: None)
     for r, k in zip(rows, root, strict=True):
