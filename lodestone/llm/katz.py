@@ -12,7 +12,7 @@ without pairs. Counts cover all training texts; the tables of words and pairs gr
 The pair table is partitioned by context into buckets of about ``BUCKET`` training tokens, one row of sorted
 arrays for each. Texts send their pairs to the buckets in the same way, so a bucket has all that its contexts need: it
 finds a pair or adds log alpha and takes the word's own probability; words that only the word table knows
-go on to a join with that table, one level down. Each bucket gives back one sum for each text.
+go on to a join with that table, one level down. A bucket gives back the sums of its texts, block by block.
 
 No key is hot: tasks count before they send, and a context with more than an eighth of a bucket's tokens is spread over all
 buckets by its second word; its alpha is summed up from there. Words that make up at least ``HOT_SHARE`` of the
@@ -203,7 +203,7 @@ class Vocabulary:
 
 
 class _Reader:
-    """Pairs of codes of the texts that a task has gathered."""
+    """Texts that a task has gathered, as pairs sorted by bucket, first and second word."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.words = vocabulary, Words()
@@ -223,16 +223,33 @@ class _Reader:
     def full(self) -> bool:
         return self.total > FLUSH or len(self.words) > MOST_WORDS
 
-    def pairs(self) -> np.ndarray:
-        """Each token's number with that of the token before it plus one, 0 for the start, in the upper half."""
-        return np.concatenate([np.concatenate(([0], t[:-1] + 1)) << 32 | t for t in self.parts]) if self.parts else np.zeros(0, np.int64)
-
-    def both(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, distinct: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bucket, codes of both words, and how often each pair stands there (``distinct``) or the text it stands in."""
         hashes = self.words.hashes()
         if len(self.codes) < len(hashes):
             self.codes = np.concatenate((self.codes, self.vocabulary.codes(hashes[len(self.codes) :])))
-        before = np.concatenate(([self.vocabulary.start], self.codes))
-        return before[pairs >> 32], self.codes[pairs & 0xFFFFFFFF]
+        w = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
+        v = np.concatenate([np.concatenate(([-1], t[:-1])) for t in self.parts]) if self.parts else w  # the start is the last of `codes`
+        codes = np.append(self.codes, self.vocabulary.start)
+        order = np.argsort(codes)
+        rank = np.empty(len(codes), np.int64)
+        rank[order] = np.arange(len(codes))
+        bucket = self.vocabulary.bucket(codes, np.zeros(1, np.uint64))[v]
+        if (spread := self.vocabulary.spread(codes)).any():
+            at = np.flatnonzero(spread[v])
+            bucket[at] = self.vocabulary.bucket(codes[v[at]], codes[w[at]])
+        bits = len(codes).bit_length()
+        ranked = codes[order]
+        if self.vocabulary.buckets.bit_length() + 2 * bits < 64:  # else the words are too many for one number
+            key = (bucket << 2 * bits) | (rank[v] << bits) | rank[w]
+            key, last = np.unique(key, return_counts=True) if distinct else (key[o := np.argsort(key)], np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])[o])
+            return key >> 2 * bits, ranked[(key >> bits) & ((1 << bits) - 1)], ranked[key & ((1 << bits) - 1)], last
+        o = np.lexsort((rank[w], rank[v], bucket))
+        bucket, v, w = bucket[o], codes[v[o]], codes[w[o]]
+        if not distinct:
+            return bucket, v, w, np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])[o]
+        first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1]))))
+        return bucket[first], v[first], w[first], np.diff(np.append(first, len(v)))
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -253,11 +270,7 @@ def pair_table(docs: DataFrame, shared) -> DataFrame:
         reader = _Reader(shared.value)
 
         def flush():
-            pairs, n = np.unique(reader.pairs(), return_counts=True)
-            v, w = reader.both(pairs)
-            bucket = reader.vocabulary.bucket(v, w)
-            order = np.lexsort((w, v, bucket))
-            v, w, n, bucket = v[order], w[order], n[order], bucket[order]
+            bucket, v, w, n = reader.pairs(distinct=True)
             rows = [(k, pack(_differences(v[s])), pack(w[s]), pack(n[s].astype(np.uint32))) for k, s in _by_bucket(bucket)]
             reader.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 3))], ["bucket", "v", "w", "n"])
@@ -339,19 +352,16 @@ def _alpha(cv, turing, half, seen):
     return cv, plain, np.log10((1 - np.where(plain, turing, half) / cv) / (1 - seen))
 
 
+#: What a bucket gives back for each block of texts: sums for its texts, and words to look up one level down.
+_ANSWER = "chunk long, doc binary, n binary, known binary, base binary, score binary, ids binary, no_id binary, low_doc array<int>, low_key array<long>, low_n array<int>"
+
+
 def _evaluate(texts: pd.DataFrame, block: pd.DataFrame, words: Vocabulary, d: list[float], spread: dict) -> pd.DataFrame:
-    """Sums for each text of a bucket, and words to look up one level down."""
     u = words.unigrams
-    v, w, row, ids = [], [], [], []
-    for b in texts.itertuples(index=False):
-        v.append(np.cumsum(unpack(b.v, np.uint64), dtype=np.uint64))
-        w.append(unpack(b.w, np.uint64))
-        own = unpack(b.rows, np.int64)
-        row.append(own[unpack(b.doc, np.uint32)])
-        ids.append(pd.DataFrame({"row": own, "id": np.where(unpack(b.no_id, np.bool_), None, unpack(b.ids, np.int64))}))
-    v, w, row, ids = np.concatenate(v), np.concatenate(w), np.concatenate(row), pd.concat(ids).drop_duplicates("row")
-    context, start, second, c = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    rest = {}
+    v = [np.cumsum(unpack(b, np.uint64), dtype=np.uint64) for b in texts["v"]]
+    ends = np.cumsum([len(x) for x in v]).tolist()
+    v, w = np.concatenate(v), np.concatenate([unpack(b, np.uint64) for b in texts["w"]])
+    context, start, second, c, rest = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
     if len(block):
         b = block.iloc[0]
         pv, second, c = np.cumsum(unpack(b["v"], np.uint64), dtype=np.uint64), unpack(b["w"], np.uint64), unpack(b["c"], np.uint64 if b["wide"] else np.uint32).astype(np.int64)
@@ -360,6 +370,7 @@ def _evaluate(texts: pd.DataFrame, block: pd.DataFrame, words: Vocabulary, d: li
         rest = {} if b["rest"] is None else {np.uint64(x["v"] & 0xFFFFFFFFFFFFFFFF): x["seen"] for x in b["rest"]}
     # the contexts of this bucket
     size = np.diff(start)
+    cv, plain, alpha = np.zeros(0), np.zeros(0, bool), np.zeros(0)
     if len(context):
         seen = np.where((second & _TOP) > 0, 0.0, u.probability(words.count(second, 1)))
         add = lambda x: np.add.reduceat(x, start[:-1])
@@ -367,8 +378,6 @@ def _evaluate(texts: pd.DataFrame, block: pd.DataFrame, words: Vocabulary, d: li
         cv, plain, alpha = _alpha(add(c).astype(float), add(_discounted(c, d)), add(c - 0.5), np.minimum(add(seen) + more, 1 - 1e-15))
         for i in np.flatnonzero(words.spread(context)).tolist():
             cv[i], plain[i], alpha[i] = spread[int(context[i].view(np.int64))]
-    else:
-        cv, plain, alpha = np.zeros(0), np.zeros(0, bool), np.zeros(0)
     # each pair of the texts: its context, then its place among the pairs
     at = np.minimum(np.searchsorted(context, v), max(len(context) - 1, 0))
     there = context[at] == v if len(context) else np.zeros(len(v), bool)
@@ -395,14 +404,28 @@ def _evaluate(texts: pd.DataFrame, block: pd.DataFrame, words: Vocabulary, d: li
     word, end = v != words.start, w == words.codes(np.array([_hash(END)], np.uint64))[0]
     base = np.where(word, u.base(own), 0.0) + np.where(end, u.base(words.ends), 0.0)
     known = (word & (own > 0)).astype(np.int64) + (end & (words.ends > 0))
-    rows, inverse = np.unique(row, return_inverse=True)
-    add = lambda x: np.bincount(inverse, x, len(rows))
-    out = pd.DataFrame({"row": rows, "n": np.bincount(inverse, minlength=len(rows)), "known": add(known).astype(np.int64), "base": add(base), "score": add(value)}).merge(ids, on="row").assign(key=None)
     pending = ~hit & ~frequent
-    if pending.any():
-        later = pd.DataFrame({"row": row[pending], "key": w[pending].view(np.int64)}).groupby(["row", "key"]).size().reset_index(name="n")
-        out = pd.concat([out, later.assign(known=0, base=0.0, score=0.0, id=None)])
-    return out.astype({"id": "Int64", "key": "Int64"})[["row", "id", "n", "known", "base", "score", "key"]]
+    rows = []
+    for b, first, last in zip(texts.itertuples(index=False), [0, *ends], ends, strict=False):
+        doc, local, s = unpack(b.docs, np.uint32), unpack(b.doc, np.uint32), slice(first, last)
+        add = lambda x, k=None: np.bincount(local, x[s], len(doc)) if k is None else np.bincount(local, x[s], len(doc)).astype(k)  # noqa: B023, E731
+        late = np.flatnonzero(pending[s])
+        low, times = np.unique(np.stack((doc[local[late]].astype(np.int64), w[s][late].view(np.int64))), axis=1, return_counts=True) if len(late) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        n = np.bincount(local, minlength=len(doc)).astype(np.uint32)
+        rows.append((b.chunk, b.docs, pack(n), pack(add(known, np.uint32)), pack(add(base)), pack(add(value)), b.ids, b.no_id, low[0].astype(np.int32), low[1], times.astype(np.int32)))
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _ANSWER.split(", ")])
+
+
+def _sum_up(answers: pd.DataFrame) -> pd.DataFrame:
+    """The sums of all buckets for each text of a block."""
+    head = answers[answers["ids"].notna()].iloc[0]
+    ids, no_id = unpack(head["ids"], np.int64), unpack(head["no_id"], np.bool_)
+    out = {k: np.zeros(len(ids)) for k in ("n", "known", "base", "score")}
+    for b in answers.itertuples(index=False):
+        doc = unpack(b.doc, np.uint32)
+        for k, kind in (("n", np.uint32), ("known", np.uint32), ("base", np.float64), ("score", np.float64)):
+            out[k][doc] += unpack(getattr(b, k), kind)
+    return pd.DataFrame({"chunk": head["chunk"], "doc": np.arange(len(ids)), "id": pd.array(np.where(no_id, None, ids), "Int64"), **out}).astype({"n": "int64", "known": "int64", "doc": "int32"})
 
 
 def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -412,26 +435,23 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
     model = Model(own.select("text", "held_out"))
     shared, d = model.shared, model.d
     spread = docs.sparkSession.sparkContext.broadcast(model.spread)
+    names = ["bucket", "chunk", "v", "w", "doc", "docs", "ids", "no_id"]
 
     def send(batches):
-        reader, rows, first = _Reader(shared.value), [], TaskContext.get().partitionId() << 33
+        reader, rows, chunk = _Reader(shared.value), [], TaskContext.get().partitionId() << 33
 
         def flush():
-            nonlocal rows, first
-            v, w = reader.both(reader.pairs())
-            doc = np.repeat(np.arange(len(rows)), [len(p) for p in reader.parts])
-            bucket = reader.vocabulary.bucket(v, w)
-            order = np.lexsort((doc, w, v, bucket))
-            v, w, doc, bucket = v[order], w[order], doc[order], bucket[order]
-            no_id, ids = np.array([i is None for i in rows], bool), np.array([i or 0 for i in rows], np.int64)
+            nonlocal rows, chunk
+            bucket, v, w, doc = reader.pairs(distinct=False)
+            head = pack(np.array([i or 0 for i in rows], np.int64)), pack(np.array([i is None for i in rows], bool))
             out = []
             for k, s in _by_bucket(bucket):
                 present, local = np.unique(doc[s], return_inverse=True)
-                out.append((k, pack(_differences(v[s])), pack(w[s]), pack(local.astype(np.uint32)), pack(present + first), pack(ids[present]), pack(no_id[present])))
-            first += len(rows)
+                out.append((k, chunk, pack(_differences(v[s])), pack(w[s]), pack(local.astype(np.uint32)), pack(present.astype(np.uint32)), *(head if not out else (None, None))))
+            chunk += 1
             rows = []
             reader.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 6))], ["bucket", "v", "w", "doc", "rows", "ids", "no_id"])
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((*[pa.int64()] * 2, *[pa.binary()] * 6))], names)
 
         for batch in batches:
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -442,25 +462,24 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
         if rows:
             yield flush()
 
-    sent = own.select("id", "text").mapInArrow(send, "bucket long, v binary, w binary, doc binary, rows binary, ids binary, no_id binary")
+    sent = own.select("id", "text").mapInArrow(send, "bucket long, chunk long, v binary, w binary, doc binary, docs binary, ids binary, no_id binary")
     rest = model.rest.groupBy("bucket").agg(F.collect_list(F.struct("v", "seen")).alias("rest"))  # at most the pairs of a bucket
     blocks = model.pairs.select("bucket", "v", "w", "c", "wide").join(rest, "bucket", "left")
 
     def evaluate(left, right):
         if not len(left):
-            return pd.DataFrame({k: pd.Series(dtype=t) for k, t in {"row": "int64", "id": "Int64", "n": "int64", "known": "int64", "base": "float64", "score": "float64", "key": "Int64"}.items()})
+            return pd.DataFrame({x.split()[0]: [] for x in _ANSWER.split(", ")})
         return _evaluate(left, right, shared.value, d, spread.value)
 
-    parts = sent.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(evaluate, "row long, id long, n long, known long, base double, score double, key long")
-    parts = stored(parts, "parts")
-    lower = parts.filter("key is not null").select("row", "key", "n").join(model.words, "key", "left")
-    lower = lower.select("row", (F.col("n") * F.log10(model.vocabulary.unigrams.column(F.coalesce("c", F.lit(0))))).alias("score"))
-    zero = F.lit(0).cast("long")
-    sums = parts.filter("key is null").drop("key").unionByName(lower.select("row", F.lit(None).cast("long").alias("id"), zero.alias("n"), zero.alias("known"), F.lit(0.0).alias("base"), "score"))
-    sums = sums.groupBy("row").agg(F.max("id").alias("id"), *(F.sum(x).alias(x) for x in ("n", "known", "base", "score")))
+    answers = stored(sent.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInPandas(evaluate, _ANSWER), "answers")
+    lower = answers.select("chunk", F.explode(F.arrays_zip("low_doc", "low_key", "low_n")).alias("x")).select("chunk", F.col("x.low_doc").alias("doc"), F.col("x.low_key").alias("key"), F.col("x.low_n").alias("times"))
+    log_p = F.log10(model.vocabulary.unigrams.column(F.coalesce("c", F.lit(0))))
+    lower = lower.join(model.words, "key", "left").groupBy("chunk", "doc").agg(F.sum(F.col("times") * log_p).alias("lower"))
+    sums = answers.drop("low_doc", "low_key", "low_n").groupBy("chunk").applyInPandas(_sum_up, "chunk long, doc int, id long, n long, known long, base double, score double")
+    sums = sums.join(lower, ["chunk", "doc"], "left")
     return sums.select(
         F.col("id").alias(row_id), held(F.col("id")).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"),
-        F.lit(model.vocabulary.unigrams.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score",
+        F.lit(model.vocabulary.unigrams.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("lower", F.lit(0.0))).alias("score"),
     )
 
 
