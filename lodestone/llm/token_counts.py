@@ -6,13 +6,14 @@ pre-tokens that share a prefix share its forward scores, and the node where a pr
 stores its count. Documents then only look up terminal counts. Nothing is shuffled.
 
 The vocabulary is a public byte-level vocabulary with every single byte, so each text has a
-segmentation. Its file gives ranks, not probabilities; a piece of rank r scores
--log(r + 1), Zipf's law, unless the caller gives scores. Nothing is trained. Equal scores go to
-the longer last piece.
+segmentation. Its file gives ranks, not probabilities; a piece of rank r has probability proportional to
+1 / (r + 1), Zipf's law, summing to one over the vocabulary, unless the caller gives scores. Nothing is trained. Equal scores
+go to the longer last piece.
 
 Defined results: null and empty texts have no pre-tokens, no tokens and score 0; whole texts
-count, whatever their length; a trie over ``MOST_NODES`` is dropped and built anew, which changes
-no result; extra columns pass through.
+count, whatever their length; a trie over ``MOST_NODES`` is dropped and built anew, and a pre-token over ``LONG`` bytes is scored
+outside it with the scores of its last prefixes alone, which changes no result; other columns pass through, and one named like
+a new column, in any case, is kept under its name with underscores.
 """
 
 from __future__ import annotations
@@ -23,14 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import set_aside
 from lodestone.llm.pretokens import Splitter
 
 #: Trie nodes of a task before it starts afresh.
 MOST_NODES = 1_000_000
+#: Bytes of a pre-token beyond which it doesn't enter the trie.
+LONG = 1 << 14
 
 
 def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
-    return {b: -math.log(r + 1) for b, r in ranks.items()}
+    """Logarithms of probabilities that sum to one."""
+    whole = math.log(math.fsum(1 / (r + 1) for r in ranks.values())) if ranks else 0.0
+    return {b: -math.log(r + 1) - whole for b, r in ranks.items()}
 
 
 class PrefixTrie:
@@ -70,8 +76,28 @@ class PrefixTrie:
         return node
 
 
+    def apart(self, word: bytes) -> tuple[int, float]:
+        """Pieces and score of a word that stays out of the trie; only the scores of its last prefixes are kept."""
+        keep = self.longest
+        best, count = [0.0] + [-math.inf] * keep, [0] * (keep + 1)  # by prefix length modulo keep + 1
+        for end in range(1, len(word) + 1):
+            top, pieces = -math.inf, 0
+            for start in range(end - 1, max(-1, end - 1 - keep), -1):
+                piece = word[start:end]
+                if piece not in self.suffixes:
+                    break
+                s = self.scores.get(piece)
+                if s is not None and (s := best[start % (keep + 1)] + s) >= top:
+                    top, pieces = s, count[start % (keep + 1)] + 1
+            if not pieces:
+                raise ValueError("the vocabulary lacks a single byte of the text")
+            best[end % (keep + 1)], count[end % (keep + 1)] = top, pieces
+        return count[len(word) % (keep + 1)], best[len(word) % (keep + 1)]
+
+
 def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, public: str | None = None, text: str = "text", out: tuple[str, str, str] = ("n_pretokens", "n_tokens", "score")) -> DataFrame:
     """``df`` with the pre-tokens, tokens and summed best unigram score of each text."""
+    df = set_aside(df, *out)
     shared = df.sparkSession.sparkContext.broadcast(scores)  # a vocabulary: its size doesn't depend on the data
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in out), *(T.StructField(c, k, False) for c, k in zip(out, (T.LongType(), T.LongType(), T.DoubleType()), strict=True))])
 
@@ -88,7 +114,9 @@ def count_tokens(df: DataFrame, scores: dict[bytes, float], pattern: str, public
                 tokens, total = 0, 0.0
                 for w in words:
                     got = known.get(w)
-                    if got is None:
+                    if got is None and len(w) > LONG:
+                        got = trie.apart(w.encode("utf-8"))
+                    elif got is None:
                         node = trie.terminal(w.encode("utf-8"))
                         got = known[w] = (trie.count[node], trie.best[node])
                         if len(trie.best) > MOST_NODES:
