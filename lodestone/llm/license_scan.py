@@ -11,7 +11,8 @@ There are three lists of signatures: names of licenses, short names that count o
 the contexts in which a name is a license statement; contexts change a match's score and interval and find no further licenses.
 
 Defined results: null is an empty text: no words, no labels, score 0; texts are scanned whole;
-equal rows get equal results; other columns pass through.
+equal rows get equal results; other columns pass through, and one named like a new
+column, in any case, is kept under its name with underscores.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import LOWER, UPPER
+from lodestone.llm.common import LOWER, UPPER, set_aside
 
 # The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -243,6 +244,7 @@ def scan_licenses(df: DataFrame, text: str = "text") -> DataFrame:
     score is that of the strongest detection, 0 without any."""
     new = [T.StructField("n_words", T.LongType()), T.StructField("n_base", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType())]
     names = [f.name for f in new]
+    df = set_aside(df, *names)
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in names), *new])
 
     def run(batches):
