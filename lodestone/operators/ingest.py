@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexicons as L
 from lodestone.functions import text as X
 from lodestone.sources.parsers import tidy
 
-#: Blocks that are chunks of their own.
-ATOMIC = {"table", "figure", "image", "code"}
-CHUNKS = "document_id string, ordinal int, content string, modality string, section string, section_path array<string>, token_count int"
+# Kinds of block that are chunks of their own, and by how much a chunk may exceed its target.
+ATOMIC = ["table", "figure", "image", "code"]
+CEILING = 2.2
 _gap = re.compile(L.SENTENCE_GAP)
 
 
@@ -23,104 +25,105 @@ def tokens_of(text: str) -> int:
     return max(1, len(text) // 4, len(text.split()) // 2) if text else 0
 
 
-class Chunker:
-    """Greedy packing of blocks into chunks within sections.
-
-    Prose of one section is packed up to ``target`` tokens; an oversized pack is cut at sentences with up to
-    ``overlap`` tokens carried over; atomic blocks stay whole, but tables above the ceiling are cut by
-    rows with their header repeated; prose below ``least`` joins the prose chunk before it in its section."""
-
-    def __init__(self, target: int = 380, overlap: int = 60, least: int = 60):
-        self.target, self.overlap, self.least, self.ceiling = target, overlap, least, int(target * 2.2)
-
-    def packs(self, blocks: list[dict]):
-        """Runs of prose blocks, and atomic blocks alone."""
-        run, total, path = [], 0, []
-        for b in blocks:
-            atomic, heading = b["modality"] in ATOMIC, b.get("heading_level") is not None
-            moved, size = list(b["section_path"]) != path, tokens_of(b["text"])
-            if run and (atomic or heading or moved or total + size > self.target):
-                yield run
-                run, total = [], 0
-            if atomic:
-                yield [b]
-                path = list(b["section_path"]) or path
-                continue
-            path = list(b["section_path"])
-            if not heading:
-                run.append(b)
-                total += size
-        if run:
-            yield run
-
-    def cut_table(self, text: str) -> list[str]:
-        if tokens_of(text) <= self.ceiling:
-            return [text]
-        lines = text.split("\n")
-        head = lines[:2] if len(lines) > 2 and lines[1].strip().startswith("|") else []
-        parts, rows, base = [], [], tokens_of("\n".join(head))
-        total = base
-        for line in lines[len(head) :]:
-            if rows and total + tokens_of(line) > self.ceiling:
-                parts.append("\n".join(head + rows))
-                rows, total = [], base
-            rows.append(line)
-            total += tokens_of(line)
-        return parts + (["\n".join(head + rows)] if rows else [])
-
-    def cut_prose(self, text: str) -> list[str]:
-        if tokens_of(text) <= self.ceiling:
-            return [text]
-        parts, window, total = [], [], 0
-        for s in [p for x in _gap.split(tidy(text)) if (p := x.strip())] or [text]:
-            size = tokens_of(s)
-            if not window and size > self.target:
-                parts.append(s)
-                continue
-            if window and total + size > self.target:
-                parts.append(" ".join(window))
-                keep, total = len(window), 0
-                while keep and total + tokens_of(window[keep - 1]) <= self.overlap:
-                    keep -= 1
-                    total += tokens_of(window[keep])
-                window = window[keep:]
-            window.append(s)
-            total += size
-        return parts + ([" ".join(window)] if window else [])
-
-    def chunks(self, blocks: list[dict]) -> list[dict]:
-        out: list[dict] = []
-        for pack in self.packs(blocks):
-            first = pack[0]
-            if first["modality"] in ATOMIC:
-                texts, kind = self.cut_table(first["text"]) if first["modality"] == "table" else [first["text"]], first["modality"]
-            else:
-                body = tidy("\n\n".join(b["text"] for b in pack if b["text"].strip()))
-                texts, kind = self.cut_prose(body) if body else [], "ocr" if first["modality"] == "ocr" else "text"
-            for t in texts:
-                size, before = tokens_of(t), out[-1] if out else None
-                if before and kind not in ATOMIC and before["modality"] not in ATOMIC and size < self.least and before["section_path"] == list(first["section_path"]) and tokens_of(before["content"]) + size <= self.ceiling:
-                    before["content"] = f"{before['content']}\n\n{t}".strip()
-                else:
-                    out.append({"content": t, "modality": kind, "section": first["section"], "section_path": list(first["section_path"])})
-        out = [c for c in out if c["content"].strip()]
-        for i, c in enumerate(out, 1):
-            c |= {"ordinal": i, "token_count": tokens_of(c["content"])}
-        return out
+def ranges(sizes: list[int], limit: int, carry: int) -> list[tuple[int, int]]:
+    """Ranges of consecutive units of at most ``limit`` in all, a single unit being free to exceed it; each but the first
+    begins with the units at the end of the one before that fit into ``carry``."""
+    sums, out, start, end = [0, *accumulate(sizes)], [], 0, 0
+    while end < len(sizes):
+        stop = max(end + 1, bisect_right(sums, sums[start] + limit) - 1)
+        out.append((start, stop))
+        start, end = max(start, bisect_left(sums, sums[stop] - carry)) if carry else stop, stop
+    return out
 
 
-def chunk(blocks: DataFrame, target: int = 380, overlap: int = 60, least: int = 60) -> DataFrame:
-    """Chunks of each document's blocks. A document is one file, so its blocks fit a task; packing is sequential within it."""
-    names = [x.split()[0] for x in CHUNKS.split(", ")]
+def cut_prose(text: str, target: int, overlap: int) -> list[str]:
+    """A text as overlapping runs of its sentences."""
+    units = [u for x in _gap.split(tidy(text)) if (u := x.strip())] or [text]
+    return [" ".join(units[a:b]) for a, b in ranges([*map(tokens_of, units)], target, overlap)]
+
+
+def cut_table(text: str, most: int) -> list[str]:
+    """A Markdown table as tables of some of its rows, each under the header."""
+    lines = text.split("\n")
+    head = 2 if len(lines) > 2 and lines[1].strip().startswith("|") else 0
+    top = lines[:head]
+    return ["\n".join(top + lines[head + a : head + b]) for a, b in ranges([*map(tokens_of, lines[head:])], most - tokens_of("\n".join(top)), 0)]
+
+
+def _path_key(path: Column) -> Column:
+    return F.to_json(F.coalesce(path, F.array().cast("array<string>")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("block_order").to_dict("records")
-        for r in rows:
-            r["section_path"] = list(r["section_path"]) if r["section_path"] is not None else []
-            r["heading_level"] = None if r["heading_level"] is None or math.isnan(r["heading_level"]) else r["heading_level"]
-        return pd.DataFrame([{"document_id": rows[0]["document_id"], **c} for c in Chunker(target, overlap, least).chunks(rows)], columns=names)
 
-    return blocks.groupBy("document_id").applyInPandas(run, CHUNKS)
+def _packs(blocks: DataFrame, target: int) -> DataFrame:
+    """Blocks with ``seg``, a run that no section, heading or atomic block interrupts, and ``pack``, its parts of up to ``target`` tokens."""
+    in_order = Window.partitionBy("document_id").orderBy("block_order")
+    atomic, path = F.col("modality").isin(ATOMIC), _path_key(F.col("section_path"))
+    opens = F.col("heading_level").isNotNull() | atomic | F.coalesce(F.lag(atomic).over(in_order), F.lit(False)) | (path != F.coalesce(F.lag(path).over(in_order), F.lit("")))
+    own = blocks.withColumn("opens", opens.cast("int")).withColumn("seg", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.filter(F.col("heading_level").isNull() | atomic)
+    runs = own.groupBy("document_id", "seg").agg(F.array_sort(F.collect_list(F.struct("block_order", "text", "modality", "section", "section_path", X.estimate_tokens("text").alias("size")))).alias("b"))
+    # (tokens of the open pack, its number, the number of each block so far)
+    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("all"))
+
+    def place(state: Column, block: Column) -> Column:
+        fits = (state["sum"] + block["size"] <= target) | (F.size(state["all"]) == 0)
+        n = F.when(fits, state["n"]).otherwise(state["n"] + 1)
+        return F.struct(F.when(fits, state["sum"]).otherwise(F.lit(0).cast("long")) + block["size"], n, F.concat(state["all"], F.array(n)))
+
+    runs = runs.withColumn("number", F.aggregate("b", zero, lambda s, x: place(s, x).cast("struct<sum: bigint, n: int, all: array<int>>"), lambda s: s["all"]))
+    return runs.select("document_id", "seg", F.explode(F.arrays_zip("b", "number")).alias("x")).select("document_id", "seg", F.col("x.number").alias("pack"), "x.b.*")
+
+
+def chunk(blocks: DataFrame, target: int = 380, overlap: int = 60, least: int = 60) -> DataFrame:
+    """(document_id, ordinal, content, modality, section, section_path, token_count): blocks packed into chunks within their section.
+
+    Prose is packed up to ``target`` tokens; atomic blocks stay whole. What exceeds the ceiling is cut: prose at sentences, with up to
+    ``overlap`` tokens carried over, tables by rows with their header repeated. Prose below ``least`` joins the prose chunk before it in its
+    section. Boundaries are window expressions and packing is a fold over token counts in the JVM; only the cut runs in Python,
+    on the texts that need it. A window or fold never spans more than one document, which is one file."""
+    ceiling = int(target * CEILING)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([cut_table(t, ceiling) if k == "table" else cut_prose(t, target, overlap) for t, k in zip(texts, kinds, strict=True)])
+
+    by = ["document_id", "seg", "pack"]
+    first = F.min_by(F.struct("modality", "section", "section_path"), "block_order")
+    solid = F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("block_order", "text"))))
+    packs = _packs(blocks, target).groupBy(*by).agg(first.alias("f"), F.array_join(F.transform(solid, lambda x: x["text"]), "\n\n").alias("body"))
+    atomic = F.col("f.modality").isin(ATOMIC)
+    packs = packs.select(*by, F.when(atomic, F.col("body")).otherwise(X.normalize_whitespace("body")).alias("body"), F.when(atomic | (F.col("f.modality") == "ocr"), F.col("f.modality")).otherwise("text").alias("modality"), "f.section", F.coalesce("f.section_path", F.array().cast("array<string>")).alias("section_path")).filter(F.trim("body") != "")
+    long_ = (X.estimate_tokens("body") > ceiling) & F.col("modality").isin("table", "text", "ocr")
+    whole = packs.filter(~long_).withColumn("parts", F.array("body"))
+    parts = whole.unionByName(packs.filter(long_).withColumn("parts", cut("body", "modality")))
+    parts = parts.select(*by, "modality", "section", "section_path", F.posexplode("parts").alias("i", "content")).filter(F.trim("content") != "")
+    return _merged(parts, [*by, "i"], least, ceiling)
+
+
+def _merged(parts: DataFrame, order: list[str], least: int, ceiling: int) -> DataFrame:
+    """Small prose joined to what stands before it, and ordinals. Sizes of joined texts follow from characters and words alone."""
+    in_order = Window.partitionBy("document_id").orderBy(*order)
+    prose, path = ~F.col("modality").isin(ATOMIC), _path_key(F.col("section_path"))
+    opens = ~prose | ~F.coalesce(F.lag(prose).over(in_order), F.lit(False)) | (path != F.coalesce(F.lag(path).over(in_order), F.lit("")))
+    own = parts.withColumn("n", F.row_number().over(in_order)).withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    sized = F.struct("n", F.length("content").cast("long").alias("chars"), F.regexp_count("content", F.lit(r"\S+")).cast("long").alias("words"), "content", "modality", "section", "section_path")
+    runs = own.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(sized)).alias("p"))
+    size = lambda chars, words: F.greatest(F.lit(1).cast("long"), F.floor(chars / 4), F.floor(words / 2))
+    zero = F.struct(*(F.lit(0).cast("long").alias(x) for x in ("chars", "words", "n")), F.array().cast("array<bigint>").alias("all"))
+
+    def place(state: Column, x: Column) -> Column:
+        mine = size(x["chars"], x["words"])
+        joins = (F.size(state["all"]) > 0) & ~x["modality"].isin(ATOMIC) & (mine < least) & (size(state["chars"], state["words"]) + mine <= ceiling)
+        n = F.when(joins, state["n"]).otherwise(state["n"] + 1)
+        return F.struct(F.when(joins, state["chars"] + 2 + x["chars"]).otherwise(x["chars"]), F.when(joins, state["words"] + x["words"]).otherwise(x["words"]), n, F.concat(state["all"], F.array(n)))
+
+    kind = "struct<chars: bigint, words: bigint, n: bigint, all: array<bigint>>"
+    runs = runs.withColumn("number", F.aggregate("p", zero, lambda s, x: place(s, x).cast(kind), lambda s: s["all"]))
+    each = runs.select("document_id", "run", F.explode(F.arrays_zip("p", "number")).alias("x")).select("document_id", "run", F.col("x.number").alias("number"), "x.p.*")
+    joined = each.groupBy("document_id", "run", "number").agg(F.min("n").alias("n"), F.array_sort(F.collect_list(F.struct("n", "content"))).alias("c"), F.min_by(F.struct("modality", "section", "section_path"), "n").alias("f"))
+    content = F.array_join(F.transform("c", lambda x: x["content"]), "\n\n")
+    ordinal = F.row_number().over(Window.partitionBy("document_id").orderBy("n"))
+    return joined.select("document_id", ordinal.alias("ordinal"), content.alias("content"), "f.modality", "f.section", "f.section_path").withColumn("token_count", X.estimate_tokens("content").cast("int"))
 
 
 # Names that are no entities, and headings that carry relations.

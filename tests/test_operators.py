@@ -57,17 +57,31 @@ def block(text, path=("A",), modality="text", heading=None, order=0):
     return {"text": text, "section_path": list(path), "section": path[-1] if path else None, "modality": modality, "heading_level": heading, "block_order": order}
 
 
-def test_chunks_stay_in_sections_and_tables_stay_whole():
-    assert [c["section_path"] for c in I.Chunker(400, 60, 5).chunks([block("one two three " * 5, ("A",)), block("four five six " * 5, ("B",))])] == [["A"], ["B"]]
+def chunks_of(spark, blocks, *how):
+    rows = [("d", i, *(b[k] for k in ("text", "modality", "section", "section_path", "heading_level")), None) for i, b in enumerate(blocks)]
+    return I.chunk(spark.createDataFrame(rows, P.BLOCKS), *how).orderBy("ordinal").collect()
+
+
+def test_chunks_stay_in_sections_and_tables_stay_whole(spark):
+    assert [c.section_path for c in chunks_of(spark, [block("one two three " * 5, ("A",)), block("four five six " * 5, ("B",))], 400, 60, 5)] == [["A"], ["B"]]
     table = "| a | b |\n| --- | --- |\n| 1 | 2 |"
-    got = I.Chunker(200, 60, 5).chunks([block("prose " * 20), block(table, modality="table")])
-    assert [c["content"] for c in got if c["modality"] == "table"] == [table]
+    got = chunks_of(spark, [block("prose " * 20), block(table, modality="table"), block("more prose " * 20)], 200, 60, 5)
+    assert [c.modality for c in got] == ["text", "table", "text"] and got[1].content == table
+    long_ = "| a | b |\n| --- | --- |\n" + "\n".join(f"| row {i} with some text | y |" for i in range(60))
+    got = chunks_of(spark, [block(long_, modality="table")], 40, 10, 5)
+    assert len(got) > 3 and all(c.content.startswith("| a | b |\n| --- | --- |\n| row") for c in got) and sum(c.content.count("row ") for c in got) == 60
+
+
+def test_long_prose_overlaps_and_small_blocks_merge(spark):
+    got = [c.content for c in chunks_of(spark, [block(" ".join(f"Sentence number {i} has some words in it." for i in range(60)))], 100, 30, 10)]
+    assert len(got) > 1 and all(set(a.split()[-8:]) & set(b.split()[:12]) for a, b in zip(got, got[1:], strict=False))
+    assert len(chunks_of(spark, [block("tiny one"), block("tiny two"), block("tiny three")], 400, 60, 50)) == 1
+    small = [block("word " * 90), block("heading", ("A",), heading=2), block("tail end")]
+    assert [c.content for c in chunks_of(spark, small, 100, 30, 10)] == [("word " * 90).strip() + "\n\ntail end"]
 
 
-def test_long_prose_overlaps_and_small_blocks_merge():
-    got = I.Chunker(100, 30, 10).chunks([block(" ".join(f"Sentence number {i} has some words in it." for i in range(60)))])
-    assert len(got) > 1 and all(set(a["content"].split()[-8:]) & set(b["content"].split()[:12]) for a, b in zip(got, got[1:], strict=False))
-    assert len(I.Chunker(400, 60, 50).chunks([block("tiny one"), block("tiny two"), block("tiny three")])) == 1
+def test_ranges_carry_over_what_fits():
+    assert I.ranges([5, 5, 5, 5], 10, 5) == [(0, 2), (1, 3), (2, 4)] and I.ranges([50, 5], 10, 5) == [(0, 1), (1, 2)] and I.ranges([3, 50, 5], 10, 5) == [(0, 1), (0, 2), (2, 3)] and I.ranges([], 10, 0) == []
 
 
 def test_chunking_documents(spark):
