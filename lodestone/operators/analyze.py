@@ -159,8 +159,9 @@ OVERRIDABLE = ["top_k", "candidate_pool", "rerank", "sparse_weight", "graph_dept
 
 
 def apply_overrides(routed: DataFrame, overrides: dict) -> DataFrame:
-    """Values for ``OVERRIDABLE`` fields; other names and nulls are ignored."""
-    return routed.withColumns({k: F.lit(v) for k, v in overrides.items() if k in OVERRIDABLE and v is not None})
+    """Values for ``OVERRIDABLE`` fields, which leave ``request_overrides`` among the rules fired; other names and nulls are ignored."""
+    own = {k: F.lit(v) for k, v in overrides.items() if k in OVERRIDABLE and v is not None}
+    return routed.withColumns(own | {"rules_fired": F.array_append("rules_fired", F.lit("request_overrides"))}) if own else routed
 
 
 #: Names of the strategies.
@@ -182,6 +183,13 @@ def forced(names: list[str]) -> dict:
     }
 
 
+def apply_forced(routed: DataFrame, names: list[str]) -> DataFrame:
+    """``routed`` with the decision of ``forced`` in place of the router's; of several parallel strategies the first runs."""
+    d = forced(names)
+    beside = F.lit(d["parallel"][0]) if d["parallel"] else F.lit(None).cast("string")
+    return routed.withColumns({"strategy": F.lit(d["strategy"]), "parallel": beside, "use_corrective": F.lit(d["use_corrective"]), "use_agentic": F.lit(d["use_agentic"]), "mode": F.lit(d["mode"]), "rules_fired": F.array(*map(F.lit, d["rules_fired"]))})
+
+
 def condense_history(turns: DataFrame, latest: DataFrame, conversation: str = "conv_id", turn: str = "turn", window: int = 6) -> DataFrame:
     """``latest`` (conversation, turn, query) with ``condensed``: a short follow-up gets up to five technical terms of the
     user turns among the last ``window`` turns before it, newest first."""

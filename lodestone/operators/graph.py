@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -48,19 +48,43 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("key").join(ends, "key", "left").na.fill(0, ["degree"])
 
 
+def _grams(key: Column) -> Column:
+    """The distinct runs of one to three characters of a key: if one key contains another, it has the other's first three characters among them."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key)))
+    runs = lambda n: F.transform(at, lambda i: F.substring(key, i, F.lit(n)))
+    return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
+
+
 def search_entities(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
-    """(query_id, key, score, rank): equal names, contained names, token overlap, plus a little for mentions."""
-    q = queries.select("query_id", X.entity_key("query").alias("qk"), X.tokenize("query").alias("qt"))
+    """(query_id, key, score, rank): equal names, contained names, token overlap, plus a little for mentions.
+
+    Candidates meet in equi-joins, on a key's first characters for containment and on tokens for overlap; only they are scored."""
+    q = queries.select("query_id", X.entity_key("query").alias("qk"), F.array_distinct(X.tokenize("query")).alias("qt")).distinct()
     n = nodes.select("key", "mentions", F.array_distinct(X.tokenize("name", content=False)).alias("nt"))
-    both = n.join(q, F.lit(True))  # a stated set of queries against all nodes
+    head = lambda k: F.substring(k, 1, 3)
+    inside = q.select("query_id", F.explode(_grams(F.col("qk"))).alias("g")).join(n.filter("key <> ''").select("key", head(F.col("key")).alias("g")), "g")
+    around = q.filter("qk <> ''").select("query_id", head(F.col("qk")).alias("g")).join(n.select("key", F.explode(_grams(F.col("key"))).alias("g")), "g")
+    shared = q.select("query_id", F.explode("qt").alias("g")).join(n.select("key", F.explode("nt").alias("g")), "g")
+    pairs = inside.select("query_id", "key").unionByName(around.select("query_id", "key")).unionByName(shared.select("query_id", "key")).distinct()
+    both = pairs.join(q, "query_id").join(n, "key")
     key, qk = F.col("key"), F.col("qk")
-    shared = F.size(F.array_intersect("qt", "nt")) / F.nullif(F.size("nt"), F.lit(0)) * 0.7
-    score = F.when((qk != "") & (qk == key), 1.0).when((qk != "") & F.contains(key, qk), 0.85).when(F.contains(qk, key), 0.8).otherwise(F.coalesce(shared, F.lit(0.0)))
+    overlap = F.size(F.array_intersect("qt", "nt")) / F.nullif(F.size("nt"), F.lit(0)) * 0.7
+    score = F.when((qk != "") & (qk == key), 1.0).when((qk != "") & F.contains(key, qk), 0.85).when(F.contains(qk, key), 0.8).otherwise(F.coalesce(overlap, F.lit(0.0)))
     hit = both.withColumn("s", score).filter(F.col("s") > 0.05).withColumn("score", F.round(F.col("s") + F.least(F.lit(0.1), F.col("mentions") * 0.01), 4))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
     return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "key", "score", "rank")
 
 
+def search_entities_by_degree(queries: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
+    """The other store's answer: names that contain the query, the best connected first, all at 1.0."""
+    own = queries.select("query_id", F.lower("query").alias("low")).filter("low <> ''")
+    names = nodes.select("key", F.lower("name").alias("name"))
+    head = own.select("query_id", "low", F.substring("low", 1, 3).alias("g")).join(names.select("key", "name", F.explode(_grams(F.col("name"))).alias("g")), "g")
+    hit = head.filter(F.contains("name", F.col("low"))).select("query_id", "key").distinct().join(degrees(nodes, edges), "key")
+    w = Window.partitionBy("query_id").orderBy(F.col("degree").desc(), "key")
+    return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("query_id", "key", F.lit(1.0).alias("score"), "rank")
+
+
 def _steps(edges: DataFrame) -> DataFrame:
     """Edges in both directions, one for each pair of nodes: out before in, then type."""
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type", "confidence", "chunk_id", F.lit(0).alias("back"))
@@ -68,31 +92,43 @@ def _steps(edges: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.min(F.struct("back", "type", "confidence", "chunk_id")).alias("e")).select("a", "b", "e.*")
 
 
-def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int = 60) -> DataFrame:
+def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int | Column = 60, per: str = "seed", weakest: bool = False) -> DataFrame:
     """(seed, path, types, chunks, hops, score, rank): simple paths from each seed (key), scored by the last edge's confidence times .75 a hop.
 
-    One join for each hop, at most ``depth`` of them."""
-    steps = _steps(edges)
-    now = seeds.select(F.col("key").alias("seed"), F.array("key").alias("path"), F.array().cast("array<string>").alias("types"), F.array().cast("array<string>").alias("chunks"), F.lit(0.0).alias("confidence"))
+    ``per`` is what ``limit`` counts for: each seed, or another column of ``seeds`` (a question, whose seeds share the limit), which is returned
+    as well; ``limit`` and ``depth`` may also be columns of ``seeds``. ``weakest`` scores by a path's least confidence, as the other store does. One join for each hop."""
+    steps, group = _steps(edges), [] if per == "seed" else [per]
+    most = depth if isinstance(depth, int) else 4
+    carried = [c for c in ("depth", "limit") if c in seeds.columns]
+    none = F.array().cast("array<string>")
+    now = seeds.select(*group, *carried, F.col("key").alias("seed"), F.array("key").alias("path"), none.alias("types"), none.alias("chunks"), F.lit(1.0).alias("confidence"))
     out = None
-    for hop in range(1, depth + 1):
-        now = now.withColumn("a", F.element_at("path", -1)).drop("confidence").join(steps, "a").filter(~F.array_contains("path", F.col("b")))
-        now = now.select("seed", F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.concat("chunks", F.array("chunk_id")).alias("chunks"), "confidence")
-        own = now.select("seed", "path", "types", "chunks", F.lit(hop).alias("hops"), F.round(F.col("confidence") * 0.75 ** (hop - 1), 4).alias("score"))
+    for hop in range(1, most + 1):
+        here = now.filter(F.col("depth") >= hop) if "depth" in carried else now
+        now = here.withColumn("a", F.element_at("path", -1)).withColumnRenamed("confidence", "before").join(steps, "a").filter(~F.array_contains("path", F.col("b")))
+        strength = F.least("before", "confidence") if weakest else F.col("confidence")
+        now = now.select(*group, *carried, "seed", F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.concat("chunks", F.array("chunk_id")).alias("chunks"), strength.alias("confidence"))
+        own = now.select(*group, *carried, "seed", "path", "types", "chunks", F.lit(hop).alias("hops"), F.round(F.col("confidence") * 0.75 ** (hop - 1), 4).alias("score"))
         out = own if out is None else out.unionByName(own)
-    w = Window.partitionBy("seed").orderBy("hops", "path")
-    found = out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit)  # breadth first, then the limit
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy(F.col("score").desc(), "hops", "path"))).drop("n")
+    by = per if group else "seed"
+    w = Window.partitionBy(by).orderBy("hops", "path")
+    found = out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= (F.col("limit") if "limit" in carried else limit))  # breadth first, then the limit
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc(), "hops", "path"))).drop("n", *carried)
 
 
 def paths_between(pairs: DataFrame, edges: DataFrame, max_depth: int = 4, limit: int = 10) -> DataFrame:
-    """(src, dst, path, score): up to ``limit`` simple undirected paths of each pair, shorter first, score .9 a hop beyond the first."""
-    steps = _steps(edges).select("a", "b")
-    now, out = pairs.select("src", "dst", F.array("src").alias("path")), None
+    """(src, dst, path, chunks, hops, score): up to ``limit`` simple undirected paths of each pair, shorter first, score .9 a hop beyond the first.
+
+    The last hop of a path is looked up by both of its ends, so paths that miss the target are never made."""
+    steps = _steps(edges).select("a", "b", "chunk_id")
+    carried = ["depth"] if "depth" in pairs.columns else []
+    now, out = pairs.select("src", "dst", *carried, F.array("src").alias("path"), F.array().cast("array<string>").alias("chunks")).distinct(), None
     for hop in range(1, max_depth + 1):
-        now = now.withColumn("a", F.element_at("path", -1)).filter(F.col("a") != F.col("dst")).join(steps, "a").filter(~F.array_contains("path", F.col("b"))).select("src", "dst", F.concat("path", F.array("b")).alias("path"))
-        own = now.filter(F.element_at("path", -1) == F.col("dst")).select("src", "dst", "path", F.lit(hop).alias("hops"), F.lit(round(0.9 ** (hop - 1), 4)).alias("score"))
+        here = (now.filter(F.col("depth") >= hop) if carried else now).withColumn("a", F.element_at("path", -1)).filter(F.col("a") != F.col("dst"))
+        own = here.join(steps.withColumnRenamed("b", "dst"), ["a", "dst"]).select("src", "dst", F.concat("path", F.array("dst")).alias("path"), F.concat("chunks", F.array("chunk_id")).alias("chunks"), F.lit(hop).alias("hops"), F.lit(round(0.9 ** (hop - 1), 4)).alias("score"))
         out = own if out is None else out.unionByName(own)
+        if hop < max_depth:
+            now = here.join(steps, "a").filter(~F.array_contains("path", F.col("b")) & (F.col("b") != F.col("dst"))).select("src", "dst", *carried, F.concat("path", F.array("b")).alias("path"), F.concat("chunks", F.array("chunk_id")).alias("chunks"))
     w = Window.partitionBy("src", "dst").orderBy("hops", "path")
     return out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= limit).drop("n")
 
@@ -104,9 +140,10 @@ def shortest(pairs: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFram
 
 
 def export(nodes: DataFrame, edges: DataFrame, limit: int = 300, document_id=None) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the highest degree and the edges among them."""
+    """Nodes of the highest degree and the edges among them; ``truncated`` on the nodes says whether some were left out."""
     own = nodes if document_id is None else nodes.filter(F.array_contains("documents", document_id))
-    top = own.join(degrees(nodes, edges), "key").orderBy(F.col("degree").desc(), "key").limit(limit)
+    total = own.agg((F.count(F.lit(1)) > limit).alias("truncated"))  # one row
+    top = own.join(degrees(nodes, edges), "key").orderBy(F.col("degree").desc(), "key").limit(limit).crossJoin(F.broadcast(total))
     ends = top.select("key")
     inner = edges.join(ends.withColumnRenamed("key", "src"), "src", "left_semi").join(ends.withColumnRenamed("key", "dst"), "dst", "left_semi")
     return top, inner
@@ -127,8 +164,9 @@ def subgraph(paths: DataFrame) -> DataFrame:
     return step.select(F.element_at("path", F.col("i") + 1).alias("src"), F.element_at("path", F.col("i") + 2).alias("dst"), "type").distinct()
 
 
-def documents_for_entity(nodes: DataFrame, documents: DataFrame, key: str) -> DataFrame:
-    own = nodes.filter(F.col("key") == key).select(F.explode("documents").alias("document_id"))
+def documents_for_entity(nodes: DataFrame, documents: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents of each entity of ``keys`` (key)."""
+    own = nodes.join(keys.select("key"), "key", "left_semi").select("key", F.explode("documents").alias("document_id"))
     return own.join(documents, "document_id")
 
 

@@ -11,16 +11,24 @@ def _round(c, n=6):
 
 
 def ranking_metrics(results: DataFrame, labels: DataFrame, k: int = 8) -> DataFrame:
-    """Recall, precision, reciprocal rank, nDCG and hit of each query; null without labels. ``results``: (query_id, item, rank); ``labels``: (query_id, item, gain).
+    """Recall, precision, reciprocal rank, nDCG and hit of each query; null without labels. ``results``: (query_id, item, rank); ``labels``: (query_id, item, gain),
+    or (item, gain) where they hold for every query; the ideal is then computed once.
 
     Precision divides by the results returned, up to k; the reciprocal rank looks at the whole list."""
-    joined = results.join(labels, ["query_id", "item"], "left")
+    each = "query_id" in labels.columns
+    joined = results.join(labels, ["query_id", "item"] if each else ["item"], "left")
     top = F.col("rank") <= k
     good = F.col("gain") > 0
     per = joined.groupBy("query_id").agg(F.count_if(top & good).alias("hits"), F.count_if(top).alias("returned"), F.min(F.when(good, F.col("rank"))).alias("first"), F.sum(F.when(top & good, F.col("gain") / F.log2(F.col("rank") + 1.0))).alias("dcg"))
-    own = labels.filter(good).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "item")))
-    ideal = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("r") <= k, F.col("gain") / F.log2(F.col("r") + 1.0))).alias("idcg"))
-    d = per.join(ideal, "query_id", "left")
+    if each:
+        own = labels.filter(good).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("gain").desc(), "item")))
+        ideal = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"), F.sum(F.when(F.col("r") <= k, F.col("gain") / F.log2(F.col("r") + 1.0))).alias("idcg"))
+        d = per.join(ideal, "query_id", "left")
+    else:
+        relevant = labels.filter(good).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("relevant"))
+        best = labels.filter(good).orderBy(F.col("gain").desc(), "item").limit(k).agg(F.sort_array(F.collect_list("gain"), asc=False).alias("g"))  # k gains
+        idcg = F.aggregate(F.transform("g", lambda x, i: x / F.log2(i + 2.0)), F.lit(0.0), lambda s, x: s + x)
+        d = per.crossJoin(F.broadcast(relevant.crossJoin(best.select(idcg.alias("idcg")))))
     known = F.col("relevant").isNotNull()
     return d.select(
         "query_id",
@@ -71,8 +79,9 @@ def strategy_usage(log: DataFrame, strategies: str = "strategies") -> DataFrame:
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The latest completed run of each strategy."""
-    w = Window.partitionBy("strategy").orderBy(F.col("created_at").desc(), F.col("run_id").desc())
-    return runs.filter(F.col("status") == "completed").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") == 1).drop("rn")
+    own = runs.filter(F.col("status") == "completed")
+    latest = own.groupBy("strategy").agg(F.max_by(F.struct(*own.columns), F.struct("created_at", "run_id")).alias("r"))  # combined before the exchange
+    return latest.select("r.*")
 
 
 def best_per_metric(runs: DataFrame, metrics: list[str], lower_is_better: list[str]) -> DataFrame:

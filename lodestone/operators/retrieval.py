@@ -5,6 +5,8 @@ Queries are a DataFrame and every operator works on all of them at once.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,57 +17,101 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(chunk_id, term, tf, dl): function words stay in the index. Map-side combine collapses a chunk's repeats."""
-    words = X.tokenize(text, content=False)
-    own = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(F.array(words)).alias("w")).select("chunk_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-    return own.groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(chunk_id, dl, first, term, tf): function words stay in the index. A chunk's words are counted in its own row, so nothing is
+    shuffled; ``first`` marks one row of each chunk, and a chunk without words has one with a null term."""
+    own = chunks.select(F.col(chunk_id).alias("chunk_id"), F.explode(F.array(X.tokenize(text, content=False))).alias("w"))
+    own = own.select("chunk_id", F.size("w").cast("long").alias("dl"), F.posexplode_outer(X.term_counts(F.col("w"))).alias("pos", "term", "tf"))
+    return own.select("chunk_id", "dl", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), "term", F.col("tf").cast("long").alias("tf"))
 
 
-def doc_lengths(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content") -> DataFrame:
-    return chunks.select(F.col(chunk_id).alias("chunk_id"), F.size(X.tokenize(text, content=False)).cast("long").alias("dl"))
+def term_stats(posts: DataFrame) -> DataFrame:
+    """(term, df, tf, chunks, words): what scoring needs of the corpus, from one pass over the postings; sums of chunks and words are of the corpus."""
+    first = F.col("first")
+    return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.count_if(first).alias("chunks"), F.sum(F.when(first, F.col("dl")).otherwise(0)).alias("words"))
 
 
-def term_idf(posts: DataFrame, n_chunks: Column | int) -> DataFrame:
-    """(term, df, idf): a negative idf becomes EPSILON times the mean over the vocabulary."""
-    n = F.lit(n_chunks) if isinstance(n_chunks, int) else n_chunks
-    raw = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+def term_idf(stats: DataFrame) -> DataFrame:
+    """(term, df, tf, idf, avgdl): a negative idf becomes EPSILON times the mean over the vocabulary."""
+    whole = stats.agg(F.sum("chunks").alias("n"), (F.sum("words") / F.sum("chunks")).alias("avgdl"))  # one row
+    raw = stats.filter(F.col("term").isNotNull()).crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("term", "df", "tf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
-def bm25(queries: DataFrame, posts: DataFrame, idf: DataFrame, lengths: DataFrame, limit: int, allowed: DataFrame | None = None, query_id: str = "query_id", query: str = "query") -> DataFrame:
-    """(query_id, chunk_id, raw, score, rank). Corpus statistics cover all chunks; ``allowed`` (chunk_id) only filters results.
+def bm25(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int, allowed: DataFrame | None = None, query_id: str = "query_id", query: str = "query", part: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, *part, chunk_id, raw, score, rank). Corpus statistics cover all chunks; ``allowed`` (chunk_id, *part) only filters results, and
+    each value of ``part`` has a list of its own.
 
-    The join keeps only postings of terms that some query has; sums are combined before the shuffle and
-    top-k windows are over a query's matches."""
-    avgdl = lengths.agg(F.avg("dl").alias("avgdl"))  # one row
+    Postings meet the queries' terms before any exchange, sums are combined before the shuffle, and top-k windows are over a query's matches."""
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokenize(query, content=False)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-    use = posts if allowed is None else posts.join(allowed, "chunk_id", "left_semi")
-    hit = terms.join(idf.select("term", "idf"), "term").join(use, "term").crossJoin(F.broadcast(avgdl))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    raw = hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("raw")).filter(F.col("raw") > 0)
-    best = Window.partitionBy("query_id")
+    terms = terms.join(idf.select("term", "idf", "avgdl"), "term")
+    weight = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    use = posts if allowed is None else posts.join(allowed.select("chunk_id", *part), "chunk_id")
+    raw = use.join(terms, "term").groupBy("query_id", *part, "chunk_id").agg(F.sum(weight).alias("raw")).filter(F.col("raw") > 0)
+    best = Window.partitionBy("query_id", *part)
     ranked = raw.withColumn("rank", F.row_number().over(best.orderBy(F.round("raw", 9).desc(), "chunk_id"))).filter(F.col("rank") <= limit)
     return ranked.withColumn("score", F.round(F.col("raw") / F.max("raw").over(best), 6))
 
 
-def dense(queries: DataFrame, vectors: DataFrame, limit: int, threshold: float | None = None, exclude_self: bool = False) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by cosine over all vectors: the exact search of a stated query set.
-
-    Both sides are normalised once. Queries are gathered into blocks, each vector meets each block and keeps nothing but
-    its scores; the top-k window follows a per-partition sort."""
-    q = queries.select("query_id", X.l2_normalize(F.col("vector")).alias("qv"))
-    v = vectors.select("chunk_id", X.l2_normalize(F.col("vector")).alias("cv"))
-    pairs = v.join(q, F.lit(True))
-    if exclude_self:
-        pairs = pairs.filter(F.col("query_id") != F.col("chunk_id"))
-    scored = pairs.select("query_id", "chunk_id", F.round(X.dot(F.col("qv"), F.col("cv")), 6).alias("score"))
+#: Queries whose vectors are sent to the tasks together.
+QUERY_BLOCK = 2048
+
+
+def dense(queries: DataFrame, vectors: DataFrame, limit: int, threshold: float | None = None, exclude_self: bool = False, part: str | None = None) -> DataFrame:
+    """(query_id, *part, chunk_id, score, rank) by cosine over all vectors: the exact search of a stated query set, in blocks.
+
+    The vectors of up to ``QUERY_BLOCK`` queries are sent to the tasks; a batch of vectors meets them in one matrix product and
+    passes on its best ``limit`` of each query, so the shuffle holds a few rows a task. ``part`` names a column of ``vectors`` each of
+    whose values has a list of its own."""
+    spark, sch = vectors.sparkSession, {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
+    block = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)
+    n = queries.count()
+    blocks = [queries.select("query_id", "vector")] if n <= QUERY_BLOCK else [queries.select("query_id", "vector", block.alias("b")).filter(F.col("b") == i) for i in range(-(-n // QUERY_BLOCK))]
+    names = ["query_id", *([part] if part else []), "chunk_id", "score"]
+    kinds = f"query_id {sch['query_id']}, {f'{part} {sch[part]}, ' if part else ''}chunk_id {sch['chunk_id']}, score double"
+    found = None
+    for own in blocks:
+        rows = own.select("query_id", "vector").toPandas()  # at most QUERY_BLOCK rows
+        shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["vector"])))
+
+        def run(batches, shared=shared):
+            ids, q = shared.value
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                scores = _unit(pdf["vector"]) @ q.T
+                rounded = np.sign(scores) * np.floor(np.abs(scores) * 1e6 + 0.5)
+                chunk, groups = pdf["chunk_id"].to_numpy(), [np.arange(len(pdf))] if part is None else [g.to_numpy() for g in pdf.reset_index(drop=True).groupby(part, dropna=False).groups.values()]
+                out = []
+                for i in range(len(ids)):
+                    for g in groups:
+                        if exclude_self:
+                            g = g[chunk[g] != ids[i]]
+                        r = rounded[g, i]
+                        if len(g) > limit:  # the best of the batch; of equal scores the least ids
+                            least = -np.partition(-r, limit - 1)[limit - 1]
+                            sure, tied = g[r > least], g[r == least]
+                            g = np.concatenate((sure, tied[np.argsort(chunk[tied], kind="stable")][: limit - len(sure)]))
+                        if len(g):
+                            out.append(pd.DataFrame({"query_id": ids[i], **({part: pdf[part].to_numpy()[g]} if part else {}), "chunk_id": chunk[g], "score": scores[g, i]}))
+                if out:
+                    yield pd.concat(out)[names]
+
+        hits = vectors.select(*([part] if part else []), "chunk_id", "vector").mapInPandas(run, kinds)
+        found = hits if found is None else found.unionByName(hits)
+    scored = found.withColumn("score", F.round("score", 6))
     if threshold is not None:
         scored = scored.filter(F.col("score") >= threshold)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    w = Window.partitionBy("query_id", *([part] if part else [])).orderBy(F.col("score").desc(), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def _unit(vectors: pd.Series) -> np.ndarray:
+    v = np.array([np.asarray(x, np.float64) for x in vectors]).reshape(len(vectors), -1)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return v / np.where(norm == 0, 1.0, norm)
+
+
 def payload_filter(chunks: DataFrame, documents: list | None = None, modalities: list[str] | None = None, excluded: list | None = None) -> DataFrame:
     out = chunks
     if documents:
@@ -107,8 +153,9 @@ def _ranked(scored: DataFrame) -> DataFrame:
 def rrf(lists: DataFrame, weights: dict[str, float] | None = None, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (query_id, strategy, list_no, rank, chunk_id, score): normalised by a query's best.
 
-    Ties keep the order in which chunks first appear, list by list."""
-    weight = F.lit(1.0)
+    A column ``weight`` of the lists is their weight where ``weights`` doesn't name the list. Ties keep the order in which chunks
+    first appear, list by list."""
+    weight = F.col("weight") if "weight" in lists.columns else F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("strategy") == name, w).otherwise(weight)
     own = lists.withColumn("part", weight / (k + F.col("rank")))
@@ -145,11 +192,11 @@ def provenance(lists: DataFrame) -> DataFrame:
     )
 
 
-def diversify(ranked: DataFrame, per_document: int) -> DataFrame:
-    """The first ``per_document`` of each document stay in front, the rest follows; a single document is left alone."""
+def diversify(ranked: DataFrame, per_document: int | Column) -> DataFrame:
+    """The first ``per_document`` of each document stay in front, the rest follows; a single document is left alone, and so is a null ``per_document``."""
     nth = F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy("rank"))
     documents = F.size(F.collect_set("document_id").over(Window.partitionBy("query_id")))
-    own = ranked.withColumn("late", (nth > per_document) & (documents > 1))
+    own = ranked.withColumn("late", F.coalesce((nth > per_document) & (documents > 1), F.lit(False)))
     return own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("late", "rank"))).drop("late")
 
 
@@ -191,19 +238,24 @@ def deduplicate(ranked: DataFrame, threshold: float = 0.92) -> DataFrame:
     return left.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
-def heuristic_rerank(ranked: DataFrame, prefer: list[str] | None = None) -> DataFrame:
-    """Needs query, content, score, n_sources, modality, ordinal and token_count; gives score and rank anew."""
+def heuristic_rerank(ranked: DataFrame, prefer: list[str] | Column | None = None, apply: Column | None = None) -> DataFrame:
+    """Needs query, content, score, n_sources, modality, ordinal and token_count; gives score and rank anew, where ``apply`` holds.
+
+    ``prefer`` are favoured modalities, as a list or a column of arrays."""
     terms = F.array_distinct(F.transform(X.technical_terms("query"), F.lower))
     covered = X.coverage(X.tokenize("query"), X.tokenize("content"))
     hits = F.size(F.filter(terms, lambda t: F.contains(F.lower("content"), t)))
     exact = F.when(F.size(terms) == 0, 0.0).otherwise(hits / F.size(terms))
     agreed = F.least(F.lit(0.12), 0.06 * F.greatest(F.lit(0), F.col("n_sources") - 1))
-    favoured = F.when(F.col("modality").isin(prefer), 0.10).otherwise(0.0) if prefer else F.lit(0.0)
+    preferred = F.array_contains(prefer, F.col("modality")) if isinstance(prefer, Column) else F.col("modality").isin(prefer or [])
+    favoured = F.when(preferred, 0.10).otherwise(0.0)
     early = F.when(F.col("ordinal") <= 3, 0.03).otherwise(0.0)
     short = F.when((F.col("token_count") > 0) & (F.col("token_count") < 40), -0.08).otherwise(0.0)
     score = F.col("score") * 0.62 + covered * 0.16 + exact * 0.14 + agreed + favoured + early + short
-    new = ranked.withColumns({"base": F.col("score"), "coverage": covered, "exact": exact}).withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
-    return new.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "rank")))
+    new = ranked.withColumns({"base": F.col("score"), "coverage": covered, "exact": exact})
+    new = new.withColumn("score", F.when(F.lit(True) if apply is None else apply, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6)).otherwise(F.col("score")))
+    by = F.col("score").desc() if apply is None else F.when(apply, F.col("score")).desc()
+    return new.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(by, "rank")))
 
 
 def flat_scores(ranked: DataFrame, threshold: float = 0.045) -> DataFrame:

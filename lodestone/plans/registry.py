@@ -17,6 +17,7 @@ from lodestone.operators import retrieval as R
 from lodestone.operators import verify as V
 from lodestone.plans import strategies as S
 from lodestone.sources import parsers as P
+from lodestone.sources.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,9 +42,18 @@ class Tables:
 
 
 def chunks_of(t: Tables) -> DataFrame:
-    """Documents as chunks of their source, in id order."""
-    d = t.documents
-    return d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("ordinal"), F.col("text").alias("content"), F.lit("text").alias("modality"), X.estimate_tokens("text").alias("token_count"))
+    """Documents as chunks of their source; every tenth stands for a table and the one after it for a figure."""
+    kind = F.when(F.col("doc_id") % 10 == 0, "table").when(F.col("doc_id") % 10 == 1, "figure").otherwise("text")
+    return t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content"), kind.alias("modality"), X.estimate_tokens("text").alias("token_count"))
+
+
+def ordinals_of(t: Tables) -> DataFrame:
+    """(chunk_id, document_id, ordinal): chunks numbered within their source in id order, without their texts."""
+    return t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("ordinal"))
+
+
+def postings_of(t: Tables) -> DataFrame:
+    return R.postings(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
 
 
 def questions_of(t: Tables) -> DataFrame:
@@ -93,10 +103,9 @@ fused AS (SELECT query_id, chunk_id, score, n_sources, row_number() OVER (PARTIT
 _RANKED = f"WITH {_BM25}, {_COVER}, {_LISTS}, {_FUSED}"
 
 
-def sparse_of(t: Tables, limit: int = 20) -> DataFrame:
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    posts, lengths = R.postings(chunks), R.doc_lengths(chunks)
-    return R.bm25(questions_of(t), posts, R.term_idf(posts, lengths.count()), lengths, limit)
+def sparse_of(t: Tables, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
+    posts = postings_of(t)
+    return R.bm25(questions_of(t), posts, stored(R.term_idf(R.term_stats(posts)), "idf"), limit, allowed)
 
 
 def coverage_of(t: Tables, limit: int = 20) -> DataFrame:
@@ -212,11 +221,7 @@ def vector_normalize(spark, d):
 
 @query(f"WITH {_BM25} SELECT term, df, round(idf, 9) AS idf, CAST((SELECT sum(tf) FROM posts p WHERE p.term = idf.term) AS BIGINT) AS tf FROM idf")
 def bm25_index(spark, d):
-    t = Tables(spark, d)
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    posts = R.postings(chunks)
-    total = posts.groupBy("term").agg(F.sum("tf").alias("tf"))
-    return R.term_idf(posts, t.documents.count()).join(total, "term").select("term", "df", F.round("idf", 9).alias("idf"), "tf")
+    return R.term_idf(R.term_stats(postings_of(Tables(spark, d)))).select("term", "df", F.round("idf", 9).alias("idf"), "tf")
 
 
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM sparse")
@@ -227,11 +232,8 @@ def bm25_top_k(spark, d):
 @query(f"WITH {_BM25}, en AS (SELECT bm.query_id, bm.chunk_id, raw FROM bm JOIN documents ON doc_id = chunk_id WHERE lang = 'en' AND source NOT IN ('src1', 'src2')), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 9) DESC, chunk_id) AS rank FROM en) SELECT query_id, chunk_id, rank, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM r WHERE rank <= 5")
 def bm25_filtered(spark, d):
     t = Tables(spark, d)
-    chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    posts, lengths = R.postings(chunks), R.doc_lengths(chunks)
     allowed = R.payload_filter(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("lang").alias("modality")), modalities=["en"]).filter(~F.col("document_id").isin("src1", "src2"))
-    found = R.bm25(questions_of(t), posts, R.term_idf(posts, lengths.count()), lengths, 5, allowed.select("chunk_id"))
-    return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
+    return sparse_of(t, 5, allowed.select("chunk_id")).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
@@ -259,12 +261,12 @@ n AS (SELECT DISTINCT f.query_id, o2.chunk_id FROM five f JOIN ord o USING (chun
 SELECT n.query_id, n.chunk_id, round(0.35 * (SELECT max(score) FROM five WHERE five.query_id = n.query_id), 6) AS score FROM n WHERE NOT EXISTS (SELECT 1 FROM five WHERE five.query_id = n.query_id AND five.chunk_id = n.chunk_id)""")
 def expand_neighbors(spark, d):
     t = Tables(spark, d)
-    return R.expand_neighbors(R.truncate(sparse_of(t), 5).select("query_id", "chunk_id", "score"), chunks_of(t))
+    return R.expand_neighbors(R.truncate(sparse_of(t), 5).select("query_id", "chunk_id", "score"), ordinals_of(t))
 
 
 @query(f"WITH {_ORD} SELECT chunk_id, document_id, ordinal, lag(chunk_id) OVER w AS before, lead(chunk_id) OVER w AS after FROM ord WINDOW w AS (PARTITION BY document_id ORDER BY ordinal)")
 def around_chunk(spark, d):
-    return R.around(chunks_of(Tables(spark, d))).withColumn("ordinal", F.col("ordinal").cast("long"))
+    return R.around(ordinals_of(Tables(spark, d))).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
 # -- fusion and ranking
@@ -297,14 +299,15 @@ def document_diversity(spark, d):
 
 
 def reranked_of(t: Tables) -> DataFrame:
-    return R.heuristic_rerank(fused_of(t).join(chunks_of(t), "chunk_id").join(questions_of(t), "query_id"), ["table"])
+    own = fused_of(t).join(ordinals_of(t).select("chunk_id", "ordinal"), "chunk_id").join(chunks_of(t), "chunk_id")
+    return R.heuristic_rerank(own.join(questions_of(t), "query_id"), ["table"])
 
 
 _RERANK = f"""
 rr0 AS (SELECT f.*, b.text AS query, d.text AS content, d.ordinal, {_TOKENS.format('d.text')} AS token_count FROM fused f JOIN benchmark b ON item_id = query_id JOIN (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM documents) d ON d.doc_id = f.chunk_id),
 rr1 AS (SELECT *, list_distinct({_content('query')}) AS q, list_distinct({_content('content')}) AS c FROM rr0),
 rr2 AS (SELECT *, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / len(q) END AS cover FROM rr1),
-rr3 AS (SELECT *, round(greatest(0.0, least(1.0, score * 0.62 + cover * 0.16 + least(0.12, 0.06 * greatest(0, n_sources - 1)) + CASE WHEN ordinal <= 3 THEN 0.03 ELSE 0.0 END + CASE WHEN token_count > 0 AND token_count < 40 THEN -0.08 ELSE 0.0 END)), 6) AS new_score FROM rr2),
+rr3 AS (SELECT *, round(greatest(0.0, least(1.0, score * 0.62 + cover * 0.16 + least(0.12, 0.06 * greatest(0, n_sources - 1)) + CASE WHEN chunk_id % 10 = 0 THEN 0.1 ELSE 0.0 END + CASE WHEN ordinal <= 3 THEN 0.03 ELSE 0.0 END + CASE WHEN token_count > 0 AND token_count < 40 THEN -0.08 ELSE 0.0 END)), 6) AS new_score FROM rr2),
 rr AS (SELECT query_id, chunk_id, new_score AS score, round(cover, 6) AS coverage, row_number() OVER (PARTITION BY query_id ORDER BY new_score DESC, rank) AS rank FROM rr3)
 """.strip()
 
@@ -561,7 +564,8 @@ def duplicate_uploads(spark, d):
 
 @query()
 def entity_chunk_selection(spark, d):
-    own = chunks_of(Tables(spark, d)).withColumn("section_path", F.array(F.when(F.col("ordinal") % 4 == 0, "Results").otherwise("Other")))
+    t = Tables(spark, d)
+    own = ordinals_of(t).join(chunks_of(t).drop("document_id"), "chunk_id").withColumn("section_path", F.array(F.when(F.col("ordinal") % 4 == 0, "Results").otherwise("Other")))
     return I.select_chunks(own).select("chunk_id", "document_id", "tokens", "score", "rank")
 
 
@@ -580,14 +584,11 @@ def hash_embedding(spark, d):
 # -- graph
 
 
-def graph_of(t: Tables, as_sql: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Customers' nations bought from suppliers' nations: a graph with types, weights and evidence.
-
-    ``as_sql`` keeps the rows that ``_GRAPH`` keeps, about one in 97; without it all lineitems count."""
+def graph_of(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers' nations bought from suppliers' nations: a graph with types, weights and evidence from all lineitems."""
     li, o, c, s, n = t.lineitem, t.orders, t.customer, t.supplier, t.nation
     buys = li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, F.col("l_suppkey") == s.s_suppkey)
     raw = buys.select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b"), "l_returnflag", "l_orderkey", "l_linenumber", "l_discount")
-    raw = raw.filter(F.col("l_orderkey") % 97 == F.col("b")) if as_sql else raw
     name = n.select("n_nationkey", "n_name")
     rel = raw.join(name.withColumnsRenamed({"n_nationkey": "a", "n_name": "source"}), "a").join(name.withColumnsRenamed({"n_nationkey": "b", "n_name": "target"}), "b")
     rel = rel.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), "source", "target", F.concat(F.lit("FLAG_"), "l_returnflag").alias("relation_type"), (0.5 + F.col("l_discount")).alias("confidence"), F.col("l_orderkey").cast("string").alias("chunk_id"), F.concat(F.lit("doc"), (F.col("l_orderkey") % 5).cast("string")).alias("document_id"))
@@ -598,7 +599,7 @@ def graph_of(t: Tables, as_sql: bool = False) -> tuple[DataFrame, DataFrame]:
 
 _GRAPH = """
 nk AS (SELECT n_nationkey, n_regionkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM nation),
-raw AS (SELECT a.key AS src, b.key AS dst, 'FLAG_' || l_returnflag AS type, 0.5 + l_discount AS confidence, l_orderkey * 10 + l_linenumber AS seq, CAST(l_orderkey AS VARCHAR) AS chunk_id, 'doc' || (l_orderkey % 5) AS document_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nk a ON a.n_nationkey = c_nationkey JOIN nk b ON b.n_nationkey = s_nationkey WHERE l_orderkey % 97 = s_nationkey),
+raw AS (SELECT a.key AS src, b.key AS dst, 'FLAG_' || l_returnflag AS type, 0.5 + l_discount AS confidence, l_orderkey * 10 + l_linenumber AS seq, CAST(l_orderkey AS VARCHAR) AS chunk_id, 'doc' || (l_orderkey % 5) AS document_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nk a ON a.n_nationkey = c_nationkey JOIN nk b ON b.n_nationkey = s_nationkey),
 e AS (SELECT src, dst, type, max(confidence) AS confidence, count(*) AS weight, arg_min(chunk_id, seq) AS chunk_id, arg_min(document_id, seq) AS document_id FROM raw WHERE src <> dst GROUP BY src, dst, type),
 st0 AS (SELECT src AS a, dst AS b, 0 AS back, type, confidence, chunk_id FROM e UNION ALL SELECT dst, src, 1, type, confidence, chunk_id FROM e),
 st AS (SELECT a, b, m.type AS type, m.confidence AS confidence, m.chunk_id AS chunk_id FROM (SELECT a, b, min({'back': back, 'type': type, 'confidence': confidence, 'chunk_id': chunk_id}) AS m FROM st0 GROUP BY a, b))
@@ -607,7 +608,7 @@ st AS (SELECT a, b, m.type AS type, m.confidence AS confidence, m.chunk_id AS ch
 
 @query(f"WITH {_GRAPH} SELECT src, dst, type, round(confidence, 9) AS confidence, weight, chunk_id, document_id FROM e")
 def graph_merge(spark, d):
-    return graph_of(Tables(spark, d), as_sql=True)[1].select("src", "dst", "type", F.round("confidence", 9).alias("confidence"), "weight", "chunk_id", "document_id")
+    return graph_of(Tables(spark, d))[1].select("src", "dst", "type", F.round("confidence", 9).alias("confidence"), "weight", "chunk_id", "document_id")
 
 
 @query("SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS key, n_name AS name, CASE WHEN n_regionkey = 0 THEN 'CONCEPT' ELSE 'NATION' END AS type, CAST(1 AS BIGINT) AS mentions, 'doc' || n_regionkey AS documents FROM nation")
@@ -615,66 +616,70 @@ def graph_entities(spark, d):
     return graph_of(Tables(spark, d))[0].select("key", "name", "type", "mentions", F.array_join("documents", ",").alias("documents"))
 
 
-@query(f"""WITH {_GRAPH}, q AS (SELECT p_partkey AS query_id, p_type AS qk FROM (SELECT 0 AS p_partkey, 'united states' AS p_type UNION ALL SELECT 1, 'united' UNION ALL SELECT 2, 'the market of china and japan' UNION ALL SELECT 3, 'nation 7')),
-s AS (SELECT query_id, key, CASE WHEN qk = key THEN 1.0 WHEN contains(key, qk) THEN 0.85 WHEN contains(qk, key) THEN 0.8 ELSE 0.7 * len(list_intersect(list_distinct({_content('qk')}), list_distinct({_tok('n_name')}))) / len(list_distinct({_tok('n_name')})) END AS s FROM q, (SELECT key, n_name FROM nk JOIN nation USING (n_nationkey))),
+@query(f"""WITH {_GRAPH}, {_FORMS}, q AS (SELECT query_id, query, trim(regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')) AS qk FROM qs UNION ALL SELECT 100000 + n_nationkey, n_name, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) FROM nation UNION ALL SELECT 200000 + n_nationkey, n_name[1:4], trim(regexp_replace(lower(n_name[1:4]), '[^a-z0-9]+', ' ', 'g')) FROM nation),
+s AS (SELECT query_id, key, CASE WHEN qk <> '' AND qk = key THEN 1.0 WHEN qk <> '' AND contains(key, qk) THEN 0.85 WHEN contains(qk, key) THEN 0.8 ELSE 0.7 * len(list_intersect(list_distinct({_content('query')}), list_distinct({_tok('n_name')}))) / len(list_distinct({_tok('n_name')})) END AS s FROM q, (SELECT key, n_name FROM nk JOIN nation USING (n_nationkey))),
 r AS (SELECT query_id, key, round(s + 0.01, 4) AS score FROM s WHERE s > 0.05) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM r QUALIFY rank <= 10""")
 def graph_search(spark, d):
-    q = spark.createDataFrame([(0, "united states"), (1, "united"), (2, "the market of china and japan"), (3, "nation 7")], "query_id int, query string")
-    return G.search_entities(q, graph_of(Tables(spark, d))[0]).withColumn("rank", F.col("rank").cast("long"))
-
-
-_SEEDS = "SELECT key FROM nk WHERE n_nationkey IN (1, 5, 9)"
+    t = Tables(spark, d)
+    names = t.nation.select((F.col("n_nationkey") + 100000).alias("query_id"), F.col("n_name").alias("query"))
+    heads = t.nation.select((F.col("n_nationkey") + 200000).alias("query_id"), F.substring("n_name", 1, 4).alias("query"))
+    return G.search_entities(sample_questions(t).unionByName(names).unionByName(heads), graph_of(t)[0]).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _seeds(t: Tables, nodes: DataFrame) -> DataFrame:
-    names = t.nation.filter(F.col("n_nationkey").isin(1, 5, 9)).select(X.entity_key("n_name").alias("key"))
-    return nodes.select("key").join(names, "key", "left_semi")
+@query(f"""WITH {_GRAPH}, dg AS (SELECT nk.key, n_name, count(k.key) AS degree FROM nk JOIN nation USING (n_nationkey) LEFT JOIN (SELECT src AS key FROM e UNION ALL SELECT dst FROM e) k ON k.key = nk.key GROUP BY nk.key, n_name)
+SELECT q.n_nationkey AS query_id, key, CAST(1 AS DOUBLE) AS score, row_number() OVER (PARTITION BY q.n_nationkey ORDER BY degree DESC, key) AS rank FROM nation q, dg WHERE contains(lower(dg.n_name), lower(q.n_name[1:8])) QUALIFY rank <= 10""")
+def graph_search_by_degree(spark, d):
+    t = Tables(spark, d)
+    q = t.nation.select(F.col("n_nationkey").alias("query_id"), F.substring("n_name", 1, 8).alias("query"))
+    return G.search_entities_by_degree(q, *graph_of(t)).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {_GRAPH}, h1 AS (SELECT a AS seed, [a, b] AS path, [type] AS types, 1 AS hops, round(confidence, 4) AS score FROM st WHERE a IN ({_SEEDS})),
+@query(f"""WITH {_GRAPH}, h1 AS (SELECT a AS seed, [a, b] AS path, [type] AS types, 1 AS hops, round(confidence, 4) AS score FROM st),
 h2 AS (SELECT seed, list_append(path, b) AS path, list_append(types, st.type) AS types, 2 AS hops, round(st.confidence * 0.75, 4) AS score FROM h1 JOIN st ON st.a = path[2] WHERE NOT list_contains(path, b)),
 u AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, path) AS n FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2))
 SELECT seed, array_to_string(path, '>') AS path, array_to_string(types, ',') AS types, hops, score FROM u WHERE n <= 60""")
 def graph_neighborhood(spark, d):
     t = Tables(spark, d)
-    nodes, edges = graph_of(t, as_sql=True)
-    n = G.neighborhood(_seeds(t, nodes), edges)
+    nodes, edges = graph_of(t)
+    n = G.neighborhood(nodes.select("key"), edges)
     return n.select("seed", F.array_join("path", ">").alias("path"), F.array_join("types", ",").alias("types"), "hops", "score")
 
 
-@query(f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT p.src, p.dst, [p.src] AS path, 0 AS hops FROM (SELECT x.key AS src, y.key AS dst FROM nk x, nk y WHERE x.n_nationkey IN (1, 5) AND y.n_nationkey IN (9, 17)) p UNION ALL SELECT src, dst, list_append(path, b), hops + 1 FROM w JOIN st ON st.a = path[len(path)] WHERE path[len(path)] <> dst AND NOT list_contains(path, b) AND hops < 2),
+@query(f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT p.src, p.dst, [p.src] AS path, 0 AS hops FROM (SELECT x.key AS src, y.key AS dst FROM nk x, nk y WHERE x.key <> y.key) p UNION ALL SELECT src, dst, list_append(path, b), hops + 1 FROM w JOIN st ON st.a = path[len(path)] WHERE path[len(path)] <> dst AND NOT list_contains(path, b) AND hops < 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS n FROM w WHERE path[len(path)] = dst) SELECT src, dst, array_to_string(path, '>') AS path, hops, CAST(CASE hops WHEN 1 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM f""")
 def graph_paths(spark, d):
     t = Tables(spark, d)
-    _, edges = graph_of(t, as_sql=True)
-    key = t.nation.select("n_nationkey", X.entity_key("n_name").alias("key"))
-    pairs = key.filter(F.col("n_nationkey").isin(1, 5)).select(F.col("key").alias("src")).join(key.filter(F.col("n_nationkey").isin(9, 17)).select(F.col("key").alias("dst")), F.lit(True))
-    return G.paths_between(pairs, edges, 2, 1000).select("src", "dst", F.array_join("path", ">").alias("path"), "hops", "score")
+    _, edges = graph_of(t)
+    return G.paths_between(_pairs(t), edges, 2, 1000).select("src", "dst", F.array_join("path", ">").alias("path"), "hops", "score")
+
+
+def _pairs(t: Tables) -> DataFrame:
+    """All pairs of nations: 25 by 25, whatever the scale."""
+    key = t.nation.select(X.entity_key("n_name").alias("key"))
+    return key.select(F.col("key").alias("src")).join(key.select(F.col("key").alias("dst")), F.col("src") != F.col("dst"))
 
 
 @query()
 def graph_shortest(spark, d):
     t = Tables(spark, d)
     _, edges = graph_of(t)
-    key = t.nation.select("n_nationkey", X.entity_key("n_name").alias("key"))
-    pairs = key.select(F.col("key").alias("src")).join(key.select(F.col("key").alias("dst")), F.col("src") != F.col("dst"))
-    return G.shortest(pairs, edges, 3).select("src", "dst", F.array_join("path", ">").alias("path"), "hops")
+    return G.shortest(_pairs(t), edges, 3).select("src", "dst", F.array_join("path", ">").alias("path"), "hops")
 
 
 @query(f"WITH {_GRAPH}, dg AS (SELECT key, count(*) AS degree FROM (SELECT src AS key FROM e UNION ALL SELECT dst FROM e) GROUP BY key), top AS (SELECT nk.key FROM nk LEFT JOIN dg USING (key) ORDER BY coalesce(degree, 0) DESC, nk.key LIMIT 8) SELECT src, dst, type FROM e WHERE src IN (SELECT key FROM top) AND dst IN (SELECT key FROM top)")
 def graph_export(spark, d):
-    return G.export(*graph_of(Tables(spark, d), as_sql=True), limit=8)[1].select("src", "dst", "type")
+    return G.export(*graph_of(Tables(spark, d)), limit=8)[1].select("src", "dst", "type")
 
 
 @query(f"""WITH {_GRAPH}, dg AS (SELECT nk.key, count(k.key) AS degree FROM nk LEFT JOIN (SELECT src AS key FROM e UNION ALL SELECT dst FROM e) k USING (key) GROUP BY nk.key)
 SELECT 'total' AS kind, 'nodes' AS name, count(*) AS n FROM nk UNION ALL SELECT 'total', 'edges', count(*) FROM e UNION ALL SELECT 'node_type', CASE WHEN n_regionkey = 0 THEN 'CONCEPT' ELSE 'NATION' END, count(*) FROM nk GROUP BY 2 UNION ALL SELECT 'edge_type', type, count(*) FROM e GROUP BY type UNION ALL SELECT * FROM (SELECT 'top_degree', key, degree FROM dg ORDER BY degree DESC, key LIMIT 10)""")
 def graph_stats(spark, d):
-    return G.stats(*graph_of(Tables(spark, d), as_sql=True))
+    return G.stats(*graph_of(Tables(spark, d)))
 
 
 @query(f"WITH {_GRAPH}, l AS (SELECT * FROM e WHERE document_id <> 'doc1'), k AS (SELECT key FROM nk WHERE n_regionkey <> 1) SELECT src, dst, type FROM l WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)")
 def graph_delete(spark, d):
-    return G.delete_document(*graph_of(Tables(spark, d), as_sql=True), "doc1")[1].select("src", "dst", "type")
+    return G.delete_document(*graph_of(Tables(spark, d)), "doc1")[1].select("src", "dst", "type")
 
 
 @query()
@@ -692,12 +697,12 @@ def graph_paths_described(spark, d):
     return p.select("seed", "text", F.array_join("path_chunks", ",").alias("chunks"))
 
 
-@query("SELECT r_regionkey, r_name FROM region WHERE 'doc' || r_regionkey IN (SELECT 'doc' || n_regionkey FROM nation WHERE n_nationkey = 5)")
+@query(f"WITH {_GRAPH} SELECT key, r_regionkey, r_name FROM nk JOIN region ON r_regionkey = n_regionkey")
 def documents_for_entity(spark, d):
     t = Tables(spark, d)
     documents = t.region.withColumn("document_id", F.concat(F.lit("doc"), F.col("r_regionkey").cast("string")))
-    key = t.nation.filter(F.col("n_nationkey") == 5).select(X.entity_key("n_name")).first()[0]  # one row
-    return G.documents_for_entity(graph_of(t)[0], documents, key).select("r_regionkey", "r_name")
+    nodes = graph_of(t)[0]
+    return G.documents_for_entity(nodes, documents, nodes.select("key")).select("key", "r_regionkey", "r_name")
 
 
 # -- evaluation
@@ -714,8 +719,7 @@ def ranking_metrics(spark, d):
     t = Tables(spark, d)
     results = fused_of(t).select("query_id", F.col("chunk_id").alias("item"), "rank")
     good = t.labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("item"), F.lit(1.0).alias("gain"))
-    labels = questions_of(t).select("query_id").join(good, F.lit(True))  # quality labels hold for every question
-    return M.ranking_metrics(results, labels)
+    return M.ranking_metrics(results, good)  # quality labels hold for every question
 
 
 @query(f"{_RANKED} SELECT query_id, count(*) AS pooled FROM (SELECT DISTINCT query_id, chunk_id FROM lists WHERE rank <= 10) GROUP BY query_id")
@@ -834,7 +838,7 @@ def llm_cost(spark, d):
 def _strategy(name: str):
     def run(spark, d):
         t = Tables(spark, d)
-        found = S.REGISTRY_ALL[name](questions_of(t), S.build(chunks_of(t), name in ("graph", "adaptive", "agentic")))
+        found = S.REGISTRY_ALL[name](questions_of(t), S.build(chunks_of(t), ordinals_of(t), name in ("graph", "adaptive", "agentic")))
         return found.select("query_id", "chunk_id", "score", "rank", F.array_join("sources", ",").alias("sources"))
 
     run.__name__ = f"strategy_{name}"

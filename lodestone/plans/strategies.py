@@ -1,7 +1,9 @@
 """Retrieval strategies as compositions over a corpus: every strategy answers all queries at once.
 
-A strategy takes (queries, corpus, config) and gives (query_id, chunk_id, score, rank, sources). Steps that call a
-model are hooks; without one the deterministic path runs.
+The searches of a set of queries run once, at the widest pool (``searches``); each strategy then takes the front of the lists it
+needs. What may differ between queries (results, pool, weights, depth, reranking) are columns of a settings table, so a routed set of
+queries takes one pass for each strategy and not one for each setting. Steps that call a model are hooks; without one the
+deterministic path runs.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
@@ -18,6 +20,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import ingest as I
 from lodestone.operators import retrieval as R
 from lodestone.operators import verify as V
+from lodestone.sources.stored import stored
 
 
 @dataclass
@@ -31,176 +34,311 @@ class Config:
     dense_weight: float = 0.5
     sparse_weight: float = 0.5
     graph_depth: int = 2
+    rerank: bool = True
     modalities: list[str] = field(default_factory=list)
 
 
+#: Modalities that are seen rather than read, and the pool that no strategy but graph exceeds.
+VISUAL = ["figure", "image", "table", "ocr"]
+POOL = 40
+#: Longest list that any setting or repair asks for.
+WIDEST = 80
+NAMES = ["query_id", "chunk_id", "score", "rank", "sources"]
+
+
 @dataclass
 class Corpus:
-    """Chunks (chunk_id, document_id, ordinal, content, modality, token_count) and what is built from them once."""
+    """Chunks (chunk_id, document_id, content, modality, token_count), their ordinals (chunk_id, ordinal) and what is built from them once."""
 
     chunks: DataFrame
+    ordinals: DataFrame
     posts: DataFrame
     idf: DataFrame
-    lengths: DataFrame
     vectors: DataFrame
     nodes: DataFrame | None = None
     edges: DataFrame | None = None
     embed: Callable[[DataFrame, str], DataFrame] = lambda df, c: I.hash_embed(df, c)
-    #: Model hooks: a function from (query_id, query) to (query_id, query) with a hypothetical passage.
+    #: Model hooks: from (query_id, query) to (query_id, query) with a hypothetical passage; from poor queries (query_id, query, diagnosis)
+    #: to rewrites (query_id, n, rewrite); from queries and results to (query_id, chunk_id, judged).
     hypothesis: Callable[[DataFrame], DataFrame] | None = None
+    rewrites: Callable[[DataFrame], DataFrame] | None = None
+    judge: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
-def build(chunks: DataFrame, with_graph: bool = True) -> Corpus:
-    # every strategy reads these several times; partitions that are lost are computed again
-    posts = R.postings(chunks).persist()
-    lengths = R.doc_lengths(chunks).persist()
-    idf = R.term_idf(posts, lengths.count()).persist()
-    vectors = I.hash_embed(chunks.select("chunk_id", "content")).select("chunk_id", "vector").persist()
+def build(chunks: DataFrame, ordinals: DataFrame, with_graph: bool = True) -> Corpus:
+    """The indexes of ``chunks``, written once; every strategy reads them several times."""
+    posts = stored(R.postings(chunks), "postings")
+    idf = stored(R.term_idf(R.term_stats(posts)), "idf")
+    vectors = stored(I.hash_embed(chunks.select("chunk_id", "modality", "content")).select("chunk_id", "modality", "vector"), "vectors")
     nodes = edges = None
     if with_graph:
-        found = I.rule_entities(chunks)
-        nodes = G.merge_entities(found.withColumn("seq", F.struct("chunk_id", "pos"))).persist()
-        edges = I.co_occurrence(found).persist()
-    return Corpus(chunks, posts, idf, lengths, vectors, nodes, edges)
+        found = stored(I.rule_entities(chunks), "entities")
+        nodes = stored(G.merge_entities(found.withColumn("seq", F.struct("chunk_id", "pos"))), "nodes")
+        edges = stored(I.co_occurrence(found), "edges")
+    return Corpus(chunks, ordinals, posts, idf, vectors, nodes, edges)
 
 
-def _dense(queries: DataFrame, corpus: Corpus, limit: int, chunks: DataFrame | None = None) -> DataFrame:
-    q = corpus.embed(queries.select("query_id", "query"), "query").select("query_id", "vector")
-    own = corpus.vectors if chunks is None else corpus.vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-    return R.dense(q, own, limit)
+def settings(queries: DataFrame, config: Config = Config()) -> DataFrame:
+    """(query_id, query, and a column for each setting): the same for all queries."""
+    given = {"top_k": config.top_k, "pool": config.pool, "min_score": config.min_score, "dense_weight": config.dense_weight, "sparse_weight": config.sparse_weight, "depth": config.graph_depth, "rerank": config.rerank}
+    return queries.select("query_id", "query").withColumns({k: F.lit(v) for k, v in given.items()}).withColumn("modalities", F.array(*map(F.lit, config.modalities)).cast("array<string>"))
 
 
-def _list(ranked: DataFrame, name: str, number: int) -> DataFrame:
-    return ranked.select("query_id", F.lit(name).alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score")
+def searches(queries: DataFrame, corpus: Corpus) -> DataFrame:
+    """(query_id, list, modality, chunk_id, score, raw, rank): the lists of all searches, at ``WIDEST``; those of visual chunks by modality."""
+    visual = corpus.chunks.filter(F.col("modality").isin(VISUAL)).select("chunk_id", "modality")
+    q = corpus.embed(queries.select("query_id", "query"), "query").select("query_id", "vector")
+    named = lambda df, name, modality, raw: df.select("query_id", F.lit(name).alias("list"), modality.alias("modality"), "chunk_id", "score", raw.alias("raw"), "rank")
+    none, score = F.lit(None).cast("string"), F.col("score")
+    out = named(R.dense(q, corpus.vectors, WIDEST), "dense", none, score)
+    out = out.unionByName(named(R.bm25(queries, corpus.posts, corpus.idf, WIDEST), "sparse", none, F.col("raw")))
+    out = out.unionByName(named(R.dense(q, corpus.vectors.filter(F.col("modality").isin(VISUAL)), WIDEST, part="modality"), "visual", F.col("modality"), score))
+    out = out.unionByName(named(R.bm25(queries, corpus.posts, corpus.idf, WIDEST, visual, part=("modality",)), "visual_words", F.col("modality"), F.col("raw")))
+    if corpus.hypothesis is not None:
+        h = corpus.embed(corpus.hypothesis(queries).select("query_id", "query"), "query").select("query_id", "vector")
+        out = out.unionByName(named(R.dense(h, corpus.vectors, WIDEST), "hypothesis", none, score))
+    return stored(out, "searches")
+
+
+def _list(cfg: DataFrame, found: DataFrame, name: str, number: int, most: Column, weight: Column | float = 1.0) -> DataFrame:
+    """The first ``most`` of a search, as a list to fuse."""
+    own = cfg.join(found.filter(F.col("list") == name), "query_id").filter(F.col("rank") <= most)
+    return own.select("query_id", F.lit(name).alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score", (weight if isinstance(weight, Column) else F.lit(weight)).cast("double").alias("weight"))
+
+
+def _visual_list(cfg: DataFrame, found: DataFrame, name: str, number: int, weight: float) -> DataFrame:
+    """The lists of the modalities that each query wants, merged by score."""
+    wanted = F.when(F.size("modalities") > 0, F.col("modalities")).otherwise(X.lits(VISUAL))
+    own = cfg.join(found.filter(F.col("list") == name), "query_id").filter(F.array_contains(wanted, F.col("modality")))
+    w = Window.partitionBy("query_id")
+    own = own.withColumn("score", F.when(F.lit(name == "visual"), F.col("raw")).otherwise(F.round(F.col("raw") / F.max("raw").over(w), 6)))
+    own = own.withColumn("rank", F.row_number().over(w.orderBy(F.round("raw", 9).desc(), "chunk_id"))).filter(F.col("rank") <= F.least("pool", F.lit(POOL)))
+    return own.select("query_id", F.lit(name).alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score", F.lit(weight).alias("weight"))
 
 
 def _dedup(fused: DataFrame, corpus: Corpus) -> DataFrame:
     own = fused.join(corpus.chunks.select("chunk_id", "document_id", "content"), "chunk_id")
-    return R.deduplicate(own).select("query_id", "chunk_id", "score", "rank", "sources")
-
-
-def naive(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
-    found = _dense(queries, corpus, max(config.top_k, min(config.pool, 40))).filter(F.col("score") >= config.min_score)
-    return R.truncate(found, config.top_k).withColumn("sources", F.array(F.lit("naive")))
+    return R.deduplicate(own).select(*NAMES)
 
 
-def hybrid(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
-    pool = max(3 * config.top_k, min(config.pool, 40))
-    lists = _list(_dense(queries, corpus, pool), "dense", 0).unionByName(_list(R.bm25(queries, corpus.posts, corpus.idf, corpus.lengths, pool), "sparse", 1))
-    fused = _dedup(R.rrf(lists, {"dense": config.dense_weight, "sparse": config.sparse_weight}), corpus)
-    return R.truncate(fused.filter(F.col("score") >= config.min_score), config.top_k)
+def _front(cfg: DataFrame, ranked: DataFrame, kept: Column | None = None) -> DataFrame:
+    """The first ``top_k`` of each query, of those that ``kept`` holds for."""
+    own = ranked.join(cfg, "query_id")
+    if kept is not None:
+        own = own.filter(kept).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return own.filter(F.col("rank") <= F.col("top_k")).select(*NAMES)
 
 
-def hyde(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
-    """Two dense probes, hypothesis .65 and question .35; without a hypothesis hook, the question alone."""
-    if corpus.hypothesis is None:
-        return naive(queries, corpus, config).withColumn("sources", F.array(F.lit("hyde")))
-    lists = _list(_dense(corpus.hypothesis(queries), corpus, config.pool), "hypothesis", 0).unionByName(_list(_dense(queries, corpus, config.pool), "question", 1))
-    return R.truncate(_dedup(R.rrf(lists, {"hypothesis": 0.65, "question": 0.35}), corpus), config.top_k)
-
-
-def multimodal(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
-    """Visual chunks by vectors 1.0 and words .6, all chunks by vectors .45."""
-    visual = corpus.chunks.filter(F.col("modality").isin(config.modalities or ["figure", "image", "table", "ocr"]))
-    lists = _list(_dense(queries, corpus, config.pool, visual), "visual", 0)
-    lists = lists.unionByName(_list(R.bm25(queries, corpus.posts, corpus.idf, corpus.lengths, config.pool, visual.select("chunk_id")), "visual_words", 1))
-    lists = lists.unionByName(_list(_dense(queries, corpus, config.pool), "context", 2))
-    return R.truncate(_dedup(R.rrf(lists, {"visual": 1.0, "visual_words": 0.6, "context": 0.45}), corpus), config.top_k)
+_enough = F.col("score") >= F.col("min_score")
 
 
-def graph(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
-    """Chunks on paths around a query's entities and chunks that mention them, fused with a dense list at .5."""
-    seeds = R.truncate(G.search_entities(queries, corpus.nodes, 8), 8)
-    around = G.neighborhood(seeds.select("key").distinct(), corpus.edges, config.graph_depth, config.pool)
-    on_path = seeds.drop("score", "rank").join(around.select(F.col("seed").alias("key"), "chunks", F.col("score").alias("s")), "key").select("query_id", F.explode("chunks").alias("chunk_id"), "s")
-    mention = seeds.drop("score", "rank").join(corpus.nodes.select("key", F.slice("chunk_ids", 1, 6).alias("c")), "key").select("query_id", F.explode("c").alias("chunk_id"), F.lit(0.55).alias("s"))
-    best = on_path.unionByName(mention).groupBy("query_id", "chunk_id").agg(F.max("s").alias("score"))
-    from pyspark.sql import Window
+def naive(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    own = _list(cfg, found, "dense", 0, F.greatest(F.col("top_k"), F.least("pool", F.lit(POOL)))).withColumn("sources", F.array(F.lit("naive"))).select(*NAMES)
+    return _front(cfg, own, _enough)
 
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).filter(F.col("rank") <= config.pool)
-    lists = _list(ranked, "graph", 0).unionByName(_list(_dense(queries, corpus, config.pool), "dense", 1))
-    return R.truncate(_dedup(R.rrf(lists, {"graph": 1.0, "dense": 0.5}), corpus), config.top_k)
 
+def hybrid(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    pool = F.greatest(3 * F.col("top_k"), F.least("pool", F.lit(POOL)))
+    lists = _list(cfg, found, "dense", 0, pool, F.col("dense_weight")).unionByName(_list(cfg, found, "sparse", 1, pool, F.col("sparse_weight")))
+    return _front(cfg, _dedup(R.rrf(lists), corpus), _enough)
 
-REGISTRY: dict[str, Callable] = {"naive": naive, "hybrid": hybrid, "hyde": hyde, "multimodal": multimodal, "graph": graph}
 
-#: What each diagnosis changes: factor of the pool, more results, least score.
-REPAIRS = {"empty": (2.0, 0, 0.0), "off_topic": (1.0, 0, 0.0), "too_general": (1.75, 4, None), "partially_relevant": (1.5, 0, None)}
+def hyde(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    """Two dense probes, hypothesis .65 and question .35; without a hypothesis hook, the question alone."""
+    if corpus.hypothesis is None:
+        return naive(cfg, found, corpus).withColumn("sources", F.array(F.lit("hyde")))
+    pool = F.greatest(F.col("top_k"), F.least("pool", F.lit(POOL)))
+    lists = _list(cfg, found, "hypothesis", 0, pool, 0.65).unionByName(_list(cfg, found, "dense", 1, pool, 0.35))
+    return _front(cfg, _dedup(R.rrf(lists), corpus))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and without its plan, which would grow with each round; in the checkpoint folder where there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def multimodal(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    """Visual chunks by vectors 1.0 and words .6, all chunks by vectors .45."""
+    lists = _visual_list(cfg, found, "visual", 0, 1.0).unionByName(_visual_list(cfg, found, "visual_words", 1, 0.6))
+    lists = lists.unionByName(_list(cfg, found, "dense", 2, F.least("pool", F.lit(POOL)), 0.45))
+    return _front(cfg, _dedup(R.rrf(lists), corpus))
+
+
+def resolve_entities(cfg: DataFrame, corpus: Corpus, most: int = 8) -> DataFrame:
+    """(query_id, key, nth): up to eight terms of a query with three matches each, or the query itself with six; the best connected ``most``."""
+    a = A.analyze(cfg.select("query_id", "query"))
+    terms = X.distinct_ignoring_case(F.filter(F.concat("entities", "key_terms", "terms"), lambda t: F.length(F.trim(t)) > 1))
+    asked = a.select("query_id", F.when(F.size(terms) > 0, F.slice(terms, 1, 8)).otherwise(F.array("query")).alias("t"), F.when(F.size(terms) > 0, 3).otherwise(6).alias("most"))
+    asked = asked.select("query_id", "most", F.posexplode("t").alias("pos", "query"))
+    probe = asked.select(F.struct("query_id", "pos").alias("query_id"), "query")
+    hits = G.search_entities(probe, corpus.nodes, 6).select("query_id.query_id", "query_id.pos", "key", "rank").join(asked.select("query_id", "pos", "most"), ["query_id", "pos"]).filter(F.col("rank") <= F.col("most"))
+    hits = hits.groupBy("query_id", "key").agg(F.min(F.struct("pos", "rank")).alias("first")).join(G.degrees(corpus.nodes, corpus.edges), "key")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("degree").desc(), "first", "key"))
+    return hits.withColumn("nth", nth).filter(F.col("nth") <= most).select("query_id", "key", "nth")
+
+
+def graph(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    """Chunks on paths around and between a query's entities and chunks that mention them, fused with a dense list at .5.
+
+    Paths run from the best connected entity to the next three, and around all of them; a query without entities or
+    evidence gets the dense list alone."""
+    cfg = cfg.withColumn("depth", F.greatest(F.lit(1), F.least("depth", F.lit(4))))
+    seeds = stored(resolve_entities(cfg, corpus), "seeds").join(cfg.select("query_id", "depth", "pool"), "query_id")
+    first = seeds.filter("nth = 1").select("query_id", F.col("key").alias("src"))
+    pairs = first.join(seeds.filter("nth between 2 and 4").select("query_id", F.col("key").alias("dst"), F.greatest("depth", F.lit(3)).alias("depth")), "query_id")
+    between = stored(G.paths_between(pairs.select("src", "dst", "depth"), corpus.edges, 4), "paths")
+    between = pairs.select("query_id", "src", "dst").join(between, ["src", "dst"])
+    joined = between.select("query_id").distinct().withColumn("joined", F.lit(True))
+    # with paths between entities the surroundings add up to 40 paths, without them up to 60
+    starts = seeds.join(joined, "query_id", "left").select("query_id", "key", "depth", F.when(F.col("joined"), 40).otherwise(60).alias("limit"))
+    around = G.neighborhood(starts, corpus.edges, 4, per="query_id")
+    paths = between.select("query_id", "chunks", "score", F.lit(0).alias("kind"), F.row_number().over(Window.partitionBy("query_id").orderBy("hops", "path")).alias("n")).unionByName(around.select("query_id", "chunks", "score", F.lit(1).alias("kind"), F.col("rank").alias("n")))
+    paths = paths.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("kind", "n"))).filter("n <= 80")
+    on_path = paths.select("query_id", F.explode("chunks").alias("chunk_id"), F.col("score").alias("s"))
+    mention = seeds.join(corpus.nodes.select("key", F.slice("chunk_ids", 1, 6).alias("c")), "key").select("query_id", F.explode("c").alias("chunk_id"), F.lit(None).cast("double").alias("s"))
+    best = on_path.unionByName(mention).filter("chunk_id is not null").groupBy("query_id", "chunk_id").agg(F.coalesce(F.max("s"), F.lit(0.55)).alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))).join(cfg.select("query_id", "pool"), "query_id").filter(F.col("rank") <= F.col("pool"))
+    lists = ranked.select("query_id", F.lit("graph").alias("strategy"), F.lit(0).alias("list_no"), "rank", "chunk_id", "score", F.lit(1.0).alias("weight"))
+    half = F.greatest(F.col("top_k"), F.floor(F.col("pool") / 2))
+    dense = _list(cfg, found, "dense", 1, half, 0.5)
+    some = lists.select("query_id").distinct()
+    fused = _dedup(R.rrf(lists.unionByName(dense.join(some, "query_id", "left_semi"))), corpus)
+    alone = dense.join(some, "query_id", "left_anti").withColumn("sources", F.array(F.lit("dense"))).select(*NAMES)
+    return _front(cfg, fused.unionByName(alone))
+
+
+REGISTRY: dict[str, Callable[[DataFrame, DataFrame, Corpus], DataFrame]] = {"naive": naive, "hybrid": hybrid, "hyde": hyde, "multimodal": multimodal, "graph": graph}
+
+
+def run_selected(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
+    """Each query by the strategy that its column ``strategy`` names; only strategies that some query names run."""
+    out = None
+    for name in sorted(r[0] for r in cfg.select("strategy").distinct().collect()):  # at most as many as REGISTRY
+        part = REGISTRY[name](cfg.filter(F.col("strategy") == name), found, corpus).select(*NAMES)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else found.select("query_id", "chunk_id", "score", "rank", F.array().cast("array<string>").alias("sources")).limit(0)
 
 
+#: What each diagnosis changes: factor of the pool, more results, whether the least score goes.
+REPAIRS = {"empty": (2.0, 0, True), "off_topic": (1.0, 0, True), "too_general": (1.75, 4, False), "wrong_document": (1.0, 0, True), "partially_relevant": (1.5, 0, False)}
 #: Fixed value: most rounds of repair.
 ROUNDS = 2
 
 
-def corrective(queries: DataFrame, corpus: Corpus, config: Config = Config(), base: str = "hybrid") -> DataFrame:
-    """Grade the base result; rewrites of poor queries run through the base strategy as their diagnosis says and are fused with
-    the result so far, original .7 and rewrites 1.0, without near-duplicates; graded again for a second round; reranked at the end.
+def repaired(cfg: DataFrame) -> DataFrame:
+    """``cfg`` (with ``diagnosis``) with the settings that the diagnosis calls for."""
+    pick = lambda i: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in REPAIRS.items() for x in (k, v[i]))), F.col("diagnosis")), F.lit(REPAIRS["partially_relevant"][i]))
+    return cfg.withColumns({"pool": F.floor(F.col("pool") * pick(0)).cast("int"), "top_k": F.col("top_k") + pick(1), "min_score": F.when(pick(2), 0.0).otherwise(F.col("min_score")), "modalities": F.when(F.col("diagnosis") == "empty", F.array().cast("array<string>")).otherwise(F.col("modalities"))})
+
+
+def correct(cfg: DataFrame, found: DataFrame, corpus: Corpus, floor: float = 0.45) -> DataFrame:
+    """The base result of each query (column ``strategy``), repaired where it is graded poor.
 
-    A poor query without rewrites keeps its result."""
-    names = ["query_id", "chunk_id", "score", "rank", "sources"]
+    Rewrites of poor queries run through the base strategy with the settings of their diagnosis and are fused with the
+    result so far, original .7 and rewrites 1.0, without near-duplicates; graded again for a second round. A poor query without rewrites
+    keeps its result."""
     content = corpus.chunks.select("chunk_id", "content")
-    now, open_, done = _cut(REGISTRY[base](queries, corpus, config).select(*names)), queries, None
-    for _ in range(ROUNDS):
-        poor = V.grade(open_, now.join(content, "chunk_id"), config.floor).filter(F.col("diagnosis") != "good").select("query_id", "diagnosis")
-        again = _cut(A.heuristic_rewrites(open_).join(poor, "query_id").withColumn("own_id", F.concat_ws(":", "n", "query_id")))
+    now, open_, done = stored(run_selected(cfg, found, corpus), "base"), cfg, None
+    for number in range(ROUNDS):
+        poor = V.grade(open_.select("query_id", "query"), now.join(content, "chunk_id"), floor).filter(F.col("diagnosis") != "good").select("query_id", "diagnosis")
+        asked = open_.select("query_id", "query").join(poor, "query_id")
+        again = corpus.rewrites(asked) if corpus.rewrites else A.heuristic_rewrites(asked)
+        again = stored(again.join(poor, "query_id").withColumn("own_id", F.concat_ws(":", "n", "query_id")), f"rewrites{number}")
         good = now.join(again, "query_id", "left_anti")
         done = good if done is None else done.unionByName(good)
-        lists = _list(now.join(again, "query_id", "left_semi"), "original", 0)
+        if again.isEmpty():
+            return done
+        mine = again.join(open_.drop("query"), "query_id").select(F.col("own_id").alias("query_id"), F.col("rewrite").alias("query"), "diagnosis", *(c for c in cfg.columns if c not in ("query_id", "query")))
+        retried = stored(run_selected(repaired(mine), searches(mine, corpus), corpus), "retries").withColumnRenamed("query_id", "own_id").join(again.select("own_id", "query_id", "n"), "own_id")
+        lists = now.join(again, "query_id", "left_semi").select("query_id", F.lit("original").alias("strategy"), F.lit(0).alias("list_no"), "rank", "chunk_id", "score", F.lit(0.7).alias("weight"))
+        lists = lists.unionByName(retried.select("query_id", F.concat(F.lit("rewrite "), F.col("n").cast("string")).alias("strategy"), (F.col("n") + 1).alias("list_no"), "rank", "chunk_id", "score", F.lit(1.0).alias("weight")))
         open_ = open_.join(again, "query_id", "left_semi")
-        for diagnosis in sorted(r[0] for r in again.select("diagnosis").distinct().collect()):  # at most as many as REPAIRS
-            factor, more, least = REPAIRS[diagnosis]
-            repair = {"pool": int(config.pool * factor), "top_k": config.top_k + more, "min_score": config.min_score if least is None else least}
-            own = again.filter(F.col("diagnosis") == diagnosis)
-            found = REGISTRY[base](own.select(F.col("own_id").alias("query_id"), F.col("rewrite").alias("query")), corpus, Config(**{**config.__dict__, **repair, **({"modalities": []} if diagnosis == "empty" else {})}))
-            found = _cut(found).withColumnRenamed("query_id", "own_id").join(own.select("own_id", "query_id", "n"), "own_id")
-            lists = lists.unionByName(found.select("query_id", F.concat(F.lit("rewrite "), F.col("n").cast("string")).alias("strategy"), (F.col("n") + 1).alias("list_no"), "rank", "chunk_id", "score"))
-        now = _cut(R.truncate(_dedup(R.rrf(lists, {"original": 0.7}), corpus), config.top_k).select(*names))
-    full = done.unionByName(now).join(corpus.chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id").withColumn("n_sources", F.size("sources"))
-    return R.truncate(R.heuristic_rerank(full, config.modalities or None), config.top_k).select(*names)
-
-
-def adaptive(queries: DataFrame, corpus: Corpus, config: Config = Config(), document_count: int = 10) -> DataFrame:
-    """Analyze and route; each strategy runs once over its queries; primary 1.0, parallel .7; diversity, rerank, top-k."""
-    routed = A.route(A.analyze(queries), document_count, corpus.nodes is not None)
-    lists = None
-    for number, name in enumerate(REGISTRY):
-        for role, weight in (("strategy", "primary"), ("parallel", "parallel")):
-            own = routed.filter(F.col(role) == name).select("query_id", "query")
-            if role == "parallel" and name != "hybrid":
-                continue  # only hybrid runs beside another strategy
-            part = _list(REGISTRY[name](own, corpus, config), weight, 2 * number + (role == "parallel"))
-            lists = part if lists is None else lists.unionByName(part)
-    fused = _dedup(R.rrf(lists, {"primary": 1.0, "parallel": 0.7}), corpus)
-    full = fused.join(corpus.chunks, "chunk_id").join(queries.select("query_id", "query"), "query_id").withColumn("n_sources", F.size("sources"))
-    ranked = R.diversify(R.heuristic_rerank(full), 4)
-    return R.truncate(ranked, config.top_k).select("query_id", "chunk_id", "score", "rank", "sources")
+        now = stored(_front(open_, _dedup(R.rrf(lists), corpus)), f"round{number}")
+    return done.unionByName(now)
 
 
-def agentic(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
-    """The plan without a planner: a hybrid step, and a graph step for relations or chained facts; step results weigh .6 + .6 quality."""
-    routed = A.analyze(queries)
-    step = Config(**{**config.__dict__, "top_k": max(4, config.top_k // 2)})
-    one = hybrid(queries, corpus, step)
-    two = graph(routed.filter(F.col("relationship_query") | F.col("multi_hop")).select("query_id", "query"), corpus, step)
-    lists = None
-    for number, (name, found) in enumerate((("hybrid_search", one), ("graph_search", two))):
-        quality = V.grade(queries, found.join(corpus.chunks.select("chunk_id", "content"), "chunk_id"), config.floor).select("query_id", (0.6 + 0.6 * F.col("overall")).alias("w"))
-        part = _list(found, name, number).join(quality, "query_id")
-        lists = part if lists is None else lists.unionByName(part)
-    fused = lists.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") / (60 + F.col("rank"))).alias("raw"), F.min(F.struct("list_no", "rank")).alias("first"), F.sort_array(F.collect_set("strategy")).alias("sources"))
-    from pyspark.sql import Window
+def rerank(cfg: DataFrame, ranked: DataFrame, corpus: Corpus) -> DataFrame:
+    """Heuristic rerank of the queries whose ``rerank`` holds, then a judge's blend where there is one; the first ``top_k``."""
+    full = ranked.join(corpus.chunks, "chunk_id").join(corpus.ordinals.select("chunk_id", "ordinal"), "chunk_id").join(cfg.select("query_id", "query", "rerank", "modalities"), "query_id").withColumn("n_sources", F.size("sources"))
+    new = R.heuristic_rerank(full, F.col("modalities"), F.col("rerank")).select(*NAMES)
+    if corpus.judge is not None:
+        new = R.blend_judged(new, corpus.judge(cfg.select("query_id", "query"), new))
+    return _front(cfg, new)
+
 
-    best = F.max("raw").over(Window.partitionBy("query_id"))
-    fused = R._ranked(fused.withColumn("score", F.round(F.col("raw") / best, 6)))
-    return R.truncate(fused, config.top_k).select("query_id", "chunk_id", "score", "rank", "sources")
+def corrective(queries: DataFrame, corpus: Corpus, config: Config = Config(), base: str = "hybrid") -> DataFrame:
+    """``correct`` over one base strategy, reranked at the end."""
+    cfg = stored(settings(queries, config).withColumn("strategy", F.lit(base)), "settings")
+    return rerank(cfg, correct(cfg, searches(queries, corpus), corpus, config.floor), corpus)
+
+
+def plan_steps(cfg: DataFrame) -> DataFrame:
+    """The plan without a planner: (query_id, step, strategy): a hybrid step, and a graph step for relations or chained facts."""
+    a = A.analyze(cfg.select("query_id", "query"))
+    steps = F.array(F.struct(F.lit(1).alias("step"), F.lit("hybrid").alias("strategy")), F.when(F.col("relationship_query") | F.col("multi_hop"), F.struct(F.lit(2).alias("step"), F.lit("graph").alias("strategy"))))
+    return a.select("query_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("query_id", "s.step", "s.strategy")
+
+
+def act(cfg: DataFrame, found: DataFrame, corpus: Corpus, floor: float = 0.45) -> DataFrame:
+    """Plan, run the steps at half the results, fuse them weighted .6 + .6 of their graded quality without near-duplicates, rerank."""
+    steps = stored(plan_steps(cfg), "steps")
+    own = cfg.drop("strategy").withColumn("top_k", F.greatest(F.lit(4), F.floor(F.col("top_k") / 2).cast("int")))
+    content, lists = corpus.chunks.select("chunk_id", "content"), None
+    for number, name in ((1, "hybrid"), (2, "graph")):
+        part = stored(REGISTRY[name](own.join(steps.filter(F.col("step") == number).select("query_id"), "query_id", "left_semi"), found, corpus).select(*NAMES), "step")
+        quality = V.grade(cfg.select("query_id", "query"), part.join(content, "chunk_id"), floor).select("query_id", (0.6 + 0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("overall")))).alias("weight"))
+        part = part.join(quality, "query_id").select("query_id", F.lit(f"step_{number}").alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score", "weight")
+        lists = part if lists is None else lists.unionByName(part)
+    return rerank(cfg, _dedup(R.rrf(lists), corpus), corpus)
 
 
-REGISTRY_ALL = {**REGISTRY, "corrective": corrective, "adaptive": adaptive, "agentic": agentic}
+def agentic(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
+    cfg = stored(settings(queries, config), "settings")
+    return act(cfg, searches(queries, corpus), corpus, config.floor)
+
+
+def routed_settings(queries: DataFrame, corpus: Corpus, config: Config = Config(), overrides: dict | None = None, names: list[str] | None = None) -> DataFrame:
+    """``settings`` as the router decides for each query, with strategy, parallel, use_corrective, use_agentic and max_per_document.
+
+    ``names`` pins strategies instead; ``overrides`` are values that win over the router's."""
+    documents = corpus.chunks.agg(F.count_distinct("document_id").alias("n")).first().n
+    routed = A.route(A.analyze(queries), documents, corpus.nodes is not None and not corpus.nodes.isEmpty(), top_k=config.top_k, pool=config.pool)
+    if names:
+        routed = A.apply_forced(routed, names)
+    routed = A.apply_overrides(routed, overrides or {})
+    keyword = F.coalesce("sparse_weight", F.lit(config.sparse_weight))
+    return routed.select(
+        "query_id", "query", F.col("top_k").cast("int").alias("top_k"), F.col("candidate_pool").cast("int").alias("pool"), F.lit(config.min_score).alias("min_score"),
+        F.when(F.col("sparse_weight").isNull(), F.lit(config.dense_weight)).otherwise(F.round(1 - keyword, 3)).alias("dense_weight"), keyword.alias("sparse_weight"),
+        F.col("graph_depth").cast("int").alias("depth"), "rerank", F.when(F.col("strategy") == "multimodal", A.modalities(F.col("requires_visual"), F.col("requires_tabular"))).otherwise(F.array().cast("array<string>")).alias("modalities"),
+        "strategy", "parallel", "use_corrective", "use_agentic", F.col("max_per_document").cast("int").alias("max_per_document"),
+    )
+
+
+def adaptive(queries: DataFrame, corpus: Corpus, config: Config = Config(), overrides: dict | None = None, names: list[str] | None = None) -> DataFrame:
+    """Analyze, route and run: agentic queries by their plan; others by their strategy, corrected where the router asks for it, and fused with the
+    parallel one (primary 1.0, parallel .7) where there is one; document diversity where it is set; rerank where it is on; ``top_k`` as routed."""
+    cfg = stored(routed_settings(queries, corpus, config, overrides, names), "settings")
+    found = searches(queries, corpus)
+    single = cfg.filter(~F.col("use_agentic"))
+    plain = run_selected(stored(single.filter(~F.col("use_corrective")), "plain"), found, corpus)
+    mended = correct(stored(single.filter("use_corrective"), "mended"), found, corpus, config.floor)
+    first = stored(plain.unionByName(mended), "primary")
+    beside = stored(run_selected(stored(single.filter(F.col("parallel").isNotNull()).withColumn("strategy", F.col("parallel")), "beside"), found, corpus), "parallel")
+    both = beside.select("query_id").distinct()
+    listed = lambda df, name, number, weight: df.select("query_id", F.lit(name).alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score", F.lit(weight).alias("weight"))
+    fused = _dedup(R.rrf(listed(first.join(both, "query_id", "left_semi"), "primary", 0, 1.0).unionByName(listed(beside, "parallel", 1, 0.7))), corpus)
+    one = fused.unionByName(first.join(both, "query_id", "left_anti"))
+    spread = one.join(single.select("query_id", "max_per_document"), "query_id").join(corpus.chunks.select("chunk_id", "document_id"), "chunk_id")
+    out = rerank(single, R.diversify(spread, F.col("max_per_document")).select(*NAMES), corpus)
+    return out.unionByName(act(stored(cfg.filter("use_agentic"), "agents"), found, corpus, config.floor))
+
+
+def _plain(f: Callable) -> Callable:
+    def strategy(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
+        return f(stored(settings(queries, config), "settings"), searches(queries, corpus), corpus)
+
+    return strategy
+
+
+REGISTRY_ALL: dict[str, Callable] = {**{name: _plain(f) for name, f in REGISTRY.items()}, "corrective": corrective, "adaptive": adaptive, "agentic": agentic}
+# What each strategy is called and needs, for a catalogue.
+CATALOGUE = {name: {"strategy": name, "composite": name in ("corrective", "adaptive", "agentic"), "needs_graph": name in ("graph", "agentic"), "hooks": {"hyde": ["hypothesis"], "corrective": ["rewrites", "judge"], "adaptive": ["hypothesis", "rewrites", "judge"]}.get(name, [])} for name in REGISTRY_ALL}
 
 
 def evaluate(queries: DataFrame, corpus: Corpus, labels: DataFrame, names: list[str], config: Config = Config()) -> DataFrame:

@@ -120,8 +120,10 @@ def test_verification_accepts_and_abstains(spark):
 def test_bm25_counts_every_query_token(spark):
     chunks = spark.createDataFrame([(1, "red apple"), (2, "red red car"), (3, "blue sky"), (4, None), (5, "green"), (6, "grey")], "chunk_id int, content string")
     q = spark.createDataFrame([(1, "red car"), (2, "nothing")], "query_id int, query string")
-    posts, lengths = R.postings(chunks), R.doc_lengths(chunks)
-    got = R.bm25(q, posts, R.term_idf(posts, 6), lengths, 5).orderBy("rank").collect()
+    posts = R.postings(chunks)
+    idf = R.term_idf(R.term_stats(posts))
+    assert idf.select("avgdl").distinct().collect()[0][0] == 9 / 6
+    got = R.bm25(q, posts, idf, 5).orderBy("rank").collect()
     assert [(r.query_id, r.chunk_id) for r in got] == [(1, 2), (1, 1)] and got[0].score == 1.0
 
 
@@ -204,23 +206,72 @@ def test_graph_queries_without_sql_cover_the_whole_table(spark):
     assert {r.src for r in registry.graph_subgraph(spark, d).collect()} == keys
 
 
+CHUNKS = "chunk_id long, document_id string, content string, modality string, token_count int"
+
+
+def corpus_of(spark, rows, **more):
+    from lodestone.plans import strategies as S
+
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    return S.build(chunks, chunks.select("chunk_id", F.lit(9).alias("ordinal")), **more)
+
+
 def test_corrective_repairs_twice_without_copies_and_reranks(spark, monkeypatch):
     from lodestone.plans import strategies as S
 
     words = " ".join(f"w{i}" for i in range(80))
-    rows = [(1, "d1", 9, words, "text", 100), (2, "d1", 9, words, "text", 100), (3, "d2", 9, "other things entirely " * 20, "text", 100)]
-    chunks = spark.createDataFrame(rows, "chunk_id long, document_id string, ordinal int, content string, modality string, token_count int")
+    corpus = corpus_of(spark, [(1, "d1", words, "text", 100), (2, "d1", words, "text", 100), (3, "d2", "other things entirely " * 20, "text", 100)], with_graph=False)
     asked = []
 
-    def stub(queries, corpus, config):
-        asked.append((config.min_score, queries.count()))
-        found = [(1, 1), (2, 2), (3, 3)] if len(asked) > 1 else []
-        hits = spark.createDataFrame(found, "chunk_id long, rank int")
-        return queries.select("query_id").join(hits, F.lit(True)).withColumns({"score": F.lit(0.5), "sources": F.array(F.lit("stub"))})
+    def stub(cfg, found, corpus):
+        asked.append((cfg.select("min_score").first()[0], cfg.count()))
+        hits = spark.createDataFrame([(1, 1), (2, 2), (3, 3)] if len(asked) > 1 else [], "chunk_id long, rank int")
+        return cfg.select("query_id").join(hits, F.lit(True)).withColumns({"score": F.lit(0.5), "sources": F.array(F.lit("stub"))})
 
     monkeypatch.setitem(S.REGISTRY, "stub", stub)
     queries = spark.createDataFrame([(7, "What is the reported NEU-DET accuracy value of everything?")], "query_id int, query string")
-    got = S.corrective(queries, S.Corpus(chunks, None, None, None, None), base="stub").collect()
+    got = S.corrective(queries, corpus, base="stub").collect()
     assert len(asked) == 3 and asked[0] == (0.28, 1) and asked[1][0] == 0.0 and asked[1][1] > 1
     assert {r.chunk_id for r in got} == {1, 3} and [r.rank for r in sorted(got, key=lambda r: -r.score)] == [1, 2]
     assert max(r.score for r in got) < 1  # reranked: a fused list's best has 1
+
+
+def test_routing_takes_effect(spark):
+    from lodestone.plans import strategies as S
+
+    text = lambda i: f"Passage {i} describes the optimizer NEU-DET used with value {i} and the AdamW schedule in section {i}. " + " ".join(f"word{(i * 7 + j) % 50}" for j in range(40))
+    corpus = corpus_of(spark, [(i, f"d{i % 3}", text(i), "figure" if i % 5 == 0 else "text", 80) for i in range(30)])
+    queries = spark.createDataFrame([(0, "What optimizer was used?"), (1, 'Find the exact term "NEU-DET" and its mAP value'), (2, "What does Figure 2 show about accuracy?"), (3, "How does AdamW relate to the NEU-DET schedule it builds on?"), (4, "Analyze the limitations of the optimizer across all documents, and compare how each study explains them, because which value was used and what does it imply?")], "query_id int, query string")
+    cfg = {r.query_id: r for r in S.routed_settings(queries, corpus).collect()}
+    assert [cfg[i].strategy for i in range(4)] == ["naive", "hybrid", "multimodal", "graph"] and (cfg[0].top_k, cfg[0].rerank) == (6, False)
+    assert cfg[1].sparse_weight >= 0.5 and cfg[1].dense_weight == round(1 - cfg[1].sparse_weight, 3) and "figure" in cfg[2].modalities and cfg[4].use_agentic and cfg[4].top_k == 10
+    rows = S.adaptive(queries, corpus).collect()
+    by = {i: sorted((r for r in rows if r.query_id == i), key=lambda r: r.rank) for i in range(5)}
+    assert all([r.rank for r in v] == list(range(1, len(v) + 1)) and len(v) <= cfg[i].top_k for i, v in by.items())
+    assert all(r.sources == ["naive"] for r in by[0]) and any("visual" in r.sources for r in by[2]) and any("graph" in r.sources for r in by[3])
+    assert any("step_1" in r.sources for r in by[4])
+    dense = R.truncate(R.dense(corpus.embed(queries, "query").select("query_id", "vector"), corpus.vectors, 40), 6).filter("query_id = 0 and score >= 0.28").collect()
+    assert [(r.chunk_id, r.score) for r in by[0]] == [(r.chunk_id, r.score) for r in sorted(dense, key=lambda r: r.rank)]  # one strategy without rerank keeps its scores
+    pinned = S.routed_settings(queries, corpus, overrides={"top_k": 3}, names=["hybrid", "graph"]).collect()
+    assert all((r.strategy, r.parallel, r.top_k, r.use_agentic) == ("hybrid", "graph", 3, False) for r in pinned)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_dense_search_is_exact_in_blocks_and_parts(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    r = np.random.default_rng(3)
+    v = r.normal(size=(200, 8)).round(1)
+    v[50:80] = v[50]
+    df = spark.createDataFrame([(i, [float(x) for x in row], "ab"[i % 2]) for i, row in enumerate(v)], "chunk_id long, vector array<double>, kind string").repartition(5)
+    q = df.filter("chunk_id < 7").select(F.col("chunk_id").alias("query_id"), "vector")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = (unit[:7] @ unit.T).round(6)
+    for part in (None, "kind"):
+        got = R.dense(q, df, 12, exclude_self=True, part=part).collect()
+        for i in range(7):
+            for k in "ab" if part else [None]:
+                want = sorted((-s[i, j], j) for j in range(200) if j != i and (k is None or "ab"[j % 2] == k))[:12]
+                mine = sorted((r.rank, r.chunk_id) for r in got if r.query_id == i and (k is None or r.kind == k))
+                assert [c for _, c in mine] == [j for _, j in want]
