@@ -241,7 +241,9 @@ def test_license_short_names_and_texts(text, want):
 
 def test_quality_base_numbers(docs, empty):
     find = re.compile(r"[^\x20\x09-\x0D]+").findall
-    for g in rows_of(quality.judge(docs)):
+    judged = rows_of(quality.judge(docs.withColumn("Band", F.lit("own"))))
+    assert all(g["Band_"] == "own" for g in judged)
+    for g in judged:
         t = next(r.text for r in docs.collect() if r.doc_id == g["doc_id"]) or ""
         w = find(t)
         windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
@@ -287,6 +289,20 @@ def test_kneser_ney_sums_to_one_and_equals_the_definition():
     assert all(math.isclose(a, p(c, 4), rel_tol=1e-9) for a, c in zip(model.probability(1, np.array(codes)), codes, strict=True))
 
 
+def test_languages_and_letters_come_from_the_data(spark):
+    """A language in any script gets its own letters, model and band: text in its letters at random is told from its words."""
+    r = random.Random(6)
+    words = ["".join(r.choice("\u0430\u0431\u0432\u0433\u0434\u0435\u0438\u043b") for _ in range(r.randrange(2, 7))) for _ in range(60)]
+    good = [(i, " ".join(r.choice(words) for _ in range(150)), "xx") for i in range(120)]
+    bad = [(900 + i, " ".join("".join(r.choice("\u0436\u0448\u0449\u0447\u044e\u0451") for _ in range(5)) for _ in range(150)), "xx") for i in range(3)]
+    other = [(2000, "one two three four five six seven eight nine ten eleven", "rare"), (2001, None, None)]
+    df = spark.createDataFrame(good + bad + other, "doc_id long, text string, lang string")
+    found = quality.find_languages(df)
+    assert found.numbers == {"xx": 1} and len(set(found.tables[1][[0x430, 0x431, 0x432]].tolist())) == 3 and found.number("rare") == found.number(None) == 0
+    kept = {x.doc_id for x in quality.keep_good(df).collect()}
+    assert len(kept & {g[0] for g in good}) >= 117 and not kept & {b[0] for b in bad} and 2000 in kept
+
+
 def test_quality_filter_keeps_prose_and_rejects_noise(spark):
     r = random.Random(5)
     vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 8))) for _ in range(300)]
