@@ -12,7 +12,8 @@ The CRF is trained here, on the driver, by stochastic gradient steps on the exac
 sentences drawn from a seeded generator; its weights are a few dozen numbers.
 
 Defined results: null and empty texts have no spans; texts are read whole; equal rows get equal
-results; a span of the CRF that overlaps a base span is dropped; other columns pass through.
+results; a span of the CRF that overlaps a base span is dropped; other columns pass through, and one named like a new
+column, in any case, is kept under its name with underscores.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodestone.llm.common import set_aside
+
 KINDS = ["email", "ip", "card", "phone", "secret"]
 #: Tokens of an entity at most.
 MOST = 8
@@ -263,6 +266,7 @@ def find_personal_data(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with n_email, n_ip, n_card, n_phone, base_spans and spans (kind:start:end, code points, end exclusive)."""
     weights = train().weights
     names = ["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"]
+    df = set_aside(df, *names)
     schema = T.StructType([*(f for f in df.schema.fields if f.name not in names), *(T.StructField(c, T.LongType() if c[0] == "n" else T.StringType()) for c in names)])
 
     def run(batches):
