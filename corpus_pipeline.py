@@ -5,6 +5,10 @@
 3. MinHash near-dedup keeps one document of each group at a similarity of 0.8 or more.
 4. Benchmark decontamination drops documents in which a benchmark window occurs.
 5. Byte-level BPE turns texts into token ids and checks that they decode to the text.
+
+Defined results: a null or empty text fails the base rules of the first stage; an empty table passes through all stages; further columns
+of ``documents`` pass through all stages but the last, which has its own columns; repeated rows and rows with a null id stay or go as
+near_dedup states.
 """
 
 from __future__ import annotations
@@ -16,24 +20,22 @@ from lodestone.llm import bpe, decontaminate, line_dedup, minhash_join, quality
 from lodestone.llm.common import stored, table
 from lodestone.llm.pretokens import read_ranks
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs.select(*COLUMNS))
+    return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = line_dedup.drop_boilerplate(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_join.drop_near_duplicates(docs.select(*COLUMNS), threshold=80)
+    return minhash_join.drop_near_duplicates(docs, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
