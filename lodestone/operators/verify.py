@@ -94,8 +94,10 @@ def citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def citation_records(evidence: DataFrame, words: int = 60) -> DataFrame:
-    """One record for each evidence row: its number, place and excerpt."""
-    return evidence.select("answer_id", F.col("rank").alias("marker"), "chunk_id", F.col("score").alias("relevance"), X.truncate_words("content", words).alias("excerpt"))
+    """One record for each evidence row: its number, document, page, section, place and excerpt; null where the evidence lacks a field."""
+    of = lambda c, kind: F.col(c) if c in evidence.columns else F.lit(None).cast(kind)
+    page, section, figure, table = of("page_number", "int"), of("section", "string"), of("figure_label", "string"), of("table_label", "string")
+    return evidence.select("answer_id", F.col("rank").alias("marker"), "chunk_id", of("document_id", "string").alias("document_id"), page.alias("page_number"), section.alias("section"), X.location(page, section, figure, table).alias("place"), F.col("score").alias("relevance"), X.truncate_words("content", words).alias("excerpt"))
 
 
 def confidence(judged: DataFrame, cited: DataFrame, evidence: DataFrame, rounds: Column | None = None) -> DataFrame:
@@ -131,14 +133,40 @@ def confidence(judged: DataFrame, cited: DataFrame, evidence: DataFrame, rounds:
     return d.withColumn("label", F.when(F.col("score") >= 0.72, "high").when(F.col("score") >= 0.45, "medium").otherwise("low"))
 
 
-def verify(answers: DataFrame, evidence: DataFrame, threshold: float = 0.35, least_support: float = 0.5) -> DataFrame:
-    """The whole check: (answer_id, score, label, claims, supported, abstained). Without evidence, or where the answer says so itself, it abstains."""
-    judged = verdicts(lexical_match(claims(answers), evidence))
-    d = confidence(judged, citations(answers, evidence), evidence)
+#: What an answer is replaced by that its evidence doesn't support.
+WITHHELD = L.ABSTENTION[0].upper() + L.ABSTENTION[1:] + "."
+
+
+def verify(answers: DataFrame, evidence: DataFrame, threshold: float = 0.35, least_support: float = 0.5, judged: DataFrame | None = None, rounds: Column | None = None) -> DataFrame:
+    """The whole check: (answer_id, answer, modified, score, label, claims, supported, abstained, reason).
+
+    Markers without evidence are taken out of an answer. It abstains without evidence, where the answer says so itself, and where confidence is low and
+    support or retrieval is weak; then the answer is replaced, without repeating what it claimed. Answers with an ``error`` are passed
+    through unchecked: score and label are null."""
+    failed = F.col("error").isNotNull() if "error" in answers.columns else F.lit(False)
+    d = confidence(verdicts(lexical_match(claims(answers), evidence), judged), citations(answers, evidence), evidence, rounds)
+    d = answers.select("answer_id", "answer", failed.alias("failed")).join(d, "answer_id")
     ratio = F.when(F.col("claims") == 0, 0.0).otherwise(F.col("supported") / F.nullif(F.col("claims"), F.lit(0)))
-    weak = (F.col("score") < threshold) & ((ratio < least_support) | (F.col("retrieval_quality") < threshold))
-    abstained = F.col("top").isNull() | F.col("abstention") | weak
-    return d.select("answer_id", F.when(abstained, 0.0).otherwise(F.col("score")).alias("score"), F.when(abstained, "abstained").otherwise(F.col("label")).alias("label"), "claims", "supported", abstained.alias("abstained"))
+    poor = F.col("retrieval_quality") < threshold
+    weak = (F.col("score") < threshold) & ((ratio < least_support) | poor)
+    none, own = F.col("top").isNull(), F.col("abstention")
+    details = F.filter(F.array(
+        F.when(F.col("claims") > F.col("supported"), F.concat((F.col("claims") - F.col("supported")).cast("string"), F.lit(" of "), F.col("claims").cast("string"), F.lit(" statements have no matching passage"))),
+        F.when(F.col("numeric_failures") > 0, F.lit("figures of the draft are not in the evidence")),
+        F.when(poor, F.lit("the passages found are barely relevant")),
+    ), lambda x: x.isNotNull())
+    reason = F.when(F.col("failed"), "error").when(none, "no evidence").when(own, "declined").when(weak, F.array_join(details, "; "))
+    abstained = ~F.col("failed") & (none | own | weak)
+    text = (
+        F.when(F.col("failed") | (own & ~none), F.col("answer")).when(none, F.lit(f"{WITHHELD}\n\nNo passage of the indexed documents matches this question."))
+        .when(weak, F.concat(F.lit(f"{WITHHELD}\n\nThe passages found do not support a reliable answer"), F.when(F.size(details) > 0, F.concat(F.lit(": "), F.array_join(details, "; "))).otherwise(""), F.lit(".")))
+        .otherwise(X.strip_invalid_markers("answer", F.array_union("valid", F.array().cast("array<int>"))))
+    )
+    d = d.withColumns({"text": text, "abstained": abstained, "reason": reason})
+    return d.select(
+        "answer_id", F.col("text").alias("answer"), (F.trim("text") != F.trim("answer")).alias("modified"), F.when(~F.col("failed"), F.when(abstained, 0.0).otherwise(F.col("score"))).alias("score"),
+        F.when(~F.col("failed"), F.when(abstained, "abstained").otherwise(F.col("label"))).alias("label"), "claims", "supported", "abstained", "reason",
+    )
 
 
 def pack_evidence(ranked: DataFrame, budget: int = 7000) -> DataFrame:

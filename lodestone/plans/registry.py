@@ -166,6 +166,12 @@ def _tech(x: str) -> str:
     return f"list_filter({found}, lambda x: length(x) > 1)"
 
 
+def _terms(x: str) -> str:
+    """Technical terms in order, each once; no function words."""
+    found = f"list_filter({_tech(x)}, lambda x: NOT list_contains({_STOP}, lower(x)))"
+    return f"list_filter({found}, lambda x, i: list_position(list_transform({found}, lambda y: lower(y)), lower(x)) = i)"
+
+
 _PART = "p_name || ' ' || p_brand || ' ' || p_type || ' X' || p_size || '-B2 iPod' || p_size"
 
 
@@ -413,7 +419,14 @@ def routing_explained(spark, d):
     return r.select("query_id", "top_k", F.array_join("rules_fired", ",").alias("rules"), "reason", F.array_join(A.modalities(F.col("requires_visual"), F.col("requires_tabular")), ",").alias("modalities"))
 
 
-@query()
+_QUALIFIERS = "[" + ", ".join(f"'{x}'" for x in A.QUALIFIERS) + "]"
+
+
+@query(f"""WITH {_FORMS}, r0 AS (SELECT query_id, query, {_content('query')} AS w, {_terms('query')} AS terms, regexp_extract_all(query, '\\S+') AS raw, trim(lower(query), ' ?') AS bare FROM qs),
+r1 AS (SELECT *, CASE WHEN len(terms) > 0 THEN array_to_string(list_filter(list_concat(terms, w[1:6]), lambda x, i: list_position(list_concat(terms, w[1:6]), x) = i), ' ') ELSE array_to_string(w[1:8], ' ') END AS dense, array_to_string(list_filter(raw, lambda x: NOT list_contains({_QUALIFIERS}, trim(lower(x), '?,.'))), ' ') AS g,
+array_to_string(list_transform(list_sort(list_transform(w, lambda x, i: {{'l': -length(x), 'i': i, 'w': x}}))[1:4], lambda s: s.w), ' ') AS longest FROM r0),
+r2 AS (SELECT query_id, list_filter([dense, CASE WHEN g <> query THEN trim(g, ' ?') ELSE '' END, CASE WHEN len(w) > 3 THEN longest ELSE '' END], lambda x: x <> '' AND lower(x) <> bare) AS c FROM r1),
+r3 AS (SELECT query_id, list_filter(c, lambda x, i: list_position(list_transform(c, lambda y: lower(y)), lower(x)) = i) AS c FROM r2) SELECT query_id, CAST(i AS INTEGER) AS n, c[i + 1] AS rewrite FROM r3, unnest(range(0, len(c))) AS r(i)""")
 def query_rewrites(spark, d):
     return A.heuristic_rewrites(sample_questions(Tables(spark, d)))
 
@@ -446,6 +459,29 @@ cl AS (SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY pos)
 """.strip()
 
 
+def _cosine(u: str, v: str) -> str:
+    dot = f"list_sum(list_transform(list_concat(list_distinct({u}), [NULL]), lambda t: len(list_filter({u}, lambda x: x = t)) * len(list_filter({v}, lambda x: x = t))))"
+    norm = lambda w: f"sqrt(list_sum(list_transform(list_distinct({w}), lambda t: len(list_filter({w}, lambda x: x = t)) ** 2)))"
+    return f"CASE WHEN len({u}) = 0 OR len({v}) = 0 THEN 0 ELSE {dot} / ({norm(u)} * {norm(v)}) END"
+
+
+def _numbers(x: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({x}, '{L.NUMBER}'), lambda n: replace(n, ',', '')))"
+
+
+_EVIDENCE = "ev AS (SELECT query_id AS answer_id, chunk_id, score, rank, n_sources, source AS document_id, text AS content FROM fused JOIN documents ON doc_id = chunk_id WHERE rank <= 3)"
+_VERDICTS = f"""
+k0 AS (SELECT answer_id, claim_index, trim(replace(regexp_replace(s, '\\[(\\d{{1,2}})\\]', '', 'g'), '  ', ' ')) AS claim FROM cl WHERE claim_index < 15),
+k1 AS (SELECT *, {_content('claim')} AS ct, {_numbers('claim')} AS cn FROM k0),
+et AS (SELECT answer_id, chunk_id, rank, {_content('content')} AS et, {_numbers('content')} AS en FROM ev),
+mt AS (SELECT k1.answer_id, claim_index, ct, cn, chunk_id, rank, en, round(0.6 * CASE WHEN len(ct) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ct), list_distinct(et))) / len(list_distinct(ct)) END + 0.4 * {_cosine('ct', 'et')}, 9) AS s FROM k1 LEFT JOIN et USING (answer_id)),
+mb AS (SELECT answer_id, claim_index, any_value(cn) AS cn, max(s) AS best, flatten(list(en)) AS numbers, count(chunk_id) AS n FROM mt GROUP BY answer_id, claim_index),
+ms AS (SELECT answer_id, claim_index, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY s DESC, rank, chunk_id) AS ids FROM (SELECT mt.*, row_number() OVER (PARTITION BY mt.answer_id, mt.claim_index ORDER BY s DESC, rank, chunk_id) AS p FROM mt JOIN mb USING (answer_id, claim_index) WHERE s >= greatest(0.3, best * 0.75)) WHERE p <= 3 GROUP BY answer_id, claim_index),
+vx AS (SELECT answer_id, claim_index, round(coalesce(best, 0), 4) AS lexical_score, n > 0 AND len(list_filter(cn, lambda x: NOT list_contains(numbers, x))) = 0 AS numeric_ok, coalesce(ids, '') AS evidence_ids FROM mb LEFT JOIN ms USING (answer_id, claim_index)),
+vd AS (SELECT *, CASE WHEN lexical_score >= 0.55 AND numeric_ok THEN 'supported' WHEN lexical_score >= 0.3 THEN 'partially_supported' ELSE 'unsupported' END AS verdict, CASE WHEN numeric_ok THEN lexical_score ELSE round(least(lexical_score, 0.35), 4) END AS support_score FROM vx)
+""".strip()
+
+
 @query(f"""WITH {_CLAIMS} SELECT answer_id, claim_index, trim(replace(regexp_replace(s, '\\[(\\d{{1,2}})\\]', '', 'g'), '  ', ' ')) AS claim, array_to_string(regexp_extract_all(s, '\\[(\\d{{1,2}})\\]', 1), ',') AS cited,
 CASE WHEN regexp_matches(low, 'might|may be|could be|possibly|perhaps|it seems|appears to') THEN 'hedged' WHEN regexp_matches(low, ' is a | is the | refers to| means ') THEN 'definition' WHEN regexp_matches(low, 'because|therefore|causes|leads to|due to') THEN 'causal' WHEN regexp_matches(low, 'more than|less than|better|worse|outperform|compared') THEN 'comparative' WHEN regexp_matches(s, '\\d') THEN 'numeric' ELSE 'factual' END AS claim_type FROM cl WHERE claim_index < 15""")
 def claim_extraction(spark, d):
@@ -453,33 +489,59 @@ def claim_extraction(spark, d):
     return c.select("answer_id", F.col("claim_index").cast("long").alias("claim_index"), "claim", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), "claim_type")
 
 
-@query()
+@query(f"{_RANKED}, {_EVIDENCE}, {_CLAIMS}, {_VERDICTS} SELECT answer_id, claim_index, lexical_score, numeric_ok, verdict, support_score, evidence_ids FROM vd")
 def claim_verdicts(spark, d):
     t = Tables(spark, d)
     v = V.verdicts(V.lexical_match(V.claims(answers_of(t)), evidence_of(t)))
-    return v.select("answer_id", "claim_index", "lexical_score", "numeric_ok", "verdict", "support_score", F.array_join(F.col("evidence_ids").cast("array<string>"), ",").alias("evidence_ids"))
+    return v.select("answer_id", F.col("claim_index").cast("long").alias("claim_index"), "lexical_score", "numeric_ok", "verdict", "support_score", F.array_join(F.col("evidence_ids").cast("array<string>"), ",").alias("evidence_ids"))
 
 
 @query(f"""WITH {_CLAIMS}, n AS (SELECT *, regexp_extract_all(s, '\\[(\\d{{1,2}})\\]', 1) AS m FROM sen WHERE length(s) >= 25 AND regexp_matches(s, '[A-Za-z]{{3,}}') AND NOT regexp_matches(s, '^(?:[|#*-]|```)')),
 p AS (SELECT answer_id, count(*) AS factual, count(*) FILTER (WHERE len(list_filter(m, lambda x: CAST(x AS INT) BETWEEN 1 AND 3)) > 0) AS cited_sentences, list_distinct(flatten(list(m))) AS ms FROM n GROUP BY answer_id)
-SELECT answer_id, factual, cited_sentences, round(cited_sentences / factual, 4) AS coverage, CASE WHEN len(ms) = 0 THEN 0.0 ELSE round(len(list_filter(ms, lambda x: CAST(x AS INT) BETWEEN 1 AND 3)) / len(ms), 4) END AS accuracy FROM p""")
+SELECT answer_id, factual, cited_sentences, round(cited_sentences / factual, 4) AS coverage, CASE WHEN len(ms) = 0 THEN 0.0 ELSE round(len(list_filter(ms, lambda x: CAST(x AS INT) BETWEEN 1 AND 3)) / len(ms), 4) END AS accuracy,
+array_to_string(list_sort(list_filter(list_distinct(list_transform(ms, lambda x: CAST(x AS INT))), lambda x: x BETWEEN 1 AND 3)), ',') AS valid, array_to_string(list_sort(list_filter(list_distinct(list_transform(ms, lambda x: CAST(x AS INT))), lambda x: x NOT BETWEEN 1 AND 3)), ',') AS invalid FROM p""")
 def citation_analysis(spark, d):
     t = Tables(spark, d)
-    return V.citations(answers_of(t), evidence_of(t)).filter(F.col("factual") > 0).select("answer_id", F.col("factual").cast("long").alias("factual"), F.col("cited_sentences").cast("long").alias("cited_sentences"), "coverage", "accuracy")
+    return V.citations(answers_of(t), evidence_of(t)).filter(F.col("factual") > 0).select("answer_id", F.col("factual").cast("long").alias("factual"), F.col("cited_sentences").cast("long").alias("cited_sentences"), "coverage", "accuracy", F.array_join(F.col("valid").cast("array<string>"), ",").alias("valid"), F.array_join(F.col("invalid").cast("array<string>"), ",").alias("invalid"))
 
 
-@query()
+@query(f"{_RANKED}, {_EVIDENCE} SELECT answer_id, rank AS marker, chunk_id, document_id, score AS relevance, CASE WHEN len(regexp_extract_all(content, '\\S+')) <= 60 THEN content ELSE array_to_string(regexp_extract_all(content, '\\S+')[1:60], ' ') || ' …' END AS excerpt FROM ev")
 def citation_records(spark, d):
-    return V.citation_records(evidence_of(Tables(spark, d)))
+    return V.citation_records(evidence_of(Tables(spark, d))).select("answer_id", F.col("marker").cast("long").alias("marker"), "chunk_id", "document_id", "relevance", "excerpt")
+
+
+_CONFIDENCE = f"""
+n0 AS (SELECT *, list_transform(regexp_extract_all(s, '\\[(\\d{{1,2}})\\]', 1), lambda x: CAST(x AS INT)) AS m FROM sen WHERE length(s) >= 25 AND regexp_matches(s, '[A-Za-z]{{3,}}') AND NOT regexp_matches(s, '^(?:[|#*-]|```)')),
+en AS (SELECT answer_id, count(*) AS n FROM ev GROUP BY answer_id),
+n1 AS (SELECT answer_id, list_filter(m, lambda x: x BETWEEN 1 AND coalesce(n, 0)) AS v, list_filter(m, lambda x: NOT (x BETWEEN 1 AND coalesce(n, 0))) AS i FROM n0 LEFT JOIN en USING (answer_id)),
+n2 AS (SELECT answer_id, count(*) AS factual, count(*) FILTER (WHERE len(v) > 0) AS cited, len(list_distinct(flatten(list(v)))) AS nv, len(list_distinct(flatten(list(i)))) AS ni FROM n1 GROUP BY answer_id),
+c1 AS (SELECT ans.answer_id, coalesce(round(cited / factual, 4), 0) AS coverage, CASE WHEN coalesce(nv, 0) + coalesce(ni, 0) = 0 THEN 0.0 ELSE round(nv / (nv + ni), 4) END AS accuracy, coalesce(ni, 0) AS ni FROM ans LEFT JOIN n2 USING (answer_id)),
+v1 AS (SELECT answer_id, avg(support_score) AS support, count(*) AS claims, count(*) FILTER (WHERE verdict = 'unsupported') AS unsupported, count(*) FILTER (WHERE verdict <> 'unsupported') AS supported, count(*) FILTER (WHERE NOT numeric_ok) AS failures FROM vd GROUP BY answer_id),
+e1 AS (SELECT answer_id, max(score) AS top, avg(score) AS mean5, count(DISTINCT document_id) AS documents, avg(n_sources) AS sources FROM ev GROUP BY answer_id),
+q1 AS (SELECT c1.*, top, coalesce(support, 0) AS support, coalesce(claims, 0) AS claims, coalesce(supported, 0) AS supported, coalesce(failures, 0) AS failures, coalesce(0.6 * top + 0.4 * mean5, 0) AS quality, CASE WHEN coalesce(documents, 0) > 1 THEN least(1.0, (documents - 1) / 2) ELSE 0.35 END AS agreement, coalesce(greatest(0.0, least(1.0, (sources - 1) / 2)), 0) AS consensus, CASE WHEN coalesce(claims, 0) = 0 THEN 0 ELSE unsupported / claims END AS share FROM c1 LEFT JOIN v1 USING (answer_id) LEFT JOIN e1 USING (answer_id)),
+q2 AS (SELECT *, round(greatest(0.0, least(1.0, 0.34 * support + 0.22 * quality + 0.18 * coverage + 0.10 * accuracy + 0.08 * agreement + 0.08 * consensus - (CASE WHEN share > 0.3 THEN least(0.2, share * 0.25) ELSE 0 END + least(0.12, 0.04 * ni) + least(0.18, 0.06 * failures)))), 4) AS score FROM q1),
+q3 AS (SELECT *, top IS NULL OR (score < 0.35 AND (CASE WHEN claims = 0 THEN 0 ELSE supported / claims END < 0.5 OR quality < 0.35)) AS abstained FROM q2)
+""".strip()
 
 
-@query()
+@query(f"{_RANKED}, {_EVIDENCE}, {_CLAIMS}, {_VERDICTS}, {_CONFIDENCE} SELECT answer_id, CASE WHEN abstained THEN 0.0 ELSE score END AS score, CASE WHEN abstained THEN 'abstained' WHEN score >= 0.72 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS label, claims, supported, abstained FROM q3")
 def answer_verification(spark, d):
     t = Tables(spark, d)
-    return V.verify(answers_of(t), evidence_of(t))
+    return V.verify(answers_of(t), evidence_of(t)).select("answer_id", "score", "label", "claims", "supported", "abstained")
 
 
 @query()
+def verified_answers(spark, d):
+    t = Tables(spark, d)
+    return V.verify(answers_of(t), evidence_of(t)).select("answer_id", "answer", "modified", "abstained", "reason")
+
+
+@query(f"""{_RANKED}, {_EVIDENCE}, g0 AS (SELECT item_id AS query_id, {_content('text')} AS q, {_terms('text')} AS terms FROM benchmark),
+g1 AS (SELECT query_id, score, content, CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(list_distinct(q), list_distinct({_content('content')}))) / len(list_distinct(q)) END AS cov FROM g0 JOIN ev ON answer_id = query_id),
+g2 AS (SELECT query_id, max(score) AS top, avg(score) AS mean5, max(cov) AS best, avg(cov) AS mean_cov, string_agg(lower(content), ' ') AS joined FROM g1 GROUP BY query_id),
+g3 AS (SELECT *, CASE WHEN len(terms) = 0 THEN 0 ELSE len(list_filter(terms, lambda t: contains(joined, lower(t)))) / len(terms) END AS rate FROM g0 LEFT JOIN g2 USING (query_id)),
+g4 AS (SELECT *, 0.45 * top + 0.2 * mean5 + 0.2 * best + 0.15 * CASE WHEN rate = 0 THEN mean_cov ELSE rate END AS q_ FROM g3)
+SELECT query_id, round(least(1.0, coalesce(q_, 0.0)), 4) AS overall, CASE WHEN top IS NULL THEN 'empty' WHEN len(terms) > 0 AND rate = 0 AND best < 0.25 THEN 'off_topic' WHEN top < 0.45 * 0.6 THEN 'off_topic' WHEN best < 0.2 AND top < 0.45 THEN 'too_general' WHEN q_ < 0.45 THEN 'partially_relevant' ELSE 'good' END AS diagnosis FROM g4""")
 def retrieval_grading(spark, d):
     t = Tables(spark, d)
     return V.grade(questions_of(t), evidence_of(t).withColumnRenamed("answer_id", "query_id"))
@@ -562,17 +624,27 @@ def duplicate_uploads(spark, d):
     return P.first_uploads(Tables(spark, d).documents)
 
 
-@query()
+@query(f"""WITH {_ORD}, s0 AS (SELECT doc_id AS chunk_id, document_id, ordinal, text, {_TOKENS.format('text')} AS tokens, len({_terms('text')}) AS n FROM ord JOIN documents ON doc_id = chunk_id WHERE lang = 'en'),
+s1 AS (SELECT *, round(n / greatest(1.0, tokens / 100) * CASE WHEN ordinal % 4 = 0 THEN 1.6 ELSE 1 END, 9) AS score FROM s0), s2 AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS rank FROM s1 WHERE tokens >= 30 AND score > 0)
+SELECT chunk_id, document_id, tokens, score, rank FROM s2 WHERE rank <= 60""")
 def entity_chunk_selection(spark, d):
     t = Tables(spark, d)
     own = ordinals_of(t).join(chunks_of(t).drop("document_id"), "chunk_id").withColumn("section_path", F.array(F.when(F.col("ordinal") % 4 == 0, "Results").otherwise("Other")))
-    return I.select_chunks(own).select("chunk_id", "document_id", "tokens", "score", "rank")
+    own = own.join(t.documents.filter(F.col("lang") == "en").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")  # word bounds of both engines agree on English
+    return I.select_chunks(own).select("chunk_id", "document_id", "tokens", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+_STOP_ENTITIES = "[" + ", ".join(f"'{x}'" for x in I.STOP_ENTITIES) + "]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, source AS document_id, list_slice({_terms('text')}, 1, 10) AS ts FROM documents WHERE lang = 'en'), e0 AS (SELECT doc_id, document_id, unnest(ts) AS name FROM t),
+e1 AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key FROM e0 WHERE length(name) >= 3)
+SELECT document_id, key, 'CONCEPT' AS entity_type, CAST(0.45 AS DOUBLE) AS salience, count(*) AS mentions, array_to_string(list_sort(list_distinct(list(doc_id))), ',') AS chunks FROM e1 WHERE key <> '' AND NOT list_contains({_STOP_ENTITIES}, key) GROUP BY document_id, key""")
 def document_entities(spark, d):
-    e = I.dedupe_entities(I.rule_entities(chunks_of(Tables(spark, d))))
-    return e.select("document_id", "key", "entity_type", "salience", "mentions")
+    t = Tables(spark, d)
+    own = chunks_of(t).join(t.documents.filter(F.col("lang") == "en").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    e = I.dedupe_entities(I.rule_entities(own))
+    return e.select("document_id", "key", "entity_type", "salience", "mentions", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunks"))
 
 
 @query()
@@ -659,7 +731,12 @@ def _pairs(t: Tables) -> DataFrame:
     return key.select(F.col("key").alias("src")).join(key.select(F.col("key").alias("dst")), F.col("src") != F.col("dst"))
 
 
-@query()
+_WALKS = """w AS (SELECT a AS src, b AS dst, [a, b] AS path, [type] AS types, [chunk_id] AS chunks, 1 AS hops FROM st),
+w2 AS (SELECT src, st.b AS dst, list_append(path, st.b) AS path, list_append(types, st.type) AS types, list_append(chunks, st.chunk_id) AS chunks, 2 AS hops FROM w JOIN st ON st.a = w.dst WHERE NOT list_contains(path, st.b)),
+wu AS (SELECT * FROM w UNION ALL SELECT * FROM w2)"""
+
+
+@query(f"WITH {_GRAPH}, {_WALKS}, w3 AS (SELECT src, st.b AS dst, list_append(path, st.b) AS path, 3 AS hops FROM w2 JOIN st ON st.a = w2.dst WHERE NOT list_contains(path, st.b)), al AS (SELECT src, dst, path, hops FROM wu UNION ALL SELECT src, dst, path, hops FROM w3), l AS (SELECT src, dst, min(hops) AS hops FROM al GROUP BY src, dst) SELECT src, dst, array_to_string(path, '>') AS path, hops FROM al JOIN l USING (src, dst, hops) QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY path) <= 10")
 def graph_shortest(spark, d):
     t = Tables(spark, d)
     _, edges = graph_of(t)
@@ -682,14 +759,14 @@ def graph_delete(spark, d):
     return G.delete_document(*graph_of(Tables(spark, d)), "doc1")[1].select("src", "dst", "type")
 
 
-@query()
+@query(f"WITH {_GRAPH}, {_WALKS}, u AS (SELECT * FROM wu QUALIFY row_number() OVER (PARTITION BY src ORDER BY hops, path) <= 60) SELECT DISTINCT path[i] AS src, path[i + 1] AS dst, types[i] AS type FROM u, unnest(range(1, hops + 1)) AS r(i)")
 def graph_subgraph(spark, d):
     t = Tables(spark, d)
     nodes, edges = graph_of(t)
     return G.subgraph(G.neighborhood(nodes.select("key"), edges))
 
 
-@query()
+@query(f"WITH {_GRAPH}, {_WALKS}, u AS (SELECT * FROM wu QUALIFY row_number() OVER (PARTITION BY src ORDER BY hops, path) <= 20) SELECT src AS seed, path[1] || array_to_string(list_transform(range(1, hops + 1), lambda i: ' -[' || types[i] || ']-> ' || path[i + 1]), '') AS text, array_to_string(list_filter(chunks, lambda x, i: list_position(chunks, x) = i), ',') AS chunks FROM u")
 def graph_paths_described(spark, d):
     t = Tables(spark, d)
     nodes, edges = graph_of(t)
