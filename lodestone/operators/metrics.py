@@ -148,6 +148,33 @@ def page(rows: DataFrame, order: list, limit: int, offset: int = 0, equal: dict
     return own.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
+def knowledge_base_stats(documents: DataFrame, chunks: DataFrame, entities: DataFrame | None = None, relations: DataFrame | None = None) -> DataFrame:
+    """(kind, name, n): sums over all documents, and histograms by status, file type and modality.
+
+    ``documents`` needs status, file_type, chunk_count, token_count, page_count, table_count, figure_count and size_bytes."""
+    sums = {"documents": F.count(F.lit(1)), **{c: F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("chunk_count", "token_count", "page_count", "table_count", "figure_count", "size_bytes")}}
+    one = documents.agg(*(v.alias(k) for k, v in sums.items()))
+    out = one.unpivot([], list(sums), "name", "n").select(F.lit("total").alias("kind"), "name", "n")
+    for kind, df, column in (("status", documents, "status"), ("type", documents, "file_type"), ("modality", chunks, "modality")):
+        out = out.unionByName(df.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "name", "n"))
+    for name, df in (("entities", entities), ("relations", relations)):
+        if df is not None:
+            out = out.unionByName(df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit(name).alias("name"), "n"))
+    return out
+
+
+def most_used(log: DataFrame, column: str = "strategy") -> DataFrame:
+    """(value, n): the most frequent value of the log, the least of several; no row where it is empty."""
+    counts = log.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.col("n").desc(), "value").limit(1)
+
+
+def conversation_list(turns: DataFrame, limit: int = 50) -> DataFrame:
+    """(conv_id, turns, last_turn): conversations with the most recent last turn first."""
+    own = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.max("turn").alias("last_turn"))
+    return own.orderBy(F.col("last_turn").desc(), "conv_id").limit(limit)
+
+
 def conversation_history(turns: DataFrame, most: int = 6) -> DataFrame:
     """The last turns of each conversation, oldest first."""
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())

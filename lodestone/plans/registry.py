@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,13 +12,14 @@ from lodestone.functions import lexicons as L
 from lodestone.functions import text as X
 from lodestone.operators import analyze as A
 from lodestone.operators import graph as G
+from lodestone.operators import index as N
 from lodestone.operators import ingest as I
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import verify as V
 from lodestone.plans import strategies as S
 from lodestone.sources import parsers as P
-from lodestone.sources.stored import stored
+from lodestone.sources.stored import shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,6 +277,70 @@ def around_chunk(spark, d):
     return R.around(ordinals_of(Tables(spark, d))).withColumn("ordinal", F.col("ordinal").cast("long"))
 
 
+# -- the stored index
+
+
+def _bm25_over(documents: str, limit: int = 10) -> str:
+    """The SQL of a search over other documents than the whole table."""
+    return _BM25.replace("FROM documents", f"FROM ({documents})").replace("rank <= 20", f"rank <= {limit}")
+
+
+def index_of(t: Tables) -> N.Index:
+    own = ordinals_of(t).join(chunks_of(t).drop("document_id"), "chunk_id")
+    return N.build(own).save(f"{shared_dir(t.spark)}/lodestone-index-{uuid.uuid4().hex}")
+
+
+_GONE = "SELECT * FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')"
+
+
+@query(f"WITH {_bm25_over(_GONE)} SELECT query_id, chunk_id, score, rank FROM sparse")
+def index_delete(spark, d):
+    """Search after documents were deleted from the loaded index: statistics and results follow."""
+    t = Tables(spark, d)
+    gone = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "document_id string")
+    return N.delete_documents(index_of(t), gone).search(questions_of(t), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_NEW = "SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN 'replaced ' || left(text, 300) ELSE text END AS text) FROM documents"
+
+
+@query(f"WITH {_bm25_over(_NEW)} SELECT query_id, chunk_id, score, rank FROM sparse")
+def index_upsert(spark, d):
+    """Search after every seventh chunk was replaced; an older row of the same chunk doesn't count."""
+    t = Tables(spark, d)
+    own = ordinals_of(t).join(chunks_of(t).drop("document_id"), "chunk_id").filter(F.col("chunk_id") % 7 == 0)
+    new = own.withColumns({"content": F.concat(F.lit("replaced "), F.substring("content", 1, 300)), "seq": F.lit(2)}).unionByName(own.withColumns({"content": F.lit("older"), "seq": F.lit(1)}))
+    return N.upsert(index_of(t), new).search(questions_of(t), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH x AS ({_GONE}) SELECT 'chunks' AS part, count(*) AS n FROM x UNION ALL SELECT 'posts', count(*) FROM x UNION ALL SELECT 'vectors', count(*) FROM x""")
+def index_counts(spark, d):
+    """Rows of the index after deletion, in each part that has one for a chunk."""
+    t = Tables(spark, d)
+    gone = spark.createDataFrame([("src1",), ("src2",), ("src3",)], "document_id string")
+    return N.delete_documents(index_of(t), gone).counts().filter(F.col("part").isin("chunks", "posts", "vectors"))
+
+
+@query(f"WITH {_bm25_over('SELECT * FROM documents')} SELECT query_id, chunk_id, score, rank FROM sparse")
+def index_reindex(spark, d):
+    """Replacing a document by itself changes nothing."""
+    t = Tables(spark, d)
+    own = ordinals_of(t).join(chunks_of(t).drop("document_id"), "chunk_id").filter(F.col("document_id") == "src5")
+    return N.replace_documents(index_of(t), own).search(questions_of(t), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_ORD}, m AS (SELECT source AS document_id, CASE doc_id % 10 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' ELSE 'text' END AS modality, count(*) AS n FROM documents GROUP BY 1, 2),
+f AS (SELECT document_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY ordinal) AS chunks FROM ord WHERE ordinal <= 50 GROUP BY document_id),
+k AS (SELECT document_id, string_agg(modality || ':' || n, ',' ORDER BY modality) AS modalities FROM m GROUP BY document_id) SELECT document_id, chunks, modalities FROM f JOIN k USING (document_id)""")
+def document_detail(spark, d):
+    t = Tables(spark, d)
+    own = ordinals_of(t).join(chunks_of(t).drop("document_id", "content"), "chunk_id")
+    none = spark.createDataFrame([], "document_id string, key string, salience double, mentions long")
+    found = N.document_detail(N.Index(own, own, own, own, own), none)
+    kinds = F.array_join(F.transform(F.map_entries("modalities"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return found.select("document_id", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"), kinds.alias("modalities"))
+
+
 # -- fusion and ranking
 
 
@@ -349,6 +415,16 @@ def list_overlap(spark, d):
     return R.overlap(sparse_of(t), coverage_of(t))
 
 
+@query(f"""{_RANKED}, sp0 AS (SELECT f.query_id, f.chunk_id, f.rank, source, {_content('text')} AS w FROM fused f JOIN documents ON doc_id = chunk_id),
+sp1 AS (SELECT query_id, source, chunk_id, rank, t, count(*) AS n FROM sp0, unnest(w) AS u(t) GROUP BY ALL), sp2 AS (SELECT query_id, chunk_id, sqrt(sum(n * n)) AS norm FROM sp1 GROUP BY query_id, chunk_id),
+sp3 AS (SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, sum(a.n * b.n) AS dot FROM sp1 a JOIN sp1 b ON a.query_id = b.query_id AND a.source = b.source AND a.t = b.t AND a.rank < b.rank GROUP BY a.query_id, a.chunk_id, b.chunk_id)
+SELECT query_id, a, b, round(dot / (x.norm * y.norm), 9) AS similarity FROM sp3 JOIN sp2 x USING (query_id) JOIN sp2 y USING (query_id) WHERE x.chunk_id = a AND y.chunk_id = b AND round(dot / (x.norm * y.norm), 9) >= 0.92""")
+def similar_pairs(spark, d):
+    t = Tables(spark, d)
+    own = fused_of(t).join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.col("text").alias("content")), "chunk_id")
+    return R.similar_pairs(own)
+
+
 @query()
 def near_duplicate_removal(spark, d):
     t = Tables(spark, d)
@@ -413,7 +489,13 @@ def query_routing(spark, d):
     return r.select("query_id", "rule", "strategy", "parallel", "use_corrective", "use_agentic", "top_k", "candidate_pool", "graph_depth", "rerank", "llm_calls")
 
 
-@query()
+_FIRED = """CASE WHEN strategy = 'multimodal' AND keyword_requirement >= 0.5 THEN 'visual_with_exact_terms' WHEN strategy = 'graph' AND keyword_requirement >= 0.45 THEN 'graph_with_exact_terms' WHEN strategy = 'hyde' AND keyword_requirement >= 0.5 THEN 'hyde_with_exact_terms' END, CASE WHEN simple THEN 'cost_guard_simple_query' END, CASE WHEN corr THEN 'corrective_wrapping' END, CASE WHEN signals >= 3 THEN 'agentic_escalation' END"""
+_BECAUSE = """CASE WHEN multi_hop THEN 'multi-hop reasoning' END, CASE WHEN rq THEN 'relationship traversal' END, CASE WHEN keyword_requirement >= 0.55 THEN 'exact terminology matching' END, CASE WHEN semantic_requirement >= 0.6 THEN 'conceptual/semantic matching' END, CASE WHEN visual THEN 'figure and chart evidence' END, CASE WHEN tabular THEN 'tabular evidence' END, CASE WHEN crs THEN 'cross-document synthesis' END, CASE WHEN corr THEN 'evidence verification' END"""
+
+
+@query(ORACLES["query_routing"].partition("SELECT query_id, rule, strategy, CASE WHEN (strategy IN")[0] + f"""SELECT query_id, 5 AS top_k, array_to_string(list_filter([rule, {_FIRED}, 'request_overrides'], lambda x: x IS NOT NULL), ',') AS rules,
+'Selected ' || strategy || CASE WHEN (strategy IN ('multimodal', 'hyde') AND keyword_requirement >= 0.5) OR (strategy = 'graph' AND keyword_requirement >= 0.45) THEN ' + hybrid' ELSE '' END || ' because the query requires ' || CASE WHEN len(list_filter([{_BECAUSE}], lambda x: x IS NOT NULL)) = 0 THEN 'a direct single-fact lookup' ELSE array_to_string(list_filter([{_BECAUSE}], lambda x: x IS NOT NULL), ', ') END || '.' AS reason,
+array_to_string(list_filter([CASE WHEN visual THEN 'figure' END, CASE WHEN visual THEN 'image' END, CASE WHEN visual THEN 'ocr' END, CASE WHEN tabular THEN 'table' END], lambda x: x IS NOT NULL), ',') AS modalities FROM r2""")
 def routing_explained(spark, d):
     r = A.apply_overrides(A.route(A.analyze(sample_questions(Tables(spark, d)))), {"top_k": 5, "unknown": 1})
     return r.select("query_id", "top_k", F.array_join("rules_fired", ",").alias("rules"), "reason", F.array_join(A.modalities(F.col("requires_visual"), F.col("requires_tabular")), ",").alias("modalities"))
@@ -431,7 +513,13 @@ def query_rewrites(spark, d):
     return A.heuristic_rewrites(sample_questions(Tables(spark, d)))
 
 
-@query()
+@query(f"""WITH b AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+t0 AS (SELECT conv_id, back, i, {_terms('text')}[i] AS term FROM b, unnest(range(1, len({_terms('text')}) + 1)) AS r(i) WHERE back <= 6 AND role = 'user'),
+t1 AS (SELECT conv_id, term, min(back * 100000 + i) AS o FROM t0 GROUP BY conv_id, term), la AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+q AS (SELECT c.conv_id, c.turn AS asked, c.text AS query FROM conversations c JOIN la ON c.conv_id = la.conv_id AND c.turn = la.turn AND role = 'user'),
+n AS (SELECT conv_id, term, o, row_number() OVER (PARTITION BY conv_id ORDER BY o) AS p FROM t1 JOIN q USING (conv_id) WHERE NOT contains(lower(query), lower(term))),
+j AS (SELECT conv_id, string_agg(term, ' ' ORDER BY o) AS more FROM n WHERE p <= 5 GROUP BY conv_id)
+SELECT conv_id, asked, CASE WHEN len({_content('query')}) <= 6 AND more IS NOT NULL THEN query || ' ' || more ELSE query END AS condensed FROM q LEFT JOIN j USING (conv_id)""")
 def follow_up_condensation(spark, d):
     t = Tables(spark, d)
     latest = user_turns(t).withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))).filter(F.col("n") == 1).drop("n")
@@ -586,6 +674,15 @@ def csv_row_windows(spark, d):
     return P.row_windows(Tables(spark, d).orders, ["o_orderkey"], ["o_orderkey", "o_custkey", "o_orderpriority"], ["o_orderstatus"])
 
 
+@query("""WITH o AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation),
+s AS (SELECT n_regionkey, 0 AS block, 'Schema' AS section, 'Dataset: nation.csv' || chr(10) || 'Rows: ' || count(*) || ', Columns: 2' || chr(10) || 'Columns: n_nationkey (int), n_name (string)' || chr(10) || chr(10) || 'Numeric summary:' || chr(10) || '| | n_nationkey |' || chr(10) || '| count | ' || count(*) || ' |' || chr(10) || '| mean | ' || CAST(round(avg(n_nationkey), 6) AS VARCHAR) || ' |' || chr(10) || '| std | ' || CAST(round(stddev(n_nationkey), 6) AS VARCHAR) || ' |' || chr(10) || '| min | ' || min(n_nationkey) || ' |' || chr(10) || '| max | ' || max(n_nationkey) || ' |' AS text FROM nation GROUP BY n_regionkey),
+w AS (SELECT n_regionkey, CAST((rn - 1) // 2 + 1 AS INTEGER) AS block, 'Rows ' || min(rn) || '-' || max(rn) AS section, string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY rn) AS lines FROM o WHERE (rn - 1) // 2 + 1 <= 2 GROUP BY n_regionkey, (rn - 1) // 2 + 1)
+SELECT * FROM s UNION ALL SELECT n_regionkey, block, section, section || ' of nation.csv:' || chr(10) || chr(10) || '| n_nationkey | n_name |' || chr(10) || '|---|---|' || chr(10) || lines FROM w UNION ALL SELECT n_regionkey, NULL, 'Warning', 'Only the first 4 rows were indexed.' FROM nation GROUP BY n_regionkey HAVING count(*) > 4""")
+def csv_blocks(spark, d):
+    n = Tables(spark, d).nation.select("n_regionkey", "n_nationkey", "n_name")
+    return P.csv_blocks(n, "nation.csv", ["n_nationkey"], ["n_regionkey"], 2, 2)
+
+
 @query("""SELECT n_regionkey, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey""")
 def table_markdown(spark, d):
     n = Tables(spark, d).nation
@@ -649,8 +746,10 @@ def document_entities(spark, d):
 
 @query()
 def hash_embedding(spark, d):
+    """Where the vector is largest and its signs, besides its length."""
     v = I.hash_embed(Tables(spark, d).conversations, "text", 64)
-    return v.select("conv_id", "turn", F.round(X.dot(F.col("vector"), F.col("vector")), 5).alias("norm"))
+    top = F.slice(F.array_sort(F.transform("vector", lambda x, i: F.struct((-F.abs(x)).alias("a"), i.alias("i"), F.signum(x).cast("int").alias("s")))), 1, 3)
+    return v.select("conv_id", "turn", F.round(X.dot(F.col("vector"), F.col("vector")), 5).alias("norm"), F.array_join(F.transform(top, lambda x: F.concat_ws(":", x["i"], x["s"])), ",").alias("largest"))
 
 
 # -- graph
@@ -717,6 +816,14 @@ def graph_neighborhood(spark, d):
     return n.select("seed", F.array_join("path", ">").alias("path"), F.array_join("types", ",").alias("types"), "hops", "score")
 
 
+@query(f"""WITH {_GRAPH}, h1 AS (SELECT a AS seed, [a, b] AS path, confidence AS least, 1 AS hops FROM st), h2 AS (SELECT seed, list_append(path, b) AS path, least(least, st.confidence) AS least, 2 AS hops FROM h1 JOIN st ON st.a = path[2] WHERE NOT list_contains(path, b)),
+u AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, path) AS n FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2)) SELECT seed, array_to_string(path, '>') AS path, hops, round(least * CASE hops WHEN 1 THEN 1.0 ELSE 0.75 END, 4) AS score FROM u WHERE n <= 60""")
+def graph_neighborhood_by_weakest(spark, d):
+    t = Tables(spark, d)
+    nodes, edges = graph_of(t)
+    return G.neighborhood(nodes.select("key"), edges, weakest=True).select("seed", F.array_join("path", ">").alias("path"), "hops", "score")
+
+
 @query(f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT p.src, p.dst, [p.src] AS path, 0 AS hops FROM (SELECT x.key AS src, y.key AS dst FROM nk x, nk y WHERE x.key <> y.key) p UNION ALL SELECT src, dst, list_append(path, b), hops + 1 FROM w JOIN st ON st.a = path[len(path)] WHERE path[len(path)] <> dst AND NOT list_contains(path, b) AND hops < 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) AS n FROM w WHERE path[len(path)] = dst) SELECT src, dst, array_to_string(path, '>') AS path, hops, CAST(CASE hops WHEN 1 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM f""")
 def graph_paths(spark, d):
@@ -895,10 +1002,33 @@ def conversation_history(spark, d):
 
 
 @query("SELECT source, count(*) AS chunks, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT lang) AS langs, count(*) FILTER (WHERE lang = 'en') AS en FROM documents GROUP BY source")
-def knowledge_base_stats(spark, d):
+def source_stats(spark, d):
     return Tables(spark, d).documents.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("lang") == "en").alias("en"))
 
 
+@query(f"""WITH x AS (SELECT *, CASE WHEN n_chars < 500 THEN 'failed' ELSE 'ready' END AS status, strlen(text) AS size_bytes, {_TOKENS.format('text')} AS tokens FROM documents)
+SELECT 'total' AS kind, 'documents' AS name, count(*) AS n FROM x UNION ALL SELECT 'total', 'chunk_count', count(*) FROM x UNION ALL SELECT 'total', 'token_count', CAST(sum(tokens) AS BIGINT) FROM x UNION ALL SELECT 'total', 'page_count', CAST(sum(n_chars // 3000 + 1) AS BIGINT) FROM x
+UNION ALL SELECT 'total', 'table_count', count(*) FILTER (WHERE doc_id % 10 = 0) FROM x UNION ALL SELECT 'total', 'figure_count', count(*) FILTER (WHERE doc_id % 10 = 1) FROM x UNION ALL SELECT 'total', 'size_bytes', CAST(sum(size_bytes) AS BIGINT) FROM x
+UNION ALL SELECT 'status', status, count(*) FROM x GROUP BY status UNION ALL SELECT 'type', lang, count(*) FROM x GROUP BY lang UNION ALL SELECT 'modality', CASE doc_id % 10 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' ELSE 'text' END, count(*) FROM x GROUP BY 2""")
+def knowledge_base_stats(spark, d):
+    t = Tables(spark, d)
+    docs = t.documents.select(
+        F.when(F.col("n_chars") < 500, "failed").otherwise("ready").alias("status"), F.col("lang").alias("file_type"), F.lit(1).alias("chunk_count"), X.estimate_tokens("text").alias("token_count"), F.expr("n_chars div 3000 + 1").alias("page_count"),
+        (F.col("doc_id") % 10 == 0).cast("int").alias("table_count"), (F.col("doc_id") % 10 == 1).cast("int").alias("figure_count"), F.octet_length("text").alias("size_bytes"),
+    )
+    return M.knowledge_base_stats(docs, chunks_of(t).select("modality"))
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 50")
+def conversation_list(spark, d):
+    return M.conversation_list(Tables(spark, d).conversations)
+
+
+@query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, value LIMIT 1")
+def most_used_strategy(spark, d):
+    return M.most_used(log_of(Tables(spark, d)))
+
+
 @query("SELECT event_type AS name, count(*) AS spans, round(sum(value), 6) AS ms, CAST(sum(user_id) AS BIGINT) AS tokens FROM events GROUP BY event_type")
 def trace_rollup(spark, d):
     return M.trace_rollup(Tables(spark, d).events.select(F.col("event_type").alias("name"), F.col("value").alias("ms"), F.col("user_id").alias("tokens")))
