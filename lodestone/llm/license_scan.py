@@ -6,9 +6,11 @@ the joined words finds the keywords that occur; only rules that have their keywo
 priority. A detection that lies inside the interval of a kept detection of higher priority is suppressed
 (a shorter name inside a longer one). The base phrases are rules of the first priority that nothing suppresses.
 
-There are three lists of signatures: names of licenses, short names that count only after words that declare a license
-(SPDX ids such as MIT or EPL-2.0), and sentences of license texts and notices. The rules for names are their product with
-the contexts in which a name is a license statement; contexts change a match's score and interval and find no further licenses.
+The signatures are written by hand: names of licenses, as expressions or word for word; short names that count only after words that declare a license
+(SPDX ids such as MIT or EPL-2.0); sentences of license texts and notices, as expressions or word for word; exceptions and
+statements of a license without its name. The rules for names are their product with
+the contexts in which a name is a license statement; contexts change a match's score and interval and find no further licenses. ``SIGNATURES``
+is the number of signatures, not of that product.
 
 Defined results: null is an empty text: no words, no labels, score 0; texts are scanned whole;
 equal rows get equal results; other columns pass through, and one named like a new
@@ -96,6 +98,51 @@ LICENSES = [
     ("public-domain", "domain", r"public domain"),
     ("proprietary", "reserved", r"all rights reserved"),
 ]
+# Label, keyword and a license's name word for word.
+NAMES = [
+    ("ms-pl", "microsoft", "microsoft public license"), ("ms-rl", "reciprocal", "microsoft reciprocal license"), ("ipl-1", "ibm", "ibm public license"), ("spl-1", "sun", "sun public license"), ("sleepycat", "sleepycat", "sleepycat license"),
+    ("afl-3", "academic", "academic free license"), ("osl-3", "software", "open software license"), ("rpl-1.5", "reciprocal", "reciprocal public license"), ("qpl-1", "q", "q public license"), ("zpl-2", "zope", "zope public license"),
+    ("apsl-2", "apple", "apple public source license"), ("nasa-1.3", "nasa", "nasa open source agreement"), ("cecill-2", "cecill", "cecill"), ("cecill-b", "cecill", "cecill b"), ("cecill-c", "cecill", "cecill c"),
+    ("mulan-psl-2", "mulan", "mulan permissive software license"), ("blueoak-1", "oak", "blue oak model license"), ("busl-1.1", "business", "business source license"), ("sspl-1", "side", "server side public license"), ("elastic-2", "elastic", "elastic license"),
+    ("commons-clause", "clause", "commons clause"), ("polyform-noncommercial", "polyform", "polyform noncommercial license"), ("polyform-small-business", "polyform", "polyform small business license"), ("openrail", "openrail", "openrail"), ("openrail-m", "openrail", "openrail m"),
+    ("bigscience-rail", "rail", "bigscience rail license"), ("llama-2", "llama", "llama 2 community license"), ("llama-3", "llama", "llama 3 community license"), ("gemma", "gemma", "gemma terms of use"), ("ogl-3", "government", "open government licence"),
+    ("x11", "x11", "x11 license"), ("mit-0", "attribution", "mit no attribution"), ("beerware", "beerware", "beerware license"), ("beerware", "beer", "beer ware license"), ("ncsa", "ncsa", "ncsa open source license"), ("ncsa", "illinois", "university of illinois open source license"),
+    ("vim", "vim", "vim license"), ("w3c", "w3c", "w3c software notice and license"), ("unicode", "unicode", "unicode license"), ("icu", "icu", "icu license"), ("ftl", "freetype", "freetype license"), ("libpng", "libpng", "libpng license"), ("curl", "curl", "curl license"),
+    ("bzip2", "bzip2", "bzip2 license"), ("info-zip", "zip", "info zip license"), ("lppl-1.3", "latex", "latex project public license"), ("erlpl-1.1", "erlang", "erlang public license"), ("cpal-1", "attribution", "common public attribution license"),
+    ("ecl-2", "educational", "educational community license"), ("upl-1", "universal", "universal permissive license"), ("ecos-2", "ecos", "ecos license"), ("efl-2", "eiffel", "eiffel forum license"), ("fair", "fair", "fair license"), ("hpnd", "historical", "historical permission notice and disclaimer"),
+    ("lpl-1", "lucent", "lucent public license"), ("motosoto", "motosoto", "motosoto open source license"), ("naumen", "naumen", "naumen public license"), ("nokia", "nokia", "nokia open source license"), ("oclc-2", "oclc", "oclc research public license"),
+    ("rscpl", "ricoh", "ricoh source code public license"), ("watcom-1", "watcom", "sybase open watcom public license"), ("vsl-1", "vovida", "vovida software license"), ("wxwindows", "wxwindows", "wxwindows library licence"), ("pddl-1", "dedication", "open data commons public domain dedication"),
+    ("cdla-permissive", "community", "community data license agreement permissive"), ("cdla-sharing", "community", "community data license agreement sharing"), ("cern-ohl", "cern", "cern open hardware licence"), ("solderpad", "solderpad", "solderpad hardware license"), ("lal-1.3", "art", "free art license"),
+    ("dsl", "science", "design science license"), ("tapr-ohl", "tapr", "tapr open hardware license"), ("intel", "intel", "intel open source license"), ("json", "json", "json license"), ("hippocratic", "hippocratic", "hippocratic license"), ("anti-996", "996", "anti 996 license"),
+]
+# Label, keyword and a sentence of a license's text or notice, an exception or a statement, word for word.
+TEXTS = [
+    ("apache-2", "compliance", "you may not use this file except in compliance with the license"), ("apache-2", "agreed", "unless required by applicable law or agreed to in writing software"), ("apache-2", "contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable"),
+    ("mpl-2", "mozilla", "this source code form is subject to the terms of the mozilla public license"), ("mpl-2", "mpl", "if a copy of the mpl was not distributed with this file"),
+    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"), ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("agpl-3", "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"), ("lgpl", "library", "under the terms of the gnu library general public license"),
+    ("gpl", "received", "you should have received a copy of the gnu general public license"), ("lgpl", "received", "you should have received a copy of the gnu lesser general public license"), ("agpl-3", "received", "you should have received a copy of the gnu affero general public license"),
+    ("gpl", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"), ("fdl", "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mit", "portions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"), ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "merchantability", "including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"), ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
+    ("bsd", "retain", "redistributions of source code must retain the above copyright notice this list of conditions"), ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice"), ("bsd", "holders", "this software is provided by the copyright holders and contributors as is"),
+    ("bsd-2-clause", "representing", "should not be interpreted as representing official policies"), ("bsd-3-clause-clear", "patent", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"), ("zlib", "plainly", "altered source versions must be plainly marked as such"), ("libpng", "png", "the png reference library is supplied as is"),
+    ("isc", "author", "the software is provided as is and the author disclaims all warranties with regard to this software"), ("ncsa", "disclaimers", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights"), ("cc0", "dedicate", "dedicate any and all copyright interest in the software to the public domain"), ("unlicense", "compile", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document"), ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("artistic", "perl", "you can redistribute it and or modify it under the same terms as perl itself"), ("artistic", "perl", "under the same terms as perl"), ("bsl-1", "boost", "distributed under the boost software license"), ("ofl", "font", "this font software is licensed under the sil open font license"),
+    ("python", "python", "psf is making python available to licensee on an as is basis"), ("openssl", "toolkit", "for use in the openssl toolkit"), ("openssl", "ssl", "this package is an ssl implementation written by"), ("php", "php", "this product includes php software freely available from"),
+    ("w3c", "modification", "permission to copy modify and distribute this work with or without modification for any purpose"), ("unicode", "unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"), ("ruby", "bsdl", "you can redistribute it and or modify it under either the terms of the 2 clause bsdl"),
+    ("curl", "advertising", "the name of a copyright holder shall not be used in advertising or otherwise to promote the sale use"), ("ijg", "independent", "this software is based in part on the work of the independent jpeg group"), ("beerware", "beer", "you can buy me a beer in return"), ("json", "evil", "the software shall be used for good not evil"),
+    ("commons-clause", "sell", "the license does not grant to you the right to sell the software"), ("busl-1.1", "change", "change date change license"), ("sspl-1", "service", "if you make the functionality of the program available to third parties as a service"), ("elastic-2", "hosted", "you may not provide the software to third parties as a hosted or managed service"),
+    ("classpath-exception-2", "classpath", "classpath exception"), ("gcc-exception-3.1", "gcc", "gcc runtime library exception"), ("autoconf-exception", "autoconf", "autoconf exception"), ("bison-exception-2.2", "bison", "bison exception"), ("font-exception-2", "font", "font exception"),
+    ("llvm-exception", "llvm", "llvm exception"), ("linking-exception", "linking", "linking exception"), ("openssl-exception", "openssl", "openssl exception"), ("foss-exception", "foss", "universal foss exception"), ("u-boot-exception-2", "boot", "u boot exception"), ("qt-lgpl-exception-1.1", "qt", "qt lgpl exception"), ("swift-exception", "swift", "swift exception"), ("linux-syscall-note", "syscall", "linux syscall note"),
+    ("public-domain", "domain", "released into the public domain"), ("public-domain", "domain", "placed in the public domain"), ("public-domain", "domain", "dedicated to the public domain"), ("public-domain", "copyright", "no copyright is claimed"), ("us-government-work", "government", "a work of the united states government"),
+    ("proprietary", "proprietary", "confidential and proprietary"), ("proprietary", "unauthorized", "unauthorized copying of this file via any medium is strictly prohibited"), ("proprietary", "reproduced", "no part of this publication may be reproduced"), ("proprietary", "permission", "may not be reproduced without written permission"), ("proprietary", "secrets", "contains trade secrets"),
+    ("non-commercial", "commercial", "for non commercial use only"), ("non-commercial", "commercial", "not for commercial use"), ("non-commercial", "noncommercial", "for noncommercial purposes only"), ("non-commercial", "personal", "free for personal use"), ("non-commercial", "academic", "free for academic use"), ("non-commercial", "research", "for research purposes only"), ("non-commercial", "evaluation", "for evaluation purposes only"),
+    ("unspecified", "author", "with the permission of the author"), ("unspecified", "attribution", "attribution is required"), ("unspecified", "redistributed", "may be freely redistributed"), ("unspecified", "copied", "may be freely copied"),
+]
 #: Keywords that may go on within their word, such as gplv3.
 OPEN = {"agpl", "apache", "gpl", "lgpl", "mpl"}
 # Contexts, strongest first, with the score of a match; {} stands for the name.
@@ -131,6 +178,8 @@ SENTENCES = [
     ("unspecified", "warranty", r"without warranty of any kind"),
 ]
 SENTENCE_SCORE = 0.9
+#: Labels of sentences that name no license.
+WEAK = {"unspecified", "non-commercial", "proprietary", "public-domain"}
 # Label and short name, longer ones first; they count only where DECLARATIONS end.
 _LATER = r"(?: only| or later)?"
 SHORT_NAMES = [
@@ -151,7 +200,7 @@ DECLARATIONS = [
     (r"licen[sc]e(?: is| type| name| id| expression)?(?: the)?(?: gnu)?", 0.8),
 ]
 DECLARING = ["license", "licence", "licenses", "licensed", "licenced", "released", "distributed", "available", "published", "offered", "provided"]
-SIGNATURES = len(LICENSES) + len(SHORT_NAMES) + len(SENTENCES)
+SIGNATURES = len(LICENSES) + len(NAMES) + len(SHORT_NAMES) + len(SENTENCES) + len(TEXTS)
 
 
 @dataclass(frozen=True)
@@ -167,10 +216,10 @@ class Rule:
 
 def rules() -> list[Rule]:
     out = [Rule(0, label, phrase.split()[-1], re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))"), 1.0, True, len(phrase.split())) for phrase, label in BASE.items()]
-    for label, keyword, sentence in SENTENCES:
-        out.append(Rule(len(out), label, keyword, re.compile(rf"(?<![^ ])(?:{sentence})(?![^ ])"), 0.5 if label == "unspecified" else SENTENCE_SCORE))
+    for label, keyword, sentence in [*SENTENCES, *((a, b, re.escape(c)) for a, b, c in sorted(TEXTS, key=lambda x: -len(x[2])))]:
+        out.append(Rule(len(out), label, keyword, re.compile(rf"(?<![^ ])(?:{sentence})(?![^ ])"), 0.5 if label in WEAK else SENTENCE_SCORE))
     for context, score in CONTEXTS:
-        for label, keyword, name in LICENSES:
+        for label, keyword, name in [*((a, b, re.escape(c)) for a, b, c in sorted(NAMES, key=lambda x: -len(x[2]))), *LICENSES]:
             out.append(Rule(len(out), label, keyword, re.compile(rf"(?<![^ ])(?:{context.format(f'(?:{name})')})(?![^ ])"), score))
     return out
 

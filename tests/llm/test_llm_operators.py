@@ -236,6 +236,24 @@ def test_license_short_names_and_texts(text, want):
     assert {x[2] for x in license_scan.Scanner().scan(text)[2]} == want
 
 
+def test_every_word_for_word_signature_is_found():
+    scanner = license_scan.Scanner()
+    assert license_scan.SIGNATURES >= 250
+    for label, keyword, text in license_scan.NAMES + license_scan.TEXTS:
+        assert keyword in text.split(), text
+        assert label in {x[2] for x in scanner.scan(f"As stated, {text}; see below")[2]}, text
+
+
+def test_license_base_columns_equal_brute_force(docs):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    extra = [(100, "Under the MIT license, or Apache License (Version 2) - CC-BY-NC", "en", "s", 1, None, None, None, None), (101, "under the mit license under the MIT LICENSE cc by nc nd", "en", "s", 1, None, None, None, None)]
+    for g in rows_of(license_scan.scan_licenses(docs.unionByName(docs.sparkSession.createDataFrame(extra, SCHEMA)).withColumn("N_WORDS", F.lit("own")))):
+        w = find((g["text"] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        places = sorted((i, label) for p, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+        assert g["N_WORDS_"] == "own" and (g["n_words"], g["n_base"], g["base_labels"]) == (len(w), len(places), ",".join(sorted({x for _, x in places})))
+        assert (g["first_word"], g["last_word"]) == ((places[0][0], places[-1][0]) if places else (None, None))
+
+
 # -- 6
 
 
