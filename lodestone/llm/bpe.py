@@ -22,11 +22,10 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodestone.llm.common import set_aside
+from lodestone.llm.common import set_aside, slices
 from lodestone.llm.pretokens import Splitter
 
 #: Pre-tokens, and bytes of them, whose ids a task remembers before it starts afresh.
@@ -226,16 +225,6 @@ class TextEncoder:
         return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(ends, np.int32)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
-    """``batch`` in slices of about ``most`` bytes of ``column``."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    groups = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(groups[1:] != groups[:-1]) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """``batch`` with ``columns`` at its end, in place of those of the same name."""
     kept = [c for c in batch.schema.names if c not in columns]
@@ -252,7 +241,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str | N
         encoder = None
         for whole in batches:
             encoder = encoder or TextEncoder(Codec(shared.value), Splitter(pattern, public))
-            for batch in _slices(whole, text):
+            for batch in slices(whole, text, SLICE_BYTES):
                 flat, ends = encoder.encode(batch.column(text).to_pylist())
                 yield _with(batch, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
@@ -287,7 +276,7 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, public: str
         encoder = None
         for whole in batches:
             encoder = encoder or TextEncoder(Codec(shared.value), Splitter(pattern, public))
-            for batch in _slices(whole, text):
+            for batch in slices(whole, text, SLICE_BYTES):
                 flat, ends = encoder.encode(batch.column(text).to_pylist())
                 back = [encoder.codec.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:], strict=False)]
                 yield _with(batch.select(names), {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), out: pa.array(back, pa.binary())})

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import flagged, fresh, stored
+from lodestone.llm.common import flagged, fresh, slices, stored
 from lodestone.llm.components import components
 
 WORDS = 5
@@ -80,7 +80,7 @@ class _Hasher:
         w = text_words(text)
         if not w:
             return np.zeros(0, np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known = _Hashes()
         h = np.fromiter(map(self.known.__getitem__, w), np.uint64, len(w))
         n = min(WORDS, len(w))
@@ -104,7 +104,7 @@ def signatures(df: DataFrame, coords: int, text: str = "text") -> DataFrame:
 
     def run(batches):
         hashed, scale, shift = _Hasher(), _SCALE[:coords, None], _SHIFT[:coords, None]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             ns, keys, sigs = [], [], []
             for t in batch.column(text).cast(pa.binary()).to_pylist():
                 s = hashed(t)
@@ -239,7 +239,7 @@ def _bodies(docs: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataF
 
     def run(batches):
         hashed, pack, words = _Hasher(), zstandard.ZstdCompressor(level=3), shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "t")):
             at = batch.column("slot").to_numpy(zero_copy_only=False)
             may = np.flatnonzero((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
             ids, texts = batch.column("id"), batch.column("t").cast(pa.binary())
