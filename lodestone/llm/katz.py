@@ -30,13 +30,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stored
+from lodestone.llm.common import slices, stored
 
 #: Least share of the tokens of a word whose count is sent to the tasks.
 HOT_SHARE = 1e-6
@@ -44,8 +45,8 @@ HOT_SHARE = 1e-6
 BUCKET = 1 << 20
 #: Counts up to this are discounted.
 MOST_DISCOUNTED = 5
-#: Tokens that a task gathers, and words that it numbers, before it passes them on.
-FLUSH, MOST_WORDS = 2_000_000, 1_000_000
+#: Tokens that a task gathers before it passes them on.
+FLUSH = 2_000_000
 #: Not words, as they hold a space.
 END, START = b" end", b" start"
 _TOP = np.uint64(1 << 63)
@@ -56,33 +57,52 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) | 1 << 63
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """Lower-cased words; for bytes, case and white space are those of ASCII."""
-    return text.lower().split() if text else []
-
-
-class Words(dict):
-    """Numbers of words in order of appearance, END first, with their hashes."""
-
-    def __init__(self):
-        super().__init__({END: 0})
-        self._hashes = np.array([_hash(END)], np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-    def read(self, text: bytes | None) -> np.ndarray:
-        w = words_of(text)
-        out = np.zeros(len(w) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.__getitem__, w), np.int64, len(w))
-        return out
-
-    def hashes(self) -> np.ndarray:
-        if (have := len(self._hashes)) < len(self):
-            more = list(self)[have:]
-            self._hashes = np.concatenate((self._hashes, np.fromiter(map(_hash, more), np.uint64, len(more))))
-        return self._hashes
+_draw = np.random.default_rng(20240203)
+#: A number for each byte, of A-Z those of a-z, and an odd one by which a word's bytes are weighted in turn.
+_BYTES = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _draw.integers(0, 2, 256, dtype=np.uint64)
+_BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
+_STEP = np.uint64(int(_draw.integers(1, 1 << 63)) * 2 + 1)
+_IS_WORD = np.ones(256, np.int8)
+_IS_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+#: Bytes up to which a word's hash is its weighted sum; strings of over a thousand bytes could be made to collide in that.
+_SHORT = 64
+
+
+def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts in lower case, and how many words each text has; for bytes, case and white space are those of ASCII.
+
+    All words of equal length are hashed together, byte by byte."""
+    sizes = np.array([len(t) if t else 0 for t in texts], np.int64) + 1
+    data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
+    edges = np.flatnonzero(np.diff(_IS_WORD[data], prepend=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]  # the last byte is white space
+    length = ends - starts
+    out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(-np.minimum(length, _SHORT + 1), kind="stable")
+    left = np.cumsum(np.bincount(np.minimum(length, _SHORT + 1), minlength=_SHORT + 2)[::-1])[::-1]  # words of at least each length
+    at, sums, weight = starts[order], np.zeros(len(starts), np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(_SHORT):
+            n = int(left[k + 1])
+            if not n:
+                break
+            sums[:n] += _BYTES[data[at[:n] + k]] * weight
+            weight = weight * _STEP
+        out[order] += sums
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
+    for i in np.flatnonzero(length > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    return out | _TOP, np.diff(np.searchsorted(starts, bounds))
+
+
+def hash_tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``hash_words`` with the end token after each text's words."""
+    words, counts = hash_words(texts)
+    ends = np.cumsum(counts)
+    return np.insert(words, ends, np.uint64(_hash(END))), counts + 1
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -100,29 +120,28 @@ def _differences(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=np.zeros(1, a.dtype))
 
 
+def _trained(batches):
+    """The rows to train on, in slices."""
+    for whole in batches:
+        yield from slices(whole.filter(pc.invert(whole.column("held_out"))), "text")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, c): training tokens of each word, by its hash."""
 
     def run(batches):
-        words, parts, total = Words(), [], 0
+        parts, total = [], 0
 
         def flush():
-            n = np.bincount(np.concatenate(parts), minlength=len(words)) if parts else np.zeros(len(words), np.int64)
-            keys, n = words.hashes()[n > 0], n[n > 0]
-            order = np.argsort(keys)  # sorted keys shrink in the exchange
-            return pa.RecordBatch.from_arrays([pa.array(keys[order].view(np.int64)), pa.array(n[order])], ["key", "n"])
-
-        for batch in batches:
-            for text, held_out in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                if held_out:
-                    continue
-                parts.append(words.read(text))
-                total += len(parts[-1])
-                if total > FLUSH or len(words) > MOST_WORDS:
-                    yield flush()
-                    parts, total = [], 0
-                    if len(words) > MOST_WORDS:
-                        words = Words()
+            keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))  # sorted keys shrink in the exchange
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+
+        for batch in _trained(batches):
+            parts.append(hash_tokens(batch.column("text").cast(pa.binary()).to_pylist())[0])
+            total += len(parts[-1])
+            if total > FLUSH:
+                yield flush()
+                parts, total = [], 0
         yield flush()
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
@@ -206,31 +225,31 @@ class _Reader:
     """Texts that a task has gathered, as pairs sorted by bucket, first and second word."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.words = vocabulary, Words()
-        self.codes = np.zeros(0, np.uint64)
+        self.vocabulary = vocabulary
         self.clear()
 
     def clear(self) -> None:
-        self.parts: list[np.ndarray] = []
+        self.tokens: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
         self.total = 0
-        if len(self.words) > MOST_WORDS:
-            self.words, self.codes = Words(), np.zeros(0, np.uint64)
 
-    def add(self, text: bytes | None) -> None:
-        self.parts.append(self.words.read(text))
-        self.total += len(self.parts[-1])
+    def add(self, texts: list[bytes | None]) -> None:
+        tokens, sizes = hash_tokens(texts)
+        self.tokens.append(tokens)
+        self.sizes.append(sizes)
+        self.total += len(tokens)
 
     def full(self) -> bool:
-        return self.total > FLUSH or len(self.words) > MOST_WORDS
+        return self.total > FLUSH
 
     def pairs(self, distinct: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bucket, codes of both words, and how often each pair stands there (``distinct``) or the text it stands in."""
-        hashes = self.words.hashes()
-        if len(self.codes) < len(hashes):
-            self.codes = np.concatenate((self.codes, self.vocabulary.codes(hashes[len(self.codes) :])))
-        w = np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
-        v = np.concatenate([np.concatenate(([-1], t[:-1])) for t in self.parts]) if self.parts else w  # the start is the last of `codes`
-        codes = np.append(self.codes, self.vocabulary.start)
+        tokens = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
+        sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
+        hashes, w = np.unique(tokens, return_inverse=True)
+        v = np.concatenate(([-1], w[:-1])) if len(w) else w
+        v[np.cumsum(sizes)[:-1]] = -1  # the start is the last of `codes`
+        codes = np.append(self.vocabulary.codes(hashes), self.vocabulary.start)
         order = np.argsort(codes)
         rank = np.empty(len(codes), np.int64)
         rank[order] = np.arange(len(codes))
@@ -242,12 +261,12 @@ class _Reader:
         ranked = codes[order]
         if self.vocabulary.buckets.bit_length() + 2 * bits < 64:  # else the words are too many for one number
             key = (bucket << 2 * bits) | (rank[v] << bits) | rank[w]
-            key, last = np.unique(key, return_counts=True) if distinct else (key[o := np.argsort(key)], np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])[o])
+            key, last = np.unique(key, return_counts=True) if distinct else (key[o := np.argsort(key)], np.repeat(np.arange(len(sizes)), sizes)[o])
             return key >> 2 * bits, ranked[(key >> bits) & ((1 << bits) - 1)], ranked[key & ((1 << bits) - 1)], last
         o = np.lexsort((rank[w], rank[v], bucket))
         bucket, v, w = bucket[o], codes[v[o]], codes[w[o]]
         if not distinct:
-            return bucket, v, w, np.repeat(np.arange(len(self.parts)), [len(p) for p in self.parts])[o]
+            return bucket, v, w, np.repeat(np.arange(len(sizes)), sizes)[o]
         first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]) | (bucket[1:] != bucket[:-1]))))
         return bucket[first], v[first], w[first], np.diff(np.append(first, len(v)))
 
@@ -275,12 +294,10 @@ def pair_table(docs: DataFrame, shared) -> DataFrame:
             reader.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), *[pa.binary()] * 3))], ["bucket", "v", "w", "n"])
 
-        for batch in batches:
-            for text, held_out in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-                if not held_out:
-                    reader.add(text)
-                    if reader.full():
-                        yield flush()
+        for batch in _trained(batches):
+            reader.add(batch.column("text").cast(pa.binary()).to_pylist())
+            if reader.full():
+                yield flush()
         yield flush()
 
     def merge(pdf):
@@ -453,12 +470,11 @@ def score(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFr
             reader.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((*[pa.int64()] * 2, *[pa.binary()] * 6))], names)
 
-        for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                rows.append(i)
-                reader.add(t)
-                if reader.full():
-                    yield flush()
+        for batch in (part for whole in batches for part in slices(whole, "text")):
+            rows += batch.column("id").to_pylist()
+            reader.add(batch.column("text").cast(pa.binary()).to_pylist())
+            if reader.full():
+                yield flush()
         if rows:
             yield flush()
 

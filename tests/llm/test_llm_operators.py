@@ -369,6 +369,17 @@ def test_katz_equals_the_definition(docs, empty, monkeypatch, hot_share, bucket)
         assert rows_of(katz.score(empty)) == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbZz\u00e9\u4e00 \t\n\x0b\x1c\u00a0", max_size=90), st.text(alphabet="xY", min_size=60, max_size=200)), max_size=6))
+def test_word_hashes_follow_words(texts):
+    find, low = re.compile(r"[^\x20\x09-\x0D]+").findall, str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [find((t or "").translate(low)) for t in texts]
+    hashes, counts = katz.hash_words([None if t is None else t.encode() for t in texts])
+    assert counts.tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
 def test_katz_of_a_pair_seen_once_and_without_training(spark):
     once = spark.createDataFrame([(0, "Left right")], "doc_id long, text string")
     got = rows_of(katz.score(once))[0]
