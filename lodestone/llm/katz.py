@@ -62,8 +62,7 @@ _draw = np.random.default_rng(20240203)
 _BYTES = _draw.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _draw.integers(0, 2, 256, dtype=np.uint64)
 _BYTES[ord("A") : ord("Z") + 1] = _BYTES[ord("a") : ord("z") + 1]
 _STEP = np.uint64(int(_draw.integers(1, 1 << 63)) * 2 + 1)
-_IS_WORD = np.ones(256, np.int8)
-_IS_WORD[[0x20, *range(0x09, 0x0E)]] = 0
+_IS_WORD = bytes(i not in b" \t\n\x0b\x0c\r" for i in range(256))
 #: Bytes up to which a word's hash is its weighted sum; strings of over a thousand bytes could be made to collide in that.
 _SHORT = 64
 
@@ -73,13 +72,16 @@ def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     All words of equal length are hashed together, byte by byte."""
     sizes = np.array([len(t) if t else 0 for t in texts], np.int64) + 1
-    data = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-    edges = np.flatnonzero(np.diff(_IS_WORD[data], prepend=np.int8(0)))
+    joined = b"\n".join(t or b"" for t in texts) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    solid = np.frombuffer(joined.translate(_IS_WORD), np.int8)
+    edges = np.flatnonzero(np.diff(solid, prepend=np.int8(0)))
     starts, ends = edges[::2], edges[1::2]  # the last byte is white space
     length = ends - starts
     out = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.argsort(-np.minimum(length, _SHORT + 1), kind="stable")
-    left = np.cumsum(np.bincount(np.minimum(length, _SHORT + 1), minlength=_SHORT + 2)[::-1])[::-1]  # words of at least each length
+    capped = np.minimum(length, _SHORT + 1)
+    order = np.argsort((_SHORT + 1 - capped).astype(np.uint8), kind="stable")
+    left = np.cumsum(np.bincount(capped, minlength=_SHORT + 2)[::-1])[::-1]  # words of at least each length
     at, sums, weight = starts[order], np.zeros(len(starts), np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
         for k in range(_SHORT):
@@ -246,7 +248,11 @@ class _Reader:
         """Bucket, codes of both words, and how often each pair stands there (``distinct``) or the text it stands in."""
         tokens = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
         sizes = np.concatenate(self.sizes) if self.sizes else np.zeros(0, np.int64)
-        hashes, w = np.unique(tokens, return_inverse=True)
+        by_hash = np.argsort(tokens)
+        ranked = tokens[by_hash]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
+        hashes, w = ranked[first], np.empty(len(tokens), np.int64)
+        w[by_hash] = np.cumsum(first) - 1
         v = np.concatenate(([-1], w[:-1])) if len(w) else w
         v[np.cumsum(sizes)[:-1]] = -1  # the start is the last of `codes`
         codes = np.append(self.vocabulary.codes(hashes), self.vocabulary.start)
