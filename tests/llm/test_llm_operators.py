@@ -449,9 +449,33 @@ def test_line_dedup_drops_a_hosts_boilerplate(spark, docs, empty):
     assert line_dedup.drop_boilerplate(docs).count() == docs.count() and rows_of(line_dedup.drop_boilerplate(empty)) == []
 
 
+def test_line_dedup_of_many_boilerplate_lines(spark):
+    lines = [f"boilerplate line {i}" for i in range(500)]
+    df = spark.createDataFrame([(i, "\n".join([f"own {i}", *lines]), "h") for i in range(6)], "doc_id long, text string, source string")
+    assert {g["text"] for g in rows_of(line_dedup.drop_boilerplate(df, max_ratio=0.5))} == {f"own {i}" for i in range(6)}
+
+
 # -- 10
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicate_recall_on_real_pairs(spark, threshold):
+    """Against exact pairs by an inverted index over shingles on the small table: every linked text finds its component."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = [minhash_join.shingle_set((r.text or "").encode()) for r in rows]
+    posts = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            posts[x].append(i)
+    both = Counter((a, b) for v in posts.values() if len(v) > 1 for k, a in enumerate(v) for b in v[k + 1 :])
+    links = [(a, b) for (a, b), n in both.items() if 100 * n >= threshold * (len(sets[a]) + len(sets[b]) - n)]
+    found = {g["doc_id"]: g["component_id"] for g in rows_of(minhash_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold))}
+    right = sum(found[rows[a].doc_id] == found[rows[b].doc_id] for a, b in links)
+    assert len(links) > 20 and right >= 0.999 * len(links), (right, len(links))
+    alone = {r.doc_id for r in rows} - {rows[i].doc_id for ab in links for i in ab}
+    assert all(found[i] == i for i in alone)
+
+
 def _components(sets, threshold):
     parent = list(range(len(sets)))
 
