@@ -140,11 +140,11 @@ def is_abstention(text: Col) -> Column:
 
 def parse_json_reply(text: Col) -> Column:
     """The JSON of a model's reply: a fenced block, else the whole, else the outermost object or array; null without any."""
-    t = F.trim(F.coalesce(_c(text), F.lit("")))
+    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"^\s+|\s+$", "")
     # a candidate is JSON if a string column can be parsed as a variant
     ok = lambda s: F.when(F.try_parse_json(s).isNotNull() & (s != ""), s)
     return F.coalesce(
-        ok(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)),
+        ok(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)),
         ok(t),
         ok(F.regexp_extract(t, r"(?s)\{.*\}", 0)),
         ok(F.regexp_extract(t, r"(?s)\[.*\]", 0)),

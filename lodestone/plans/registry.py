@@ -211,11 +211,12 @@ def text_labels(spark, d):
     return p.select("p_partkey", X.embedding_text(path, F.concat(F.lit("T"), F.col("p_size").cast("string")), "p_name").alias("embedding_text"), X.location(F.col("p_size"), F.col("p_brand"), none, none).alias("place"), X.unit_interval(raw).alias("clamped"))
 
 
-@query()
+@query("SELECT event_id, CAST(len(props) AS BIGINT) AS chars, md5(props) AS json FROM events")
 def text_json_reply(spark, d):
     e = Tables(spark, d).events
     reply = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("Here it is "), "props", F.lit(" done"))).otherwise(F.col("props"))
-    return e.select("event_id", X.parse_json_reply(reply).alias("json"))
+    found = X.parse_json_reply(reply)
+    return e.select("event_id", F.length(found).cast("long").alias("chars"), F.md5(found.cast("binary")).alias("json"))
 
 
 @query("SELECT vec_id, round(v[1], 6) AS first, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings)")
@@ -752,6 +753,25 @@ def hash_embedding(spark, d):
     return v.select("conv_id", "turn", F.round(X.dot(F.col("vector"), F.col("vector")), 5).alias("norm"), F.array_join(F.transform(top, lambda x: F.concat_ws(":", x["i"], x["s"])), ",").alias("largest"))
 
 
+@query("WITH e AS (SELECT event_id, user_id % 3 AS judged, event_id % 4 AS v FROM events) SELECT event_id % 50 AS answer_id, round(avg(CASE v WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END), 4) AS groundedness FROM e GROUP BY event_id % 50")
+def groundedness(spark, d):
+    kind = F.when(F.col("event_id") % 4 == 0, "supported").when(F.col("event_id") % 4 == 1, "partially_supported").otherwise("unsupported")
+    return M.groundedness(Tables(spark, d).events.select((F.col("event_id") % 50).alias("answer_id"), kind.alias("verdict")))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([p_brand, upper(p_type), p_name, lower(p_brand), p_type], lambda x, i: list_position(list_transform([p_brand, upper(p_type), p_name, lower(p_brand), p_type], lambda y: lower(y)), lower(x)) = i)[1:3], '|') AS merged FROM part")
+def text_merged_list(spark, d):
+    merged = X.merge_strings(F.array("p_brand", F.upper("p_type")), F.array(F.col("p_name"), F.lower("p_brand"), F.col("p_type")), 3)
+    return Tables(spark, d).part.select("p_partkey", F.array_join(merged, "|").alias("merged"))
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, s")
+def event_sessions(spark, d):
+    from lodestone.streaming.ingest import sessions
+
+    return sessions(Tables(spark, d).events).select("user_id", "start", "n")
+
+
 # -- graph
 
 
@@ -1042,6 +1062,19 @@ def llm_cost(spark, d):
 # -- strategies
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT query_id, chunk_id, score, rank FROM r WHERE rank <= 8 AND score >= 0.28""")
+def strategy_naive_vectors(spark, d):
+    """The naive strategy over the table of embeddings: queries are every hundredth vector."""
+    e = Tables(spark, d).embeddings
+    own = e.select("vec_id", F.col("embedding").alias("vector"))
+    chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("document_id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("content"), F.lit("text").alias("modality"), F.lit(2).alias("token_count"))
+    posts = R.postings(chunks)
+    corpus = S.Corpus(chunks, chunks.select("chunk_id", F.lit(1).alias("ordinal")), posts, R.term_idf(R.term_stats(posts)), own.select(F.col("vec_id").alias("chunk_id"), F.lit("text").alias("modality"), "vector"), embed=lambda q, c: q.join(own.withColumnRenamed("vec_id", "query_id"), "query_id"))
+    queries = e.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.lit("vector").alias("query"))
+    return S.REGISTRY_ALL["naive"](queries, corpus).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _strategy(name: str):
     def run(spark, d):
         t = Tables(spark, d)
