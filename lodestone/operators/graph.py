@@ -101,18 +101,19 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int
     most = depth if isinstance(depth, int) else 4
     carried = [c for c in ("depth", "limit") if c in seeds.columns]
     none = F.array().cast("array<string>")
-    now = seeds.select(*group, *carried, F.col("key").alias("seed"), F.array("key").alias("path"), none.alias("types"), none.alias("chunks"), F.lit(1.0).alias("confidence"))
-    out = None
+    now = seeds.select(*group, *carried, F.col("key").alias("seed"), F.array("key").alias("path"), none.alias("types"), none.alias("chunks"), F.lit(1.0).alias("confidence"), F.lit(0).cast("long").alias("have"))
+    out, by, enough = None, per if group else "seed", F.col("limit") if "limit" in carried else F.lit(limit)
     for hop in range(1, most + 1):
         here = now.filter(F.col("depth") >= hop) if "depth" in carried else now
+        if hop > 1:  # whoever has enough shorter paths goes no further, so a hub doesn't multiply them
+            here = here.withColumn("have", F.col("have") + F.count(F.lit(1)).over(Window.partitionBy(by))).filter(F.col("have") < enough)
         now = here.withColumn("a", F.element_at("path", -1)).withColumnRenamed("confidence", "before").join(steps, "a").filter(~F.array_contains("path", F.col("b")))
         strength = F.least("before", "confidence") if weakest else F.col("confidence")
-        now = now.select(*group, *carried, "seed", F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.concat("chunks", F.array("chunk_id")).alias("chunks"), strength.alias("confidence"))
+        now = now.select(*group, *carried, "seed", F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.concat("chunks", F.array("chunk_id")).alias("chunks"), strength.alias("confidence"), "have")
         own = now.select(*group, *carried, "seed", "path", "types", "chunks", F.lit(hop).alias("hops"), F.round(F.col("confidence") * 0.75 ** (hop - 1), 4).alias("score"))
         out = own if out is None else out.unionByName(own)
-    by = per if group else "seed"
     w = Window.partitionBy(by).orderBy("hops", "path")
-    found = out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= (F.col("limit") if "limit" in carried else limit))  # breadth first, then the limit
+    found = out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= enough)  # breadth first, then the limit
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc(), "hops", "path"))).drop("n", *carried)
 
 

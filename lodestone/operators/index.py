@@ -82,8 +82,8 @@ def delete_documents(index: Index, documents: DataFrame) -> Index:
     """Without the documents of ``documents`` (document_id), in every part: chunks, postings, vectors, edges; nodes lose them and go with their last."""
     own = documents.select("document_id").distinct()
     out = _without(index, index.chunks.join(own, "document_id", "left_semi").select("chunk_id"))
-    gone = own.agg(F.collect_set("document_id").alias("gone"))  # the documents of one call
-    nodes = index.nodes.crossJoin(F.broadcast(gone)).withColumn("documents", F.array_except("documents", "gone")).filter(F.size("documents") > 0).drop("gone")
+    left = index.nodes.select("key", F.explode("documents").alias("document_id")).join(own, "document_id", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("document_id")).alias("documents"))
+    nodes = index.nodes.drop("documents").join(left, "key").select(*index.nodes.columns)
     ends = nodes.select("key")
     edges = index.edges.join(own, "document_id", "left_anti").join(ends.withColumnRenamed("key", "src"), "src", "left_semi").join(ends.withColumnRenamed("key", "dst"), "dst", "left_semi")
     return replace(out, nodes=nodes, edges=edges)

@@ -53,7 +53,7 @@ def bm25(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int, allow
     return ranked.withColumn("score", F.round(F.col("raw") / F.max("raw").over(best), 6))
 
 
-#: Queries whose vectors are sent to the tasks together.
+#: Queries whose vectors are sent to the tasks together, about.
 QUERY_BLOCK = 2048
 
 
@@ -64,14 +64,14 @@ def dense(queries: DataFrame, vectors: DataFrame, limit: int, threshold: float |
     passes on its best ``limit`` of each query, so the shuffle holds a few rows a task. ``part`` names a column of ``vectors`` each of
     whose values has a list of its own."""
     spark, sch = vectors.sparkSession, {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *vectors.schema.fields]}
-    block = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / QUERY_BLOCK)
     n = queries.count()
-    blocks = [queries.select("query_id", "vector")] if n <= QUERY_BLOCK else [queries.select("query_id", "vector", block.alias("b")).filter(F.col("b") == i) for i in range(-(-n // QUERY_BLOCK))]
+    parts = -(-n // QUERY_BLOCK)
+    blocks = [queries] if parts <= 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
     names = ["query_id", *([part] if part else []), "chunk_id", "score"]
     kinds = f"query_id {sch['query_id']}, {f'{part} {sch[part]}, ' if part else ''}chunk_id {sch['chunk_id']}, score double"
     found = None
     for own in blocks:
-        rows = own.select("query_id", "vector").toPandas()  # at most QUERY_BLOCK rows
+        rows = own.select("query_id", "vector").toPandas()  # about QUERY_BLOCK rows
         shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), _unit(rows["vector"])))
 
         def run(batches, shared=shared):
