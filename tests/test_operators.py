@@ -275,3 +275,60 @@ def test_dense_search_is_exact_in_blocks_and_parts(spark, monkeypatch, block):
                 want = sorted((-s[i, j], j) for j in range(200) if j != i and (k is None or "ab"[j % 2] == k))[:12]
                 mine = sorted((r.rank, r.chunk_id) for r in got if r.query_id == i and (k is None or r.kind == k))
                 assert [c for _, c in mine] == [j for _, j in want]
+
+
+INDEXED = "chunk_id long, document_id string, ordinal int, content string, modality string"
+
+
+def test_index_upsert_delete_and_reload(spark, tmp_path):
+    from lodestone.operators import index as N
+
+    rows = [(1, "d1", 1, "YOLOv5s detects defects on NEU-DET", "text"), (2, "d1", 2, "plain words only", "text"), (3, "d2", 1, "NEU-DET has six classes", "table"), (4, "d3", 1, "", "text")]
+    index = N.build(spark.createDataFrame(rows, INDEXED)).save(str(tmp_path / "one"))
+    q = spark.createDataFrame([(1, "classes on NEU-DET")], "query_id int, query string")
+    counts = lambda x: {r.part: r.n for r in x.counts().collect()}
+    assert counts(index) == {"chunks": 4, "posts": 4, "vectors": 4, "nodes": 2, "edges": 1}
+    assert [r.chunk_id for r in index.search(q, 5).orderBy("rank").collect()] == [3, 1]
+    left = N.delete_documents(index, spark.createDataFrame([("d1",)], "document_id string"))
+    assert counts(left) == {"chunks": 2, "posts": 2, "vectors": 2, "nodes": 1, "edges": 0}
+    node = left.nodes.first()
+    assert node.key == "neu det" and list(node.documents) == ["d2"] and {r.chunk_id for r in left.chunks.collect()} == {3, 4}
+    new = spark.createDataFrame([(2, "d1", 2, "old", "text", 1), (2, "d1", 2, "classes everywhere", "text", 2), (5, "d4", 1, "NEU-DET again", "text", 1)], INDEXED + ", seq int")
+    more = N.upsert(index, new)
+    assert counts(more)["chunks"] == 5 and {r.chunk_id for r in more.search(q, 9).collect()} == {1, 2, 3, 5}
+    assert more.chunks.filter("chunk_id = 2").first().content == "classes everywhere"
+    assert {r.key: list(r.documents) for r in more.nodes.collect()}["neu det"] == ["d1", "d2", "d4"]
+    swapped = N.replace_documents(index, spark.createDataFrame([(9, "d1", 1, "nothing of it", "text")], INDEXED))
+    assert {r.chunk_id for r in swapped.chunks.collect()} == {3, 4, 9} and counts(swapped)["edges"] == 0
+
+
+def test_answers_are_cleaned_or_withheld(spark):
+    good = "DefectNet reaches 78.4 mAP on the NEU-DET benchmark for steel surface defects [1]. Training used the AdamW optimizer with a cosine schedule over many epochs [7]."
+    r = V.verify(answers(spark, good), evidence(spark)).first()
+    assert r.modified and "[7]" not in r.answer and "[1]" in r.answer and not r.abstained and r.reason is None
+    none = V.verify(answers(spark, good), evidence(spark).limit(0)).first()
+    assert none.abstained and none.reason == "no evidence" and none.answer.startswith(V.WITHHELD) and "78.4" not in none.answer
+    weak = V.verify(answers(spark, "Bananas weigh 91.2 grams and grow in warm tropical countries everywhere."), evidence(spark).withColumn("score", F.lit(0.12))).first()
+    assert weak.abstained and "91.2" not in weak.answer and weak.reason
+    failed = V.verify(answers(spark, good).withColumn("error", F.lit("timeout")), evidence(spark)).first()
+    assert failed.answer == good and failed.score is None and not failed.abstained and failed.reason == "error"
+
+
+def test_traversal_limits_are_shared_and_exact(spark):
+    edges = spark.createDataFrame([(a, b, "T", 0.5 + i / 100, f"c{i}", "d") for i, (a, b) in enumerate([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("h", "a")])], "src string, dst string, type string, confidence double, chunk_id string, document_id string")
+    seeds = spark.createDataFrame([(1, "a"), (1, "e"), (2, "e")], "query_id int, key string")
+    got = G.neighborhood(seeds, edges, 2, 5, per="query_id").collect()
+    of = lambda i: sorted((r.hops, tuple(r.path)) for r in got if r.query_id == i)
+    assert of(1) == [(1, ("a", "b")), (1, ("a", "c")), (1, ("a", "h")), (1, ("e", "d")), (2, ("a", "b", "d"))] and of(2) == [(1, ("e", "d")), (2, ("e", "d", "b")), (2, ("e", "d", "c"))]
+    one = G.neighborhood(seeds.select("key").distinct(), edges, 2, 3).collect()
+    assert max(r.hops for r in one if r.seed == "a") == 1  # three paths of one hop are enough
+    paths = G.paths_between(spark.createDataFrame([("a", "e")], "src string, dst string"), edges, 3).orderBy("path").collect()
+    assert [list(r.path) for r in paths] == [["a", "b", "d", "e"], ["a", "c", "d", "e"]] and list(paths[0].chunks) == ["c0", "c2", "c4"]
+
+
+def test_parsers_by_extension_and_hooks(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# A\n\ntext of the file")
+    (tmp_path / "b.docx").write_bytes(b"PK\x03\x04binary")
+    (tmp_path / "c.bin").write_text("left out")
+    hook = lambda data: [P._block(1, f"{len(data)} bytes", "text", [])]
+    assert sorted(r.text for r in P.parse_files(P.read_files(spark, str(tmp_path)), {".docx": hook}).collect()) == ["10 bytes", "A", "text of the file"]
