@@ -321,8 +321,8 @@ def adaptive(queries: DataFrame, corpus: Corpus, config: Config = Config(), over
     first = stored(plain.unionByName(mended), "primary")
     beside = stored(run_selected(stored(single.filter(F.col("parallel").isNotNull()).withColumn("strategy", F.col("parallel")), "beside"), found, corpus), "parallel")
     both = beside.select("query_id").distinct()
-    listed = lambda df, name, number, weight: df.select("query_id", F.lit(name).alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score", F.lit(weight).alias("weight"))
-    fused = _dedup(R.rrf(listed(first.join(both, "query_id", "left_semi"), "primary", 0, 1.0).unionByName(listed(beside, "parallel", 1, 0.7))), corpus)
+    named = lambda df, column, number, weight: df.join(cfg.select("query_id", F.col(column).alias("strategy")), "query_id").select("query_id", "strategy", F.lit(number).alias("list_no"), "rank", "chunk_id", "score", F.lit(weight).alias("weight"))
+    fused = _dedup(R.rrf(named(first.join(both, "query_id", "left_semi"), "strategy", 0, 1.0).unionByName(named(beside, "parallel", 1, 0.7))), corpus)
     one = fused.unionByName(first.join(both, "query_id", "left_anti"))
     spread = one.join(single.select("query_id", "max_per_document"), "query_id").join(corpus.chunks.select("chunk_id", "document_id"), "chunk_id")
     out = rerank(single, R.diversify(spread, F.col("max_per_document")).select(*NAMES), corpus)
