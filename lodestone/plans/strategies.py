@@ -121,26 +121,27 @@ def _dedup(fused: DataFrame, corpus: Corpus) -> DataFrame:
     return R.deduplicate(own).select(*NAMES)
 
 
-def _front(cfg: DataFrame, ranked: DataFrame, kept: Column | None = None) -> DataFrame:
-    """The first ``top_k`` of each query, of those that ``kept`` holds for."""
+def _front(cfg: DataFrame, ranked: DataFrame, kept: str | None = None) -> DataFrame:
+    """The first ``top_k`` of each query, of those that the condition ``kept`` holds for."""
     own = ranked.join(cfg, "query_id")
     if kept is not None:
         own = own.filter(kept).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     return own.filter(F.col("rank") <= F.col("top_k")).select(*NAMES)
 
 
-_enough = F.col("score") >= F.col("min_score")
+#: What is left out of a list whose scores are comparable.
+_ENOUGH = "score >= min_score"
 
 
 def naive(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
     own = _list(cfg, found, "dense", 0, F.greatest(F.col("top_k"), F.least("pool", F.lit(POOL)))).withColumn("sources", F.array(F.lit("naive"))).select(*NAMES)
-    return _front(cfg, own, _enough)
+    return _front(cfg, own, _ENOUGH)
 
 
 def hybrid(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
     pool = F.greatest(3 * F.col("top_k"), F.least("pool", F.lit(POOL)))
     lists = _list(cfg, found, "dense", 0, pool, F.col("dense_weight")).unionByName(_list(cfg, found, "sparse", 1, pool, F.col("sparse_weight")))
-    return _front(cfg, _dedup(R.rrf(lists), corpus), _enough)
+    return _front(cfg, _dedup(R.rrf(lists), corpus), _ENOUGH)
 
 
 def hyde(cfg: DataFrame, found: DataFrame, corpus: Corpus) -> DataFrame:
