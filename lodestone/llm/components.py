@@ -12,7 +12,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) for each node of ``edges``; label is the smallest node of its component.
 
     Each round takes the least label among neighbours and then the label of that label, so
-    paths shorten by half; every round's labels are written, which cuts the lineage."""
+    paths shorten by half; every round's labels are written, which cuts the lineage.
+
+    Defined results: links with a null end are ignored; repeated links count once; a node linked with itself alone is its own
+    label; an empty table gives no rows; other columns are left out."""
+    edges = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")

@@ -533,6 +533,12 @@ def test_components_of_a_long_chain(spark):
     assert {r.label for r in components(edges).collect()} == {0}
 
 
+def test_components_of_nulls_loops_repeats_and_nothing(spark):
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (5, 5), (None, 7), (8, None), (4, 2)], "a long, b long")
+    assert {(r.node, r.label) for r in components(edges).collect()} == {(1, 1), (2, 1), (4, 1), (5, 5)}
+    assert components(edges.limit(0)).count() == 0
+
+
 # -- the pipeline
 
 
@@ -552,6 +558,14 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     got = {g["doc_id"]: g for g in rows_of(corpus_pipeline.run(spark, str(tmp_path)))}
     assert {63, 64}.isdisjoint(got) and 62 not in got and not {0, 60} <= set(got) and not {1, 61} <= set(got)
     assert len(got) >= 57 and all(g["round_trip"] for g in got.values())
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("Extra", F.lit(1))
+    odd = spark.createDataFrame([(900, None, None, None, None), (901, "", "en", "s", 0)], docs.drop("Extra").schema).withColumn("Extra", F.lit(2))
+    for table, kept in ((docs.unionByName(odd), True), (docs.limit(0), False)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            table = corpus_pipeline.stored(stage(spark, table, str(tmp_path)), "stage")
+            assert "Extra" in table.columns
+        rows = {r.doc_id for r in table.collect()}
+        assert rows == (set(got) if kept else set())  # null and empty texts fail the base rules
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
     assert got[5]["ids"] == own.encode_ordinary(texts[5].replace("\nshared footer of this site", ""))
     assert hashlib.sha256(own.decode_bytes(got[5]["ids"])).hexdigest()
