@@ -8,8 +8,9 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of letters and digits, in lower case; every code point from U+0080 counts as a letter.
@@ -114,3 +115,45 @@ def once(c: Column) -> Column:
     """``c`` as a generator of one row. Catalyst copies a projected expression into each lambda that
     uses it, to be evaluated for each element; a generator's output is computed once."""
     return F.explode(F.array(c))
+
+
+def numbered(df: DataFrame, group: str, order: list[str], sums: tuple[str, ...] = (), what: str = "numbered") -> DataFrame:
+    """``df`` with ``at``, each row's place from 0 among those of its ``group`` by ``order``, and ``<s>_before`` for each of ``sums``: the sum of that column over the rows before.
+
+    Rows are cut into ranges of (group, order), so a group of any size is dealt out to many tasks. Each task counts its own ranges;
+    only groups that a cut divides need what stands before, and these are at most two for each task: their offsets are broadcast.
+    ``df`` must be a written table, as the cuts are drawn from it; ``group`` must not be null. Rows that tie keep an order of no meaning."""
+    salt, part = fresh(df, "nb_salt", "nb_part")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [group, *order, salt]
+    ranged = df.withColumn(salt, F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop(salt)
+    before = [f"{s}_before" for s in sums]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in (part, "at", *before))])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        own, last, carry = TaskContext.get().partitionId(), None, np.zeros(1 + len(sums), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keyed = batch.column(group)
+            first = np.concatenate(([last is None or keyed[0].as_py() != last], pc.not_equal(keyed[1:], keyed[:-1]).to_numpy(zero_copy_only=False)))
+            starts = np.flatnonzero(first)
+            out = []
+            for i, v in enumerate([np.ones(batch.num_rows, np.int64), *(batch.column(s).to_numpy(zero_copy_only=False).astype(np.int64) for s in sums)]):
+                total = np.concatenate(([0], np.cumsum(v)))
+                base = np.zeros(batch.num_rows, np.int64) - carry[i]
+                base[starts] = total[starts]
+                base = base[np.maximum.accumulate(np.where(first, np.arange(batch.num_rows), 0))] if len(starts) else base
+                out.append(total[:-1] - base)
+                carry[i] = total[-1] - base[-1]
+            last = keyed[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, own)), *map(pa.array, out)], [*batch.schema.names, part, "at", *before])
+
+    placed = stored(ranged.mapInArrow(run, schema), what)
+    ends = placed.groupBy(group, part).agg(F.count(F.lit(1)).alias("at"), *(F.sum(s).alias(b) for s, b in zip(sums, before, strict=True)))
+    cut = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(group, part, *(F.coalesce(F.sum(c).over(cut), F.lit(0)).alias(f"{c}_off") for c in ("at", *before))).filter(F.col("at_off") > 0)
+    joined = placed.join(F.broadcast(offsets), [group, part], "left")
+    return joined.select(*df.columns, *((F.col(c) + F.coalesce(F.col(f"{c}_off"), F.lit(0))).alias(c) for c in ("at", *before)))

@@ -27,6 +27,17 @@ bad AS (SELECT source, list(line) AS lines FROM (SELECT l.source, l.line FROM l
 kept AS (SELECT d0.* EXCLUDE (text), string_split(text, chr(10)) AS a, CASE WHEN lines IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(lines, x)) END AS b FROM d0 LEFT JOIN bad ON d0.source IS NOT DISTINCT FROM bad.source)
 """.strip()
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = lambda n_chars: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+#: crc32 of a short ASCII string, bit by bit.
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda r, b: list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))))"
+#: A binary Merkle tree over {rows} (grp, pos, n, h), as {name}_tree, and each row's fold and siblings, as {name}_path; k tells rows apart.
+_TREE = """
+{name}_tree(grp, lev, pos, n, h) AS (SELECT grp, 0, pos, n, leaf FROM {rows} UNION ALL SELECT grp, lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name}_tree WHERE n > 1 GROUP BY grp, lev, pos // 2, n),
+{name}_path(k, grp, lev, pos, n, fold, sibs) AS (SELECT k, grp, 0, pos, n, start, '' FROM {rows} UNION ALL
+  SELECT f.k, f.grp, f.lev + 1, f.pos // 2, (f.n + 1) // 2, CASE WHEN s.h IS NULL THEN sha256(f.fold) WHEN f.pos % 2 = 1 THEN sha256(s.h || f.fold) ELSE sha256(f.fold || s.h) END, f.sibs || coalesce(s.h, '')
+  FROM {name}_path f LEFT JOIN {name}_tree s ON s.grp = f.grp AND s.lev = f.lev AND s.pos = xor(f.pos, 1) WHERE f.n > 1)"""
+
 ORACLES = {
     "op3_benchmark_decontamination": f"""WITH {DECONTAMINATION.format(docs="documents")}
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
@@ -34,4 +45,17 @@ FROM d LEFT JOIN h USING (row) LEFT JOIN t USING (row)""",
     "op9_line_dedup": f"""WITH {LINES.format(docs="documents")}
 SELECT doc_id, source, CASE WHEN a IS NULL THEN NULL ELSE array_to_string(b, chr(10)) END AS text, CAST(coalesce(len(a), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(a) - len(b), 0) AS BIGINT) AS n_dropped
 FROM kept""",
+    "op11_merkle_manifest": f"""WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS k, coalesce('=' || lang, '') AS grp, doc_id, {_LEAF("n_chars")} AS leaf,
+  CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF("(n_chars + 1)")} END AS tampered FROM documents),
+p AS (SELECT k, grp, doc_id, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n, leaf, coalesce(tampered, leaf) AS start FROM d),
+{_TREE.format(name="a", rows="p").strip()},
+s AS (SELECT grp AS k, '' AS grp, row_number() OVER (ORDER BY encode(grp)) - 1 AS pos, count(*) OVER () AS n, h AS leaf, h AS start FROM a_tree WHERE n = 1),
+{_TREE.format(name="b", rows="s").strip()},
+r AS (SELECT h AS root FROM b_tree WHERE n = 1),
+w(k, lev, pos, n, fold) AS (SELECT a_path.k, 0, s.pos, s.n, a_path.fold FROM a_path JOIN s ON s.k = a_path.grp WHERE a_path.n = 1 UNION ALL
+  SELECT w.k, w.lev + 1, w.pos // 2, (w.n + 1) // 2, CASE WHEN x.h IS NULL THEN sha256(w.fold) WHEN w.pos % 2 = 1 THEN sha256(x.h || w.fold) ELSE sha256(w.fold || x.h) END
+  FROM w LEFT JOIN b_tree x ON x.lev = w.lev AND x.pos = xor(w.pos, 1) WHERE w.n > 1)
+SELECT p.doc_id, p.leaf, s.leaf AS subroot, root, sha256(a_path.sibs || b_path.sibs) AS proof_sha256, w.fold AS folded_root, w.fold = root AS verified
+FROM p JOIN a_path ON a_path.k = p.k AND a_path.n = 1 JOIN s ON s.k = p.grp JOIN b_path ON b_path.k = p.grp AND b_path.n = 1 JOIN w ON w.k = p.k AND w.n = 1, r""",
 }

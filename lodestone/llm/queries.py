@@ -93,4 +93,15 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.merkle import folded, manifest, proof_digest, row_digest
+
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = row_digest(*(F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in fields))
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull(), tampered)
+    proved = manifest(table(spark, sf_dir, "documents").select(*fields), fields, keep={"tampered": tampered})
+    proved = proved.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup, op11_merkle_manifest)}
