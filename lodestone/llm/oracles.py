@@ -58,4 +58,19 @@ w(k, lev, pos, n, fold) AS (SELECT a_path.k, 0, s.pos, s.n, a_path.fold FROM a_p
   FROM w LEFT JOIN b_tree x ON x.lev = w.lev AND x.pos = xor(w.pos, 1) WHERE w.n > 1)
 SELECT p.doc_id, p.leaf, s.leaf AS subroot, root, sha256(a_path.sibs || b_path.sibs) AS proof_sha256, w.fold AS folded_root, w.fold = root AS verified
 FROM p JOIN a_path ON a_path.k = p.k AND a_path.n = 1 JOIN s ON s.k = p.grp JOIN b_path ON b_path.k = p.grp AND b_path.n = 1 JOIN w ON w.k = p.k AND w.n = 1, r""",
+    "op12_periodic_runs": f"""WITH
+d0 AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w0, {_CRC32.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+d1 AS (SELECT *, CAST(len(w0) AS BIGINT) AS n, h // 10 AS g, (h // 10) % greatest(len(w0), 1) AS a FROM d0),
+d2 AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d1),
+d AS (SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w0 END AS w FROM d2),
+grams AS (SELECT k, n, i, list_slice(w, i + 1, i + 5) AS gram FROM d, unnest(range(0, greatest(n - 4, 0))) AS r(i)),
+pairs AS (SELECT a.k, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.k = b.k AND a.gram = b.gram AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+isles AS (SELECT k, q, min(i) AS start, max(i) + 5 - min(i) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS isle FROM pairs) GROUP BY k, q, isle),
+runs AS (SELECT k, start, length, min(q) AS period FROM isles WHERE length >= greatest(6, 4 * q) GROUP BY k, start, length),
+text AS (SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY k),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY k ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+gone AS (SELECT k, list(DISTINCT i) AS places FROM runs, unnest(range(start + period, start + length)) AS r(i) GROUP BY k),
+kept AS (SELECT d.k, array_to_string(CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, j: NOT list_contains(places, j - 1)) END, ' ') AS text FROM d LEFT JOIN gone ON gone.k = d.k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(kept.text) AS collapsed_sha256
+FROM d JOIN kept ON kept.k = d.k LEFT JOIN text ON text.k = d.k LEFT JOIN best ON best.k = d.k""",
 }

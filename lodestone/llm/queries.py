@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import between, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,4 +104,33 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup, op11_merkle_manifest)}
+def _periodic_text(doc_id: str, text: str) -> Column:
+    """The text whose words, for every tenth document by checksum, repeat a stretch from some place on."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("long")
+        a = (g % n).cast("int")
+        p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+        cycle = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), cycle), F.lit(1), n.cast("int")), " ")).otherwise("")
+
+    words = F.array(between(F.col(text), r"[\x20\x09-\x0D]+"))  # one element, so that its words are made once
+    return F.when(h % 10 == 0, F.get(F.transform(words, repeated), F.lit(0))).otherwise(F.col(text))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.periodic import find_runs, strongest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", _periodic_text("doc_id", "text").alias("text"))
+    found = find_runs(docs).withColumn("best", strongest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup, op11_merkle_manifest, op12_periodic_runs)}
