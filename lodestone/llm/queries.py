@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import between, table
+from lodestone.llm.common import between, stored, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +133,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup, op11_merkle_manifest, op12_periodic_runs)}
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from lodestone.llm.chat import bpe_counter, read_back, windows
+    from lodestone.llm.pretokens import read_ranks
+
+    count = bpe_counter(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN, public_tokenizers.PATTERN)
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return read_back(stored(windows(said.unionByName(tricky), count), "chat_windows"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_token_counts, op3_benchmark_decontamination, op4_license_scan, op5_byte_bpe, op6_quality_rules, op7_lm_scoring, op8_personal_data, op9_line_dedup, op10_minhash_near_dedup, op11_merkle_manifest, op12_periodic_runs, op13_chat_windows)}
