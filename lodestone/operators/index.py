@@ -1,7 +1,7 @@
 """A stored index over chunks: postings, vectors and graph, with upsert, delete by document, replacement, saving and loading.
 
 Every change gives a new ``Index`` whose tables are anti-joins and unions of the old ones, so nothing is built anew but what changed;
-corpus statistics follow from the postings.
+the terms' statistics change by sums and differences.
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as G
 from lodestone.operators import ingest as I
 from lodestone.operators import retrieval as R
+from lodestone.sources.stored import stored
 
 
 @dataclass(frozen=True)
 class Index:
-    """Chunks (chunk_id, document_id, content, and what else they carry), postings, vectors (chunk_id, vector), nodes and edges."""
+    """Chunks (chunk_id, document_id, content, and what else they carry), postings, statistics of terms, vectors (chunk_id, vector), nodes and edges."""
 
     chunks: DataFrame
     posts: DataFrame
+    terms: DataFrame
     vectors: DataFrame
     nodes: DataFrame
     edges: DataFrame
@@ -37,10 +39,10 @@ class Index:
         return load(spark, path)
 
     def stats(self) -> DataFrame:
-        return R.term_idf(R.term_stats(self.posts))
+        return R.term_idf(self.terms)
 
     def search(self, queries: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-        return R.bm25(queries, self.posts, self.stats(), limit, allowed)
+        return R.bm25(queries, self.posts, stored(self.stats(), "idf"), limit, allowed)
 
     def search_vectors(self, vectors: DataFrame, limit: int, threshold: float | None = None) -> DataFrame:
         return R.dense(vectors, self.vectors, limit, threshold)
@@ -69,13 +71,23 @@ def build(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
     found = I.rule_entities(chunks)
     nodes = G.merge_entities(found.withColumn("seq", F.struct("chunk_id", "pos")))
     own = vectors if vectors is not None else I.hash_embed(chunks.select("chunk_id", "content"))
-    return Index(chunks, R.postings(chunks), own.select("chunk_id", "vector"), nodes, I.co_occurrence(found))
+    posts = stored(R.postings(chunks), "postings")
+    return Index(chunks, posts, R.term_stats(posts), own.select("chunk_id", "vector"), nodes, I.co_occurrence(found))
 
 
 def _without(index: Index, gone: DataFrame) -> Index:
     """Without the chunks of ``gone`` (chunk_id)."""
+    gone = stored(gone.distinct(), "gone")
     left = lambda df: df.join(gone, "chunk_id", "left_anti")
-    return replace(index, chunks=left(index.chunks), posts=left(index.posts), vectors=left(index.vectors))
+    terms = merge_terms(index.terms, R.term_stats(index.posts.join(gone, "chunk_id", "left_semi")), -1)
+    return replace(index, chunks=left(index.chunks), posts=left(index.posts), terms=terms, vectors=left(index.vectors))
+
+
+def merge_terms(old: DataFrame, new: DataFrame, sign: int = 1) -> DataFrame:
+    """Statistics of terms with those of ``new`` added or, with a ``sign`` of -1, taken away; a term without postings goes."""
+    numbers = ("df", "tf", "chunks", "words")
+    both = old.unionByName(new.select("term", *((F.col(c) * sign).alias(c) for c in numbers)))
+    return both.groupBy("term").agg(*(F.sum(c).alias(c) for c in numbers)).filter(F.col("df") > 0)
 
 
 def delete_documents(index: Index, documents: DataFrame) -> Index:
@@ -94,7 +106,7 @@ def upsert(index: Index, chunks: DataFrame, vectors: DataFrame | None = None) ->
     new = latest(chunks).drop("seq") if "seq" in chunks.columns else chunks
     fresh, left = build(new, vectors), _without(index, new.select("chunk_id"))
     joined = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    return Index(joined(left.chunks, fresh.chunks), joined(left.posts, fresh.posts), joined(left.vectors, fresh.vectors), merge_nodes(index.nodes, fresh.nodes), merge_edges(index.edges, fresh.edges))
+    return Index(joined(left.chunks, fresh.chunks), joined(left.posts, fresh.posts), merge_terms(left.terms, fresh.terms), joined(left.vectors, fresh.vectors), merge_nodes(index.nodes, fresh.nodes), merge_edges(index.edges, fresh.edges))
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:

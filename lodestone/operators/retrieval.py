@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.sources.stored import stored
 
 # Okapi BM25.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -42,9 +43,10 @@ def bm25(queries: DataFrame, posts: DataFrame, idf: DataFrame, limit: int, allow
     """(query_id, *part, chunk_id, raw, score, rank). Corpus statistics cover all chunks; ``allowed`` (chunk_id, *part) only filters results, and
     each value of ``part`` has a list of its own.
 
-    Postings meet the queries' terms before any exchange, sums are combined before the shuffle, and top-k windows are over a query's matches."""
+    ``posts`` and ``idf`` should be written tables: both are read more than once. Postings meet the queries' terms before any exchange, sums are combined before the shuffle, and top-k windows are over a query's matches."""
     terms = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokenize(query, content=False)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-    terms = terms.join(idf.select("term", "idf", "avgdl"), "term")
+    # written: Spark then knows the size of this side, sends it to the postings where it is small and else splits the postings' hot terms
+    terms = stored(terms.join(idf.select("term", "idf", "avgdl"), "term"), "terms")
     weight = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     use = posts if allowed is None else posts.join(allowed.select("chunk_id", *part), "chunk_id")
     raw = use.join(terms, "term").groupBy("query_id", *part, "chunk_id").agg(F.sum(weight).alias("raw")).filter(F.col("raw") > 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,19 @@ def query(sql: str | None = None):
 
 
 class Tables:
+    """The tables of a folder, and what several steps of one query use, made once."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @cached_property
+    def postings(self) -> DataFrame:
+        return stored(postings_of(self), "postings")
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        return stored(R.term_idf(R.term_stats(self.postings)), "idf")
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -106,15 +117,13 @@ _RANKED = f"WITH {_BM25}, {_COVER}, {_LISTS}, {_FUSED}"
 
 
 def sparse_of(t: Tables, limit: int = 20, allowed: DataFrame | None = None) -> DataFrame:
-    posts = postings_of(t)
-    return R.bm25(questions_of(t), posts, stored(R.term_idf(R.term_stats(posts)), "idf"), limit, allowed)
+    return R.bm25(questions_of(t), t.postings, t.idf, limit, allowed)
 
 
 def coverage_of(t: Tables, limit: int = 20) -> DataFrame:
-    """A second list: query coverage by an inverted join on distinct content words."""
+    """A second list: query coverage by a join of the distinct content words with the postings."""
     q = questions_of(t).select("query_id", F.array_distinct(X.tokenize("query")).alias("q")).select("query_id", F.size("q").alias("n"), F.explode("q").alias("term"))
-    d = t.documents.select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(X.tokenize("text"))).alias("term"))
-    c = q.join(d, "term").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("hits"))
+    c = stored(q, "terms").join(t.postings.select("chunk_id", "term"), "term").groupBy("query_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("hits"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
     return c.select("query_id", "chunk_id", F.round(F.col("hits") / F.col("n"), 6).alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
@@ -286,9 +295,20 @@ def _bm25_over(documents: str, limit: int = 10) -> str:
     return _BM25.replace("FROM documents", f"FROM ({documents})").replace("rank <= 20", f"rank <= {limit}")
 
 
+#: Indexes and corpora built so far, by application and folder: queries of one session load what another has built.
+_built: dict[tuple[str, str, str], object] = {}
+
+
+def _once(t: Tables, what: str, make: Callable[[], object]):
+    key = (t.spark.sparkContext.applicationId, t.dir, what)
+    if key not in _built:
+        _built[key] = make()
+    return _built[key]
+
+
 def index_of(t: Tables) -> N.Index:
     own = ordinals_of(t).join(chunks_of(t).drop("document_id"), "chunk_id")
-    return N.build(own).save(f"{shared_dir(t.spark)}/lodestone-index-{uuid.uuid4().hex}")
+    return _once(t, "index", lambda: N.build(own).save(f"{shared_dir(t.spark)}/lodestone-index-{uuid.uuid4().hex}"))
 
 
 _GONE = "SELECT * FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')"
@@ -337,7 +357,7 @@ def document_detail(spark, d):
     t = Tables(spark, d)
     own = ordinals_of(t).join(chunks_of(t).drop("document_id", "content"), "chunk_id")
     none = spark.createDataFrame([], "document_id string, key string, salience double, mentions long")
-    found = N.document_detail(N.Index(own, own, own, own, own), none)
+    found = N.document_detail(N.Index(own, own, own, own, own, own), none)
     kinds = F.array_join(F.transform(F.map_entries("modalities"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
     return found.select("document_id", F.array_join(F.col("chunks").cast("array<string>"), ",").alias("chunks"), kinds.alias("modalities"))
 
@@ -1078,7 +1098,7 @@ def strategy_naive_vectors(spark, d):
 def _strategy(name: str):
     def run(spark, d):
         t = Tables(spark, d)
-        found = S.REGISTRY_ALL[name](questions_of(t), S.build(chunks_of(t), ordinals_of(t), name in ("graph", "adaptive", "agentic")))
+        found = S.REGISTRY_ALL[name](questions_of(t), _once(t, "corpus", lambda: S.build(chunks_of(t), ordinals_of(t))))
         return found.select("query_id", "chunk_id", "score", "rank", F.array_join("sources", ",").alias("sources"))
 
     run.__name__ = f"strategy_{name}"
