@@ -99,11 +99,12 @@ class Codec:
     def _together(self, at: np.ndarray, rank: int, tok: np.ndarray, nxt: np.ndarray, prv: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of one rank that sequential BPE merges, from left to right, before any pair of a lower rank; and those that wait.
 
-        Of overlapping pairs every second one is merged. In each piece the first merge that gives a pair of a lower rank is the last for now."""
+        Of overlapping pairs every second one is merged. In each piece the first merge that gives a pair of a lower rank is the last for now; every
+        pair of that piece behind it waits, as the merges of lower ranks decide which of them still overlap."""
         chained = nxt[at[:-1]] == at[1:]
         begins = np.flatnonzero(np.concatenate(([True], ~chained)))
         nth = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-        at = at[nth % 2 == 0]
+        every, at = at, at[nth % 2 == 0]
         after, before = nxt[nxt[at]], prv[at]
         merged = np.concatenate(([False], after[:-1] == at[1:]))  # the pair before is merged by then
         right = np.full(len(at), -1, np.int64)
@@ -115,8 +116,8 @@ class Codec:
             return at, at[:0]
         earlier = np.cumsum(lower) - lower
         first = np.concatenate(([True], piece[at[1:]] != piece[at[:-1]]))
-        now = earlier == np.maximum.accumulate(np.where(first, earlier, 0))
-        return at[now], at[~now]
+        now = at[earlier == np.maximum.accumulate(np.where(first, earlier, 0))]
+        return now, np.setdiff1d(every, now, assume_unique=True)
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each piece, as merging it alone by least rank, leftmost first, gives them."""
