@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, stored
+from lodestone.llm.common import fresh, set_aside, stored
 
 
 #: Arrays that a host's boilerplate is dealt out to, so that a line is looked for in one of them.
@@ -46,7 +46,10 @@ def boilerplate(df: DataFrame, text: str = "text", host: str = "source", max_rat
 
 
 def drop_boilerplate(df: DataFrame, text: str = "text", host: str = "source", max_ratio: float = 0.1, min_pages: int = 3, counts: tuple[str, str] | None = None) -> DataFrame:
-    """``df`` with boilerplate lines gone from ``text``; ``counts`` names columns for lines before and lines dropped."""
+    """``df`` with boilerplate lines gone from ``text``; ``counts`` names columns for lines before and lines dropped, and a column of
+    the caller's with such a name gets underscores at its end."""
+    if counts:
+        df = set_aside(df, *counts)
     h, bad, kept = fresh(df, "bp_host", "bp_lines", "bp_kept")
     # written, so that its size is known before the join: where it is small the pages aren't shuffled
     known = stored(boilerplate(df, text, host, max_ratio, min_pages).select(F.col("host").alias(h), F.col("lines").alias(bad)), "boilerplate")
