@@ -252,8 +252,21 @@ def _bodies(docs: DataFrame, text: str, row_id: str, wanted: DataFrame) -> DataF
     return found.groupBy("cid").agg(F.first("body").alias("body"))
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", row_id: str = "doc_id", coords: int = 64) -> DataFrame:
-    """(row_id, n_shingles, set_key, component_id): one row for each row of ``docs``; ``threshold`` in percent."""
+def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``docs`` with ``key``, the digest of each text's shingle set, as ``signatures`` gives it; null without shingles."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
+
+    def run(batches):
+        hashed = _Hasher()
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            sets = map(hashed, batch.column(text).cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_set_key(s) if len(s) else None for s in sets], pa.binary())], [*batch.schema.names, key])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _labelled(docs: DataFrame, threshold: int, text: str, row_id: str, coords: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, set_key) of each row, and (set_key, first, label) of each class of equal sets: its smallest id, and what its component's classes share."""
     needed = least_matches(threshold / 100, coords)
     signed = stored(signatures(docs.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")), coords), "signatures")
     classes = signed.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
@@ -294,21 +307,45 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", ro
     links = links.unionByName(stored(_block_links(posts, labels, bodies, threshold), "links"))
     labels = components(links)
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("set_key", "first", F.coalesce("label", "cid").alias("label"))
+    return signed.drop("sig"), named
+
+
+def near_duplicates(docs: DataFrame, threshold: int = 85, text: str = "text", row_id: str = "doc_id", coords: int = 64) -> DataFrame:
+    """(row_id, n_shingles, set_key, component_id): one row for each row of ``docs``; ``threshold`` in percent. Ids are integers."""
+    signed, named = _labelled(docs, threshold, text, row_id, coords)
+    return _placed(signed, named, row_id)
+
+
+def _placed(signed: DataFrame, named: DataFrame, row_id: str) -> DataFrame:
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = named.join(least, "label").select("set_key", "component_id")
-    out = signed.drop("sig").join(named, "set_key", "left")
+    out = signed.join(named, "set_key", "left")
     own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(row_id), "n_shingles", "set_key", own.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 80, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id.
-
-    Rows that repeat an id and its text stay or go together; rows with a null id stay. Only texts whose id may be
-    among those that go take part in the join."""
-    found = near_duplicates(docs, threshold, text, row_id)
-    gone, may = fresh(docs, "nd_id", "nd_may")
-    dropped = stored(found.filter(F.col(row_id) != F.col("component_id")).select(F.col(row_id).alias(gone)).distinct(), "dropped")
-    marked = flagged(docs, dropped, gone, F.col(row_id).cast("long"), may)
-    suspects = marked.filter(may).join(dropped, F.col(row_id) == F.col(gone), "left_anti")
-    return marked.filter(~F.col(may)).unionByName(suspects).drop(may)
+    """``docs`` with one row of each component: that of the smallest id, and of rows with that id one of the least shingle set.
+
+    Rows without shingles stay. An id that stands on one row decides for it; only rows whose id is null or stands on several rows are told
+    apart by their shingle sets, which are made again for them alone. Only texts whose id may be among those that go or are unclear take part in a join."""
+    signed, named = _labelled(docs, threshold, text, row_id, 64)
+    gone, may, key, own = fresh(docs, "nd_id", "nd_may", "nd_key", "nd_own")
+    shared = stored(signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and id is not null").select(F.col("id").alias(own)), "shared_ids")
+    dropped = _placed(signed, named, row_id).filter(F.col(row_id) != F.col("component_id")).select(F.col(row_id).alias(gone)).distinct()
+    dropped = stored(dropped.join(shared, F.col(gone) == F.col(own), "left_anti"), "dropped")
+    unclear = stored(dropped.select(F.col(gone).alias(own)).unionByName(shared), "doubtful")
+    marked = flagged(docs, unclear, own, F.col(row_id).cast("long"), may).withColumn(may, F.col(may) | F.col(row_id).isNull())
+    suspects = marked.filter(may).drop(may).join(dropped, F.col(row_id).cast("long") == F.col(gone), "left_anti")
+    clear = marked.filter(~F.col(may)).drop(may)
+    if shared.isEmpty() and signed.filter("id is null").isEmpty():
+        return clear.unionByName(suspects)
+    by_set = F.col(row_id).isNull() | F.col(own).isNotNull()
+    told = suspects.join(shared, F.col(row_id).cast("long") == F.col(own), "left")
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("last"), F.col("first").alias("id"), F.col("set_key").alias("key"))).alias("k")).select(F.col("k.id").alias(gone), F.col("k.key").alias(may))
+    sets = keyed(told.filter(by_set).drop(own), text, key)
+    one = sets.join(least, (F.col(key) == F.col(may)) & F.col(row_id).cast("long").eqNullSafe(F.col(gone)))
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    one = one.groupBy(F.col(gone), F.col(may)).agg(F.first(row).alias("r")).select("r.*")  # rows of one id and one set
+    empty = sets.filter(F.col(key).isNull()).select(*docs.columns)
+    return clear.unionByName(told.filter(~by_set).drop(own)).unionByName(one).unionByName(empty)
