@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import verify as V
 from lodestone.plans import strategies as S
+from lodestone.sources import layout as Y
+from lodestone.sources import office as O
 from lodestone.sources import parsers as P
 from lodestone.sources.stored import shared_dir, stored
 
@@ -1046,6 +1049,88 @@ def source_stats(spark, d):
     return Tables(spark, d).documents.groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars"), F.count_distinct("lang").alias("langs"), F.count_if(F.col("lang") == "en").alias("en"))
 
 
+# -- laid-out pages and office files
+
+
+def _opened(levels: int = 3) -> str:
+    """SQL columns for the last heading of each level, and the path of those that are open; over (doc, n, lvl, txt)."""
+    w = "OVER (PARTITION BY doc ORDER BY n)"
+    last = ", ".join(f"last_value(CASE WHEN lvl = {i} THEN n END IGNORE NULLS) {w} AS p{i}, last_value(CASE WHEN lvl = {i} THEN substr(txt, 1, 160) END IGNORE NULLS) {w} AS t{i}" for i in range(1, levels + 1))
+    return last
+
+
+_PATH = "list_filter([t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END], lambda x: x IS NOT NULL)"
+_LINES = "ls AS (SELECT doc_id AS doc, lang, source, n_chars, CAST(i - 1 AS BIGINT) AS i, t FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), unnest(a) WITH ORDINALITY AS u(t, i))"
+_STYLED = "CASE WHEN i % 9 = 2 THEN 'Figure ' || i || ': ' || t WHEN i % 9 = 5 THEN 'Table ' || i || '. ' || t WHEN i % 7 = 0 THEN substr(t, 1, 40) ELSE t END"
+
+
+def lines_of(t: Tables) -> DataFrame:
+    own = t.documents.select("doc_id", "lang", "source", "n_chars", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "t"))
+    return own.withColumn("i", F.col("i").cast("long"))
+
+
+def layout_of(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans, images and tables as a page reader would give them: documents' lines as blocks, ten to a page, some large or bold."""
+    i = F.col("i")
+    text = F.when(i % 9 == 2, F.concat(F.lit("Figure "), i.cast("string"), F.lit(": "), "t")).when(i % 9 == 5, F.concat(F.lit("Table "), i.cast("string"), F.lit(". "), "t")).when(i % 7 == 0, F.substring("t", 1, 40)).otherwise(F.col("t"))
+    own = lines_of(t).withColumns({"text": text, "page": (F.floor(i / 10) + 1).cast("int"), "document_id": F.col("doc_id").cast("string")})
+    size = F.when(i % 14 == 0, 16.0).when(i % 7 == 0, 12.0).otherwise(10.0)
+    spans = own.select("document_id", "page", i.alias("block"), F.lit(0).alias("line"), F.explode(F.array(F.struct(F.lit(0).alias("span"), F.substring("text", 1, 5).alias("text"), size.alias("size")), F.struct(F.lit(1).alias("span"), F.substring("text", 6, 1 << 30).alias("text"), F.lit(10.0).alias("size")))).alias("s"), (i % 5 == 0).alias("bold"))
+    images = own.filter(i % 4 == 1).select("document_id", "page", F.row_number().over(Window.partitionBy("document_id", "page").orderBy("i")).alias("nth"), (3000 + 900 * (i % 10)).alias("size_bytes"), (60 + 40 * (i % 3)).alias("width"), F.lit(90).alias("height"))
+    cell = lambda c: F.col(c).cast("string")
+    rows = F.array(F.array(F.lit(None).cast("string"), F.lit("")), F.array(F.lit("lang"), F.lit("source")), F.array(cell("lang"), cell("source")), F.array(cell("n_chars")))
+    tables = t.documents.select(cell("doc_id").alias("document_id"), (F.col("doc_id") % 3 + 1).cast("int").alias("page"), F.lit(1).alias("nth"), rows.alias("cells"))
+    return spans.select("document_id", "page", "block", "line", "s.*", "bold"), images, tables
+
+
+_LAID_OUT = f"""{_LINES}, ts AS (SELECT doc, i, 1 + i // 10 AS page, {_STYLED} AS t, CASE WHEN i % 14 = 0 THEN 16.0 WHEN i % 7 = 0 THEN 12.0 ELSE 10.0 END AS size, i % 5 = 0 AS bold FROM ls),
+sp AS (SELECT doc, page, substr(t, 1, 5) AS x, size FROM ts UNION ALL SELECT doc, page, substr(t, 6), 10.0 FROM ts),
+body AS (SELECT doc, median(CAST(size AS DOUBLE)) AS body FROM sp WHERE page <= 4 AND regexp_matches(x, '\\S') GROUP BY doc),
+b0 AS (SELECT doc, page, bold, CASE WHEN length(t) > 0 THEN size END AS size, {_NORMAL.format('t')} AS txt, i FROM ts WHERE {_NORMAL.format('t')} <> ''),
+b1 AS (SELECT b0.doc, page, txt, size, bold, coalesce(body, 10.0) AS body, row_number() OVER (PARTITION BY b0.doc ORDER BY i) AS n, trim(lower(regexp_replace(txt, '^\\d+(\\.\\d+)*\\.?\\s*', '')), ' :.') AS name, regexp_matches(txt, '^\\d+(\\.\\d+)*\\.?\\s+\\S') AS num FROM b0 LEFT JOIN body ON body.doc = b0.doc),
+b2 AS (SELECT *, CASE WHEN length(txt) > 140 THEN NULL WHEN list_contains([{", ".join(f"'{x}'" for x in Y.CANONICAL)}], name) OR size >= body * 1.45 THEN 1 WHEN size >= body * 1.18 OR (bold AND size >= body) THEN CASE WHEN num OR length(txt) < 80 THEN 2 END WHEN num AND bold THEN 3 END AS lvl FROM b1),
+b3 AS (SELECT *, {_opened()} FROM b2),
+b AS (SELECT doc, page, n, txt, lvl, {_PATH} AS path FROM b3),
+lastp AS (SELECT doc, page, max_by(path, n) FILTER (len(path) > 0) AS path FROM b GROUP BY doc, page),
+asof_ AS (SELECT b.doc, g.page, (SELECT max_by(l.path, l.page) FROM lastp l WHERE l.doc = b.doc AND l.page <= g.page AND l.path IS NOT NULL) AS path FROM (SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc FROM documents) b, (SELECT DISTINCT page FROM ts UNION SELECT 1 UNION SELECT 2 UNION SELECT 3) g),
+cap AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY n) AS nth, 'Figure ' || regexp_extract(txt, '^\\s*(?:fig(?:ure)?\\.?)\\s*(\\d+[a-z]?)\\b', 1, 'i') AS label, txt FROM b WHERE regexp_matches(txt, '^\\s*fig(?:ure)?\\.?\\s*(\\d+[a-z]?)\\b', 'i')),
+tcap AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY n) AS nth, 'Table ' || regexp_extract(txt, '^\\s*table\\s*(\\d+[a-z]?)\\b', 1, 'i') AS label FROM b WHERE regexp_matches(txt, '^\\s*table\\s*(\\d+[a-z]?)\\b', 'i')),
+im AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY i) AS nth, i FROM ts WHERE i % 4 = 1),
+fig AS (SELECT im.doc, im.page, im.nth, coalesce(cap.txt, 'Figure on page ' || im.page || '.') AS txt, cap.label FROM im LEFT JOIN cap ON cap.doc = im.doc AND cap.page = im.page AND cap.nth = im.nth WHERE 3000 + 900 * (i % 10) >= 6000 AND 60 + 40 * (i % 3) >= 90),
+tab AS (SELECT doc_id AS doc, doc_id % 3 + 1 AS page, '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || trim(coalesce(lang, '')) || ' | ' || trim(coalesce(source, '')) || ' |' || chr(10) || '| ' || coalesce(CAST(n_chars AS VARCHAR), '') || ' |  |' AS txt FROM documents),
+al AS (SELECT doc, 0 AS kind, page, n AS own, txt, 'text' AS modality, path, lvl, NULL AS label FROM b UNION ALL SELECT fig.doc, 1, fig.page, nth, txt, 'figure', path, NULL, label FROM fig LEFT JOIN asof_ ON asof_.doc = fig.doc AND asof_.page = fig.page
+UNION ALL SELECT tab.doc, 2, tab.page, 1, txt, 'table', path, NULL, tcap.label FROM tab LEFT JOIN asof_ ON asof_.doc = tab.doc AND asof_.page = tab.page LEFT JOIN tcap ON tcap.doc = tab.doc AND tcap.page = tab.page AND tcap.nth = 1)"""
+
+
+@query(f"""WITH {_LAID_OUT} SELECT CAST(doc AS VARCHAR) AS document_id, row_number() OVER (PARTITION BY doc ORDER BY kind = 2, page, kind, own) AS block_order, page, modality, CAST(lvl AS BIGINT) AS heading_level, coalesce(array_to_string(path, ' > '), '') AS section_path, label, md5(txt) AS text FROM al""")
+def layout_blocks(spark, d):
+    """Blocks of laid-out pages: headings against the exact median size, captions to images, sections as of a table's page."""
+    found = Y.laid_out_blocks(*layout_of(Tables(spark, d)))
+    return found.select("document_id", F.col("block_order").cast("long").alias("block_order"), F.col("page").cast("long").alias("page"), "modality", F.col("heading_level").cast("long").alias("heading_level"), F.array_join("section_path", " > ").alias("section_path"), F.coalesce("figure_label", "table_label").alias("label"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(f"""WITH {_LINES}, x AS (SELECT doc, i AS n, CASE WHEN i % 5 = 0 THEN 1 + (i // 5) % 3 END AS lvl, {_NORMAL.format("CASE WHEN i % 5 = 0 THEN substr(t, 1, 60) ELSE t END")} AS txt FROM ls),
+y AS (SELECT *, count(lvl) OVER (PARTITION BY doc ORDER BY n) AS stretch FROM x WHERE txt <> ''),
+z AS (SELECT doc, min(n) AS n, any_value(lvl) AS lvl, {_NORMAL.format("string_agg(txt, chr(10) ORDER BY n)")} AS txt FROM y GROUP BY doc, stretch, lvl IS NULL),
+o AS (SELECT *, {_opened()} FROM z), p AS (SELECT doc, n, lvl, txt, {_PATH} AS path FROM o),
+al AS (SELECT doc, 0 AS late, n, lvl, txt, path, NULL AS label, 'text' AS modality FROM p UNION ALL
+SELECT doc_id, 1, 0, NULL, '| lang | source |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || coalesce(lang, '') || ' | ' || coalesce(source, '') || ' |', (SELECT max_by(path, n) FROM p WHERE p.doc = doc_id), 'Table 1', 'table' FROM documents)
+SELECT CAST(doc AS VARCHAR) AS document_id, row_number() OVER (PARTITION BY doc ORDER BY late, n) AS block_order, modality, CAST(lvl AS BIGINT) AS heading_level, coalesce(array_to_string(path, ' > '), '') AS section_path, label, md5(txt) AS text FROM al""")
+def docx_blocks(spark, d):
+    """Documents written as DOCX files, every fifth line a heading, and read again as blocks."""
+    i = F.col("i")
+    line = F.struct("i", F.when(i % 5 == 0, F.concat(F.lit("Heading "), (1 + F.floor(i / 5) % 3).cast("string"))).otherwise("").alias("style"), F.when(i % 5 == 0, F.substring("t", 1, 60)).otherwise(F.col("t")).alias("t"))
+    said = lines_of(Tables(spark, d)).groupBy("doc_id").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.first("lang").alias("lang"), F.first("source").alias("source"))
+
+    def written(batches):
+        for pdf in batches:
+            files = [O.write_docx([(x["style"], x["t"]) for x in lines], [[["lang", "source"], [lang or "", source or ""]]]) for lines, lang, source in zip(pdf["lines"], pdf["lang"], pdf["source"], strict=True)]
+            yield pd.DataFrame({"document_id": pdf["doc_id"], "content": files})
+
+    found = O.docx_blocks(O.docx_parts(said.mapInPandas(written, "document_id long, content binary")))
+    return found.select("document_id", F.col("block_order").cast("long").alias("block_order"), "modality", F.col("heading_level").cast("long").alias("heading_level"), F.array_join("section_path", " > ").alias("section_path"), F.col("table_label").alias("label"), F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 @query(f"""WITH x AS (SELECT *, CASE WHEN n_chars < 500 THEN 'failed' ELSE 'ready' END AS status, strlen(text) AS size_bytes, {_TOKENS.format('text')} AS tokens FROM documents)
 SELECT 'total' AS kind, 'documents' AS name, count(*) AS n FROM x UNION ALL SELECT 'total', 'chunk_count', count(*) FROM x UNION ALL SELECT 'total', 'token_count', CAST(sum(tokens) AS BIGINT) FROM x UNION ALL SELECT 'total', 'page_count', CAST(sum(n_chars // 3000 + 1) AS BIGINT) FROM x
 UNION ALL SELECT 'total', 'table_count', count(*) FILTER (WHERE doc_id % 10 = 0) FROM x UNION ALL SELECT 'total', 'figure_count', count(*) FILTER (WHERE doc_id % 10 = 1) FROM x UNION ALL SELECT 'total', 'size_bytes', CAST(sum(size_bytes) AS BIGINT) FROM x
