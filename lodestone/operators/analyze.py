@@ -84,16 +84,38 @@ def modalities(visual: Column, tabular: Column) -> Column:
     return F.filter(F.array(F.when(visual, "figure"), F.when(visual, "image"), F.when(visual, "ocr"), F.when(tabular, "table")), lambda m: m.isNotNull())
 
 
+# What a model may name, and what a merged analysis keeps of it.
+INTENTS = ["factual_lookup", "definition", "comparison", "relationship", "multi_hop", "summarization", "analysis", "visual", "procedural", "exploratory"]
+OR_FIELDS = ["multi_hop", "requires_visual", "requires_tabular", "relationship_query", "cross_document", "requires_verification"]
+MAX_FIELDS = ["semantic_requirement", "keyword_requirement", "expected_documents", "ambiguity"]
+
+
 def merge_judgement(analyzed: DataFrame, judged: DataFrame, key: str = "query_id") -> DataFrame:
-    """Merge a model's table (key, multi_hop, requires_visual, semantic_requirement, keyword_requirement, complexity; any may be
-    null): booleans by OR, numbers by maximum, the higher complexity."""
-    both = analyzed.alias("a").join(judged.alias("j"), key, "left")
+    """``analyzed`` merged with a model's table (key and any of the fields of an analysis; each may be null).
+
+    Booleans by OR, numbers by maximum, the higher complexity, a known intent instead of the own; entities and key terms joined, up to 12, the own
+    first; the model's ``sub_questions``, up to six that say something, and its ``reasoning`` are added where the table has them."""
+    both, has = analyzed.alias("a").join(judged.alias("j"), key, "left"), set(judged.columns)
     rank = lambda c: F.when(c == "complex", 2).when(c == "moderate", 1).when(c == "simple", 0)
-    higher = F.when(F.coalesce(rank(F.col("j.complexity")), F.lit(-1)) > rank(F.col("a.complexity")), F.col("j.complexity")).otherwise(F.col("a.complexity"))
-    new = {c: F.col(f"a.{c}") | F.coalesce(F.col(f"j.{c}"), F.lit(False)) for c in ("multi_hop", "requires_visual")}
-    new |= {c: F.greatest(F.col(f"a.{c}"), F.col(f"j.{c}")) for c in ("semantic_requirement", "keyword_requirement")}
-    new["complexity"] = higher
-    return both.select(*(new[c].alias(c) if c in new else F.col(f"a.{c}" if c != key else key).alias(c) for c in analyzed.columns))
+    own, said = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"j.{c}"))
+    new = {c: own(c) | F.coalesce(said(c), F.lit(False)) for c in OR_FIELDS if c in has}
+    new |= {c: F.greatest(own(c), said(c)) for c in MAX_FIELDS if c in has}  # nulls don't count
+    if "complexity" in has:
+        low = F.lower(said("complexity"))
+        new["complexity"] = F.when(F.coalesce(rank(low), F.lit(-1)) > rank(own("complexity")), low).otherwise(own("complexity"))
+    if "intent" in has:
+        new["intent"] = F.when(F.lower(said("intent")).isin(INTENTS), F.lower(said("intent"))).otherwise(own("intent"))
+    for c in ("entities", "key_terms"):
+        if c in has:
+            new[c] = X.merge_strings(own(c), F.coalesce(said(c), F.array().cast("array<string>")), 12)
+    more = []
+    if "sub_questions" in has:
+        bare = F.transform(F.coalesce(said("sub_questions"), F.array().cast("array<string>")), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+        more.append(F.slice(F.filter(bare, lambda s: F.coalesce(s, F.lit("")) != ""), 1, 6).alias("sub_questions"))
+    if "reasoning" in has:
+        more.append(F.nullif(F.trim(said("reasoning")), F.lit("")).alias("reasoning"))
+    kept = [c for c in analyzed.columns if not (c in ("sub_questions", "reasoning") and c in has)]
+    return both.select(*(new[c].alias(c) if c in new else F.col(f"a.{c}" if c != key else key).alias(c) for c in kept), *more)
 
 
 def route(analyzed: DataFrame, document_count: int = 10, graph_available: bool = True, multimodal_available: bool = True, top_k: int = 8, pool: int = 40, sub_questions: int = 0) -> DataFrame:
@@ -184,10 +206,10 @@ def forced(names: list[str]) -> dict:
 
 
 def apply_forced(routed: DataFrame, names: list[str]) -> DataFrame:
-    """``routed`` with the decision of ``forced`` in place of the router's; of several parallel strategies the first runs."""
+    """``routed`` with the decision of ``forced`` in place of the router's; ``parallels`` has all strategies beside the first, ``parallel`` the first of them."""
     d = forced(names)
     beside = F.lit(d["parallel"][0]) if d["parallel"] else F.lit(None).cast("string")
-    return routed.withColumns({"strategy": F.lit(d["strategy"]), "parallel": beside, "use_corrective": F.lit(d["use_corrective"]), "use_agentic": F.lit(d["use_agentic"]), "mode": F.lit(d["mode"]), "rules_fired": F.array(*map(F.lit, d["rules_fired"]))})
+    return routed.withColumns({"strategy": F.lit(d["strategy"]), "parallel": beside, "parallels": X.lits(d["parallel"]).cast("array<string>"), "use_corrective": F.lit(d["use_corrective"]), "use_agentic": F.lit(d["use_agentic"]), "mode": F.lit(d["mode"]), "rules_fired": F.array(*map(F.lit, d["rules_fired"]))})
 
 
 def condense_history(turns: DataFrame, latest: DataFrame, conversation: str = "conv_id", turn: str = "turn", window: int = 6) -> DataFrame:

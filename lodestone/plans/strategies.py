@@ -63,6 +63,10 @@ class Corpus:
     hypothesis: Callable[[DataFrame], DataFrame] | None = None
     rewrites: Callable[[DataFrame], DataFrame] | None = None
     judge: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    #: From (query_id, query) to steps (query_id, step, sub_question, tool, depends_on); from queries, executed steps and fused results to
+    #: (query_id, sufficient, next_query, next_tool).
+    planner: Callable[[DataFrame], DataFrame] | None = None
+    reflect: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None
 
 
 def build(chunks: DataFrame, ordinals: DataFrame, with_graph: bool = True) -> Corpus:
@@ -268,24 +272,124 @@ def corrective(queries: DataFrame, corpus: Corpus, config: Config = Config(), ba
     return rerank(cfg, correct(cfg, searches(queries, corpus), corpus, config.floor), corpus)
 
 
-def plan_steps(cfg: DataFrame) -> DataFrame:
-    """The plan without a planner: (query_id, step, strategy): a hybrid step, and a graph step for relations or chained facts."""
-    a = A.analyze(cfg.select("query_id", "query"))
-    steps = F.array(F.struct(F.lit(1).alias("step"), F.lit("hybrid").alias("strategy")), F.when(F.col("relationship_query") | F.col("multi_hop"), F.struct(F.lit(2).alias("step"), F.lit("graph").alias("strategy"))))
-    return a.select("query_id", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("query_id", "s.step", "s.strategy")
-
-
-def act(cfg: DataFrame, found: DataFrame, corpus: Corpus, floor: float = 0.45) -> DataFrame:
-    """Plan, run the steps at half the results, fuse them weighted .6 + .6 of their graded quality without near-duplicates, rerank."""
-    steps = stored(plan_steps(cfg), "steps")
-    own = cfg.drop("strategy").withColumn("top_k", F.greatest(F.lit(4), F.floor(F.col("top_k") / 2).cast("int")))
-    content, lists = corpus.chunks.select("chunk_id", "content"), None
-    for number, name in ((1, "hybrid"), (2, "graph")):
-        part = stored(REGISTRY[name](own.join(steps.filter(F.col("step") == number).select("query_id"), "query_id", "left_semi"), found, corpus).select(*NAMES), "step")
-        quality = V.grade(cfg.select("query_id", "query"), part.join(content, "chunk_id"), floor).select("query_id", (0.6 + 0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("overall")))).alias("weight"))
-        part = part.join(quality, "query_id").select("query_id", F.lit(f"step_{number}").alias("strategy"), F.lit(number).alias("list_no"), "rank", "chunk_id", "score", "weight")
-        lists = part if lists is None else lists.unionByName(part)
-    return rerank(cfg, _dedup(R.rrf(lists), corpus), corpus)
+# What each tool of a plan runs, the most steps, and the words of a finding and of a hint.
+TOOLS = {"dense_search": "naive", "hybrid_search": "hybrid", "graph_search": "graph", "multimodal_search": "multimodal", "hyde_search": "hyde"}
+MOST_STEPS, FINDING_WORDS, HINT_WORDS = 6, 60, 40
+STEP = "step int, sub_question string, tool string, depends_on array<int>"
+
+
+def plan_steps(cfg: DataFrame, sub_questions: DataFrame | None = None) -> DataFrame:
+    """The plan without a planner: (query_id, step, sub_question, tool, depends_on). Up to three ``sub_questions`` (query_id, sub_questions) are
+    a hybrid step each; a query without them is a hybrid step itself, and a graph step if it asks for relations or chained facts."""
+    a = A.analyze(cfg.select("query_id", "query")).select("query_id", "query", (F.col("relationship_query") | F.col("multi_hop")).alias("chained"))
+    none = F.array().cast("array<string>")
+    a = a.join(sub_questions.select("query_id", F.slice("sub_questions", 1, 3).alias("subs")), "query_id", "left") if sub_questions is not None else a.withColumn("subs", none)
+    step = lambda n, text, tool: F.struct(n.cast("int").alias("step"), text.alias("sub_question"), F.lit(tool).alias("tool"), F.array().cast("array<int>").alias("depends_on"))
+    plain = F.concat(F.array(step(F.lit(1), F.col("query"), "hybrid_search")), F.filter(F.array(step(F.lit(2), F.col("query"), "graph_search")), lambda s: F.col("chained")))
+    asked = F.transform("subs", lambda x, i: step(i + 1, x, "hybrid_search"))
+    return a.select("query_id", F.explode(F.when(F.size(F.coalesce("subs", none)) > 0, asked).otherwise(plain)).alias("s")).select("query_id", "s.*")
+
+
+def checked_plan(cfg: DataFrame, planned: DataFrame, most: int = MOST_STEPS) -> DataFrame:
+    """A planner's steps (query_id, step, sub_question, tool, depends_on) as far as they can be used: the first ``most``, an unknown tool is a hybrid search, and
+    a step depends on earlier ones only. Queries left without a step get the plan of ``plan_steps``."""
+    own = planned.filter((F.trim("sub_question") != "") & (F.col("step") <= most)).withColumn("tool", F.when(F.lower(F.trim("tool")).isin(*TOOLS), F.lower(F.trim("tool"))).otherwise("hybrid_search"))
+    own = own.withColumn("depends_on", F.array_distinct(F.filter(F.coalesce("depends_on", F.array().cast("array<int>")), lambda d: d < F.col("step"))))
+    own = own.select("query_id", "step", F.trim("sub_question").alias("sub_question"), "tool", "depends_on").join(cfg.select("query_id"), "query_id", "left_semi")
+    return own.unionByName(plan_steps(cfg.join(own.select("query_id"), "query_id", "left_anti")))
+
+
+def ready_steps(pending: DataFrame, done: DataFrame | None) -> DataFrame:
+    """The pending steps whose dependencies are all done; of a query without one, its first pending step, which breaks a cycle or a dependency on nothing."""
+    if done is None:
+        open_ = pending.withColumn("waits", F.size("depends_on") > 0)
+    else:
+        finished = done.groupBy("query_id").agg(F.collect_set("step").alias("finished"))  # at most as many as a plan has steps
+        open_ = pending.join(finished, "query_id", "left").withColumn("waits", F.size(F.array_except("depends_on", F.coalesce("finished", F.array().cast("array<int>")))) > 0).drop("finished")
+    w = Window.partitionBy("query_id")
+    stuck = F.min(F.col("waits").cast("int")).over(w) == 1
+    first = F.min("step").over(w) == F.col("step")
+    return open_.withColumns({"stuck": stuck, "first": first}).filter(~F.col("waits") | (F.col("stuck") & F.col("first"))).drop("waits", "stuck", "first")
+
+
+def run_steps(cfg: DataFrame, ready: DataFrame, done: DataFrame | None, found: DataFrame, corpus: Corpus, floor: float) -> tuple[DataFrame, DataFrame]:
+    """The steps of one wave: (results of each step: query_id, step, chunk_id, score, rank), (the steps with asked, chunks_found, top_score, quality, finding).
+
+    What earlier steps found follows the question of a step that depends on them. Steps that ask the query itself take its lists from ``found``."""
+    steps = ready.join(cfg.select("query_id", "query"), "query_id").withColumn("own_id", F.concat_ws(":", "step", F.col("query_id").cast("string")))
+    hint = None
+    if done is not None:
+        told = steps.select("query_id", "own_id", F.posexplode("depends_on").alias("pos", "d")).join(done.select("query_id", F.col("step").alias("d"), "finding"), ["query_id", "d"])
+        hint = told.filter("finding <> ''").groupBy("own_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "finding"))), lambda x: x["finding"]), " ").alias("hint"))
+        steps = steps.join(hint, "own_id", "left")
+    else:
+        steps = steps.withColumn("hint", F.lit(None).cast("string"))
+    asked = F.when(F.col("hint").isNotNull(), F.concat("sub_question", F.lit(" (context: "), X.truncate_words("hint", HINT_WORDS), F.lit(")"))).otherwise(F.col("sub_question"))
+    steps = stored(steps.withColumn("asked", asked).drop("hint"), "wave")
+    own = steps.join(cfg.drop("query", "strategy"), "query_id").withColumns({
+        "top_k": F.greatest(F.lit(4), F.floor(F.col("top_k") / 2).cast("int")), "rerank": F.lit(False),
+        "strategy": F.element_at(F.create_map(*(F.lit(x) for kv in TOOLS.items() for x in kv)), F.col("tool")),
+    })
+    own = own.select(F.col("own_id").alias("query_id"), F.col("asked").alias("query"), *(c for c in own.columns if c in cfg.columns and c not in ("query_id", "query")), *(["strategy"] if "strategy" not in cfg.columns else []))
+    new = steps.filter(F.col("asked") != F.col("query"))
+    lists = found.join(steps.filter(F.col("asked") == F.col("query")).select("query_id", "own_id"), "query_id").drop("query_id").withColumnRenamed("own_id", "query_id").select(*found.columns)
+    if not new.isEmpty():
+        lists = lists.unionByName(searches(new.select(F.col("own_id").alias("query_id"), F.col("asked").alias("query")), corpus))
+    results = stored(run_selected(own, lists, corpus), "step_results")
+    full = results.join(corpus.chunks.select("chunk_id", "content"), "chunk_id")
+    quality = V.grade(steps.select(F.col("own_id").alias("query_id"), F.col("sub_question").alias("query")), full, floor).select(F.col("query_id").alias("own_id"), F.col("overall").alias("quality"))
+    top = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks_found"), F.max("score").alias("top_score"), X.truncate_words(F.min_by("content", "rank"), FINDING_WORDS).alias("finding")).withColumnRenamed("query_id", "own_id")
+    ran = steps.join(quality, "own_id", "left").join(top, "own_id", "left").withColumns({"chunks_found": F.coalesce("chunks_found", F.lit(0)).cast("long"), "top_score": F.coalesce("top_score", F.lit(0.0)), "quality": F.coalesce("quality", F.lit(0.0)), "finding": F.coalesce("finding", F.lit(""))})
+    ids = steps.select("own_id", F.col("query_id").alias("of"), "step")
+    hits = results.join(ids, F.col("query_id") == F.col("own_id")).select(F.col("of").alias("query_id"), "step", "chunk_id", "score", "rank")
+    return hits, stored(ran.drop("own_id", "query"), "steps_done")
+
+
+def run_waves(cfg: DataFrame, steps: DataFrame, found: DataFrame, corpus: Corpus, floor: float = 0.45, most: int = MOST_STEPS) -> tuple[DataFrame, DataFrame]:
+    """All steps of all plans, wave by wave: a wave holds every step whose dependencies are done, of all queries at once."""
+    pending, done, hits = stored(steps, "plan"), None, None
+    for _ in range(most + 2):
+        ready = stored(ready_steps(pending, done), "ready")
+        if ready.isEmpty():
+            break
+        own, ran = run_steps(cfg, ready, done, found, corpus, floor)
+        hits = own if hits is None else hits.unionByName(own)
+        done = ran if done is None else done.unionByName(ran)
+        pending = stored(pending.join(ready, ["query_id", "step"], "left_anti"), "plan")
+    return hits, done
+
+
+def _fuse_steps(hits: DataFrame, done: DataFrame | None, corpus: Corpus) -> DataFrame:
+    """The steps' results fused without near-duplicates; weighted .6 + .6 of their quality where ``done`` is given, else alike."""
+    weight = done.select("query_id", "step", (0.6 + 0.6 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality")))).alias("weight")) if done is not None else None
+    own = hits.join(weight, ["query_id", "step"]) if weight is not None else hits.withColumn("weight", F.lit(1.0))
+    return _dedup(R.rrf(own.select("query_id", F.concat(F.lit("step_"), F.col("step").cast("string")).alias("strategy"), F.col("step").alias("list_no"), "rank", "chunk_id", "score", "weight")), corpus)
+
+
+def act(cfg: DataFrame, found: DataFrame, corpus: Corpus, floor: float = 0.45, most: int = MOST_STEPS) -> DataFrame:
+    return act_with_steps(cfg, found, corpus, floor, most)[0]
+
+
+def act_with_steps(cfg: DataFrame, found: DataFrame, corpus: Corpus, floor: float = 0.45, most: int = MOST_STEPS) -> tuple[DataFrame, DataFrame]:
+    """Plan, run the plan in waves, reflect, fuse and rerank: (results, executed steps).
+
+    Where the hook ``reflect`` finds the evidence insufficient and names a next query, one more step runs, if the plan had fewer than ``most``."""
+    steps = checked_plan(cfg, corpus.planner(cfg.select("query_id", "query")), most) if corpus.planner else plan_steps(cfg)
+    hits, done = run_waves(cfg, steps, found, corpus, floor, most)
+    if hits is None:
+        empty = cfg.join(found, "query_id").select("query_id", "chunk_id", "score", "rank", F.array().cast("array<string>").alias("sources")).limit(0)
+        return empty, steps.limit(0)
+    if corpus.reflect:
+        seen = stored(_fuse_steps(hits, None, corpus), "interim")
+        said = corpus.reflect(cfg.select("query_id", "query"), done, seen).filter(~F.col("sufficient") & (F.trim("next_query") != ""))
+        ran = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < most)
+        tool = F.when(F.lower("next_tool").isin(*TOOLS), F.lower("next_tool")).otherwise("hybrid_search")
+        more = said.join(ran, "query_id").select("query_id", (F.col("n") + 1).cast("int").alias("step"), F.substring("next_query", 1, 400).alias("sub_question"), tool.alias("tool"), F.array().cast("array<int>").alias("depends_on"))
+        more = stored(more, "follow_up")
+        if not more.isEmpty():
+            own, ran = run_steps(cfg, more, done, found, corpus, floor)
+            hits, done = hits.unionByName(own), done.unionByName(ran)
+    return rerank(cfg, _fuse_steps(hits, done, corpus), corpus), done
 
 
 def agentic(queries: DataFrame, corpus: Corpus, config: Config = Config()) -> DataFrame:
@@ -299,32 +403,37 @@ def routed_settings(queries: DataFrame, corpus: Corpus, config: Config = Config(
     ``names`` pins strategies instead; ``overrides`` are values that win over the router's."""
     documents = corpus.chunks.agg(F.count_distinct("document_id").alias("n")).first().n
     routed = A.route(A.analyze(queries), documents, corpus.nodes is not None and not corpus.nodes.isEmpty(), top_k=config.top_k, pool=config.pool)
-    if names:
-        routed = A.apply_forced(routed, names)
+    routed = A.apply_forced(routed, names) if names else routed.withColumn("parallels", F.filter(F.array("parallel"), lambda p: p.isNotNull()))
     routed = A.apply_overrides(routed, overrides or {})
     keyword = F.coalesce("sparse_weight", F.lit(config.sparse_weight))
     return routed.select(
         "query_id", "query", F.col("top_k").cast("int").alias("top_k"), F.col("candidate_pool").cast("int").alias("pool"), F.lit(config.min_score).alias("min_score"),
         F.when(F.col("sparse_weight").isNull(), F.lit(config.dense_weight)).otherwise(F.round(1 - keyword, 3)).alias("dense_weight"), keyword.alias("sparse_weight"),
         F.col("graph_depth").cast("int").alias("depth"), "rerank", F.when(F.col("strategy") == "multimodal", A.modalities(F.col("requires_visual"), F.col("requires_tabular"))).otherwise(F.array().cast("array<string>")).alias("modalities"),
-        "strategy", "parallel", "use_corrective", "use_agentic", F.col("max_per_document").cast("int").alias("max_per_document"),
+        "strategy", "parallel", "parallels", "use_corrective", "use_agentic", F.col("max_per_document").cast("int").alias("max_per_document"),
     )
 
 
 def adaptive(queries: DataFrame, corpus: Corpus, config: Config = Config(), overrides: dict | None = None, names: list[str] | None = None) -> DataFrame:
     """Analyze, route and run: agentic queries by their plan; others by their strategy, corrected where the router asks for it, and fused with the
-    parallel one (primary 1.0, parallel .7) where there is one; document diversity where it is set; rerank where it is on; ``top_k`` as routed."""
+    parallel ones (primary 1.0, parallel .7) where there are any; document diversity where it is set; rerank where it is on; ``top_k`` as routed."""
     cfg = stored(routed_settings(queries, corpus, config, overrides, names), "settings")
     found = searches(queries, corpus)
     single = cfg.filter(~F.col("use_agentic"))
     plain = run_selected(stored(single.filter(~F.col("use_corrective")), "plain"), found, corpus)
     mended = correct(stored(single.filter("use_corrective"), "mended"), found, corpus, config.floor)
     first = stored(plain.unionByName(mended), "primary")
-    beside = stored(run_selected(stored(single.filter(F.col("parallel").isNotNull()).withColumn("strategy", F.col("parallel")), "beside"), found, corpus), "parallel")
-    both = beside.select("query_id").distinct()
-    named = lambda df, column, number, weight: df.join(cfg.select("query_id", F.col(column).alias("strategy")), "query_id").select("query_id", "strategy", F.lit(number).alias("list_no"), "rank", "chunk_id", "score", F.lit(weight).alias("weight"))
-    fused = _dedup(R.rrf(named(first.join(both, "query_id", "left_semi"), "strategy", 0, 1.0).unionByName(named(beside, "parallel", 1, 0.7))), corpus)
-    one = fused.unionByName(first.join(both, "query_id", "left_anti"))
+    lists = None
+    for number in range(single.agg(F.max(F.size("parallels"))).first()[0] or 0):  # at most as many as REGISTRY
+        own = stored(single.withColumn("strategy", F.get("parallels", F.lit(number))).filter(F.col("strategy").isin(*REGISTRY)), "beside")
+        part = stored(run_selected(own, found, corpus), "parallel").join(own.select("query_id", "strategy"), "query_id")
+        part = part.select("query_id", "strategy", F.lit(number + 1).alias("list_no"), "rank", "chunk_id", "score", F.lit(0.7).alias("weight"))
+        lists = part if lists is None else lists.unionByName(part)
+    one = first
+    if lists is not None:
+        both = lists.select("query_id").distinct()
+        main = first.join(both, "query_id", "left_semi").join(cfg.select("query_id", "strategy"), "query_id").select("query_id", "strategy", F.lit(0).alias("list_no"), "rank", "chunk_id", "score", F.lit(1.0).alias("weight"))
+        one = _dedup(R.rrf(main.unionByName(lists)), corpus).unionByName(first.join(both, "query_id", "left_anti"))
     spread = one.join(single.select("query_id", "max_per_document"), "query_id").join(corpus.chunks.select("chunk_id", "document_id"), "chunk_id")
     out = rerank(single, R.diversify(spread, F.col("max_per_document")).select(*NAMES), corpus)
     return out.unionByName(act(stored(cfg.filter("use_agentic"), "agents"), found, corpus, config.floor))
