@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as G
 from lodestone.operators import ingest as I
 from lodestone.operators import retrieval as R
+from lodestone.sources import versions
 from lodestone.sources.stored import stored
 
 
@@ -56,6 +57,17 @@ class Index:
         return out
 
 
+def publish(index: Index, path: str, base: versions.Version | None = None) -> versions.Version:
+    """Writes the index as the next version of ``path``: readers see all its tables or none."""
+    return versions.publish(index.chunks.sparkSession, path, {f.name: getattr(index, f.name) for f in fields(index)}, base)
+
+
+def at_version(spark: SparkSession, path: str, number: int | None = None) -> Index | None:
+    """The index of the last published version, or of ``number``; it stays the same whatever is published later."""
+    found = versions.latest(spark, path, number)
+    return None if found is None else Index(*(found.table(spark, f.name) for f in fields(Index)))
+
+
 def load(spark: SparkSession, path: str) -> Index:
     return Index(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(Index)))
 

@@ -16,14 +16,20 @@ from lodestone.operators import analyze as A
 from lodestone.operators import graph as G
 from lodestone.operators import index as N
 from lodestone.operators import ingest as I
+from lodestone.operators import judge as J
+from lodestone.operators import ledger as D
 from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
+from lodestone.operators import trace as T
 from lodestone.operators import verify as V
 from lodestone.plans import strategies as S
+from lodestone.sources import copying as C
 from lodestone.sources import layout as Y
+from lodestone.sources import objects as B
 from lodestone.sources import office as O
 from lodestone.sources import parsers as P
 from lodestone.sources.stored import shared_dir, stored
+from lodestone.streaming import logs as LG
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -464,13 +470,15 @@ def user_turns(t: Tables) -> DataFrame:
 
 
 def sample_questions(t: Tables) -> DataFrame:
-    """Every nation in every question form: questions with known routing."""
+    """Every nation in every question form, with known routing, and every question of the conversations; SQL's word boundaries know ASCII only, so other characters are written as x."""
     forms = ["What optimizer was used in {}?", "Which model of {} achieved the best result, and what data was that model trained on?", 'Find the exact term "NEU-{}" and its mAP value', "What does Figure 2 show about {}?", "How does {} relate to the prior work it builds on?", "Summarize the limitations of {} and explain why the approach does not generalize across datasets", "What is {}?", "Compare {} and YOLOv5s in table 3", "how about {}", "Analyze the implications of the reasoning about {} in depth and evaluate its significance for later studies of this process"]
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("form"), F.replace(F.lit(f), F.lit("{}"), F.col("n_name")).alias("query")) for i, f in enumerate(forms))))
-    return t.nation.select("n_nationkey", rows.alias("q")).select((F.col("n_nationkey") * 100 + F.col("q.form")).alias("query_id"), "q.query")
+    forms = t.nation.select("n_nationkey", rows.alias("q")).select((F.col("n_nationkey") * 100 + F.col("q.form")).alias("query_id"), "q.query")
+    turns = t.conversations.filter(F.col("role") == "user").select((F.col("conv_id") * 1000 + F.col("turn") + 100000).alias("query_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "x").alias("query"))
+    return forms.unionByName(turns)
 
 
-_FORMS = """qs AS (SELECT n_nationkey * 100 + form AS query_id, replace(f, '{}', n_name) AS query FROM nation, (VALUES (0, 'What optimizer was used in {}?'), (1, 'Which model of {} achieved the best result, and what data was that model trained on?'), (2, 'Find the exact term "NEU-{}" and its mAP value'), (3, 'What does Figure 2 show about {}?'), (4, 'How does {} relate to the prior work it builds on?'), (5, 'Summarize the limitations of {} and explain why the approach does not generalize across datasets'), (6, 'What is {}?'), (7, 'Compare {} and YOLOv5s in table 3'), (8, 'how about {}'), (9, 'Analyze the implications of the reasoning about {} in depth and evaluate its significance for later studies of this process')) AS v(form, f))"""
+_FORMS = """qs AS (SELECT n_nationkey * 100 + form AS query_id, replace(f, '{}', n_name) AS query FROM nation, (VALUES (0, 'What optimizer was used in {}?'), (1, 'Which model of {} achieved the best result, and what data was that model trained on?'), (2, 'Find the exact term "NEU-{}" and its mAP value'), (3, 'What does Figure 2 show about {}?'), (4, 'How does {} relate to the prior work it builds on?'), (5, 'Summarize the limitations of {} and explain why the approach does not generalize across datasets'), (6, 'What is {}?'), (7, 'Compare {} and YOLOv5s in table 3'), (8, 'how about {}'), (9, 'Analyze the implications of the reasoning about {} in depth and evaluate its significance for later studies of this process')) AS v(form, f) UNION ALL SELECT conv_id * 1000 + turn + 100000, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', 'x', 'g') FROM conversations WHERE role = 'user')"""
 
 
 def _bank(words: list[str]) -> str:
@@ -1131,6 +1139,136 @@ def docx_blocks(spark, d):
     return found.select("document_id", F.col("block_order").cast("long").alias("block_order"), "modality", F.col("heading_level").cast("long").alias("heading_level"), F.array_join("section_path", " > ").alias("section_path"), F.col("table_label").alias("label"), F.md5(F.col("text").cast("binary")).alias("text"))
 
 
+# -- judged batches, ledgers, traces, logs, copies and objects
+
+
+def pooled_of(t: Tables) -> DataFrame:
+    content = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return lists_of(t).select("query_id", "strategy", "chunk_id", "rank").join(content, "chunk_id")
+
+
+def _names_first_word(request: dict) -> dict:
+    """A deterministic judge: a passage is relevant if it has the question's first word."""
+    first = request["query"].split()[0].lower() if request["query"].split() else ""
+    return {"relevant_ids": [i["id"] for i in request["items"] if first in (i["text"] or "").lower()]}
+
+
+@query(f"""WITH {_BM25}, {_COVER}, {_LISTS}, pool AS (SELECT DISTINCT query_id, chunk_id FROM lists WHERE rank <= 10)
+SELECT query_id, chunk_id, contains(lower(CASE WHEN len(regexp_extract_all(d.text, '\\S+')) <= 120 THEN d.text ELSE array_to_string(regexp_extract_all(d.text, '\\S+')[1:120], ' ') || ' …' END), lower(regexp_extract(b.text, '\\S+'))) AS relevant
+FROM pool JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id""")
+def judged_pool(spark, d):
+    """The pool of two searches labelled by a judge, a dozen passages a call."""
+    t = Tables(spark, d)
+    return J.judge_pool(questions_of(t), pooled_of(t), _names_first_word)
+
+
+_LEGAL = " OR ".join(f"(now = '{a}' AND status IN ({', '.join(repr(x) for x in b)}))" for a, b in D.FOLLOWS.items())
+_STEP_EVENTS = "e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, event_type AS step, event_id AS seq, ts AS tm, ['pending', 'running', 'completed', 'failed', 'running', 'skipped', 'pending'][1 + event_id % 7] AS status FROM events)"
+
+
+def step_events_of(t: Tables) -> DataFrame:
+    """Events as those of processing steps: a step of a user's document for each type, its status by the event's number."""
+    status = F.element_at(F.array(*map(F.lit, ("pending", "running", "completed", "failed", "running", "skipped", "pending"))), (F.col("event_id") % 7 + 1).cast("int"))
+    return t.events.select(F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("step"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"))
+
+
+@query(f"""WITH RECURSIVE {_STEP_EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY document_id, step ORDER BY tm, seq) AS k FROM e),
+r AS (SELECT document_id, step, k, CASE WHEN ok THEN status ELSE '' END AS now, CAST(ok AND status = 'running' AS INT) AS attempts, CAST(NOT ok AS INT) AS illegal, CASE WHEN ok AND status = 'running' THEN tm END AS started, CASE WHEN ok AND status IN ('completed', 'failed', 'skipped') THEN tm END AS ended
+FROM (SELECT *, {_LEGAL} AS ok FROM (SELECT *, '' AS now FROM n WHERE k = 1)) UNION ALL
+SELECT document_id, step, k, CASE WHEN ok THEN status ELSE now END, attempts + CAST(ok AND status = 'running' AS INT), illegal + CAST(NOT ok AS INT), CASE WHEN ok AND status = 'running' THEN tm ELSE started END, CASE WHEN ok AND status IN ('completed', 'failed', 'skipped') THEN tm ELSE ended END
+FROM (SELECT *, {_LEGAL} AS ok FROM (SELECT n.*, r.now, r.attempts, r.illegal, r.started, r.ended FROM n JOIN r ON n.document_id = r.document_id AND n.step = r.step AND n.k = r.k + 1)))
+SELECT document_id, step, nullif(now, '') AS status, CAST(attempts AS BIGINT) AS attempts, CAST(illegal AS BIGINT) AS illegal, CAST(started AS VARCHAR) AS started, CASE WHEN now IN ('completed', 'failed', 'skipped') THEN CAST(ended AS VARCHAR) END AS finished
+FROM r QUALIFY row_number() OVER (PARTITION BY document_id, step ORDER BY k DESC) = 1""")
+def ingest_ledger(spark, d):
+    """Where each step of each document stands after its events, those that the state machine refuses left out."""
+    text = lambda c: F.regexp_replace(F.col(c).cast("string"), r"(\.\d*?)0+$", "$1")
+    return D.ledger(step_events_of(Tables(spark, d))).select("document_id", "step", "status", F.col("attempts").cast("long").alias("attempts"), F.col("illegal").cast("long").alias("illegal"), text("started").alias("started"), text("finished").alias("finished"))
+
+
+_SPANS = """s AS (SELECT event_id // 64 AS trace_id, event_id AS span_id, CASE WHEN event_id % 64 > 0 THEN event_id - event_id % 64 + event_id % 64 // 4 END AS parent_id, event_id % 64 + value / 10 AS t0, event_id % 64 + value / 10 + 2 + (64 - event_id % 64) * (event_id % 5) / 4.0 AS t1 FROM events)"""
+
+
+def spans_of(t: Tables) -> DataFrame:
+    """Events as spans of traces of 64: each span has four children, which overlap and reach beyond it."""
+    k = F.col("event_id") % 64
+    start = k + F.col("value") / 10
+    parent = F.when(k > 0, F.col("event_id") - k + F.floor(k / 4))
+    return t.events.select(F.floor(F.col("event_id") / 64).alias("trace_id"), F.col("event_id").alias("span_id"), parent.alias("parent_id"), start.alias("start"), (start + 2 + (64 - k) * (F.col("event_id") % 5) / 4.0).alias("end"))
+
+
+@query(f"""WITH {_SPANS}, c AS (SELECT s.trace_id, s.parent_id, s.span_id, greatest(s.t0, p.t0) AS c0, least(s.t1, p.t1) AS c1 FROM s JOIN s p ON p.span_id = s.parent_id AND p.trace_id = s.trace_id),
+m AS (SELECT *, greatest(0.0, c1 - greatest(c0, coalesce(max(c1) OVER (PARTITION BY trace_id, parent_id ORDER BY c0, c1, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c0))) AS new FROM c),
+v AS (SELECT trace_id, parent_id, sum(new) AS covered, count(*) AS children FROM m GROUP BY trace_id, parent_id)
+SELECT s.trace_id, s.span_id, coalesce(children, 0) AS children, round(t1 - t0, 6) AS duration, round(greatest(0.0, t1 - t0 - coalesce(covered, 0.0)), 6) AS self_time FROM s LEFT JOIN v ON v.trace_id = s.trace_id AND v.parent_id = s.span_id""")
+def trace_self_times(spark, d):
+    return T.self_times(spans_of(Tables(spark, d))).select("trace_id", "span_id", F.col("children").cast("long").alias("children"), F.round("duration", 6).alias("duration"), F.round("self_time", 6).alias("self_time"))
+
+
+@query(f"""WITH RECURSIVE {_SPANS}, h AS (SELECT * FROM s WHERE parent_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY t1 DESC, t0 DESC, span_id) = 1),
+p AS (SELECT trace_id, span_id, 0 AS depth FROM s WHERE parent_id IS NULL UNION ALL SELECT p.trace_id, h.span_id, depth + 1 FROM p JOIN h ON h.trace_id = p.trace_id AND h.parent_id = p.span_id) SELECT * FROM p""")
+def trace_critical_paths(spark, d):
+    return T.critical_paths(spans_of(Tables(spark, d)))
+
+
+_KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+_FOREIGN = [
+    ("nation", "region", {"n_regionkey": "r_regionkey"}), ("customer", "nation", {"c_nationkey": "n_nationkey"}), ("supplier", "nation", {"s_nationkey": "n_nationkey"}), ("orders", "customer", {"o_custkey": "c_custkey"}),
+    ("lineitem", "orders", {"l_orderkey": "o_orderkey"}), ("lineitem", "part", {"l_partkey": "p_partkey"}), ("lineitem", "supplier", {"l_suppkey": "s_suppkey"}),
+]
+_COPIED = "\nUNION ALL ".join(
+    f"SELECT '{t}' AS name, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(k)} FROM {t})) AS rows, " + (" + ".join(f"(SELECT count(*) FROM (SELECT DISTINCT ON ({', '.join(k)}) * FROM {t}) c WHERE {' AND '.join(f'{a} IS NOT NULL' for a in by)} AND NOT EXISTS (SELECT 1 FROM {p} WHERE {' AND '.join(f'{a} = {b}' for a, b in by.items())}))" for c, p, by in _FOREIGN if c == t) or "0") + " AS orphans"
+    for t, k in _KEYS.items()
+)
+
+
+@query(f"""WITH RECURSIVE k(c, p) AS (VALUES {', '.join(f"('{c}', '{p}')" for c, p, _ in _FOREIGN)}), lv AS (SELECT n AS name, 0 AS level FROM (VALUES {', '.join(f"('{t}')" for t in _KEYS)}) v(n) UNION ALL SELECT c, level + 1 FROM lv JOIN k ON p = name),
+o AS ({_COPIED}) SELECT o.name, CAST(max(level) AS BIGINT) AS level, false AS cyclic, any_value(rows) AS rows, CAST(any_value(orphans) AS BIGINT) AS orphans FROM o JOIN lv ON lv.name = o.name GROUP BY o.name""")
+def table_copy(spark, d):
+    """The sales tables copied by the levels of their foreign keys, once in part and once in full over what is there."""
+    t, path = Tables(spark, d), f"{shared_dir(spark)}/lodestone-copy-{uuid.uuid4().hex}"
+    sources = {name: getattr(t, name) for name in _KEYS}
+    C.copy_tables(spark, {name: sources[name] for name in ("region", "nation", "orders")}, _KEYS, _FOREIGN, path)
+    return C.copy_tables(spark, sources, _KEYS, _FOREIGN, path).withColumn("level", F.col("level").cast("long"))
+
+
+def answered_of(t: Tables) -> DataFrame:
+    """User turns as answered queries: the reply's lines stand for results, its words' lengths for scores."""
+    said = t.conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    asked = said.filter("role = 'user'").join(said.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"], "left")
+    lines = F.size(F.split(F.coalesce("answer", F.lit("")), "\n", -1))
+    chunks = F.transform(F.sequence(F.lit(1), lines), lambda i: i.cast("long"))
+    scores = F.transform(chunks, lambda i: F.round(1.0 / i, 4))
+    strategy = lambda name, ms: F.struct(F.lit(name).alias("strategy"), ms.cast("double").alias("latency_ms"), lines.cast("long").alias("results"), F.lit(0.5).alias("top_score"))
+    ran = F.when(F.col("turn") % 3 == 0, F.array().cast(LG.STRATEGY)).otherwise(F.array(strategy("naive", F.col("turn")), strategy("hybrid", F.col("turn") * 2)))
+    return asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), F.lit(None).cast("timestamp").alias("asked_at"), "answer", F.lit("completed").alias("status"), F.lit(0.5).alias("confidence"), ran.alias("strategies"), chunks.alias("chunk_ids"), scores.alias("scores"), (F.col("turn") % 2).cast("int").alias("corrective_rounds"), F.length("text").cast("double").alias("latency_ms"))
+
+
+@query("""WITH u AS (SELECT q.conv_id * 1000 + q.turn AS query_id, q.turn, coalesce(q.text, '') AS text, len(string_split(coalesce(a.text, ''), chr(10))) AS n FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user'),
+s AS (SELECT *, CASE WHEN turn % 3 = 0 THEN ['unknown'] ELSE ['naive', 'hybrid'] END AS names FROM u)
+SELECT query_id, name AS strategy, md5(left(text, 1000)) AS effective_query, CAST(CASE name WHEN 'unknown' THEN length(text) WHEN 'naive' THEN turn ELSE turn * 2 END AS DOUBLE) AS latency_ms, CAST(n AS BIGINT) AS results_returned, CAST(CASE name WHEN 'unknown' THEN 1 ELSE 0.5 END AS DOUBLE) AS top_score,
+round(list_avg(list_transform(range(1, n + 1), lambda i: round(CAST(1 AS DOUBLE) / i, 4))), 4) AS mean_score, CAST(least(n, 30) AS BIGINT) AS kept, turn % 2 > 0 AS was_corrective FROM s, unnest(names) AS r(name)""")
+def query_log(spark, d):
+    """The log of two micro-batches, of which the first came twice: a row for each query and strategy."""
+    answered, path = answered_of(Tables(spark, d)), f"{shared_dir(spark)}/lodestone-log-{uuid.uuid4().hex}"
+    write = LG.write_batch(path)
+    halves = [answered.filter(F.col("query_id") % 2 == i) for i in (0, 1)]
+    for number in (0, 0, 1):
+        write(halves[number], number)
+    return LG.read(spark, path, "strategies").select("query_id", "strategy", F.md5(F.col("effective_query").cast("binary")).alias("effective_query"), "latency_ms", "results_returned", "top_score", "mean_score", F.size("chunk_ids").cast("long").alias("kept"), "was_corrective")
+
+
+@query("SELECT source || '/' || doc_id || '.txt' AS key, CAST(CASE WHEN doc_id % 4 = 1 THEN 8 ELSE strlen(coalesce(text, '')) END AS BIGINT) AS size FROM documents WHERE doc_id % 5 > 0 AND doc_id % 7 > 0")
+def object_store(spark, d):
+    """Documents put as objects, those with keys that leave the store refused; some replaced, some deleted; what is left."""
+    t, path = Tables(spark, d), f"{shared_dir(spark)}/lodestone-objects-{uuid.uuid4().hex}"
+    key = F.concat(F.when(F.col("doc_id") % 7 == 0, "../").otherwise(""), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    rows = t.documents.select("doc_id", key.alias("key"), F.col("text").cast("binary").alias("content"))
+    B.put(rows, path)
+    B.put(rows.filter("doc_id % 4 = 1").withColumn("content", F.lit(b"replaced")), path)
+    B.delete(rows.filter("doc_id % 5 = 0"), path)
+    return B.listed(spark, path)
+
+
 @query(f"""WITH x AS (SELECT *, CASE WHEN n_chars < 500 THEN 'failed' ELSE 'ready' END AS status, strlen(text) AS size_bytes, {_TOKENS.format('text')} AS tokens FROM documents)
 SELECT 'total' AS kind, 'documents' AS name, count(*) AS n FROM x UNION ALL SELECT 'total', 'chunk_count', count(*) FROM x UNION ALL SELECT 'total', 'token_count', CAST(sum(tokens) AS BIGINT) FROM x UNION ALL SELECT 'total', 'page_count', CAST(sum(n_chars // 3000 + 1) AS BIGINT) FROM x
 UNION ALL SELECT 'total', 'table_count', count(*) FILTER (WHERE doc_id % 10 = 0) FROM x UNION ALL SELECT 'total', 'figure_count', count(*) FILTER (WHERE doc_id % 10 = 1) FROM x UNION ALL SELECT 'total', 'size_bytes', CAST(sum(size_bytes) AS BIGINT) FROM x
