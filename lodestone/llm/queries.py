@@ -64,7 +64,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import judge
 
     judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "word_log_perplexity")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

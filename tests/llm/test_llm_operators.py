@@ -342,11 +342,45 @@ def test_languages_and_letters_come_from_the_data(spark):
     other = [(2000, "one two three four five six seven eight nine ten eleven", "rare"), (2001, None, None)]
     df = spark.createDataFrame(good + bad + other, "doc_id long, text string, lang string")
     found = quality.find_languages(df)
-    assert found.numbers == {"xx": 1} and len(set(found.tables[1][[0x430, 0x431, 0x432]].tolist())) == 3 and found.number("rare") == found.number(None) == 0
+    assert found.numbers == {None: 0, "rare": 1, "xx": 2} and len(set(found.alphabets[2].table[[0x430, 0x431, 0x432]].tolist())) == 3
     kept = {x.doc_id for x in quality.keep_good(df).collect()}
     assert len(kept & {g[0] for g in good}) >= 117 and not kept & {b[0] for b in bad} and 2000 in kept
 
 
+def test_a_large_script_fills_all_classes(spark):
+    """Thousands of letters, some beyond the first plane: further letters share the frequent ones' classes evenly, and text of rare letters is told apart."""
+    r = random.Random(8)
+    letters = [chr(0x4E00 + i) for i in range(600)] + [chr(0x20000 + i) for i in range(100)]
+    words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 4))) for _ in range(150)]
+    good = [(i, " ".join(r.choice(words) for _ in range(200)), "zh") for i in range(100)]
+    bad = [(500 + i, " ".join("".join(r.choice(letters[:40]) for _ in range(3)) for _ in range(200)), "zh") for i in range(3)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    alphabet = quality.find_languages(df).alphabets[0]
+    classes = Counter(alphabet.chars("".join(g[1] for g in good)).tolist())
+    assert set(range(1, 27)) <= set(classes) and quality._OTHER not in classes and max(classes[k] for k in range(1, 27)) < 2 * min(classes[k] for k in range(1, 27))
+    kept = {x.doc_id for x in quality.keep_good(df).collect()}
+    assert len(kept & {g[0] for g in good}) >= 98 and not kept & {b[0] for b in bad}
+
+
+def test_shuffled_words_are_rejected_and_blocks_change_nothing(spark, monkeypatch):
+    r = random.Random(9)
+    nouns, verbs = (["".join(r.choice("bdfgklmnprstaeiou") for _ in range(r.randrange(4, 9))) for _ in range(400)] for _ in range(2))
+    sentence = lambda: f"the {r.choice(nouns)} of a {r.choice(nouns)} has {r.choice(verbs)} to the {r.choice(nouns)} and it was in {r.choice(nouns)}."
+    good = [(i, " ".join(sentence() for _ in range(25)), ["en", "de", None][i % 3]) for i in range(150)]
+    shuffled = []
+    for i in range(6):
+        w = good[i][1].split()
+        r.shuffle(w)
+        shuffled.append((900 + i, " ".join(w), good[i][2]))
+    df = spark.createDataFrame(good + shuffled, "doc_id long, text string, lang string").repartition(3)
+    kept = {x.doc_id for x in quality.keep_good(df).collect()}
+    assert len(kept & {g[0] for g in good}) >= 147 and not kept & {b[0] for b in shuffled}
+    monkeypatch.setattr(quality, "BLOCK", 1)
+    monkeypatch.setattr(quality, "OPEN", 2)
+    monkeypatch.setattr(quality, "MEMORY", 20)
+    assert len(quality.blocks(df)) == 3 and {x.doc_id for x in quality.keep_good(df).collect()} == kept == {x.doc_id for x in quality.judge(df).filter("kept").collect()}
+
+
 def test_quality_filter_keeps_prose_and_rejects_noise(spark):
     r = random.Random(5)
     vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 8))) for _ in range(300)]
