@@ -4,9 +4,9 @@ An item's windows (10 consecutive words, or all words of a shorter item) are wha
 must contain. Each window is a set of word shingles with their offsets. Containment needs every
 shingle, so a prefix of one shingle, the rarest in the corpus, is enough to join on:
 
-1. one pass over the documents keeps the places of shingles that some window has (a hash join
-   against the distinct benchmark shingles; Spark broadcasts these only if their written table
-   is small enough) and counts them by text, so copies collapse before the exchange;
+1. one pass over the documents makes the shingles of all lengths that windows need and keeps the places of those that some window has: a
+   bitmap of bounded size drops nearly all others before the join with the distinct benchmark shingles, so that little is shuffled
+   where these are too many to be sent to the tasks. Places are counted by text, so copies collapse before the exchange;
 2. shingles are ordered by rarity, each window takes its rarest one as prefix, and the places
    of prefixes give candidate starts, bounded by position (start >= 0) and length
    (start + window <= words of the text);
@@ -64,15 +64,15 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_text: str =
     wanted = stored(grams.select("h").distinct(), "shingles")
 
     base = docs.select(text_key(F.col(text)).alias("key"), once(item_words(F.col(text))).alias("w")).withColumn("n", F.size("w"))
-    places = None
-    for k in sizes:
-        own = base.select("key", "n", F.posexplode(_shingles(F.col("w"), F.col("n"), k)).alias("pos", "h")).join(wanted, "h")
-        places = own if places is None else places.unionByName(own)
+    each = [F.transform(_shingles(F.col("w"), F.col("n"), k), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for k in sizes]
+    places = base.select("key", "n", F.explode(each[0] if len(each) == 1 else F.concat(*each)).alias("p")).select("key", "n", "p.pos", "p.h")
+    places = flagged(places, wanted, "h", F.col("h"), "may").filter("may").drop("may").join(wanted, "h")
     places = stored(places.groupBy("key", "n", "pos", "h").agg(F.count(F.lit(1)).alias("copies")), "places")
 
     rarity = places.groupBy("h").agg(F.sum("copies").alias("freq"))
     ranked = grams.join(rarity, "h", "left").groupBy("words", "len").agg(F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "h", "off")).alias("least"))
-    prefix = ranked.filter(F.col("least.freq") > 0).select("words", "len", F.col("least.h").alias("h"), F.col("least.off").alias("off"))
+    # written: small against the places, and if it is too large to be sent to them, Spark splits the places of a frequent shingle
+    prefix = stored(ranked.filter(F.col("least.freq") > 0).select("words", "len", F.col("least.h").alias("h"), F.col("least.off").alias("off")), "prefix")
     start = F.col("pos") - F.col("off")
     found = places.join(prefix, "h").select("key", "n", start.alias("start"), "len", "words").filter((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
     # a text has at most one window of each length at each start
