@@ -156,6 +156,11 @@ def unit_interval(x: Col) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_cast(_c(x), "double") if hasattr(F, "try_cast") else _c(x).try_cast("double"), F.lit(0.0))))
 
 
+def at_least_one(x: Col) -> Column:
+    """A whole number in text form, 1 at least; 1 if it isn't one."""
+    return F.greatest(F.lit(1), F.coalesce(F.floor(_c(x).cast("string").try_cast("double")).try_cast("int"), F.lit(1)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

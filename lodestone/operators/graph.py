@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.sources.stored import stored
 
 
 def merge_entities(entities: DataFrame) -> DataFrame:
@@ -55,15 +56,27 @@ def _grams(key: Column) -> Column:
     return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
 
+def _rarest(keys: DataFrame, text: str, common: DataFrame) -> DataFrame:
+    """``keys`` with ``g``: of the runs of three characters of ``text`` (the whole, if it is shorter) the one that the fewest keys of ``common`` (g, n) have.
+
+    Whatever contains the text has this run, so candidates for containment meet under it, and a beginning that many names share isn't a hot key."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2))
+    runs = keys.select("*", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(3))))).alias("g"))
+    own = runs.join(common, "g", "left")
+    rest = [c for c in keys.columns]
+    return own.groupBy(*rest).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), F.col("g"))).alias("g"))
+
+
 def search_entities(queries: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, key, score, rank): equal names, contained names, token overlap, plus a little for mentions.
 
-    Candidates meet in equi-joins, on a key's first characters for containment and on tokens for overlap; only they are scored."""
+    Candidates meet in equi-joins, on the rarest run of three characters for containment and on tokens for overlap; only they are scored."""
     q = queries.select("query_id", X.entity_key("query").alias("qk"), F.array_distinct(X.tokenize("query")).alias("qt")).distinct()
     n = nodes.select("key", "mentions", F.array_distinct(X.tokenize("name", content=False)).alias("nt"))
-    head = lambda k: F.substring(k, 1, 3)
-    inside = q.select("query_id", F.explode(_grams(F.col("qk"))).alias("g")).join(n.filter("key <> ''").select("key", head(F.col("key")).alias("g")), "g")
-    around = q.filter("qk <> ''").select("query_id", head(F.col("qk")).alias("g")).join(n.select("key", F.explode(_grams(F.col("key"))).alias("g")), "g")
+    posted = n.filter("key <> ''").select("key", F.explode(_grams(F.col("key"))).alias("g"))
+    common = stored(posted.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "runs")
+    inside = q.select("query_id", F.explode(_grams(F.col("qk"))).alias("g")).join(_rarest(n.filter("key <> ''").select("key").distinct(), "key", common), "g")
+    around = _rarest(q.filter("qk <> ''").select("query_id", "qk").distinct(), "qk", common).select("query_id", "g").join(posted, "g")
     shared = q.select("query_id", F.explode("qt").alias("g")).join(n.select("key", F.explode("nt").alias("g")), "g")
     pairs = inside.select("query_id", "key").unionByName(around.select("query_id", "key")).unionByName(shared.select("query_id", "key")).distinct()
     both = pairs.join(q, "query_id").join(n, "key")
@@ -110,6 +123,8 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, depth: int = 2, limit: int
         now = here.withColumn("a", F.element_at("path", -1)).withColumnRenamed("confidence", "before").join(steps, "a").filter(~F.array_contains("path", F.col("b")))
         strength = F.least("before", "confidence") if weakest else F.col("confidence")
         now = now.select(*group, *carried, "seed", F.concat("path", F.array("b")).alias("path"), F.concat("types", F.array("type")).alias("types"), F.concat("chunks", F.array("chunk_id")).alias("chunks"), strength.alias("confidence"), "have")
+        # results are ordered by hops and path, so of a hub's neighbours only as many as are still wanted go on
+        now = now.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("path"))).filter(F.col("nth") <= enough - F.col("have")).drop("nth")
         own = now.select(*group, *carried, "seed", "path", "types", "chunks", F.lit(hop).alias("hops"), F.round(F.col("confidence") * 0.75 ** (hop - 1), 4).alias("score"))
         out = own if out is None else out.unionByName(own)
     w = Window.partitionBy(by).orderBy("hops", "path")

@@ -22,6 +22,7 @@ from lodestone.operators import metrics as M
 from lodestone.operators import retrieval as R
 from lodestone.operators import trace as T
 from lodestone.operators import verify as V
+from lodestone.plans import experiment as XP
 from lodestone.plans import strategies as S
 from lodestone.sources import copying as C
 from lodestone.sources import layout as Y
@@ -1162,6 +1163,40 @@ def judged_pool(spark, d):
     return J.judge_pool(questions_of(t), pooled_of(t), _names_first_word)
 
 
+@query()
+def experiment(spark, d):
+    """Two strategies over all questions, labels pooled and judged once, and means of each."""
+    t = Tables(spark, d)
+    corpus = _once(t, "corpus", lambda: S.build(chunks_of(t), ordinals_of(t)))
+    return XP.run(questions_of(t), corpus, ["naive", "hybrid"], _names_first_word).summary
+
+
+_FOUND = """x AS (SELECT l_orderkey // 100 AS document_id, l_orderkey AS chunk_id, l_linenumber AS n, 'Part-' || l_partkey AS name, ['model', 'Tool ', 'ODD', 'METRIC'][1 + l_linenumber % 4] AS t, l_discount * 20 AS salience, CASE WHEN l_linenumber % 3 = 0 THEN 'Supplier ' || l_suppkey ELSE 'Part-' || lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_tax, l_discount) END AS target,
+['uses', 'part of', 'nonsense'][1 + l_linenumber % 3] AS r, l_tax * 10 AS confidence FROM lineitem)"""
+
+
+def found_in(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Line items as what a model found in its order: parts as entities, and relations of each to the next, some of them to names that it didn't declare."""
+    n = F.col("l_linenumber")
+    pick = lambda *names: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
+    part = lambda c: F.concat(F.lit("Part-"), c.cast("string"))
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_tax", "l_discount"))
+    target = F.when(n % 3 == 0, F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string"))).otherwise(part(after))
+    own = t.lineitem.select(F.floor(F.col("l_orderkey") / 100).alias("document_id"), F.col("l_orderkey").alias("chunk_id"), part(F.col("l_partkey")).alias("name"), pick("model", "Tool ", "ODD", "METRIC").alias("entity_type"), (F.col("l_discount") * 20).alias("salience"), target.alias("target"), pick("uses", "part of", "nonsense").alias("relation_type"), (F.col("l_tax") * 10).alias("confidence"))
+    return own.select("document_id", "chunk_id", "name", "entity_type", "salience"), own.select("document_id", "chunk_id", F.col("name").alias("source"), "target", "relation_type", "confidence")
+
+
+@query(f"""WITH {_FOUND}, e AS (SELECT DISTINCT chunk_id, lower(replace(name, '-', ' ')) AS key FROM x),
+r AS (SELECT x.document_id, lower(replace(name, '-', ' ')) AS src, lower(replace(target, '-', ' ')) AS dst, x.chunk_id, CASE r WHEN 'uses' THEN 'USES' WHEN 'part of' THEN 'PART_OF' ELSE 'RELATED_TO' END AS relation_type, least(1.0, confidence) AS confidence FROM x WHERE target IS NOT NULL)
+SELECT 'relation' AS kind, relation_type AS name, count(*) AS n, round(avg(confidence), 6) AS mean FROM r JOIN e ON e.chunk_id = r.chunk_id AND e.key = r.dst WHERE src <> dst GROUP BY relation_type
+UNION ALL SELECT 'entity', CASE upper(trim(t)) WHEN 'ODD' THEN 'CONCEPT' ELSE upper(trim(t)) END, count(*), round(avg(least(1.0, salience)), 6) FROM x GROUP BY 2""")
+def model_extractions(spark, d):
+    """What holds of a model's entities and relations, counted by type."""
+    entities, relations = I.valid_extractions(*found_in(Tables(spark, d)))
+    e = entities.groupBy(F.lit("entity").alias("kind"), F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("salience"), 6).alias("mean"))
+    return e.unionByName(relations.groupBy(F.lit("relation").alias("kind"), F.col("relation_type").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean")))
+
+
 _LEGAL = " OR ".join(f"(now = '{a}' AND status IN ({', '.join(repr(x) for x in b)}))" for a, b in D.FOLLOWS.items())
 _STEP_EVENTS = "e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, event_type AS step, event_id AS seq, ts AS tm, ['pending', 'running', 'completed', 'failed', 'running', 'skipped', 'pending'][1 + event_id % 7] AS status FROM events)"
 
