@@ -1,12 +1,14 @@
 """Personal data by fixed patterns and a semi-Markov conditional random field.
 
 The four base kinds are patterns with a check; their spans always stay. Beyond them a semi-Markov CRF
-looks at islands: chains of tokens that hold a digit or '@'. In an island every span of up to
+looks at islands: chains of tokens that hold a digit or '@' (with what belongs to a key between: '/', '+' and '='), up to four capitalised words behind a short number,
+as in street addresses, and what follows a cue: the value behind a word for a secret and ':' or '=', capitalised words behind a title or a word
+that announces a name. In an island every span of up to
 ``MOST`` tokens is a candidate of each type, scored as a whole (does the span look like an address,
-do its digits pass Luhn, how are they grouped, what stands before it), a token outside spans is a
+do its digits pass Luhn, do its letters and digits pass the check of an account number, how are they grouped, what stands before it), a token outside spans is a
 segment of its own, and dynamic programming over entity spans of bounded length picks boundaries and
-types together. Tokens without digit or '@' can't be part of an entity, so islands are independent and
-the result is that of the whole text.
+types together. Other tokens can't be part of an entity, so islands are independent and
+the result is that of the whole text. Names without a cue, and street addresses without a number in front, aren't looked for.
 
 The CRF is trained here, on the driver, by stochastic gradient steps on the exact log-likelihood over
 sentences drawn from a seeded generator; its weights are a few dozen numbers.
@@ -32,9 +34,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import set_aside
 
-KINDS = ["email", "ip", "card", "phone", "secret"]
+KINDS = ["email", "ip", "card", "phone", "secret", "iban", "name", "address"]
 #: Tokens of an entity at most.
-MOST = 8
+MOST = 9
 # The base patterns. Lookbehind and possessive forms only save time.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -47,6 +49,16 @@ _MARK = re.compile("[0-9@]")
 _RUN = re.compile(r"[A-Za-z0-9_%@+.-]*")
 _GAP = re.compile(r"[ ()/-]{1,3}(?=[A-Za-z_%+.-]{0,40}[0-9@])")
 _HINT = re.compile(r"(token|key|secret|passw|api|auth|credential)[a-z_]*[\"' ]*[=: ]*[\"' ]*$", re.IGNORECASE)
+#: What may hold a key together: runs of base64 with a sign of it, of at least this length.
+_KEY = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+_-]*[/+])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/=_-])")
+_VALUE = re.compile(r"(?:token|key|secret|passw(?:or)?d|passphrase|credentials?)[\"' ]{0,3}[:=][\"' ]{0,3}([^\s\"'<>,;]{8,64})", re.IGNORECASE)
+#: A capitalised word, and what announces a name or belongs to a street.
+_CAPITAL = r"[A-Z\u00C0-\u00DE][a-z\u00DF-\u00FF]+(?:[-'][A-Z\u00C0-\u00DE][a-z\u00DF-\u00FF]+)*"
+_NAME = re.compile(rf"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.?|\b(?:[Nn]ame(?: is)?|[Cc]ontact|[Aa]ttn|[Ss]igned(?: by)?|[Ss]incerely|[Rr]egards)[:,]?) ((?:{_CAPITAL}|[A-Z]\.)(?: (?:{_CAPITAL}|[A-Z]\.)){{0,3}})")
+_STREET = re.compile(rf"(?<![0-9A-Za-z.,+/-])([0-9]{{1,5}}[A-Za-z]?) ({_CAPITAL}(?: {_CAPITAL}){{0,3}})")
+# Words of streets.
+_ROADS = frozenset("Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Court Ct Place Square Way Terrace Close Crescent".split())
+_TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? $")
 _CALL = re.compile(r"(phone|tel|call|fax|mobile|dial|whatsapp)[a-z.]*[ :]*\(?$", re.IGNORECASE)
 
 
@@ -89,7 +101,48 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _words(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    return [(m.start() + begin, m.end() + begin) for m in re.finditer(r"\S+", text[begin:end])]
+
+
 def islands(text: str) -> list[list[tuple[int, int]]]:
+    """All islands, in order; a cue's island takes the place of those that it meets."""
+    cued = [[m.span()] for m in _KEY.finditer(text)] if "/" in text or "+" in text else []
+    if "=" in text or ":" in text:
+        for m in _VALUE.finditer(text):
+            a, b = m.span(1)
+            while b > a and text[b - 1] in ".:!?)":
+                b -= 1
+            if b - a >= 8:
+                cued.append([(a, b)])
+    cued += [_words(text, *m.span(1)) for m in _NAME.finditer(text)]
+    cued += [[m.span(1), *_words(text, *m.span(2))] for m in _STREET.finditer(text)]
+    plain = marked(text)
+    if not cued:
+        return plain
+    kept: list[list[tuple[int, int]]] = []
+    for island in sorted(cued, key=lambda x: (x[0][0], -x[-1][1])):  # of cues that meet, the first
+        if not kept or island[0][0] >= kept[-1][-1][1]:
+            kept.append(island)
+    starts = [x[0][0] for x in kept]
+    for island in plain:
+        at = bisect_left(starts, island[-1][1])
+        if not at or kept[at - 1][-1][1] <= island[0][0]:
+            kept.insert(at, island)
+            starts.insert(at, island[0][0])
+        elif any(a < kept[at - 1][0][0] or b > kept[at - 1][-1][1] for a, b in island):
+            # a longer chain keeps what lies outside the cue's island
+            a0, b0 = kept[at - 1][0][0], kept[at - 1][-1][1]
+            for rest in ([t for t in island if t[1] <= a0], [t for t in island if t[0] >= b0]):
+                if rest:
+                    place = bisect_left(starts, rest[0][0])
+                    if (not place or kept[place - 1][-1][1] <= rest[0][0]) and (place == len(kept) or kept[place][0][0] >= rest[-1][1]):
+                        kept.insert(place, rest)
+                        starts.insert(place, rest[0][0])
+    return kept
+
+
+def marked(text: str) -> list[list[tuple[int, int]]]:
     """Chains of token spans that hold a digit or '@', with gaps of up to three joining characters."""
     out: list[list[tuple[int, int]]] = []
     at, last = 0, -1
@@ -110,7 +163,13 @@ def islands(text: str) -> list[list[tuple[int, int]]]:
 
 
 #: Names of the whole-span features, in the order of ``features``.
-FEATURES = ["one", "email", "mail_broken", "ip", "ip_bad", "luhn", "card_length", "grouped_4", "phone_length", "plus", "paren", "phone_groups", "hex_long", "mixed_long", "long_token", "hint", "call", "tokens", "has_letters", "few_digits", "date", "at"]
+FEATURES = ["one", "email", "mail_broken", "ip", "ip_bad", "luhn", "card_length", "grouped_4", "phone_length", "plus", "paren", "phone_groups", "hex_long", "mixed_long", "long_token", "hint", "call", "tokens", "has_letters", "few_digits", "date", "at", "iban", "key_signs", "value", "odd_value", "capitals", "title", "name_cue", "road", "number_first"]
+
+
+def iban(s: str) -> bool:
+    """Whether letters and digits pass the check of an international account number."""
+    s = re.sub("[ -]", "", s)
+    return bool(re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", s)) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def features(text: str, span: list[tuple[int, int]]) -> np.ndarray:
@@ -126,12 +185,19 @@ def features(text: str, span: list[tuple[int, int]]) -> np.ndarray:
     one = len(span) == 1
     before = text[max(0, begin - 24) : begin]
     hexed = one and len(s) >= 24 and bool(re.fullmatch("[0-9a-fA-F]+", s)) and letters > 0
+    kinds = (any(c.islower() for c in s), any(c.isupper() for c in s), bool(d), any(not c.isalnum() for c in s))
+    value = one and bool(re.search(r"[:=][\"' ]{0,3}$", before)) and bool(_HINT.search(before))
+    words = [text[a:b] for a, b in span]
+    capital = not d and all(re.fullmatch(rf"{_CAPITAL}|[A-Z]\.", w) for w in words)
+    titled = bool(_TITLE.search(before))
+    numbered = len(words) > 1 and bool(re.fullmatch("[0-9]{1,5}[A-Za-z]?", words[0])) and all(re.fullmatch(_CAPITAL, w) for w in words[1:])
     mixed = one and len(s) >= 16 and letters >= 4 and len(d) >= 3 and "@" not in s and "." not in s
     return np.array([
         1, mail, "@" in s and not mail, ip_ok, ip and not ip_ok, not letters and 14 <= len(d) <= 19 and luhn(d), not letters and 14 <= len(d) <= 19,
         not letters and len(groups) >= 3 and set(groups[:3]) == {4}, not letters and 10 <= len(d) <= 13, s.startswith("+") and not letters, before.endswith("("),
         not letters and 2 <= len(groups) <= 5 and groups[-1] in (3, 4) and all(1 <= g <= 4 for g in groups) and not ip, hexed, mixed, one and len(s) >= 24, bool(_HINT.search(before)), bool(_CALL.search(before)),
         min(len(span), MOST) / 4, letters > 0, len(d) < 8, bool(re.fullmatch(r"\d{1,4}[-/. ]\d{1,2}[-/. ]\d{1,4}", s)), "@" in s,
+        iban(s), one and bool(_KEY.fullmatch(s)) and all(kinds[:3]), value, value and sum(kinds) >= 3, capital, capital and titled, capital and not titled and bool(re.search(r"(?:[Nn]ame(?: is)?|[Cc]ontact|[Aa]ttn|[Ss]igned(?: by)?|[Ss]incerely|[Rr]egards)[:,]? $", before)), numbered and words[-1] in _ROADS, numbered,
     ], float)
 
 
@@ -197,21 +263,44 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         a, b, c = num(3), num(3), num(4)
         return r.choice((f"+{r.randrange(1, 99)} {a} {b} {c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}"))
 
+    cap = lambda: word().capitalize()
+    b64 = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789/+") for _ in range(n))
+
+    def account():
+        land, own = r.choice(("DE", "FR", "GB", "NL", "XK")), "".join(r.choice("0123456789" if r.random() < 0.8 else "ABCDEFGHKLMN") for _ in range(r.randrange(12, 24)))
+        check = 98 - int("".join(str(int(c, 36)) for c in own + land + "00")) % 97
+        whole = f"{land}{check:02d}{own}"
+        return whole if r.random() < 0.5 else " ".join(whole[i : i + 4] for i in range(0, len(whole), 4))
+
+    def secret():
+        kind = r.random()
+        if kind < 0.6:
+            return "".join(r.choice(r.choice(("0123456789abcdef", "0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"))) for _ in range(r.choice((24, 32, 40, 48))))
+        if kind < 0.8:
+            a, b = r.sample(range(4, 30), 2)
+            key = list(b64(r.choice((36, 40, 44))))
+            key[a], key[b] = "/", "7"
+            return "x" + "".join(key) + "Q"
+        return cap() + r.choice("!#-_$") + word() + r.choice("!?*%") + cap()
+
     make = [
         lambda: f"{word()}.{num(2)}@{word()}{num(1)}.{r.choice(('com', 'org', 'net', 'co.uk'))}" if r.random() < 0.5 else f"{word()}@{word()}.{word()}.com",
         lambda: ".".join(str(r.randrange(256)) for _ in range(4)),
         card,
         phone,
-        lambda: "".join(r.choice(r.choice(("0123456789abcdef", "0123456789abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ"))) for _ in range(r.choice((24, 32, 40, 48)))),
+        secret,
+        account,
+        lambda: " ".join(cap() if r.random() < 0.8 else r.choice("ABCDEFGH") + "." for _ in range(r.randrange(1, 3))) + " " + cap(),
+        lambda: f"{r.randrange(1, 900)}{r.choice(('', '', 'b'))} {' '.join(cap() for _ in range(r.randrange(1, 3)))} {r.choice(sorted(_ROADS))}",
     ]
-    plain = [lambda: str(r.randrange(1, 3000)), lambda: f"{r.randrange(10)}.{r.randrange(20)}", lambda: f"{r.randrange(10)}.{r.randrange(9)}.{r.randrange(30)}", lambda: f"{r.randrange(1990, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", lambda: f"{r.randrange(1, 29)}/{r.randrange(1, 13)}/{r.randrange(1990, 2030)}", lambda: f"{num(r.choice((5, 6, 7, 8, 9)))}", lambda: f"{word()}{num(r.choice((1, 2, 3)))}", lambda: f"{r.randrange(300, 999)}.{r.randrange(999)}.{r.randrange(999)}.{r.randrange(999)}", lambda: num(r.choice((16, 18, 20, 24))), lambda: f"@{word()}", lambda: f"{num(2)} {num(2)} {num(2)}", lambda: f"{num(1)},{num(3)}"]
+    plain = [lambda: str(r.randrange(1, 3000)), lambda: f"{r.randrange(10)}.{r.randrange(20)}", lambda: f"{r.randrange(10)}.{r.randrange(9)}.{r.randrange(30)}", lambda: f"{r.randrange(1990, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", lambda: f"{r.randrange(1, 29)}/{r.randrange(1, 13)}/{r.randrange(1990, 2030)}", lambda: f"{num(r.choice((5, 6, 7, 8, 9)))}", lambda: f"{word()}{num(r.choice((1, 2, 3)))}", lambda: f"{r.randrange(300, 999)}.{r.randrange(999)}.{r.randrange(999)}.{r.randrange(999)}", lambda: num(r.choice((16, 18, 20, 24))), lambda: f"@{word()}", lambda: f"{num(2)} {num(2)} {num(2)}", lambda: f"{num(1)},{num(3)}", lambda: f"{r.randrange(1, 40)} {cap()}", lambda: f"{r.randrange(1, 40)} {cap()} {cap()}", lambda: f"password: {word()}{word()}xyz", lambda: f"key = {word()}{word()}abc", lambda: f"{word()}/{word()}/{word()}{num(2)}/{word()}.{word()}", lambda: f"{r.choice(('DE', 'FR'))}{num(2)} {num(4)} {num(4)} {num(4)}", lambda: f"{cap()} {cap()}"]
     text, gold = word(), []
     for _ in range(r.randrange(1, 4)):
         k = r.randrange(len(make))
         if r.random() < 0.5:
             text += f" {word()} {r.choice(plain)()}{r.choice((' ', ', ', '. '))}{word()}"
             continue
-        lead = {3: ("call ", "tel: ", "", ""), 4: ('token = "', "api_key: ", "secret=", "password ")}.get(k, ("", word() + " "))
+        lead = {3: ("call ", "tel: ", "", ""), 4: ('token = "', "api_key: ", "secret=", "password: "), 6: ("Mr. ", "Dr ", "Mrs. ", "Name: ", "contact ", "signed by ", "Attn: ")}.get(k, ("", word() + " "))
         text += f" {r.choice(lead)}"
         found = make[k]()
         gold.append((len(text) + (found[0] == "("), len(text) + len(found), k))
@@ -245,7 +334,7 @@ def train(sentences: int = 700, rounds: int = 6, seed: int = 11) -> SemiCRF:
 
 def all_spans(text: str | None, crf: SemiCRF) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans, as (start, kind, end)."""
-    if not text or not _MARK.search(text):
+    if not text:
         return [], []
     base = base_spans(text)
     more, starts, furthest = [], [x for x, _, _ in base], list(accumulate((y for *_, y in base), max))
