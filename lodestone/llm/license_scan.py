@@ -145,7 +145,7 @@ TEXTS = [
 ]
 #: Keywords that may go on within their word, such as gplv3.
 OPEN = {"agpl", "apache", "gpl", "lgpl", "mpl"}
-# Contexts, strongest first, with the score of a match; {} stands for the name.
+# Contexts, strongest first, with the score of a match (a choice of this scanner); {} stands for the name.
 CONTEXTS = [
     (r"spdx license identifier {}", 1.0),
     (r"(?:licen[sc]ed|released|distributed|available|published|offered|provided)(?: to you)? under (?:the )?(?:terms of )?(?:the )?{}", 0.95),
@@ -180,7 +180,7 @@ SENTENCES = [
 SENTENCE_SCORE = 0.9
 #: Labels of sentences that name no license.
 WEAK = {"unspecified", "non-commercial", "proprietary", "public-domain"}
-# Label and short name, longer ones first; they count only where DECLARATIONS end.
+# Label and short name, longer ones first; they count only where DECLARATIONS end.
 _LATER = r"(?: only| or later)?"
 SHORT_NAMES = [
     *((f"{x}-{n}", rf"{x} ?v?{n}(?: 0)?{_LATER}") for x in ("agpl", "gpl", "lgpl") for n in (3, 2) if (x, n) not in (("agpl", 2), ("lgpl", 2))),
@@ -192,7 +192,7 @@ SHORT_NAMES = [
     ("ofl", "ofl(?: 1 [01])?"), ("odbl", "odbl(?: 1 0)?"), ("odc-by", "odc by(?: 1 0)?"), ("cc0", "cc0(?: 1 0)?"),
     *((f"cc-{x.replace(' ', '-')}", rf"cc {x}(?: [1-4](?: [05])?)?") for x in ("by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by")),
 ]
-# Words that declare a license, with the score of a short name after them, and the words that one of them holds.
+# Words that declare a license, with the score of a short name after them (a choice of this scanner), and the words that one of them holds.
 DECLARATIONS = [
     (r"spdx license identifier", 1.0),
     (r"(?:(?:dual|double|multi) )?(?:licen[sc]ed|released|distributed|available|published|offered|provided)(?: to you)? under(?: the)?(?: terms of)?(?: the)?(?: gnu)?", 0.95),

@@ -56,7 +56,7 @@ _VALUE = re.compile(r"(?:token|key|secret|passw(?:or)?d|passphrase|credentials?)
 _CAPITAL = r"[A-Z\u00C0-\u00DE][a-z\u00DF-\u00FF]+(?:[-'][A-Z\u00C0-\u00DE][a-z\u00DF-\u00FF]+)*"
 _NAME = re.compile(rf"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.?|\b(?:[Nn]ame(?: is)?|[Cc]ontact|[Aa]ttn|[Ss]igned(?: by)?|[Ss]incerely|[Rr]egards)[:,]?) ((?:{_CAPITAL}|[A-Z]\.)(?: (?:{_CAPITAL}|[A-Z]\.)){{0,3}})")
 _STREET = re.compile(rf"(?<![0-9A-Za-z.,+/-])([0-9]{{1,5}}[A-Za-z]?) ({_CAPITAL}(?: {_CAPITAL}){{0,3}})")
-# Words of streets.
+#: Words of streets.
 _ROADS = frozenset("Street St Road Rd Avenue Ave Lane Ln Drive Dr Boulevard Blvd Court Ct Place Square Way Terrace Close Crescent".split())
 _TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? $")
 _CALL = re.compile(r"(phone|tel|call|fax|mobile|dial|whatsapp)[a-z.]*[ :]*\(?$", re.IGNORECASE)
