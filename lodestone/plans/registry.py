@@ -1353,6 +1353,30 @@ def strategy_naive_vectors(spark, d):
     return S.REGISTRY_ALL["naive"](queries, corpus).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+_BOTH = "SELECT doc_id, coalesce(text, '') AS text, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id"
+_ASKED = "SELECT doc_id AS item_id, array_to_string(regexp_extract_all(text, '\\S+')[1:12], ' ') AS text FROM both_ WHERE doc_id % 100 = 0"
+
+
+@query(f"""WITH both_ AS ({_BOTH}), asked AS ({_ASKED}), {_BM25.replace('FROM documents', 'FROM both_').replace('FROM benchmark', 'FROM asked').replace('rank <= 20', 'rank <= 40')},
+s AS (SELECT q.doc_id AS query_id, b.doc_id AS chunk_id, round(list_cosine_similarity(q.v, b.v), 6) AS score FROM both_ q, both_ b WHERE q.doc_id % 100 = 0),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 40),
+ls AS (SELECT query_id, chunk_id, 0 AS list_no, rank FROM dense UNION ALL SELECT query_id, chunk_id, 1, rank FROM sparse),
+f AS (SELECT query_id, chunk_id, sum(0.5 / (60 + rank)) AS raw, min(list_no * 1000 + rank) AS first FROM ls GROUP BY query_id, chunk_id),
+g AS (SELECT *, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS score FROM f)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM g WHERE score >= 0.28 QUALIFY rank <= 8""")
+def strategy_hybrid_vectors(spark, d):
+    """The hybrid strategy over documents that have a vector, each its own document: queries are the first words and the vector of every hundredth."""
+    t = Tables(spark, d)
+    own = t.documents.join(t.embeddings, F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("embedding").alias("vector"))
+    own = stored(own, "both")
+    chunks = own.select("chunk_id", F.col("chunk_id").cast("string").alias("document_id"), "content", F.lit("text").alias("modality"), X.estimate_tokens("content").alias("token_count"))
+    posts = stored(R.postings(chunks), "postings")
+    vectors = own.select("chunk_id", F.lit("text").alias("modality"), "vector")
+    corpus = S.Corpus(chunks, chunks.select("chunk_id", F.lit(1).alias("ordinal")), posts, stored(R.term_idf(R.term_stats(posts)), "idf"), vectors, embed=lambda q, c: q.join(own.select(F.col("chunk_id").alias("query_id"), "vector"), "query_id"))
+    queries = own.filter(F.col("chunk_id") % 100 == 0).select(F.col("chunk_id").alias("query_id"), X.truncate_words("content", 12).alias("query"))
+    return S.REGISTRY_ALL["hybrid"](queries, corpus).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _strategy(name: str):
     def run(spark, d):
         t = Tables(spark, d)

@@ -13,6 +13,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.sources.stored import remove
+
 ROW = "number long, version string, names array<string>, at timestamp"
 
 
@@ -71,9 +73,3 @@ def expire(spark: SparkSession, path: str, keep: int = 2, grace_seconds: int = 3
         remove(spark, f"{path}/published/n={r.number:012d}")
         remove(spark, f"{path}/tables/{r.version}")
     return sorted(r.number for r in old)
-
-
-def remove(spark: SparkSession, path: str) -> bool:
-    """Deletes a folder of any store that Spark reads; whether there was one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -103,6 +103,23 @@ def test_versions_are_seen_whole_and_kept(spark, tmp_path):
     assert versions.latest(spark, path, 1) is None and versions.latest(spark, path) == three and two.table(spark, "a").count() == 3
 
 
+def test_tables_of_a_scope_are_deleted(spark):
+    from lodestone.sources.stored import scope, stored
+
+    outside = stored(spark.range(3), "kept")
+    with scope(spark):
+        inside = stored(spark.range(5), "gone")
+        with scope(spark):
+            deeper = stored(inside, "gone")
+            assert deeper.count() == 5
+        with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST"):
+            deeper.collect()
+        assert inside.count() == 5
+    assert outside.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST"):
+        inside.collect()
+
+
 def test_index_versions(spark, tmp_path):
     chunks = spark.createDataFrame([(1, "d1", 1, "NEU-DET defects", "text"), (2, "d2", 1, "steel images", "text"), *((i, f"d{i}", 1, f"other words {i}", "text") for i in range(3, 9))], "chunk_id long, document_id string, ordinal int, content string, modality string")
     N.publish(N.build(chunks), str(tmp_path))
