@@ -303,9 +303,9 @@ def _labelled(docs: DataFrame, threshold: int, text: str, row_id: str, coords: i
         bad = pairs.join(good, ["a", "b"], "left_anti")
         refused = stored(bad if refused is None else refused.unionByName(bad), "refused")
         links = good if links is None else links.unionByName(good)
-        labels = components(links)
+        labels = components(links, start=labels)
     links = links.unionByName(stored(_block_links(posts, labels, bodies, threshold), "links"))
-    labels = components(links)
+    labels = components(links, start=labels)
     named = classes.join(labels, F.col("cid") == F.col("node"), "left").select("set_key", "first", F.coalesce("label", "cid").alias("label"))
     return signed.drop("sig"), named
 

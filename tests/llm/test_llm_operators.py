@@ -644,6 +644,29 @@ def test_components_of_a_long_chain(spark):
     assert {r.label for r in components(edges).collect()} == {0}
 
 
+def test_components_write_few_files_however_many_partitions_a_shuffle_has(spark):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(0, 600, 2)], "a long, b long"))
+        assert len(found.inputFiles()) <= 8
+        assert {(r.node, r.label) for r in found.collect()} == {(i, i - i % 2) for i in range(600)}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_components_go_on_from_those_of_some_links(spark):
+    ids = list(range(60))
+    random.Random(5).shuffle(ids)
+    links = [*zip(ids[:40], ids[1:40], strict=False), *zip(ids[40:], ids[41:], strict=False)]
+    some = components(spark.createDataFrame(links[::3], "a long, b long"))
+    found = components(spark.createDataFrame(links, "a long, b long"), start=some)
+    assert {(r.node, r.label) for r in found.collect()} == {(i, min(part)) for part in (ids[:40], ids[40:]) for i in part}
+
+
 def test_components_of_nulls_loops_repeats_and_nothing(spark):
     edges = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (5, 5), (None, 7), (8, None), (4, 2)], "a long, b long")
     assert {(r.node, r.label) for r in components(edges).collect()} == {(1, 1), (2, 1), (4, 1), (5, 5)}
