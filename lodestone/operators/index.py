@@ -43,7 +43,8 @@ class Index:
         return R.term_idf(self.terms)
 
     def search(self, queries: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
-        return R.bm25(queries, self.posts, stored(self.stats(), "idf"), limit, allowed)
+        # the terms of a changed index are sums and differences over its postings, and their statistics read them several times
+        return R.bm25(queries, self.posts, stored(R.term_idf(stored(self.terms, "terms")), "idf"), limit, allowed)
 
     def search_vectors(self, vectors: DataFrame, limit: int, threshold: float | None = None) -> DataFrame:
         return R.dense(vectors, self.vectors, limit, threshold)
@@ -79,12 +80,12 @@ def latest(chunks: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def build(chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
-    """The index of ``chunks``; without ``vectors`` they are hashed from the text."""
+    """The index of ``chunks``; without ``vectors`` they are hashed from the text. Postings and terms are written; the other parts are plans until they are saved or read."""
     found = I.rule_entities(chunks)
     nodes = G.merge_entities(found.withColumn("seq", F.struct("chunk_id", "pos")))
     own = vectors if vectors is not None else I.hash_embed(chunks.select("chunk_id", "content"))
     posts = stored(R.postings(chunks), "postings")
-    return Index(chunks, posts, R.term_stats(posts), own.select("chunk_id", "vector"), nodes, I.co_occurrence(found))
+    return Index(chunks, posts, stored(R.term_stats(posts), "terms"), own.select("chunk_id", "vector"), nodes, I.co_occurrence(found))
 
 
 def _without(index: Index, gone: DataFrame) -> Index:
@@ -102,10 +103,12 @@ def merge_terms(old: DataFrame, new: DataFrame, sign: int = 1) -> DataFrame:
     return both.groupBy("term").agg(*(F.sum(c).alias(c) for c in numbers)).filter(F.col("df") > 0)
 
 
-def delete_documents(index: Index, documents: DataFrame) -> Index:
-    """Without the documents of ``documents`` (document_id), in every part: chunks, postings, vectors, edges; nodes lose them and go with their last."""
+def delete_documents(index: Index, documents: DataFrame, chunks: DataFrame | None = None) -> Index:
+    """Without the documents of ``documents`` (document_id), in every part: chunks, postings, vectors, edges; nodes lose them and go with their last.
+    ``chunks`` (chunk_id) go in the same pass."""
     own = documents.select("document_id").distinct()
-    out = _without(index, index.chunks.join(own, "document_id", "left_semi").select("chunk_id"))
+    gone = index.chunks.join(own, "document_id", "left_semi").select("chunk_id")
+    out = _without(index, gone if chunks is None else gone.unionByName(chunks.select("chunk_id")))
     left = index.nodes.select("key", F.explode("documents").alias("document_id")).join(own, "document_id", "left_anti").groupBy("key").agg(F.sort_array(F.collect_list("document_id")).alias("documents"))
     nodes = index.nodes.drop("documents").join(left, "key").select(*index.nodes.columns)
     ends = nodes.select("key")
@@ -115,10 +118,19 @@ def delete_documents(index: Index, documents: DataFrame) -> Index:
 
 def upsert(index: Index, chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
     """With ``chunks``, which replace those of their ids; of several with one id the last by ``seq`` counts, if they have that column."""
-    new = latest(chunks).drop("seq") if "seq" in chunks.columns else chunks
-    fresh, left = build(new, vectors), _without(index, new.select("chunk_id"))
+    new = _last(chunks)
+    return _with(_without(index, new.select("chunk_id")), new, vectors)
+
+
+def _last(chunks: DataFrame) -> DataFrame:
+    return latest(chunks).drop("seq") if "seq" in chunks.columns else chunks
+
+
+def _with(left: Index, new: DataFrame, vectors: DataFrame | None) -> Index:
+    """With the chunks of ``new``, whose ids ``left`` doesn't have."""
+    fresh = build(new, vectors)
     joined = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    return Index(joined(left.chunks, fresh.chunks), joined(left.posts, fresh.posts), merge_terms(left.terms, fresh.terms), joined(left.vectors, fresh.vectors), merge_nodes(index.nodes, fresh.nodes), merge_edges(index.edges, fresh.edges))
+    return Index(joined(left.chunks, fresh.chunks), joined(left.posts, fresh.posts), merge_terms(left.terms, fresh.terms), joined(left.vectors, fresh.vectors), merge_nodes(left.nodes, fresh.nodes), merge_edges(left.edges, fresh.edges))
 
 
 def merge_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -140,7 +152,8 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def replace_documents(index: Index, chunks: DataFrame, vectors: DataFrame | None = None) -> Index:
     """Reindex: the documents of ``chunks`` go in every part before their chunks are added."""
-    return upsert(delete_documents(index, chunks.select("document_id")), chunks, vectors)
+    new = _last(chunks)
+    return _with(delete_documents(index, chunks.select("document_id"), new.select("chunk_id")), new, vectors)
 
 
 def chunk_counts(index: Index) -> DataFrame:

@@ -332,3 +332,22 @@ def test_parsers_by_extension_and_hooks(spark, tmp_path):
     (tmp_path / "c.bin").write_text("left out")
     hook = lambda data: [P._block(1, f"{len(data)} bytes", "text", [])]
     assert sorted(r.text for r in P.parse_files(P.read_files(spark, str(tmp_path)), {".docx": hook}).collect()) == ["10 bytes", "A", "text of the file"]
+
+
+def test_searches_of_the_index_compute_no_vectors_and_replace_in_one_pass(spark, monkeypatch):
+    from lodestone.operators import index as N
+    from lodestone.operators import ingest as I
+    from lodestone.plans import registry as G
+
+    @F.udf("array<float>")
+    def fails(text):
+        raise ValueError("no search needs the vectors")
+
+    monkeypatch.setattr(I, "hash_embed", lambda df, *a: df.withColumn("vector", fails(df.columns[-1])))
+    monkeypatch.setattr(G, "_built", {})
+    written = []
+    monkeypatch.setattr(N, "stored", lambda df, what, own=N.stored: written.append(what) or own(df, what))
+    d = "/root/testdata/sf0.001"
+    assert G.QUERIES["index_reindex"](spark, d).count() > 0 and written.count("gone") == 1
+    assert G.QUERIES["index_upsert"](spark, d).count() > 0 and G.QUERIES["index_delete"](spark, d).count() > 0
+    assert {r.part for r in G.QUERIES["index_counts"](spark, d).collect()} == {"chunks", "posts", "vectors"}
