@@ -351,3 +351,24 @@ def test_searches_of_the_index_compute_no_vectors_and_replace_in_one_pass(spark,
     assert G.QUERIES["index_reindex"](spark, d).count() > 0 and written.count("gone") == 1
     assert G.QUERIES["index_upsert"](spark, d).count() > 0 and G.QUERIES["index_delete"](spark, d).count() > 0
     assert {r.part for r in G.QUERIES["index_counts"](spark, d).collect()} == {"chunks", "posts", "vectors"}
+
+
+def test_strategies_compute_only_the_lists_and_indexes_that_they_read(spark, monkeypatch):
+    from lodestone.plans import registry as G
+    from lodestone.plans import strategies as S
+
+    written = []
+    for m in (S, R):
+        monkeypatch.setattr(m, "stored", lambda df, what, own=m.stored: written.append(what) or own(df, what))
+    monkeypatch.setattr(G, "_built", {})
+    d = "/root/testdata/sf0.001"
+    assert G.QUERIES["strategy_naive"](spark, d).count() > 0 and set(written) == {"vectors", "settings", "searches"}
+    written.clear()
+    assert G.QUERIES["strategy_naive_vectors"](spark, d).count() > 0 and "terms" not in written
+    # fewer lists, the same results as over all of them
+    corpus, questions = G.corpus_of(G.Tables(spark, d), [*S.PARTS]), G.questions_of(G.Tables(spark, d))
+    cfg, every = S.settings(questions), S.searches(questions, corpus)
+    for name in ("naive",):
+        rows = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in df.collect())
+        assert rows(S.REGISTRY_ALL[name](questions, corpus)) == rows(S.REGISTRY[name](cfg, every, corpus))
+    assert {r.list for r in S.searches(questions, corpus, ["hybrid"]).select("list").distinct().collect()} == {"dense", "sparse"}
